@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the SQL that must give the same rows."""
 
 from pagewright.llm.mixing import OP8_SQL, op8_mixing
+from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
 from pagewright.llm.sharding import op1_sharding
 from pagewright.llm.token_store import op9_token_store
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_packing": lambda spark, sf_dir: op2_packing(spark, sf_dir),
     "op8_mixing": op8_mixing,
     "op9_token_store": op9_token_store,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
