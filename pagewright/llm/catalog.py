@@ -5,12 +5,16 @@ from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
 from pagewright.llm.sharding import op1_sharding
 from pagewright.llm.token_store import op9_token_store
+from pagewright.llm.topk import OP7_SQL, op7_topk
+from pagewright.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": lambda spark, sf_dir: op2_packing(spark, sf_dir),
+    "op6_warc": op6_warc,
+    "op7_topk": lambda spark, sf_dir: op7_topk(spark, sf_dir),
     "op8_mixing": op8_mixing,
     "op9_token_store": op9_token_store,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL}
