@@ -61,10 +61,10 @@ def mix(docs: DataFrame, cap: int = 3, whole: bool = False) -> DataFrame:
     at least half of it lies before the end, else not, so that taken is copies * size. position is the training time
     of the document's first copy, null if nothing is taken. Documents without words take nothing. No rows: no rows."""
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    d = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_k": name, "_m": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))})
-    sizes = d.groupBy("_k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    d = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_k": name, "_x": F.xxhash64("text"), "_m": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))})
+    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, cap).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_k"), "source_size", "weight", "target")
-    d = cumulate(d, ["_k"], F.substring("_m", 1, 2), [F.col("_m"), F.col("doc_id"), F.col("size"), F.xxhash64("text")], "_c", F.col("size"))
+    d = cumulate(d, ["_k"], F.substring("_m", 1, 2), [F.col("_m"), F.col("doc_id"), F.col("size"), F.col("_x")], "_c", F.col("size"))
     d = d.join(plan, "_k")
     goal = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, cap: int = 3, whole: bool = False) -> DataFrame:
     d = d.withColumn("taken", (passes * F.col("size") + part).cast("long"))
     d = d.withColumn("copies", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
     d = d.withColumn("position", F.when(F.col("taken") > 0, position(F.col("_c"))))
-    return d.drop("_k", "_m")
+    return d.drop("_k", "_m", "_x")
 
 
 def position(place: Column) -> Column:
