@@ -6,12 +6,14 @@ from pagewright.llm.packing import op2_packing
 from pagewright.llm.sharding import op1_sharding
 from pagewright.llm.simhash import op4_simhash
 from pagewright.llm.token_store import op9_token_store
+from pagewright.llm.toxicity import op3_toxicity
 from pagewright.llm.topk import OP7_SQL, op7_topk
 from pagewright.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": lambda spark, sf_dir: op2_packing(spark, sf_dir),
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": lambda spark, sf_dir: op4_simhash(spark, sf_dir),
     "op6_warc": op6_warc,
     "op7_topk": lambda spark, sf_dir: op7_topk(spark, sf_dir),
