@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and the SQL that must give the same rows."""
 
+from pagewright.llm.html_extract import op5_html_extract
 from pagewright.llm.mixing import OP8_SQL, op8_mixing
 from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": lambda spark, sf_dir: op2_packing(spark, sf_dir),
     "op3_toxicity": op3_toxicity,
     "op4_simhash": lambda spark, sf_dir: op4_simhash(spark, sf_dir),
+    "op5_html_extract": op5_html_extract,
     "op6_warc": op6_warc,
     "op7_topk": lambda spark, sf_dir: op7_topk(spark, sf_dir),
     "op8_mixing": op8_mixing,

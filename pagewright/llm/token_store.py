@@ -27,24 +27,41 @@ from pagewright.llm.common import cumulate, new_path, range_bounds, range_bucket
 from pagewright.llm.tokens import batches, default_vocabulary, encoder
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
-_BASE = 0x9E3779B97F4A7C15 | 1
-_RNG = np.random.default_rng(20240229)
-_TABLE = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B1
+_TABLE = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32) | np.uint32(1)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^32, as far as asked for."""
+
+    up = down = np.ones(1, np.uint32)
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            one, size = np.ones(1, np.uint32), max(n, 1 << 20)
+            cls.up = np.cumprod(np.concatenate([one, np.full(size, _BASE, np.uint32)]), dtype=np.uint32)
+            cls.down = np.cumprod(np.concatenate([one, np.full(size, pow(_BASE, -1, 1 << 32), np.uint32)]), dtype=np.uint32)
+        return cls.up, cls.down
 
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
-    """Ends of chunks for each stream ids[bounds[k]:bounds[k + 1]], relative to its start."""
-    n = len(ids)
-    with np.errstate(over="ignore"):
-        base = np.uint64(_BASE)
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
-        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[ids & 0xFFFF] * (ids.astype(np.uint64) + np.uint64(1)) * powers[:n])])
-        at = np.arange(WINDOW, n + 1)
-        rolled = (sums[at] - sums[at - WINDOW]) * back[at - 1]
-        rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    marks = at[(rolled >> np.uint64(64 - CUT_BITS)) == 0]
+    """Ends of chunks for each stream ids[bounds[k]:bounds[k + 1]] of unsigned 32-bit ids, relative to its start."""
+    n, found = len(ids), []
+    step = 1 << 18
+    up, down = _Powers.get(step + WINDOW + 1)
+    for first in range(0, n, step):  # in runs that a processor's cache holds
+        some = ids[max(0, first - WINDOW + 1) : first + step]
+        sums = np.zeros(len(some) + 1, np.uint32)
+        values = _TABLE[some & np.uint32(0xFFFF)]
+        values *= up[: len(some)]
+        np.cumsum(values, dtype=np.uint32, out=sums[1:])
+        rolled = sums[WINDOW:] - sums[: max(0, len(sums) - WINDOW)]
+        rolled *= down[: len(rolled)]
+        rolled ^= rolled >> np.uint32(15)
+        rolled *= np.uint32(0x85EBCA6B)
+        found.append(np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS) == 0) + WINDOW + max(0, first - WINDOW + 1))
+    marks = np.concatenate(found) if found else np.zeros(0, np.int64)
     lo = np.searchsorted(marks, bounds[:-1] + WINDOW)
     hi = np.searchsorted(marks, bounds[1:])
     out = []
@@ -74,11 +91,6 @@ def merkle(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
-def _shrink(raw: bytes) -> bytes:
-    wide = np.frombuffer(raw, "<u4")
-    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else raw
-
-
 def _widen(payload: bytes, n: int) -> bytes:
     return np.frombuffer(payload, "<u2").astype("<u4").tobytes() if len(payload) == 2 * n else payload
 
@@ -96,10 +108,12 @@ def _chunks(vocabulary: str, end_id: int):
             for some in batches(texts):
                 raws = [raw + end for raw in encode(some)]
                 bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])])
-                found = cut_points(np.frombuffer(b"".join(raws), "<u4").astype(np.int64), bounds)
+                ids = np.frombuffer(b"".join(raws), "<u4")
+                found = cut_points(ids, bounds)
+                narrow = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
                 out = []
                 for k, (raw, ends) in enumerate(zip(raws, found, strict=True)):
-                    start = 0
+                    start, base = 0, int(bounds[k])
                     for seq, e in enumerate(ends):
                         piece = raw[4 * start : 4 * e]
                         h = address(piece)
@@ -107,7 +121,7 @@ def _chunks(vocabulary: str, end_id: int):
                         if new:
                             sent.add(h)
                         key = int.from_bytes(h[:8], "little", signed=True) if new else (rows[done + k] * 1_000_003 + seq) % (1 << 62)
-                        out.append((rows[done + k], docs[done + k], seq, len(ends), h, e - start, key, _shrink(piece) if new else None))
+                        out.append((rows[done + k], docs[done + k], seq, len(ends), h, e - start, key, (piece if narrow is None else narrow[2 * (base + start) : 2 * (base + e)]) if new else None))
                         start = e
                 if len(sent) > 2_000_000:
                     sent.clear()

@@ -2,19 +2,22 @@
 
 The byte-level pre-tokenizer never joins what stands before and after a single space between two other characters: the
 space goes with the word after it. So a text may be cut there, and the ids of each " word" are the same wherever it
-stands. Each worker encodes a piece once and keeps its ids as bytes; a text is then one join of cached bytes.
+stands. For the same reason a piece may be cut around a single line end, and before ASCII punctuation that follows a
+Latin letter and closes the piece. Each worker encodes a part once and keeps its ids as bytes; a text is then one join
+of cached bytes.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: A space beside white space, or at either end: texts with none are cut at every space.
-_ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_END = string.punctuation
 #: Pieces kept by a worker, about 200 bytes each. Beyond it the cache starts anew; results don't depend on it.
 CACHE_PIECES = 1_000_000
 LINE = "\n"
@@ -26,6 +29,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces(dict):
+    """Ids as bytes of prefix + word, by word. Looking up others notes them and gives nothing."""
+
+    def __init__(self, prefix: str):
+        super().__init__()
+        self.prefix = prefix
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return b""
+
+
 class Encoder:
     """Ids of texts as bytes, little-endian unsigned 32-bit."""
 
@@ -33,42 +49,97 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.heads, self.words = Pieces(""), Pieces(" ")
         self.line = self._plain([LINE])[0]
-        self.joins = len(self.line) == 4
+        self.id_of_line = int.from_bytes(self.line, "little")
+        self.composes = len(self.line) == 4
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes " word" for each word, many in one text, with line ends between that are pieces of their own."""
-        plain = [w for w in words if LINE not in w] if self.joins else []
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = np.frombuffer(self._plain([LINE.join(" " + w for w in part)])[0], "<u4")
-            ends = np.flatnonzero(ids == int.from_bytes(self.line, "little"))
-            if len(ends) != len(part) - 1:
+    def _encode_parts(self, into: Pieces, parts: list[str]) -> None:
+        """Encodes many parts without line ends in one text, with line ends between, which are pieces of their own."""
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            joined = (LINE + into.prefix).join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([into.prefix + joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.id_of_line)
+            if len(ends) != len(some) - 1:
                 raise ValueError("the vocabulary joins line ends with what stands beside them")
             raw = ids.tobytes()
-            starts = [0, *(4 * (ends + 1)).tolist()]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
-        odd = [w for w in words if LINE in w] if self.joins else words
-        self.known.update(zip(odd, self._plain([" " + w for w in odd]), strict=True))
+            into.update(zip(some, (raw[a:b] for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
+
+    def _learn(self, into: Pieces, words: set[str]) -> None:
+        """Learns words without white space at their ends; others are left out."""
+        whole, made, odd = set(), [], []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                continue
+            if not self.composes:
+                odd.append(w)
+            elif LINE in w:
+                lines = w.split(LINE)
+                if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                    made.append((w, lines))
+                else:
+                    odd.append(w)
+            else:
+                core = w.rstrip(_END)
+                if len(core) == len(w) or not core or core[-1] > "\u024f" or not core[-1].isalpha():
+                    whole.add(w)
+                else:
+                    made.append((w, (core, w[len(core) :])))
+                    if core not in into:
+                        whole.add(core)
+        firsts = {x[0] for w, x in made if LINE in w and x[0] not in into} - whole
+        if firsts:
+            self._learn(into, firsts)
+        rest = {y for w, x in made for y in x[1:] if y not in self.heads}
+        if into is self.heads:
+            rest -= whole
+        if rest:
+            self._learn(self.heads, rest)
+        self._encode_parts(into, [w for w in whole if w not in into])
+        heads = self.heads
+        for w, x in made:
+            into[w] = into[x[0]] + heads[x[1]] if LINE not in w else self.line.join([into[x[0]], *map(heads.__getitem__, x[1:])])
+        into.update(zip(odd, self._plain([into.prefix + w for w in odd]), strict=True))
+
+    def _join(self, words: list[str]) -> bytes | None:
+        """The ids of a text by its pieces; None if some aren't known, which are noted."""
+        before = len(self.words.missed) + len(self.heads.missed)
+        raw = self.heads[words[0]] + b"".join(map(self.words.__getitem__, islice(words, 1, None)))
+        return raw if len(self.words.missed) + len(self.heads.missed) == before else None
+
+    def _learn_missed(self) -> None:
+        for into in (self.words, self.heads):
+            missed, into.missed = set(into.missed), []
+            self._learn(into, missed)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null as the empty text."""
-        cut = [(_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ")) if t else [""] for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words[1:])
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
-        heads = self._plain([words[0] for words in cut])
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, words[1:])) for head, words in zip(heads, cut, strict=True)]
+        if len(self.words) + len(self.heads) > CACHE_PIECES:
+            self.words.clear()
+            self.heads.clear()
+        cut = [t.split(" ") if t and not any(x in t for x in self.special) else None for t in texts]
+        out = [b"" if words is None else self._join(words) for words in cut]
+        special = [k for k, words in enumerate(cut) if words is None and texts[k]]
+        for k, raw in zip(special, self._plain([texts[k] for k in special]), strict=True):
+            out[k] = raw
+        self._learn_missed()
+        for k, raw in enumerate(out):
+            if raw is None:
+                raw = self._join(cut[k])
+                if raw is None:  # white space beside a space: only single spaces between other characters are cut
+                    self.words.missed, self.heads.missed = [], []
+                    head, *words = _CUT.split(texts[k])
+                    edged = [w for w in words if w[-1].isspace()]  # at the end of the text alone
+                    self.words.missed = [w for w in words if w not in self.words]
+                    self._learn_missed()
+                    raw = self._plain([head])[0] + b"".join(self.words[w] if not w[-1].isspace() else b"" for w in words) + b"".join(self._plain([" " + w for w in edged]))
+                out[k] = raw
+        return out
 
 
 @lru_cache(maxsize=2)
