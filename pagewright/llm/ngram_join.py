@@ -156,7 +156,10 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sid and the prefix as (shingle, salt) of every document."""
+    """doc_id, n, sid and the prefix of every document: shingles and, for each, twice its salt, plus 1 beyond the index prefix.
+
+    Of two sets that link, the smaller has a shingle in its index prefix (its first n - ceil(2 t n / (1 + t)) + 1) that
+    the larger has in its whole prefix."""
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,8 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     often = counts[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]
                     prefixes.append(s[first].view(np.int64))
-                    salts.append((sid & 0x7FFFFFFF) % (np.maximum(0, often[first].astype(np.int64) - usual) // HOT_LIST + 1))
+                    probe = np.arange(len(first)) > n - -(-2 * percent * n // (100 + percent))
+                    salts.append(2 * ((sid & 0x7FFFFFFF) % (np.maximum(0, often[first].astype(np.int64) - usual) // HOT_LIST + 1)) + probe)
                     sizes.append(n)
                     sids.append(sid)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -274,11 +278,16 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(_signed(docs, k, percent), "signed")
     sets = signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), F.any_value("prefix").alias("prefix"), F.any_value("salts").alias("salts"))
-    lists = sets.select("sid", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("p")).select("sid", "n", F.col("p.prefix").alias("shingle"), F.col("p.salts").alias("salt"))
-    order = Window.partitionBy("shingle", "salt").orderBy("n", "sid")
-    lists = lists.withColumn("_new", F.coalesce((100 * F.lag("n").over(order) < percent * F.col("n")).cast("int"), F.lit(1)))
-    lists = lists.withColumn("_run", F.sum("_new").over(order))
-    lists = lists.withColumn("leader", F.first(F.when(F.col("_new") == 1, F.col("sid")), ignorenulls=True).over(Window.partitionBy("shingle", "salt", "_run").orderBy("n", "sid")))
+    lists = sets.select("sid", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("p"))
+    lists = lists.select("sid", F.col("n").cast("int").alias("n"), F.col("p.prefix").alias("shingle"), F.shiftright("p.salts", 1).alias("salt"), F.col("p.salts").bitwiseAND(F.lit(1)).alias("probe"))
+    # in order of size a set meets the sets before it that hold the shingle in their index prefix, if the last of them fits
+    order = Window.partitionBy("shingle", "salt").orderBy("n", "probe", "sid")
+    index = F.col("probe") == 0
+    last = F.last(F.when(index, F.col("n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lists = lists.withColumn("_fits", F.coalesce(100 * last.cast("long") >= percent * F.col("n").cast("long"), F.lit(False)))
+    lists = lists.withColumn("_run", F.sum((index & ~F.col("_fits")).cast("int")).over(order)).filter(index | F.col("_fits") | (F.col("salt") > 0))
+    first = F.first(F.when(index, F.col("sid")), ignorenulls=True).over(Window.partitionBy("shingle", "salt", "_run").orderBy("n", "probe", "sid"))
+    lists = lists.withColumn("leader", F.coalesce(first, F.col("sid")))
     met = lists.filter((F.col("leader") != F.col("sid")) | (F.col("salt") > 0)).select("shingle", "salt", F.col("sid").alias("a"), F.col("leader").alias("b"))
     met = cut(met, "met")
     heads = met.filter("salt > 0").select("shingle", "b").distinct()
@@ -295,8 +304,10 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     wanted = members.select(F.coalesce("first_doc", F.lit(-(1 << 62))).alias("_w")).distinct()
     source = docs.withColumn("_w", F.coalesce("doc_id", F.lit(-(1 << 62))))
     source = source.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_w", "left_semi")
-    contents = source.select("text").mapInArrow(_contents(k), "sid long, n long, shingles binary").dropDuplicates(["sid", "n"])
-    links = dealt.join(contents, ["sid", "n"]).repartition("task").sortWithinPartitions("task", "n", "sid").mapInArrow(_links(percent), "a long, b long")
+    contents = source.select("text").mapInArrow(_contents(k), "sid long, n long, shingles binary")
+    few = members.count() <= BROADCAST_IDS and not hot
+    joined = contents.join(F.broadcast(dealt) if few else dealt, ["sid", "n"])
+    links = joined.repartition("task").sortWithinPartitions("task", "n", "sid").mapInArrow(_links(percent), "a long, b long")
     links = cut(links, "links")
     roots = components(links) if hot else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = sets.select("sid", "n", "first_doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -348,6 +359,8 @@ def _links(percent: int):
                     if task is not None:
                         yield close()
                     task, sids, sets = at, [], []
+                if sids and sids[-1] == sid:  # a repeated row
+                    continue
                 sids.append(sid)
                 sets.append(np.frombuffer(raw, np.uint64))
         if task is not None:
