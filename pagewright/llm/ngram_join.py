@@ -318,6 +318,18 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but for those whose component has a smaller doc_id.
+
+    Of rows that repeat a doc_id with the same text one stays. Rows without words stay (once each for id and text); so do rows without doc_id."""
+    least = ngram_join(docs, k, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(least, "doc_id", "left_semi")
+    # the semi-join has dealt rows by doc_id: repeated ones meet without another shuffle
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("text"))
+    once = named.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
+    return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def _contents(k: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:

@@ -226,3 +226,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score(docs, model, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    kept, at = docs.columns, "_row_of_score"
+    marked = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(at), F.col("text").alias("text")), model, [at])
+    return marked.filter(F.col("score") < threshold).select(f"{at}.*")
