@@ -2,8 +2,9 @@
 
 Sets that could link share one of their rarest shingles (prefix filter: a set of n shingles with a partner of Jaccard t
 or more shares with it one of its n - ceil(t n) + 1 first shingles in any order common to all; rare ones stand first
-here). Sets that meet in a list of such a shingle, within reach of each other's size, fall into one cluster; links
-never leave a cluster. A cluster's sets go to one task, where inverted lists in order of position are searched only
+here). Sets that meet in a list of such a shingle, fit in size and have profiles that don't rule a link out, fall into
+one cluster; links never leave a cluster. (A profile counts a set's shingles by parts of their hashes; the sum of the
+differences of two profiles is at most the number of shingles that only one of the sets has.) A cluster's sets go to one task, where inverted lists in order of position are searched only
 within the positions whose sizes fit (the rest of a list is skipped by binary search), and where the overlaps of a set
 with all others are derived from those of a highly similar set computed before: minus the lists of shingles it lacks,
 plus the lists of shingles it has besides. Large clusters are cut into blocks in order of size, and every pair of blocks
@@ -42,6 +43,10 @@ SKETCH_BITS, SKETCH_ROWS = 20, 64
 HOT_LIST = 100_000
 #: A block of a large cluster has so many shingles, counting SET_COST for each set besides.
 BLOCK_SHINGLES, SET_COST = 2_000_000, 1_000
+#: Parts of a set's profile: how many of its shingles fall in each, at most 255.
+PARTS = 256
+#: Entries of a list that are compared by their profiles; in longer lists all that fit in size fall into one cluster.
+MOST_COMPARED = 2_000
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -166,7 +171,7 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         counts = sketch.value
         usual = 2 * int(counts.mean())
         for t in tables:
-            sizes, sids, prefixes, salts = [], [], [], []
+            sizes, sids, prefixes, salts, profiles = [], [], [], [], []
             for _, data, bounds in text_slices(t.column("text")):
                 for s in shingle_sets(data, bounds, k):
                     n = len(s)
@@ -178,11 +183,12 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     salts.append(2 * ((sid & 0x7FFFFFFF) % (np.maximum(0, often[first].astype(np.int64) - usual) // HOT_LIST + 1)) + probe)
                     sizes.append(n)
                     sids.append(sid)
+                    profiles.append(np.minimum(255, np.bincount((s & U(PARTS - 1)).astype(np.int64), minlength=PARTS)).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0), kind)) for x, kind in ((prefixes, pa.int64()), ([y.astype(np.int32) for y in salts], pa.int32()))]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), *lists], ["doc_id", "n", "sid", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(profiles, pa.binary()), *lists], ["doc_id", "n", "sid", "profile", "prefix", "salts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, prefix array<long>, salts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, profile binary, prefix array<long>, salts array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     there. No documents: no rows. Extra columns are not read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(_signed(docs, k, percent), "signed")
-    sets = signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), F.any_value("prefix").alias("prefix"), F.any_value("salts").alias("salts"))
+    sets = signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), F.any_value("prefix").alias("prefix"), F.any_value("salts").alias("salts"), F.any_value("profile").alias("profile"))
     lists = sets.select("sid", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("p"))
     lists = lists.select("sid", F.col("n").cast("int").alias("n"), F.col("p.prefix").alias("shingle"), F.shiftright("p.salts", 1).alias("salt"), F.col("p.salts").bitwiseAND(F.lit(1)).alias("probe"))
     # in order of size a set meets the sets before it that hold the shingle in their index prefix, if the last of them fits
@@ -286,18 +292,17 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     last = F.last(F.when(index, F.col("n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     lists = lists.withColumn("_fits", F.coalesce(100 * last.cast("long") >= percent * F.col("n").cast("long"), F.lit(False)))
     lists = lists.withColumn("_run", F.sum((index & ~F.col("_fits")).cast("int")).over(order)).filter(index | F.col("_fits") | (F.col("salt") > 0))
-    first = F.first(F.when(index, F.col("sid")), ignorenulls=True).over(Window.partitionBy("shingle", "salt", "_run").orderBy("n", "probe", "sid"))
-    lists = lists.withColumn("leader", F.coalesce(first, F.col("sid")))
-    met = lists.filter((F.col("leader") != F.col("sid")) | (F.col("salt") > 0)).select("shingle", "salt", F.col("sid").alias("a"), F.col("leader").alias("b"))
-    met = cut(met, "met")
-    heads = met.filter("salt > 0").select("shingle", "b").distinct()
-    across = heads.join(heads.groupBy("shingle").agg(F.min("b").alias("a")), "shingle").select("a", "b")
-    edges = met.select("a", "b").union(across)
-    # a salted list's part 0 has no row of its own where it is one set: all its rows are taken in the join below
+    of_run = Window.partitionBy("shingle", "salt", "_run")
+    first = F.first(F.when(index, F.col("sid")), ignorenulls=True).over(of_run.orderBy("n", "probe", "sid"))
+    lists = lists.withColumns({"leader": F.coalesce(first, F.col("sid")), "_size": F.count("*").over(of_run)})
+    met = cut(lists.filter((F.col("_size") > 1) | (F.col("salt") > 0)).select("shingle", "salt", F.col("_run").alias("run"), "n", "probe", "sid", "leader"), "met")
+    shown = met.filter("salt = 0").join(sets.select("sid", "profile"), "sid").repartition("shingle", "run").sortWithinPartitions("shingle", "run", "n", "probe", "sid")
+    edges = shown.select("shingle", "run", "n", "probe", "sid", "profile").mapInArrow(_near(percent), "a long, b long")
+    # very frequent shingles: all parts of a list are one cluster
     if met.filter("salt > 0").take(1):
-        salted = met.filter("salt > 0").groupBy("shingle").agg(F.min("b").alias("b"))
-        zero = sets.select("sid", F.explode("prefix").alias("shingle")).join(salted, "shingle").select(F.col("sid").alias("a"), "b")
-        edges = edges.union(zero)
+        salted = met.filter("salt > 0").groupBy("shingle").agg(F.min("leader").alias("b"))
+        all_of_it = sets.select("sid", F.explode("prefix").alias("shingle")).join(salted, "shingle").select(F.col("sid").alias("a"), "b")
+        edges = edges.unionByName(all_of_it)
     clusters = components(edges)
     members = cut(sets.select("sid", "n", "first_doc").join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid"), "members")
     dealt, hot = _tasks(members.select("sid", "n", "cluster"), percent)
@@ -330,6 +335,49 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
+def _near(percent: int):
+    """From lists, entry by entry in order of size, to a spanning forest of the pairs that sizes and profiles leave possible."""
+
+    def compare(n: np.ndarray, probe: np.ndarray, sid: np.ndarray, profile: np.ndarray) -> list[tuple[int, int]]:
+        m = len(n)
+        if m > MOST_COMPARED:
+            return [(int(x), int(sid[0])) for x in sid[1:]]
+        label, out = np.arange(m), []
+        ends = np.searchsorted(percent * n, 100 * n, "right")
+        for i in np.flatnonzero(probe == 0).tolist():
+            others = np.arange(i + 1, ends[i])
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            apart = np.abs(profile[others] - profile[i]).sum(1)
+            for j in others[(100 + percent) * apart <= (100 - percent) * (n[others] + n[i])].tolist():
+                if label[j] != label[i]:
+                    out.append((int(sid[j]), int(sid[i])))
+                    label[label == label[j]] = label[i]
+        return out
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for t in tables:
+            some = pa.Table.from_batches([t]) if held is None else pa.concat_tables([held, pa.Table.from_batches([t])])
+            key = [some.column(c).to_numpy() for c in ("shingle", "run")]
+            cuts = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            held = some.slice(done)  # the last list may go on
+            if done:
+                yield compared(some.slice(0, done), [0, *cuts.tolist()])
+        if held is not None and len(held):
+            yield compared(held, [0, len(held)])
+
+    def compared(some: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        n, probe, sid = (some.column(c).to_numpy().astype(np.int64) for c in ("n", "probe", "sid"))
+        profile = np.frombuffer(b"".join(some.column("profile").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
+        out = [e for a, b in zip(bounds[:-1], bounds[1:], strict=True) for e in compare(n[a:b], probe[a:b], sid[a:b], profile[a:b])]
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _contents(k: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:

@@ -13,6 +13,7 @@ texts and nothing but texts.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Training rows of each label, words a row may bring to the driver, features kept.
-MOST_ROWS, MOST_WORDS, FEATURES = 3_000, 20_000, 4_096
+MOST_ROWS, MOST_WORDS, FEATURES = 2_000, 20_000, 4_096
 #: Standard errors by which a feature's share among label 1 must be above that among label 0.
 LEAST_ERRORS = 4.0
 #: Beginnings of words that are features, by length.
@@ -99,24 +100,27 @@ def fit(texts: list[set[str]], labels: np.ndarray, penalty: float = 4.0, l2: flo
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(labels) or labels.min() == labels.max():
         return Model({}, float(np.log(share / (1 - share))))
-    sets = [counted(words) for words in texts]
-    hits: dict[str, list[float]] = {}
-    for fs, y in zip(sets, labels, strict=True):
-        for f in fs:
-            h = hits.setdefault(f, [0.0, 0.0])
-            h[int(y)] += 1
+    hits: dict[str, int] = {}  # texts with the feature: those of label 1 above bit 32, the others below
+    for words, y in zip(texts, labels, strict=True):
+        for f in counted(words):
+            hits[f] = hits.get(f, 0) + (1 << 32 if y else 1)
     total = np.array([(labels == 0).sum(), labels.sum()])
-    seen = {f: h for f, h in hits.items() if sum(h) >= min(3, len(labels) // 20 + 1)}
+    least = min(3, len(labels) // 20 + 1)
 
-    def tells(h: list[float]) -> float:
+    def tells(packed: int) -> float:
         """The difference of a feature's two shares in standard errors."""
-        p = (h[0] + h[1]) / total.sum()
+        h = (packed & 0xFFFFFFFF, packed >> 32)
+        if sum(h) < least:
+            return 0.0
+        p = sum(h) / total.sum()
         return (h[1] / total[1] - h[0] / total[0]) / max(1e-9, (p * (1 - p) * (1 / total[0] + 1 / total[1])) ** 0.5)
 
-    telling = ((tells(h), f) for f, h in seen.items() if f[1:] not in _GROUP or f[0] != "=")
+    telling = ((tells(h), f) for f, h in hits.items() if f[1:] not in _GROUP or f[0] != "=")
     ranked = sorted((-x, f) for x, f in telling if x >= LEAST_ERRORS)[:FEATURES]
     names = [f for _, f in ranked] + ["=" + w for w in _GROUP]
+    del hits
     at = {f: k for k, f in enumerate(names)}
+    sets = [{f: n for f, n in counted(words).items() if f in at} for words in texts]
 
     def matrix(rows: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cells = [(r, at[f], fs[f]) for r, fs in enumerate(rows) for f in sorted(fs) if f in at]
@@ -163,7 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
             yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("toxic"), pa.array(words, pa.string())], ["doc_id", "toxic", "words"])
 
     rows = sorted((r["doc_id"], r["words"], r["toxic"]) for r in texts.mapInArrow(run, "doc_id long, toxic int, words string").collect())
-    return [set(r[1].split()) for r in rows], np.array([r[2] for r in rows])
+    return [set(map(sys.intern, r[1].split())) for r in rows], np.array([r[2] for r in rows])
 
 
 def hash_of(word: str) -> int:
