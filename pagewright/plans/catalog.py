@@ -1,4 +1,477 @@
-"""The queries of the engine by name, and the SQL that must give the same rows."""
+"""The queries of the engine by name, and the SQL that must give the same rows. Every query runs over its whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as T
+from pagewright.operators import assets as A
+from pagewright.operators import garbage as G
+from pagewright.operators import layout as L
+from pagewright.operators import math as M
+from pagewright.operators import merge as ME
+from pagewright.operators import pages as P
+from pagewright.operators import scans as S
+from pagewright.operators import state as ST
+from pagewright.plans import books as B
+from pagewright.plans import report as R
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_BOOKS = f"books AS ({B.DUCK_BOOKS})"
+_PAGE = r"<!--\s*PDF page\s+(\d+)(?:\s*\|\s*printed page\s+(\d+|unknown))?\s*-->"
+#: Matches with their starts: pieces between matches and matches in turn, lengths summed up.
+_MARKERS = rf"""
+{_BOOKS}, found AS (SELECT doc_id, regexp_split_to_array(text, '{_PAGE}') AS p, regexp_extract_all(text, '{_PAGE}', 0) AS m,
+  regexp_extract_all(text, '{_PAGE}', 1) AS a, regexp_extract_all(text, '{_PAGE}', 2) AS b FROM books),
+rows AS (SELECT doc_id, unnest(range(len(m))) AS k, p, m, a, b FROM found),
+markers AS (SELECT doc_id, k::INTEGER AS seq, (list_sum(list_transform(p[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0))::BIGINT AS start,
+  try_cast(a[k + 1] AS INTEGER) AS pdf_page, try_cast(b[k + 1] AS INTEGER) AS printed_page FROM rows)"""
+_DISPLAY = r"""
+dm AS (SELECT doc_id, string_split(text, '$$') AS q FROM books),
+dk AS (SELECT doc_id, unnest(range((len(q) - 1) // 2)) AS k, q FROM dm),
+display AS (SELECT doc_id, k::INTEGER AS seq, (list_sum(list_transform(q[1:2 * k + 1], lambda x: length(x))) + 4 * k)::BIGINT AS start, q[2 * k + 2] AS content,
+  (1 + list_sum(list_transform(q[1:2 * k + 1], lambda x: length(x) - length(replace(x, chr(10), '')))))::BIGINT AS line FROM dk)"""
+_HEADS = r"""
+hl AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, string_split(text, chr(10)) AS ls FROM books),
+heads AS (SELECT doc_id, (k + 1)::INTEGER AS line_no, length(regexp_extract(ls[k + 1], '^(#{1,6})\s+(.*?)\s*$', 1))::INTEGER AS level, regexp_extract(ls[k + 1], '^(#{1,6})\s+(.*?)\s*$', 2) AS title
+  FROM hl WHERE regexp_matches(ls[k + 1], '^(#{1,6})\s+(.*?)\s*$'))"""
+_IMG = r"!\[([^\]]*)\]\((?:<([^>]+)>|([^\s)]+))(?:\s+[^)]*)?\)"
+_REFS = rf"""
+{_BOOKS}, im AS (SELECT doc_id, regexp_extract_all(text, '{_IMG}', 1) AS a, regexp_extract_all(text, '{_IMG}', 3) AS r FROM books),
+ir AS (SELECT doc_id, unnest(range(len(a))) AS k, a, r FROM im),
+refs AS (SELECT doc_id, k::INTEGER AS seq, a[k + 1] AS alt, r[k + 1] AS ref FROM ir WHERE NOT regexp_matches(lower(r[k + 1]), '^([a-z][a-z0-9+.-]*:|//)')),
+assets AS (SELECT DISTINCT conv_id AS doc_id, concat('assets/p', CAST((length(text) + turn % 2) % 9 AS STRING), '.png') AS path FROM conversations)"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {_MARKERS} SELECT doc_id, seq, start, pdf_page, printed_page FROM markers")
+def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.page_markers(B.books(spark, sf_dir))
+
+
+@query(f"WITH {_MARKERS} SELECT doc_id, pdf_page, count(*) AS times FROM markers GROUP BY ALL HAVING count(*) > 1")
+def page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.duplicate_pages(S.page_markers(B.books(spark, sf_dir)))
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = B.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    return turns.select("doc_id", F.lit(1).alias("first_page"), F.col("n").alias("last_page"), F.lit(10).alias("first_printed"), (F.col("n") + 9).alias("last_printed"))
+
+
+@query(f"""WITH {_MARKERS}, l AS (SELECT doc_id, list(pdf_page ORDER BY seq) AS pages FROM markers GROUP BY doc_id),
+e AS (SELECT conv_id AS doc_id, range(1, count(*)::INTEGER + 1)::INTEGER[] AS want FROM conversations GROUP BY conv_id)
+SELECT doc_id, coalesce(pages, []) = want AS covered, CASE WHEN pages IS NULL THEN NULL ELSE list_aggregate(list_filter(want, lambda x: NOT list_contains(pages, x)), 'count') END::INTEGER AS gap_count FROM e LEFT JOIN l USING (doc_id)""")
+def page_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.coverage(P.page_lists(S.page_markers(B.books(spark, sf_dir))), _expected(spark, sf_dir))
+    return found.select("doc_id", "covered", F.when(F.col("gaps").isNotNull(), F.size("gaps")).alias("gap_count"))
+
+
+@query(f"""WITH {_MARKERS}, n AS (SELECT doc_id, seq, lag(printed_page) OVER (PARTITION BY doc_id ORDER BY seq) AS previous, printed_page FROM markers WHERE printed_page IS NOT NULL)
+SELECT * FROM n WHERE printed_page <> previous + 1""")
+def printed_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.printed_breaks(S.page_markers(B.books(spark, sf_dir)))
+
+
+@query(f"""WITH {_MARKERS}, l AS (SELECT doc_id, arg_min(printed_page, seq) AS a, arg_max(printed_page, seq) AS b FROM markers WHERE printed_page IS NOT NULL GROUP BY doc_id),
+e AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT doc_id, coalesce(a = 10 AND b = n + 9, false) AS matches FROM e LEFT JOIN l USING (doc_id)""")
+def printed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.printed_range(P.page_lists(S.page_markers(B.books(spark, sf_dir))), _expected(spark, sf_dir))
+
+
+@query(f"WITH {_BOOKS}, {_DISPLAY} SELECT doc_id, seq, start, line, content FROM display")
+def math_spans_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.math_spans(B.books(spark, sf_dir)).filter("kind = 'display'").select("doc_id", "seq", "start", "line", "content")
+
+
+@query(rf"""WITH {_BOOKS}, b AS (SELECT doc_id, regexp_extract_all(text, ' \$([^$\n]*)\$ ', 1) AS c FROM books), k AS (SELECT doc_id, unnest(range(len(c))) AS k, c FROM b)
+SELECT doc_id, k::INTEGER AS seq, c[k + 1] AS content FROM k""")
+def math_spans_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.math_spans(B.books(spark, sf_dir)).filter("kind = 'inline'").select("doc_id", "seq", "content")
+
+
+@query(f"""WITH {_MARKERS}, {_DISPLAY}
+SELECT d.doc_id, d.seq, d.start, m.pdf_page FROM display d ASOF LEFT JOIN (SELECT doc_id, start, arg_max(pdf_page, seq) AS pdf_page FROM markers GROUP BY doc_id, start) m ON d.doc_id = m.doc_id AND d.start >= m.start""")
+def span_page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = B.books(spark, sf_dir)
+    spans = S.math_spans(books).filter("kind = 'display'").select("doc_id", "seq", "start")
+    return S.with_page(spans, S.page_markers(books))
+
+
+@query(r"""WITH c AS (SELECT doc_id, (length(text) - length(replace(text, '$$', ''))) // 2 AS display, replace(text, '$$', '') AS bare, text FROM documents),
+n AS (SELECT doc_id, display::BIGINT AS display, (length(bare) - length(replace(bare, '$', '')) - len(regexp_extract_all(bare, '\\\$')))::BIGINT AS inline,
+ len(regexp_extract_all(text, '\\\('))::BIGINT AS paren_open, len(regexp_extract_all(text, '\\\)'))::BIGINT AS paren_close, len(regexp_extract_all(text, '\\\['))::BIGINT AS bracket_open, len(regexp_extract_all(text, '\\\]'))::BIGINT AS bracket_close FROM c)
+SELECT *, ((display % 2)::BIGINT + (inline % 2)::BIGINT + (paren_open <> paren_close)::BIGINT + (bracket_open <> bracket_close)::BIGINT)::BIGINT AS errors FROM n""")
+def delimiter_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = M.delimiter_counts(B.table(spark, sf_dir, "documents"))
+    errors = M.delimiter_errors(counts).groupBy("doc_id").agg(F.count("*").alias("errors"))
+    return counts.join(errors, "doc_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+
+
+@query(rf"""WITH {_BOOKS}, {_DISPLAY}, s AS (SELECT doc_id, seq, regexp_replace(content, '\\(.|\n)', '  ', 'g') AS c FROM display),
+k AS (SELECT doc_id, seq, unnest(range(1, length(c) + 1)) AS i, c FROM s),
+v AS (SELECT doc_id, seq, i, CASE substr(c, i, 1) WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS v FROM k),
+w AS (SELECT doc_id, seq, v, sum(v) OVER (PARTITION BY doc_id, seq ORDER BY i) AS a FROM v),
+t AS (SELECT doc_id, seq, greatest(0, -min(a)) AS closes, sum(v) AS total FROM w GROUP BY ALL)
+SELECT doc_id, seq, (total + closes)::INTEGER AS opens, closes::INTEGER AS closes FROM t WHERE closes > 0 OR total + closes > 0""")
+def brace_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.brace_findings(S.math_spans(B.books(spark, sf_dir)).filter("kind = 'display'"))
+    return found.select("doc_id", "seq", F.size("unmatched_open").alias("opens"), F.size("unmatched_close").alias("closes"))
+
+
+@query()
+def artifact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.artifact_scores(S.math_spans(B.books(spark, sf_dir))).select("doc_id", "seq", "score", F.array_join("signals", ",").alias("signals"))
+
+
+@query()
+def artifact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = B.books(spark, sf_dir)
+    found = S.with_page(M.artifact_findings(M.artifact_scores(S.math_spans(books))), S.page_markers(books))
+    pages = F.array_join(F.transform(F.array_sort(F.collect_set("pdf_page")), lambda p: p.cast("string")), ",")
+    return found.groupBy("doc_id").agg(F.max(F.when(F.col("status") == "FAIL", 2).otherwise(1)).alias("severity"), F.count("*").alias("findings"), pages.alias("pdf_pages"))
+
+
+@query(f"""WITH {_BOOKS}, {_HEADS} SELECT * FROM heads""")
+def heading_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.headings(B.books(spark, sf_dir))
+
+
+@query(f"""WITH {_BOOKS}, {_HEADS}, l AS (SELECT doc_id, line_no, lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS previous, level FROM heads) SELECT * FROM l WHERE level > previous + 1""")
+def heading_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.heading_jumps(S.headings(B.books(spark, sf_dir)))
+
+
+@query(f"WITH {_REFS} SELECT * FROM refs")
+def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.image_refs(B.books(spark, sf_dir))
+
+
+@query(f"WITH {_REFS} SELECT doc_id, seq, ref FROM refs r WHERE NOT ref LIKE '../%' AND NOT EXISTS (SELECT 1 FROM assets a WHERE a.doc_id = r.doc_id AND a.path = r.ref)")
+def missing_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.missing(S.image_refs(B.books(spark, sf_dir)), B.assets(spark, sf_dir)).select("doc_id", "seq", "ref")
+
+
+@query(f"WITH {_REFS} SELECT doc_id, path FROM assets a WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE a.doc_id = r.doc_id AND a.path = r.ref)")
+def orphan_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.orphans(S.image_refs(B.books(spark, sf_dir)), B.assets(spark, sf_dir))
+
+
+@query(f"WITH {_REFS} SELECT doc_id, ref, count(*) AS times FROM refs GROUP BY ALL HAVING count(*) > 1")
+def duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.duplicates(S.image_refs(B.books(spark, sf_dir)))
+
+
+@query(f"WITH {_REFS} SELECT doc_id, seq, ref FROM refs WHERE ref LIKE '../%'")
+def escaping_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.escaping(S.image_refs(B.books(spark, sf_dir))).select("doc_id", "seq", "ref")
+
+
+@query(f"""WITH {_REFS} SELECT doc_id, seq, ref, 'empty' AS issue FROM refs WHERE trim(alt) = ''
+UNION ALL SELECT doc_id, seq, ref, 'stem' FROM refs WHERE NOT ref LIKE '../%' AND regexp_extract(ref, '([^/]*)\\.png$', 1) <> trim(alt)""")
+def alt_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.alt_issues(S.image_refs(B.books(spark, sf_dir)), True)
+
+
+@query(f"WITH {_BOOKS} SELECT doc_id, len(regexp_extract_all(text, '\\[Transcription note:'))::BIGINT AS notes FROM books")
+def note_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.note_counts(B.books(spark, sf_dir))
+
+
+_TERMS = ("Apache License", "@example", "$$$", "password")
+
+
+@query("SELECT doc_id, term FROM documents, (SELECT unnest(['Apache License', '@example', '$$$', 'password']) AS term) t WHERE contains(text, term)")
+def forbidden_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(F.col("text").contains(t), F.lit(t)) for t in _TERMS]))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("term"))
+
+
+_DAMAGED = "SELECT doc_id, concat(text, CASE doc_id % 9 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(57344) WHEN 2 THEN concat(chr(1046), ' ', chr(1488)) WHEN 3 THEN concat(chr(1046), repeat(' ', 30), chr(1488)) ELSE '' END) AS text FROM documents"
+
+
+@query(f"""WITH d AS ({_DAMAGED}) SELECT doc_id, 0 AS ord, 'replacement character U+FFFD' AS pattern FROM d WHERE contains(text, chr(65533))
+UNION ALL SELECT doc_id, 0, 'private-use character' FROM d WHERE contains(text, chr(57344))
+UNION ALL SELECT doc_id, 2, concat('clustered unexpected-script letters near text: ', chr(1046), chr(1488)) FROM d WHERE contains(text, concat(chr(1046), ' ', chr(1488)))""")
+def garbage_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.table(spark, sf_dir, "documents")
+    # chr() of Spark stops at one byte
+    tail = F.when(F.col("doc_id") % 9 == 0, "�").when(F.col("doc_id") % 9 == 1, "\ue000").when(F.col("doc_id") % 9 == 2, "Ж א").when(F.col("doc_id") % 9 == 3, "Ж" + " " * 30 + "א").otherwise("")
+    return G.garbage(docs.select("doc_id", F.concat("text", tail).alias("text")))
+
+
+@query("""SELECT * FROM (VALUES (1, 'display', 0), (10, 'inline', 0), (9, 'parenthesized', 0)) t(doc_id, kind, seq)""")
+def cjk_prose_in_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.prose_findings(S.math_spans(B.special(spark))).select(F.col("doc_id").cast("int").alias("doc_id"), "kind", "seq")
+
+
+@query()
+def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mojibake_findings(S.cjk_runs(S.math_spans(B.special(spark)))).select("doc_id", "kind", "seq", "run", "recovered", "codec")
+
+
+_LINES = r"""
+pl AS (SELECT source AS doc_id, doc_id::INTEGER AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+li AS (SELECT doc_id, page, len(ls)::INTEGER - 1 AS last, unnest(range(len(ls))) AS k, ls FROM pl),
+lines AS (SELECT doc_id, page, k::INTEGER AS ord, last, ls[k + 1] AS line FROM li),
+noise AS (SELECT doc_id, line, count(*) AS times FROM (SELECT * FROM lines WHERE ord < 5 UNION ALL SELECT * FROM lines WHERE ord > last - 5) e JOIN (SELECT source AS doc_id, count(*) AS pages FROM documents GROUP BY source) c USING (doc_id)
+  WHERE length(line) <= 60 GROUP BY doc_id, line, pages HAVING count(*) >= greatest(4, round_even(pages * 0.035, 0)))"""
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = L.text_lines(B.run(spark, sf_dir, B.LAYOUT_PAGES, "documents"))
+    counts = B.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("pages"))
+    return lines, L.noise_lines(lines, counts)
+
+
+@query(f"WITH {_LINES} SELECT * FROM noise")
+def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layout(spark, sf_dir)[1]
+
+
+@query(rf"""WITH {_LINES} SELECT doc_id, page, ord, line FROM lines l WHERE NOT regexp_full_match(line, '[_—\-]{{5,}}') AND NOT (regexp_full_match(line, '\d{{1,3}}') AND (ord < 3 OR ord > last - 3))
+AND NOT ((ord < 5 OR ord > last - 5) AND EXISTS (SELECT 1 FROM noise n WHERE n.doc_id = l.doc_id AND n.line = l.line))""")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, noise = _layout(spark, sf_dir)
+    return L.clean_lines(lines, noise).select("doc_id", "page", "ord", "line")
+
+
+@query(rf"""WITH {_LINES} SELECT doc_id, page, ord, CASE WHEN length(line) <= 110 AND ((regexp_matches(line, '^(?:\d{{1,2}}(?:[.．]\d{{1,2}})?|\d{{1,2}})[.．、]\s*.{{1,100}}$') AND NOT right(line, 1) IN ('.', ';', '。', '！', '？', '；')) OR (length(line) <= 42 AND right(line, 1) = '—')) THEN 'heading'
+ WHEN regexp_matches(line, '^(?:\d+[.．、]|[（(][一二三四五六七八九十]+[）)])') THEN 'bullet' ELSE 'text' END AS class,
+ length(line) <= 140 AND regexp_matches(line, '[＝=∝≤≥√∑∫→⊥∥×·^_αβγδεζηθλμπρωΔΩ]') AND regexp_matches(line, '=|＝|√|∑|∫|∝|≤|≥|→|⊥|∥|\d\s*[×x]\s*10') AS formula,
+ right(line, 1) IN ('。', '！', '？', '；', '.', '!', '?', ';') AS ends FROM lines""")
+def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.line_classes(_layout(spark, sf_dir)[0]).select("doc_id", "page", "ord", "class", "formula", "ends")
+
+
+@query()
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, noise = _layout(spark, sf_dir)
+    return L.paragraphs(L.clean_lines(lines, noise))
+
+
+@query()
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, noise = _layout(spark, sf_dir)
+    return L.page_markdown(L.paragraphs(L.clean_lines(lines, noise)))
+
+
+@query()
+def current_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, _ = _layout(spark, sf_dir)
+    numbered = lines.withColumn("line", F.when(F.col("ord") == 0, F.concat((F.col("page") % 90).cast("string"), F.lit(". "), F.left("line", F.lit(20)), F.lit("—"))).otherwise(F.col("line")))
+    return L.current_sections(numbered).select("doc_id", "page", "ord", "section")
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return B.run(spark, sf_dir, B.REGIONS, "lineitem"), B.run(spark, sf_dir, B.SIZES, "lineitem")
+
+
+_GEO = f"g AS ({B.REGIONS}), rep AS (SELECT doc_id, xref, count(*) AS times FROM g GROUP BY ALL HAVING count(*) > 9)"
+
+
+@query(f"WITH {_GEO} SELECT * FROM rep")
+def repeated_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.repeated_images(_regions(spark, sf_dir)[0], 9)
+
+
+@query(f"""WITH {_GEO}, c AS (SELECT doc_id, page, ord, greatest(x0, 0.0) AS x0, greatest(y0, 0.0) AS y0, least(x1, 480.0) AS x1, least(y1, 640.0) AS y1, width, height FROM g
+  WHERE page >= 6 AND xref <> 0 AND NOT EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = g.doc_id AND rep.xref = g.xref)),
+f AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY doc_id, page, round_even(x0, 1), round_even(y0, 1), round_even(x1, 1), round_even(y1, 1) ORDER BY ord) AS n FROM c
+  WHERE x1 - x0 >= 28 AND y1 - y0 >= 28 AND (x1 - x0) * (y1 - y0) >= 480 * 640 * 0.008 AND (x1 - x0) * (y1 - y0) <= 480 * 640 * 0.65 AND x1 - x0 <= 432 AND y1 - y0 <= 576
+  AND greatest(width / greatest(x1 - x0, 1), height / greatest(y1 - y0, 1)) <= 4.5),
+r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY area DESC, ord)::INTEGER AS rank, x0, y0, x1, y1, area FROM f WHERE n = 1)
+SELECT * FROM r WHERE rank <= 6""")
+def image_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, sizes = _regions(spark, sf_dir)
+    return L.image_regions(g, sizes, L.repeated_images(g, 9))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    g, sizes = _regions(spark, sf_dir)
+    return L.formula_regions(g, sizes), g, sizes
+
+
+@query()
+def formula_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir)[0]
+
+
+#: Candidates without overlap rules, so that SQL can state them: the first six formula lines of a page.
+_CANDIDATES = f"""g AS ({B.REGIONS}), cand AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord)::INTEGER AS candidate_index, x0, y0, x1, y1 FROM g WHERE text LIKE '%=%')"""
+_PAIRS = f"""{_CANDIDATES}, c AS (SELECT * FROM cand WHERE candidate_index <= 6),
+m AS (SELECT p.doc_id, p.page, p.candidate_index AS a, q.candidate_index AS b, greatest(0.0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS vo, least(p.y1 - p.y0, q.y1 - q.y0) AS vd, greatest(0.0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) AS ho,
+  least(p.x1 - p.x0, q.x1 - q.x0) AS hd, greatest(p.x0, q.x0) - least(p.x1, q.x1) AS hg, greatest(p.y0, q.y0) - least(p.y1, q.y1) AS vg, abs(p.y0 + (p.y1 - p.y0) / 2 - q.y0 - (q.y1 - q.y0) / 2) AS cd, greatest(p.y1 - p.y0, q.y1 - q.y0) AS maxh
+  FROM c p JOIN c q ON p.doc_id = q.doc_id AND p.page = q.page AND p.candidate_index < q.candidate_index),
+pairs AS (SELECT doc_id, page, a, b FROM m WHERE (CASE WHEN vd > 0 THEN vo / vd ELSE 0 END >= 0.35 AND cd <= greatest(6.0, maxh * 0.70) AND hg <= greatest(120.0, vd * 6.0)) OR (CASE WHEN hd > 0 THEN ho / hd ELSE 0 END >= 0.30 AND vg <= greatest(18.0, maxh * 0.90)))"""
+
+
+def _first_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.run(spark, sf_dir, f"WITH {_CANDIDATES} SELECT * FROM cand WHERE candidate_index <= 6", "lineitem")
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.related_pairs(_first_six(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT doc_id, page, a, b FROM pairs UNION SELECT doc_id, page, b, a FROM pairs),
+reach AS (SELECT doc_id, page, candidate_index AS v, candidate_index AS r FROM c UNION SELECT e.doc_id, e.page, e.b, reach.r FROM reach JOIN e ON e.doc_id = reach.doc_id AND e.page = reach.page AND e.a = reach.v),
+lab AS (SELECT doc_id, page, v, min(r) AS group_first FROM reach GROUP BY doc_id, page, v)
+SELECT l.doc_id, l.page, l.group_first, string_agg(v::VARCHAR, ',' ORDER BY v) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lab l JOIN c ON c.doc_id = l.doc_id AND c.page = l.page AND c.candidate_index = l.v GROUP BY ALL""")
+def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = _first_six(spark, sf_dir)
+    groups = L.region_groups(regions, L.related_pairs(regions))
+    return groups.select("doc_id", "page", "group_first", F.array_join(F.transform("candidate_indices", lambda i: i.cast("string")), ",").alias("members"), "x0", "y0", "x1", "y1")
+
+
+@query()
+def group_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, g, sizes = _candidates(spark, sf_dir)
+    return L.group_contexts(L.region_groups(regions, L.related_pairs(regions)), g.withColumn("block_index", F.col("ord")), sizes)
+
+
+@query()
+def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, g, _ = _candidates(spark, sf_dir)
+    n = regions.groupBy("doc_id", "page").agg(F.count("*").alias("n_candidates"))
+    seen = g.groupBy("doc_id", "page").agg(F.bool_or(F.col("text").rlike(L.MATH_CUE)).alias("has_math_cue"), F.bool_or(F.col("text").rlike(L.VISUAL_CUE)).alias("has_visual_cue"), F.count_if(F.col("xref") == 1).alias("n_images"))
+    d = seen.join(n, ["doc_id", "page"], "left").withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0)), "has_anomaly": F.lit(False), "n_assets": F.col("n_images"), "failed": F.array().cast("array<string>")})
+    return L.review_reasons(d).select("doc_id", "page", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review state for every order: status, queue and pending items follow from its keys."""
+    o = B.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    statuses = F.array(*[F.lit(s) for s in (*ST.STATUSES, "done")])
+    parts = {
+        "status": F.element_at(statuses, (k % 6 + 1).cast("int")),
+        "visual_review_required": F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")),
+        "pending_review": F.when(k % 5 == 0, F.array(F.struct(F.lit(3).alias("pdf_page"), F.lit("formula").alias("kind"), F.lit("visually_reviewed_unresolved").alias("status"), F.when(k % 3 == 0, "review later").otherwise("ink blot").alias("reason")))),
+    }
+    return o.select(k.alias("doc_id"), F.when(k % 11 == 0, "[1, 2").otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in parts.items()]))).alias("state"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'visual_review' WHEN 3 THEN 'completed' WHEN 4 THEN 'completed_with_review_items' ELSE 'done' END AS st,
+ CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS q, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS p, o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 AS later, o_orderkey % 11 = 0 AS bad FROM orders),
+c AS (SELECT doc_id, bad, st, q, p, (st = 'done')::INT + (st LIKE 'completed%' AND q > 0)::INT + later::INT AS e, (st LIKE 'completed%' AND p > 0)::INT + (st = 'completed' AND p > 0)::INT + (st = 'completed_with_review_items' AND p = 0)::INT + (st = 'visual_review' AND q = 0)::INT AS w FROM s)
+SELECT doc_id, CASE WHEN bad OR e > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN bad THEN NULL ELSE st END AS workflow_status, CASE WHEN bad THEN 1 ELSE e END::INTEGER AS n_errors, CASE WHEN bad THEN 0 ELSE w END::INTEGER AS n_warnings FROM c""")
+def state_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.state_report(_states(spark, sf_dir)).select("doc_id", "status", "workflow_status", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+
+
+_MADE = """SELECT l_orderkey AS doc_id, CAST(l_suppkey % 4 + 1 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_linenumber, l_partkey) AS INT) AS ord, l_partkey % 8 AS kind FROM lineitem"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every line item is a candidate of its order's book; seven of eight have a decision, of kinds by part key."""
+    made = B.run(spark, sf_dir, _MADE, "lineitem")
+    n, k = F.col("ord"), F.col("kind")
+    records = made.select(
+        "doc_id", "page", "ord", n.alias("candidate_index"), F.format_string("pdf-page-%03d-formula-%02d", "page", n).alias("candidate_id"), F.format_string("x_%d", n).alias("candidate"),
+        F.format_string("assets/p%d.png", n).alias("source_asset"), F.format_string("assets/c%d.png", n).alias("context_asset"), F.lit("line").alias("context_type"), F.array(n).alias("source_candidates"),
+    )
+    what = F.when(k < 3, "latex_confirmed").when(k == 3, "crop_only").when(k == 4, "not_formula").when(k == 5, "conservative_latex").otherwise("removed")
+    d = F.to_json(F.struct(
+        F.when(k != 1, n).alias("candidate_index"), F.when(k == 1, F.format_string("x_%d", n)).alias("candidate"), what.alias("disposition"), F.lit("visual").alias("verification"),
+        F.when(k < 2, "x^2").alias("latex"), F.when(k == 3, "smudged").alias("unresolved_reason"), F.when((k == 4) | (k == 6), "a label").alias("reason"),
+    ))
+    supplied = made.filter(k < 7).select("doc_id", "page", "ord", F.parse_json(d).alias("d"), F.when(k == 1, F.format_string("x_%d", n)).otherwise("").alias("candidate"))
+    assets = records.select("doc_id", F.explode(F.array("source_asset", "context_asset")).alias("path"))
+    queued = made.select("doc_id", "page").distinct().withColumns({"reasons": F.array().cast("array<string>"), "has_assets": F.lit(False)})
+    return records, supplied, assets, queued
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, supplied, assets, queued = _records(spark, sf_dir)
+    m = ME.executable_errors(ME.merged(records, supplied), assets)
+    extra = ME.unused(supplied, m.select("doc_id", "page", "given"), queued)
+    none = queued.select("doc_id", "page", F.lit("visual").alias("what")).limit(0)
+    return m, extra, ME.page_outcomes(queued, m, extra, none)
+
+
+_RULED = f"m AS ({_MADE}), r AS (SELECT *, CASE WHEN kind = 7 THEN NULL ELSE ord END AS given, CASE kind WHEN 2 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS e FROM m)"
+
+
+@query(f"WITH {_RULED} SELECT doc_id, page, ord, given::INTEGER AS given, e::INTEGER AS n_errors FROM r")
+def decision_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].select("doc_id", "page", "ord", "given", F.size("errors").alias("n_errors"))
+
+
+_OUT = f"""{_RULED}, p AS (SELECT doc_id, page, CASE WHEN bool_or(given IS NULL OR e > 0) THEN 'visual_review_required' WHEN bool_or(kind = 3) THEN 'completed_with_review_items' ELSE 'visually_verified' END AS status FROM r GROUP BY doc_id, page)"""
+
+
+@query(f"WITH {_OUT} SELECT * FROM p")
+def page_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[2].select("doc_id", "page", "status")
+
+
+@query(f"""WITH {_OUT} SELECT doc_id, CASE WHEN bool_or(status = 'visual_review_required') THEN 'visual_review' WHEN bool_or(status = 'completed_with_review_items') THEN 'completed_with_review_items' ELSE 'completed' END AS status FROM p GROUP BY doc_id""")
+def doc_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.document_outcomes(_merged(spark, sf_dir)[2])
+
+
+@query(f"""WITH {_RULED} SELECT doc_id, count_if(kind < 2) AS latex_confirmed, count_if(kind = 3) AS crop_only, count_if(kind = 4) AS not_formula, count_if(kind = 6) AS removed FROM r WHERE given IS NOT NULL AND e = 0 GROUP BY doc_id""")
+def disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.disposition_counts(_merged(spark, sf_dir)[0])
+
+
+@query()
+def merge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, extra, _ = _merged(spark, sf_dir)
+    return ME.trace(m, extra).select("doc_id", "page", "ord", "decision", "inspected", F.size("errors").alias("n_errors"))
+
+
+@query()
+def merged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout pages as Markdown with a note at the end of every page."""
+    lines, noise = _layout(spark, sf_dir)
+    docs = L.book_markdown(L.page_markdown(L.paragraphs(L.clean_lines(lines, noise))))
+    segments = S.page_segments(docs)
+    notes = segments.select("doc_id", F.col("pdf_page").alias("page"), F.format_string("checked page %d", "pdf_page").alias("note"))
+    out = ME.with_additions(docs, segments, ME.notes_as_blocks(notes))
+    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.regexp_count("text", F.lit(r"> \[Transcription note: checked page")).cast("long").alias("notes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def book_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = R.Inputs(B.books(spark, sf_dir), assets=B.assets(spark, sf_dir), expected=_expected(spark, sf_dir), printed=_expected(spark, sf_dir), forbidden=("password",), require_stem=True)
+    return R.report(inp).drop("checks")
+
+
+@query()
+def book_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.check_rows(R.report(R.Inputs(B.books(spark, sf_dir), assets=B.assets(spark, sf_dir))))
+
+
+@query(r"""WITH c AS (SELECT doc_id, text, (length(text) - length(replace(text, '$$', ''))) // 2 AS d, replace(text, '$$', '') AS bare FROM documents),
+n AS (SELECT doc_id, d, length(bare) - length(replace(bare, '$', '')) - len(regexp_extract_all(bare, '\\\$')) AS i, len(regexp_extract_all(text, '(?i)\[transcription note:')) AS notes, regexp_matches(text, '(^|\n)#{1,6}\s+') AS h FROM c)
+SELECT doc_id, (d % 2 + i % 2)::BIGINT AS delimiters, (d // 2)::BIGINT AS display_blocks, i::BIGINT AS inline_markers, notes::BIGINT AS notes FROM n""")
+def doc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.report(R.Inputs(docs)).select("doc_id", "delimiters", "display_blocks", "inline_markers", "notes")
+
+
+@query()
+def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = R.report(R.Inputs(B.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return r.select("doc_id", "status", "errors", "warnings").join(R.exit_codes(r, True), "doc_id")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "T"]
