@@ -18,8 +18,9 @@ import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _END = string.punctuation
-#: Pieces kept by a worker, about 200 bytes each. Beyond it the cache starts anew; results don't depend on it.
-CACHE_PIECES = 1_000_000
+#: Pieces of a generation that a worker keeps, about 200 bytes each. Then they become the old generation, of which those
+#: that come up again are taken over; results don't depend on it.
+CACHE_PIECES = 500_000
 LINE = "\n"
 
 
@@ -36,6 +37,16 @@ class Pieces(dict):
         super().__init__()
         self.prefix = prefix
         self.missed: list[str] = []
+        self.passing: list[str] = []  # pieces around a line end, which seldom come up again
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        for w in self.passing:
+            self.pop(w, None)
+        self.passing = []
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> bytes:
         self.missed.append(word)
@@ -73,15 +84,20 @@ class Encoder:
     def _learn(self, into: Pieces, words: set[str]) -> None:
         """Learns words without white space at their ends; others are left out."""
         whole, made, odd = set(), [], []
+        old = into.old
         for w in words:
             if not w or w[0].isspace() or w[-1].isspace():
                 continue
+            if w in old:
+                into[w] = old[w]
+                continue
             if not self.composes:
                 odd.append(w)
             elif LINE in w:
                 lines = w.split(LINE)
                 if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                     made.append((w, lines))
+                    into.passing.append(w)
                 else:
                     odd.append(w)
             else:
@@ -90,7 +106,9 @@ class Encoder:
                     whole.add(w)
                 else:
                     made.append((w, (core, w[len(core) :])))
-                    if core not in into:
+                    if core in old:
+                        into[core] = old[core]
+                    elif core not in into:
                         whole.add(core)
         firsts = {x[0] for w, x in made if LINE in w and x[0] not in into} - whole
         if firsts:
@@ -119,9 +137,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null as the empty text."""
-        if len(self.words) + len(self.heads) > CACHE_PIECES:
-            self.words.clear()
-            self.heads.clear()
+        self.words.age()
+        self.heads.age()
         cut = [t.split(" ") if t and not any(x in t for x in self.special) else None for t in texts]
         out = [b"" if words is None else self._join(words) for words in cut]
         special = [k for k, words in enumerate(cut) if words is None and texts[k]]
