@@ -45,7 +45,7 @@ def inverse_demand(share: Column, schedule: tuple[tuple[float, float], ...]) ->
     for k, ((t0, r0), (t1, r1)) in enumerate(zip(schedule, schedule[1:], strict=False)):
         slope, x = (r1 - r0) / (t1 - t0), want - F.lit(done)
         # r0 s + slope s^2 / 2 = x, in the form that also holds for a slope of 0
-        s = 2 * x / (F.lit(r0) + F.sqrt(F.greatest(F.lit(0.0), F.lit(r0 * r0) + 2 * slope * x)))
+        s = F.try_divide(2 * x, F.lit(r0) + F.sqrt(F.greatest(F.lit(0.0), F.lit(r0 * r0) + 2 * slope * x)))
         here = F.lit(t0) + F.coalesce(s, F.lit(0.0))
         done += area[k]
         last = k == len(area) - 1

@@ -144,18 +144,26 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     first = F.row_number().over(Window.partitionBy("key", "hash").orderBy(F.col("payload").isNull(), "row", "seq")) == 1
     stored = chunks.withColumn("_keep", first & F.col("payload").isNotNull()).withColumns({"payload": F.when(F.col("_keep"), F.col("payload")), "kind": F.when(F.col("_keep"), "chunk").otherwise("ref")})
     stored.drop("_keep", "key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
-    refs = spark.read.schema("row long, doc_id long, seq int, hash binary, n_ids int").parquet(f"{path}/chunks").drop("kind")
+    refs = _stored(spark, path).select("row", "doc_id", "seq", "hash", "n_ids")
     whole = refs.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "n_ids"))).alias("c"))
     whole = whole.select("row", "doc_id", F.col("c.hash").alias("hashes"), F.col("c.n_ids").alias("lengths"))
     whole = whole.withColumn("n_tokens", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
     recipes = whole.mapInArrow(_roots, "row long, doc_id long, hashes array<binary>, lengths array<int>, n_tokens long, root binary")
     recipes.write.option("compression", "zstd").parquet(f"{path}/rooted")
-    rooted = spark.read.parquet(f"{path}/rooted")
+    rooted = spark.read.schema(recipes.schema).parquet(f"{path}/rooted")
     bounds = range_bounds(rooted, "doc_id", min(256, range_parts(spark)))
     placed = cumulate(rooted, [], range_bucket(F.col("doc_id"), bounds), [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")], "start", F.col("n_tokens"))
     placed.repartitionByRange(*[F.col(c) for c in ("doc_id", "start")]).sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row long, doc_id long, seq int, n_chunks int, hash binary, n_ids int, payload binary, kind string").parquet(f"{path}/chunks")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row long, doc_id long, hashes array<binary>, lengths array<int>, n_tokens long, root binary, start long").parquet(f"{path}/recipes")
+
+
 def _roots(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
         roots = pa.array([merkle(h) for h in t.column("hashes").to_pylist()], pa.binary())
@@ -225,9 +233,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files: chunks are read, checked against their
     addresses and reduced to CRCs, recipes are checked against their Merkle roots, and a document's CRC is joined from
     those of its chunks in order."""
-    chunk = spark.read.parquet(f"{path}/chunks/kind=chunk").select("hash", "n_ids", "payload")
+    chunk = _stored(spark, path).filter("kind = 'chunk'").select("hash", "n_ids", "payload")
     crcs = chunk.mapInArrow(_verified, "hash binary, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     refs = recipes.select("start", F.posexplode(F.arrays_zip("hashes", "lengths")).alias("seq", "c")).select("start", "seq", F.col("c.hashes").alias("hash"), F.col("c.lengths").alias("n"))
     joined = refs.join(crcs, "hash").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "crc", "n"))).alias("c"))
     whole = joined.select("start", F.col("c.hash").alias("hashes"), F.col("c.crc").alias("crcs"), F.col("c.n").alias("lengths"))
@@ -243,8 +251,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.frombuffer(b"".join(_widen(p["payload"], p["n_ids"]) for p in parts), "<u4").astype(np.int32) for parts in t.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    chunk = spark.read.parquet(f"{path}/chunks/kind=chunk").select("hash", "n_ids", "payload")
-    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("hashes").alias("seq", "hash"))
+    chunk = _stored(spark, path).filter("kind = 'chunk'").select("hash", "n_ids", "payload")
+    refs = _recipes(spark, path).select("doc_id", "start", F.posexplode("hashes").alias("seq", "hash"))
     parts = refs.join(chunk, "hash").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "n_ids", "payload"))).alias("parts"))
     return parts.mapInArrow(widen, "doc_id long, start long, ids array<int>")
 
