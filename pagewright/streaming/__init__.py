@@ -1 +1 @@
-
+"""Incremental runs of the batch plans."""
