@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cumulate, cut
+from pagewright.llm.common import cumulate, cut, text_slices
 
 U = np.uint64
 _RNG = np.random.default_rng(7)
@@ -109,18 +108,6 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarra
     return out
 
 
-def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, bounds) of runs of rows with about `most` bytes; null as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    first = 0
-    while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
-
-
 def set_id(s: np.ndarray) -> int:
     return int(mixed((s.sum(dtype=np.uint64) ^ mixed(mixed(s ^ U(_BASE)).sum(dtype=np.uint64, keepdims=True) + U(len(s)))))[0].astype(np.int64))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import cumulate, cut
-from pagewright.llm.tokens import batches, default_vocabulary, encoder
+from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 #: A plan row: pieces of `length` with ranks from `first` on, `count` of them, go to the sequences from `sequence` on, one each, at `offset`.
 PLAN = "length long, first long, count long, sequence long, offset long"
@@ -90,21 +90,21 @@ def cut_documents(docs: DataFrame, capacity: int, vocabulary: str, end_id: int)
     """(doc_id, text) to pieces of at most capacity ids; an end id closes each document, whose first piece takes the odd length."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(vocabulary).encode
         for table in tables:
-            ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-            done = 0
-            for some in batches(texts):
-                rows = []
-                for doc, raw in zip(ids[done : done + len(some)], encode(some), strict=True):
-                    raw += end
-                    n, at, k = len(raw) // 4, 0, 0
-                    while at < n:
-                        size = (n - at - 1) % capacity + 1 if k == 0 else capacity
-                        rows.append((doc, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
-                        at, k = at + size, k + 1
-                done += len(some)
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            for first, ids, bounds in encode(table.column("text")):
+                ids, bounds = with_end(ids, bounds, end_id)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (sizes - 1) % capacity + 1
+                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[row], capacity)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                at = 4 * (bounds[row] + start)
+                crcs = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist(), strict=True)]
+                columns = [table.column("doc_id").take(pa.array(first + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -4,11 +4,15 @@ Layout of a store, all Parquet:
   chunks/kind=chunk  hash, n_ids, payload: every distinct chunk once; payload holds the ids as little-endian unsigned 16-bit
                      numbers, or 32-bit ones if an id needs it (payload length tells). Each row is also its chunk's first reference.
   chunks/kind=ref    further references, without payload
-  recipes            a document a row in ascending doc_id: start, n_tokens, chunk hashes and lengths in order, Merkle root
+  recipes            a document a row in ascending doc_id: start, n_tokens, chunk hashes in order, Merkle root of these
+                     with the chunks' lengths, number of its part
+  manifest           a row for each part: its first start, documents, tokens and the Merkle root over the hashes of its
+                     recipes (doc_id, start, n_tokens, root) in order; under part -1 the sums and the Merkle root of the parts' rows
 
 A rolling hash over the last WINDOW ids cuts an id stream where its top bits are 0, so the same passage gives the same
 chunks wherever it stands. A chunk's address is BLAKE2b-128 of its ids as little-endian unsigned 32-bit numbers.
-Reading checks each chunk against its address and each recipe against its Merkle root.
+Reading checks each chunk against its address and length, each document's chunks against its root, that each document
+starts where the one before ends, and all recipes against the manifest.
 """
 
 from __future__ import annotations
@@ -16,17 +20,20 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cumulate, new_path, range_bounds, range_bucket, range_parts
-from pagewright.llm.tokens import batches, default_vocabulary, encoder
+from pagewright.llm.common import cumulate, cut, new_path, range_parts
+from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
+#: Addresses that a task remembers to have sent (some 100 bytes each); beyond it some payloads are sent again.
+KNOWN = 300_000
 _BASE = 0x9E3779B1
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32) | np.uint32(1)
 
@@ -83,12 +90,28 @@ def address(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def merkle(hashes: list[bytes]) -> bytes:
-    """Root of the binary tree over the hashes; an odd last node moves up as it is."""
-    level = [address(b"\0" + h) for h in hashes] or [address(b"")]
-    while len(level) > 1:
-        level = [address(b"\1" + level[k] + level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    return level[0]
+def _push(tree: list[tuple[int, bytes]], leaf: bytes) -> None:
+    """Adds a leaf to a stack of (level, hash) whose levels fall; two of a level become one of the next."""
+    level = 0
+    while tree and tree[-1][0] == level:
+        leaf, level = address(b"\1" + tree.pop()[1] + leaf), level + 1
+    tree.append((level, leaf))
+
+
+def _folded(tree: list[tuple[int, bytes]]) -> bytes:
+    """The root over a stack: what is left without a partner is joined from the right."""
+    root = tree[-1][1] if tree else address(b"")
+    for _, h in reversed(tree[:-1]):
+        root = address(b"\1" + h + root)
+    return root
+
+
+def merkle(leaves: list[bytes]) -> bytes:
+    """Root of the binary tree over the leaves."""
+    tree: list[tuple[int, bytes]] = []
+    for x in leaves:
+        _push(tree, address(b"\0" + x))
+    return _folded(tree)
 
 
 def _widen(payload: bytes, n: int) -> bytes:
@@ -100,34 +123,36 @@ CHUNKS = "row long, doc_id long, seq int, n_chunks int, hash binary, n_ids int,
 
 def _chunks(vocabulary: str, end_id: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(vocabulary).encode
         sent: set[bytes] = set()
         for table in tables:
-            rows, docs, texts = (table.column(c).to_pylist() for c in ("row", "doc_id", "text"))
-            done = 0
-            for some in batches(texts):
-                raws = [raw + end for raw in encode(some)]
-                bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])])
-                ids = np.frombuffer(b"".join(raws), "<u4")
+            rows = table.column("row").to_numpy()
+            for first, ids, bounds in encode(table.column("text")):
+                ids, bounds = with_end(ids, bounds, end_id)
                 found = cut_points(ids, bounds)
-                narrow = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
-                out = []
-                for k, (raw, ends) in enumerate(zip(raws, found, strict=True)):
-                    start, base = 0, int(bounds[k])
-                    for seq, e in enumerate(ends):
-                        piece = raw[4 * start : 4 * e]
-                        h = address(piece)
-                        new = h not in sent
-                        if new:
-                            sent.add(h)
-                        key = int.from_bytes(h[:8], "little", signed=True) if new else (rows[done + k] * 1_000_003 + seq) % (1 << 62)
-                        out.append((rows[done + k], docs[done + k], seq, len(ends), h, e - start, key, (piece if narrow is None else narrow[2 * (base + start) : 2 * (base + e)]) if new else None))
-                        start = e
-                if len(sent) > 2_000_000:
+                counts = np.array([len(x) for x in found])
+                row = np.repeat(np.arange(len(found)), counts)
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                ends = np.fromiter(chain.from_iterable(found), np.int64, len(row)) + bounds[row]
+                starts = np.where(seq == 0, bounds[row], np.concatenate([[0], ends[:-1]]))
+                wide = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                narrow = memoryview(ids.astype("<u2")).cast("B") if ids.max() < 1 << 16 else None
+                hashes, payloads = [], []
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    h = address(wide[4 * a : 4 * b])
+                    hashes.append(h)
+                    if h in sent:
+                        payloads.append(None)
+                    else:
+                        sent.add(h)
+                        payloads.append(wide[4 * a : 4 * b] if narrow is None else narrow[2 * a : 2 * b])
+                if len(sent) > KNOWN:
                     sent.clear()
-                done += len(some)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                hashed = pa.array(hashes, pa.binary())
+                new = np.array([p is not None for p in payloads], bool)
+                by_hash = np.frombuffer(b"".join(hashes), "<i8")[::2]
+                key = np.where(new, by_hash, (rows[first + row] * 1_000_003 + seq) & ((1 << 62) - 1))
+                columns = [pa.array(rows[first + row]), table.column("doc_id").take(pa.array(first + row)), pa.array(seq, pa.int32()), pa.array(counts[row], pa.int32()), hashed, pa.array(ends - starts, pa.int32()), pa.array(key), pa.array(payloads, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "seq", "n_chunks", "hash", "n_ids", "key", "payload"])
 
     return run
@@ -147,13 +172,74 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     refs = _stored(spark, path).select("row", "doc_id", "seq", "hash", "n_ids")
     whole = refs.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "n_ids"))).alias("c"))
     whole = whole.select("row", "doc_id", F.col("c.hash").alias("hashes"), F.col("c.n_ids").alias("lengths"))
-    whole = whole.withColumn("n_tokens", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
     recipes = whole.mapInArrow(_roots, "row long, doc_id long, hashes array<binary>, lengths array<int>, n_tokens long, root binary")
     recipes.write.option("compression", "zstd").parquet(f"{path}/rooted")
     rooted = spark.read.schema(recipes.schema).parquet(f"{path}/rooted")
-    bounds = range_bounds(rooted, "doc_id", min(256, range_parts(spark)))
-    placed = cumulate(rooted, [], range_bucket(F.col("doc_id"), bounds), [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")], "start", F.col("n_tokens"))
-    placed.repartitionByRange(*[F.col(c) for c in ("doc_id", "start")]).sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    order = ["doc_id", "root", "row"]
+    slim = cut(rooted.select(*order, "n_tokens").repartitionByRange(range_parts(spark), *order).withColumn("part", F.spark_partition_id()), "order")
+    placed = cumulate(slim, [], F.col("part"), [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")], "start", F.col("n_tokens"))
+    full = rooted.join(placed.select("row", "part", "start"), "row").repartition("part").sortWithinPartitions("part", "start")
+    full.select("part", "start", "doc_id", "n_tokens", "hashes", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    _parts(_recipes(spark, path)).write.parquet(f"{path}/parts")
+    rows = sorted(map(tuple, spark.read.schema(PART).parquet(f"{path}/parts").collect()))  # a row for each range
+    spark.createDataFrame([*rows, _total(rows)], PART).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+#: A row of the manifest.
+PART = "part int, first_start long, documents long, tokens long, root binary"
+
+
+def _entry() -> Column:
+    """The hash that stands for a document in its part."""
+    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    return F.unhex(F.sha2(told.cast("binary"), 256))
+
+
+def _total(rows: list[tuple]) -> tuple:
+    """The manifest's row for the store, from those of its parts in order; raises if a part doesn't begin where those before it end."""
+    at = 0
+    for part, first, _, tokens, _ in rows:
+        if first != at:
+            raise ValueError(f"part {part} doesn't begin where the one before ends")
+        at += tokens
+    return (-1, 0, sum(r[2] for r in rows), at, merkle([address("|".join(map(str, r[:4])).encode() + r[4]) for r in rows]))
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """PART rows of recipes, each part folded in order of start with a stack of as many nodes as the tree has levels."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = None
+        count = tokens = 0
+        tree: list[tuple[int, bytes]] = []
+        out = []
+
+        def close() -> None:
+            if part is not None:
+                out.append((part, first, count, tokens, _folded(tree)))
+
+        for t in tables:
+            for p, start, n, entry in zip(*(t.column(c).to_pylist() for c in ("part", "start", "n_tokens", "entry")), strict=True):
+                if p != part:
+                    close()
+                    part, first, count, tokens, tree = p, start, 0, 0, []
+                if start != first + tokens:
+                    raise ValueError(f"part {p}: a document doesn't start where the one before ends")
+                _push(tree, address(b"\0" + entry))
+                count, tokens = count + 1, tokens + n
+        close()
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["part", "first_start", "documents", "tokens", "root"])
+
+    return recipes.select("part", "start", "n_tokens", _entry().alias("entry")).repartition("part").sortWithinPartitions("part", "start").mapInArrow(run, PART)
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises if the recipes of the store at path aren't those of its manifest. Rows of parts come to the driver."""
+    told = sorted(map(tuple, spark.read.schema(PART).parquet(f"{path}/manifest").collect()))
+    found = sorted(map(tuple, _parts(_recipes(spark, path)).collect()))
+    if [_total(found), *found] != told:
+        raise ValueError("the recipes don't match the manifest")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -161,24 +247,30 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("row long, doc_id long, hashes array<binary>, lengths array<int>, n_tokens long, root binary, start long").parquet(f"{path}/recipes")
+    return spark.read.schema("part int, start long, doc_id long, n_tokens long, hashes array<binary>, root binary").parquet(f"{path}/recipes")
+
+
+def root_of(hashes: list[bytes], lengths: list[int]) -> bytes:
+    """The Merkle root of a document's chunks, their lengths included."""
+    return merkle([h + n.to_bytes(4, "little") for h, n in zip(hashes, lengths, strict=True)])
 
 
 def _roots(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        roots = pa.array([merkle(h) for h in t.column("hashes").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*t.columns, roots], [*t.schema.names, "root"])
+        lengths = t.column("lengths").to_pylist()
+        roots = pa.array(list(map(root_of, t.column("hashes").to_pylist(), lengths)), pa.binary())
+        yield pa.RecordBatch.from_arrays([*t.columns, pa.array(list(map(sum, lengths)), pa.int64()), roots], [*t.schema.names, "n_tokens", "root"])
 
 
 def _verified(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        hashes, crcs = t.column("hash").to_pylist(), []
-        for h, n, p in zip(hashes, t.column("n_ids").to_pylist(), t.column("payload").to_pylist(), strict=True):
+        hashes, counts, crcs = t.column("hash").to_pylist(), t.column("n_ids").to_pylist(), []
+        for h, n, p in zip(hashes, counts, t.column("payload").to_pylist(), strict=True):
             raw = _widen(p, n)
-            if address(raw) != h:
+            if address(raw) != h or len(raw) != 4 * n:
                 raise ValueError(f"chunk {h.hex()} is damaged")
             crcs.append(zlib.crc32(raw))
-        yield pa.RecordBatch.from_arrays([t.column("hash"), pa.array(crcs, pa.int64())], ["hash", "crc"])
+        yield pa.RecordBatch.from_arrays([t.column("hash"), t.column("n_ids"), pa.array(crcs, pa.int64())], ["hash", "n", "crc"])
 
 
 def _shift_tables() -> list[np.ndarray]:
@@ -217,29 +309,53 @@ def crc_join(crcs: np.ndarray, more: np.ndarray, n_bytes: np.ndarray) -> np.ndar
 
 def _rebuilt(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        hashes, crcs, lengths, roots = (t.column(c).to_pylist() for c in ("hashes", "crcs", "lengths", "root"))
-        for h, root in zip(hashes, roots, strict=True):
-            if merkle(h) != root:
-                raise ValueError("a recipe doesn't match its Merkle root")
-        total = np.array([c[0] for c in crcs], dtype=np.uint32)
-        counts = np.array([len(c) for c in crcs])
+        chunks, roots = t.column("c").to_pylist(), t.column("root").to_pylist()
+        for c, root in zip(chunks, roots, strict=True):
+            if root_of([x["hash"] for x in c], [x["n"] for x in c]) != root:
+                raise ValueError("a document's chunks don't match its Merkle root")
+        counts = np.array([len(c) for c in chunks])
+        crcs, sizes = (np.array([x[f] for c in chunks for x in c], np.int64) for f in ("crc", "n"))
+        first = np.cumsum(counts) - counts
+        total = crcs[first].astype(np.uint32)
         for k in range(1, int(counts.max(initial=0))):
             at = np.flatnonzero(counts > k)
-            total[at] = crc_join(total[at], np.array([crcs[i][k] for i in at], dtype=np.uint32), np.array([4 * lengths[i][k] for i in at], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("start"), t.column("n_tokens"), pa.array(total.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            total[at] = crc_join(total[at], crcs[first[at] + k].astype(np.uint32), 4 * sizes[first[at] + k])
+        n_tokens = np.add.reduceat(sizes, first) if len(sizes) else sizes
+        if (n_tokens != t.column("n_tokens").to_numpy()).any():
+            raise ValueError("a document's chunks don't have as many ids as its recipe says")
+        yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("start"), pa.array(n_tokens), pa.array(total.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def _dealt(refs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a `salt`: references to a chunk that has more than a sixteenth of a partition's even share of them are
+    dealt to as many groups as there are partitions. There are at most 16 such chunks for each partition, so their
+    list is small enough for every task."""
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = refs.groupBy("hash").agg(F.count("*").alias("uses"))
+    all_uses = refs.agg(F.count("*").alias("all"))
+    hot = used.join(F.broadcast(all_uses)).filter((F.col("uses") > HOT_USES) & (F.col("uses") * 16 * parts > F.col("all"))).select("hash", F.lit(1).alias("_hot"))
+    hot = F.broadcast(cut(hot, "hot"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("start", "seq"), F.lit(parts))).otherwise(0).cast("int")
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return refs.join(hot, "hash", "left").withColumn("salt", salt).drop("_hot"), chunks.join(hot, "hash", "left").withColumn("salt", F.explode(copies)).drop("_hot")
+
+
+#: References to a chunk that always go to one task.
+HOT_USES = 1_000
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: chunks are read, checked against their
-    addresses and reduced to CRCs, recipes are checked against their Merkle roots, and a document's CRC is joined from
-    those of its chunks in order."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: recipes are checked against the manifest,
+    chunks are read, checked against their addresses and reduced to CRCs, documents are checked against their Merkle
+    roots, their ids counted from their chunks, and their CRCs joined from those of their chunks in order."""
+    verify(spark, path)
     chunk = _stored(spark, path).filter("kind = 'chunk'").select("hash", "n_ids", "payload")
-    crcs = chunk.mapInArrow(_verified, "hash binary, crc long")
+    crcs = chunk.mapInArrow(_verified, "hash binary, n int, crc long")
     recipes = _recipes(spark, path)
-    refs = recipes.select("start", F.posexplode(F.arrays_zip("hashes", "lengths")).alias("seq", "c")).select("start", "seq", F.col("c.hashes").alias("hash"), F.col("c.lengths").alias("n"))
-    joined = refs.join(crcs, "hash").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "crc", "n"))).alias("c"))
-    whole = joined.select("start", F.col("c.hash").alias("hashes"), F.col("c.crc").alias("crcs"), F.col("c.n").alias("lengths"))
-    checked = recipes.select("doc_id", "start", "n_tokens", "root").join(whole, "start")
+    refs = recipes.select("start", F.posexplode("hashes").alias("seq", "hash"))
+    refs, crcs = _dealt(refs, crcs)
+    joined = refs.join(crcs, ["hash", "salt"]).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "crc", "n"))).alias("c"))
+    checked = recipes.select("doc_id", "start", "n_tokens", "root").join(joined, "start", "left")
     return checked.mapInArrow(_rebuilt, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

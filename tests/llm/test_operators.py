@@ -3,10 +3,12 @@ no rows, and extra columns with clashing names."""
 
 import hashlib
 import math
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,15 +86,45 @@ def _by(rows, name):
     return out
 
 
-def test_tokens_are_those_of_the_library():
-    e = tokens.Encoder(tokens.default_vocabulary())
-    odd = [" a", "a ", "a  b", "\n\na b\n", "it's. don't, 'tis", "12.5 3,4", "x\ty z", "日本 語。 ok", "a\nb\nc d\n e", "don't' s'", "<|endoftext|> a<|endoftext|>. b", "", None, "\x1c a b"]
-    for t, raw in zip(odd + TEXTS, e.encode(odd + TEXTS), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+def ids_of(text):
+    """The library's ids of a whole text."""
+    return tokens.encoder(tokens.default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+ODD = [" a", "a ", "a  b", "\n\na b\n", "it's. don't, 'tis", "12.5 3,4", "x\ty z", "日本 語。 ok", "a\nb\nc d\n e", "don't' s'", "<|endoftext|> a<|endoftext|>. b", "", None, "\x1c a b", "\u00a0\nx \u3000 y", "a\u0085\u2028 b", "e\u0301.a x\u00f7y'll"]
+PARTS = ["a", "the", "Z", "s", "re", "'", "'s", '"', ".", "(", "_", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u0085", "\u2028", "\u3000", "\u200b", "\x1c", "\x00", "\x0b", "é", "日本", "e\u0301", "😀", "23", "½", "٣", "<|", "endoftext", "|>", "→", "ß"]
+
+
+@pytest.mark.parametrize("run, cache", [(None, None), (200, 20_000)])
+def test_tokens_are_those_of_the_library(monkeypatch, run, cache):
+    if run:
+        monkeypatch.setattr(tokens, "RUN_BYTES", run)  # texts are cut inside, the dictionary starts anew often
+        monkeypatch.setattr(tokens, "CACHE_BYTES", cache)
+    rng = np.random.default_rng(11)
+    made = ["".join(rng.choice(PARTS, int(rng.integers(0, 15)))) for _ in range(3000)] + ["".join(rng.choice([*PARTS, "ab cd"], 800)) for _ in range(20)]
+    texts = ODD + TEXTS + made
+    e, got = tokens.Encoder(tokens.default_vocabulary()), {}
+    for first, ids, bounds in e.encode(pa.array(texts, pa.string())):
+        got |= {first + k: ids[a:b].tolist() for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))}
+    assert e.by_pieces and sorted(got) == list(range(len(texts)))
+    for k, t in enumerate(texts):
+        assert got[k] == ids_of(t), t
+
+
+def test_vocabularies_of_other_kinds_are_used_as_they_are():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello  World, it's", None, "", "a\nb"]
+    got = {first: ids.tolist() for first, ids, _ in e.encode(pa.array(texts, pa.string()))}
+    assert not e.by_pieces and got == {k: e.tokenizer.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
 
 
 def test_op2_packing(spark, folder):
-    e = tokens.encoder(tokens.default_vocabulary())
     got = packing.op2_packing(spark, folder).collect()
     for rows in _by(got, "sequence_id").values():
         at = 0
@@ -102,7 +134,7 @@ def test_op2_packing(spark, folder):
         assert at <= 2048
     want = Counter()
     for k, t in [*enumerate(TEXTS), (4, "one"), (None, "no id")]:
-        raw = e.encode([t])[0] + b"\0\0\0\0"
+        raw = packed([*ids_of(t), 0])
         n, at, p = len(raw) // 4, 0, 0
         while at < n:
             size = (n - at - 1) % 2048 + 1 if p == 0 else 2048
@@ -246,25 +278,42 @@ def test_demand_is_inverted(spark):
         assert all(abs(area(r.t) - r.u * area(1.0)) < 1e-6 for r in got)
 
 
-def test_op9_store(spark, folder, tmp_path):
-    e = tokens.encoder(tokens.default_vocabulary())
-    got = sorted(token_store.op9_token_store(spark, folder).collect(), key=lambda r: r.start)
-    want = Counter((k, len(e.encode([t])[0]) // 4 + 1, zlib.crc32(e.encode([t])[0] + b"\2\0\0\0")) for k, t in [*enumerate(TEXTS), (4, "one"), (None, "no id")])
-    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
-    at = 0
-    for r in got:
-        assert r.start == at
-        at += r.n_tokens
-    ids = [r.doc_id for r in got]
-    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+def test_op9_store(spark, folder, tmp_path, monkeypatch):
+    want = Counter((k, len(ids_of(t)) + 1, zlib.crc32(packed([*ids_of(t), 2]))) for k, t in [*enumerate(TEXTS), (4, "one"), (None, "no id")])
+    for hot in (token_store.HOT_USES, 0):  # in the second run every chunk's references are dealt out
+        monkeypatch.setattr(token_store, "HOT_USES", hot)
+        got = sorted(token_store.op9_token_store(spark, folder).collect(), key=lambda r: r.start)
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+        ids = [r.doc_id for r in got]
+        assert ids[0] is None and ids[1:] == sorted(ids[1:])
     path = str(tmp_path / "store")
     token_store.write_store(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), path)
     back = {(r.doc_id, tuple(r.ids)) for r in token_store.read_ids(spark, path).collect()}
-    assert (7, (*np.frombuffer(e.encode([TEXTS[7]])[0], "<u4").tolist(), 2)) in back
+    assert (7, (*ids_of(TEXTS[7]), 2)) in back
     stored = spark.read.parquet(f"{path}/chunks").filter("kind = 'chunk'")
     assert stored.count() == stored.select("hash").distinct().count()
 
 
+CHANGES = [("recipes", "n_tokens", "n_tokens + 1"), ("recipes", "start", "start + 1"), ("recipes", "hashes", "concat(hashes, hashes)"), ("recipes", "root", "unhex(reverse(hex(root)))"), ("recipes", "doc_id", "doc_id + 1"), ("chunks", "payload", "unhex(reverse(hex(payload)))"), ("chunks", "n_ids", "n_ids + 1"), ("manifest", "documents", "documents + 1")]
+
+
+def test_a_changed_store_is_noticed(spark, folder, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), path)
+    token_store.read_digests(spark, path).collect()
+    for k, (table, column, change) in enumerate(CHANGES):
+        shutil.copytree(path, f"{path}{k}")
+        shutil.rmtree(f"{path}{k}/{table}")
+        kinds = ["kind"] if table == "chunks" else []
+        spark.read.parquet(f"{path}/{table}").withColumn(column, F.expr(change)).write.partitionBy(*kinds).parquet(f"{path}{k}/{table}")
+        with pytest.raises(Exception, match="don't|damaged|doesn't"):
+            token_store.read_digests(spark, f"{path}{k}").collect()
+
+
 def test_crc_join():
     rng = np.random.default_rng(0)
     parts = [(rng.bytes(int(a)), rng.bytes(int(b))) for a, b in rng.integers(0, 5000, (50, 2))]
