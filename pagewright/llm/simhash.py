@@ -2,7 +2,8 @@
 
 A term's 128 hash bits vote for or against each bit of the fingerprint with the term's weight, which grows with its
 length: short words are common ones. Votes are counted two to a 64-bit sum (lanes of 32 bits), so a text is one hash
-aggregation of its words. Texts are dealt by ranges of doc_id and never move again.
+aggregation of its words; a lane holds the votes of 31 million of the heaviest terms (a text of some 600 MB). Texts are
+dealt by ranges of doc_id and never move again.
 
 Fingerprints within a Hamming radius r of each other differ in at most r of r + 2 blocks, so at least two blocks are
 equal. There is a table for each pair of blocks, keyed by their bits; a pair of fingerprints is taken from the first
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cut, range_bounds, range_bucket, range_parts
+from pagewright.llm.common import cut, number_list, range_bounds, range_bucket, range_parts
 
 #: White space between terms; the bits of a fingerprint; both lanes of a sum; letters that weigh, up to MOST_LETTERS.
 GAP, BITS, LANES, FREE_LETTERS, MOST_LETTERS = r"[\x20\x09-\x0D]+", 128, 0x0000000100000001, 3, 20
 #: Default Hamming radius of the search.
 RADIUS = 6
+#: Groups among which the copies of a fingerprint are dealt.
+SALTS = 32
 
 
 def weight(term: Column) -> Column:
@@ -80,11 +83,14 @@ def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFram
         keys = []
         for i, j in pairs:
             mh, ml = masks[i][0] | masks[j][0], masks[i][1] | masks[j][1]
-            keys.append(F.struct(F.lit(1 << i | 1 << j).cast("long").alias("blocks"), F.col(high).bitwiseAND(F.lit(mh)).alias("kh"), F.col(low).bitwiseAND(F.lit(ml)).alias("kl")))
+            blocks = 1 << i | 1 << j
+            keys.append(F.struct(F.lit(blocks).alias("blocks"), F.xxhash64(F.lit(blocks), F.col(high).bitwiseAND(F.lit(mh)), F.col(low).bitwiseAND(F.lit(ml))).alias("key")))
         return df.select(high, low, F.inline(F.array(*keys)))
 
+    # Both sides grow with the documents, so neither is ever broadcast. What a table is keyed by moves as one hash: the
+    # test below takes a pair only from the first table whose blocks are equal, which a colliding hash doesn't make them.
     q = keyed(queries.select(F.col("high").alias("q_high"), F.col("low").alias("q_low")).distinct(), "q_high", "q_low")
-    t = keyed(table.select("high", "low").distinct(), "high", "low")
+    t = keyed(table.select("high", "low").distinct(), "high", "low").select("high", "low", "key")
     xh, xl = F.col("high").bitwiseXOR(F.col("q_high")), F.col("low").bitwiseXOR(F.col("q_low"))
     equal = F.lit(0).cast("long")
     for b, (mh, ml) in enumerate(masks):
@@ -92,7 +98,7 @@ def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFram
     rest = equal.bitwiseAND(equal - 1)
     first_two = equal.bitwiseAND(-equal).bitwiseOR(rest.bitwiseAND(-rest))
     apart = F.bit_count(xh) + F.bit_count(xl)
-    found = q.alias("q").join(t.alias("t"), (F.col("q.blocks") == F.col("t.blocks")) & (F.col("q.kh") == F.col("t.kh")) & (F.col("q.kl") == F.col("t.kl")) & (apart <= radius) & (F.col("q.blocks") == first_two))
+    found = q.alias("q").join(t.alias("t").hint("merge"), (F.col("q.key") == F.col("t.key")) & (apart <= radius) & (F.col("q.blocks") == first_two))
     return found.select("q_high", "q_low", "high", "low", apart.cast("int").alias("distance"))
 
 
@@ -104,21 +110,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = range_bounds(docs, "doc_id", range_parts(docs.sparkSession))
     placed = docs.select("doc_id", range_bucket(F.col("doc_id"), bounds).alias("bucket"))
     firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.expr("min_by(doc_id, struct(doc_id IS NOT NULL, doc_id))").alias("first")).collect())  # a row for each range
-    before = {}
-    for k, (bucket, first) in enumerate(firsts):
-        before.setdefault(first, []).append(firsts[k - 1][0])
-    is_first = F.lit(False)
-    ghost_of = F.lit(None).cast("int")
-    for first, buckets in before.items():
-        hit = F.col("doc_id").eqNullSafe(F.lit(first).cast("long"))
-        is_first, ghost_of = is_first | hit, F.when(hit, F.lit(buckets[0])).otherwise(ghost_of)
-    if len(before) > 8:
-        table = F.create_map(*[F.lit(x) for first, buckets in before.items() if first is not None for x in (first, buckets[0])])
-        ghost_of = F.try_element_at(table, F.col("doc_id"))
-        if None in before:
-            ghost_of = F.when(F.col("doc_id").isNull(), F.lit(before[None][0])).otherwise(ghost_of)
+    if not firsts:  # no documents
+        firsts = [(0, None)]
+    first_of = dict(firsts)
+    ahead = {b: firsts[k - 1][0] for k, (b, _) in enumerate(firsts)}
+    every = range(max(first_of) + 1)
+    bucket = range_bucket(F.col("doc_id"), bounds)
+    # a null first id can only be that of bucket 0; other gaps stand for buckets without rows
+    of_bucket = lambda values: F.element_at(number_list(values), bucket + 1)
+    is_first = F.col("doc_id") == of_bucket([first_of.get(b) or 0 for b in every])
+    is_first = F.when(bucket == 0, F.col("doc_id").eqNullSafe(F.lit(first_of.get(0)).cast("long"))).otherwise(is_first)
+    ghost_of = F.when(is_first, of_bucket([ahead.get(b, 0) for b in every]).cast("int"))
     copies = F.when(ghost_of.isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")), F.struct(ghost_of.alias("bucket"), F.lit(1).alias("ghost"))))
-    rows = docs.withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).select("doc_id", "text", F.inline(copies))
+    rows = docs.withColumn("bucket", bucket).select("doc_id", "text", F.inline(copies))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.select("bucket", F.row_number().over(order).alias("place"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
@@ -158,11 +162,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str, every: int = 20, radius: int =
     marked = cut(document_fingerprints(docs), "fingerprints")
     table = marked.groupBy("high", "low").agg(F.count("*").alias("copies"))
     asked = marked.filter(F.col("doc_id") % every == 0)
-    hits = near(asked, table, radius).join(table, ["high", "low"]).groupBy("q_high", "q_low").agg((F.sum("copies") - 1).alias("n_near"))
-    found = marked.join(hits.select(F.col("q_high").alias("high"), F.col("q_low").alias("low"), "n_near"), ["high", "low"], "left")
+    hits = near(asked, table, radius).join(table.hint("merge"), ["high", "low"]).groupBy("q_high", "q_low").agg((F.sum("copies") - 1).alias("n_near"))
+    # all copies of a text ask for the same row, so it is given out SALTS times and they are dealt among these
+    hits = hits.select(F.col("q_high").alias("high"), F.col("q_low").alias("low"), "n_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int")
+    answered = asked.withColumn("salt", salt).join(hits.hint("merge"), ["high", "low", "salt"]).drop("salt")
+    found = answered.unionByName(marked.filter(~F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).withColumn("n_near", F.lit(None).cast("long")))
     own = (F.col("high"), F.col("low"))
     likeness = lambda x: 1 - distance(own, (F.col(f"{x}_high"), F.col(f"{x}_low"))) / BITS
     return found.select(
         "doc_id", "n_chars", "edited_sha256", spelled(*own).alias("fingerprint"), spelled(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"),
-        likeness("edited").alias("near_edited"), likeness("next").alias("near_next"), F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near"),
+        likeness("edited").alias("near_edited"), likeness("next").alias("near_next"), "n_near",
     )

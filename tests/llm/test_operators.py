@@ -3,6 +3,7 @@ no rows, and extra columns with clashing names."""
 
 import hashlib
 import math
+import re
 import shutil
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import html_blocks, html_extract, html_model, mixing, ngram_join, packing, sharding, simhash, token_store, tokens, topk, toxicity, warc
+from pagewright.llm import common, html_blocks, html_extract, html_model, mixing, ngram_join, packing, sharding, simhash, token_store, tokens, topk, toxicity, warc
 
 TEXTS = [
     "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf today", "The QUICK brown fox jumps over the lazy dog and runs away from the big bad wolf today",
@@ -192,8 +193,51 @@ def test_op4_simhash(spark, folder):
     assert Counter((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     marks = {r.doc_id: r.fingerprint for r in got}
     assert marks[4] == marks[10] and marks[0] == marks[1] and all(len(m) == 32 for m in marks.values())
-    zero = next(r for r in got if r.doc_id == 0)
-    assert zero.n_near == sum(bin(int(r.fingerprint, 16) ^ int(zero.fingerprint, 16)).count("1") <= simhash.RADIUS for r in got) - 1
+    near = {r.doc_id: r.n_near for r in got}
+    for r in got:
+        close = sum(bin(int(r.fingerprint, 16) ^ int(o.fingerprint, 16)).count("1") <= simhash.RADIUS for o in got) - 1
+        assert r.n_near == (close if r.doc_id is not None and r.doc_id % 20 == 0 else None)
+    assert near[0] >= 1
+    # fingerprints by plain loops over the votes of each term
+    votes = {t: _fingerprint(spark, t) for t in {t for _, t in order}}
+    likeness = lambda a, b: 1 - bin(a ^ b).count("1") / 128
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        edited = _fingerprint(spark, t[: len(t) - half] + after[:half])
+        want[i, f"{votes[t]:032x}", f"{edited:032x}", likeness(votes[t], edited), likeness(votes[t], votes[after])] += 1
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
+
+
+def _fingerprint(spark, text):
+    terms = Counter(x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x)
+    if not terms:
+        return 0
+    rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("l")).collect()
+    heavy = {t: n * (1 if len(t) <= 3 else 8 * (min(len(t), 20) - 3)) for t, n in terms.items()}
+    out = 0
+    for bit in range(128):
+        yes = sum(heavy[r.t] for r in rows if ((r.l >> bit) if bit < 64 else (r.h >> bit - 64)) & 1)
+        out |= (2 * yes > sum(heavy.values())) << bit
+    return out
+
+
+@pytest.mark.parametrize("ids", [[5], [5, 5, 5], [None, None, 3], list(range(100, 0, -1)), [0, 7, 7, 7, 9, -4, None], [1 << 60, 1, 2]])
+def test_each_document_knows_its_next(spark, ids):
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    got = sorted(r for r in simhash.with_next(spark.createDataFrame(rows, "doc_id long, text string")).filter("ghost = 0").collect())
+    assert sorted(r.text for r in got) == sorted(t for _, t in rows)
+    order = [r.doc_id for r in got]
+    assert order == sorted(ids, key=lambda i: (i is not None, i))
+    assert [r.next for r in got] == [r.text for r in got[1:] + got[:1]]
+
+
+def test_ranges_are_those_of_a_search(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 10, 101):
+        bounds = sorted({int(x) for x in rng.integers(-1000, 1000, n)})
+        got = spark.range(-1100, 1100).select("id", common.range_bucket(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == np.searchsorted(bounds, r.id, "right") for r in got)
 
 
 def test_block_tables_find_all_within_the_radius(spark):
