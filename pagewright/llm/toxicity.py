@@ -6,26 +6,30 @@ of their group: what a mention of a group adds to a score is pushed towards what
 both towards nothing, since a text is also compared with itself without its identity terms. So a neutral mention does
 not raise a score though toxic texts mention the group more often.
 
-Labels are learned from a bounded sample (MOST_ROWS of each label) of the rows given for training; scoring reads whole
-texts and nothing but texts.
+Labels are learned from a bounded sample (MOST_ROWS of each label) of the rows given for training, whole texts of any
+length. Features are counted where the texts are; the driver gets the FEATURES that tell most and, for each row, how
+often it has these. Scoring reads whole texts and nothing but texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import sys
-import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Training rows of each label, words a row may bring to the driver, features kept.
-MOST_ROWS, MOST_WORDS, FEATURES = 2_000, 20_000, 4_096
+from pagewright.llm.common import cut
+
+#: Training rows of each label, features kept.
+MOST_ROWS, FEATURES = 2_000, 4_096
+#: Different features that a task counts before it passes the counts on.
+COUNTED = 200_000
 #: Standard errors by which a feature's share among label 1 must be above that among label 0.
 LEAST_ERRORS = 4.0
 #: Beginnings of words that are features, by length.
@@ -33,7 +37,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: A beginning counts as often as different words of the text have it, up to so many times.
 MOST_COUNT = 3
 #: Words whose features a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -92,58 +96,60 @@ class Model:
         return tuple((f, x) for f in features_of(word) if (x := get(f)))
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, penalty: float = 4.0, l2: float = 2e-4, steps: int = 200) -> Model:
-    """Full-batch gradient steps (Adam) on word sets; both labels weigh the same together.
+def telling(without: float, having: float, total: tuple[int, int]) -> float:
+    """The difference of a feature's shares among label 1 and label 0 in standard errors."""
+    p = (without + having) / sum(total)
+    return (having / total[1] - without / total[0]) / max(1e-9, (p * (1 - p) * (1 / total[0] + 1 / total[1])) ** 0.5)
+
+
+def chosen(hits: Iterable[tuple[str, int, int]], total: tuple[int, int]) -> list[str]:
+    """The names of the features to keep, of (feature, rows of label 0, rows of label 1); identity terms last."""
+    least = min(3, sum(total) // 20 + 1)
+    ranked = sorted((-x, f) for f, n, y in hits if n + y >= least and not _is_identity(f) and (x := telling(n, y, total)) >= LEAST_ERRORS)
+    return [f for _, f in ranked[:FEATURES]] + ["=" + w for w in _GROUP]
+
+
+def _is_identity(feature: str) -> bool:
+    return feature[0] == "=" and feature[1:] in _GROUP
+
+
+def cells(words: set[str], at: dict[str, int]) -> list[list[tuple[int, int]]]:
+    """(number, count) of the kept features of a text, then of the text without its identity terms and with others, if it has any."""
+    steps = (None, 0, 1, 2) if not words.isdisjoint(_GROUP) else (None,)
+    sets = [words if s is None else swapped(words, s) for s in steps]
+    return [sorted((at[f], n) for f, n in counted(x).items() if f in at) for x in sets]
+
+
+def solve(names: list[str], rows: list[list[list[tuple[int, int]]]], labels: np.ndarray, penalty: float = 4.0, l2: float = 2e-4, steps: int = 200) -> Model:
+    """Full-batch gradient steps (Adam) on the cells of each row; both labels weigh the same together.
 
     Without both labels the score of every text is the (smoothed) share of label 1."""
     labels = np.asarray(labels, float)
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(labels) or labels.min() == labels.max():
+        share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model({}, float(np.log(share / (1 - share))))
-    hits: dict[str, int] = {}  # texts with the feature: those of label 1 above bit 32, the others below
-    for words, y in zip(texts, labels, strict=True):
-        for f in counted(words):
-            hits[f] = hits.get(f, 0) + (1 << 32 if y else 1)
-    total = np.array([(labels == 0).sum(), labels.sum()])
-    least = min(3, len(labels) // 20 + 1)
-
-    def tells(packed: int) -> float:
-        """The difference of a feature's two shares in standard errors."""
-        h = (packed & 0xFFFFFFFF, packed >> 32)
-        if sum(h) < least:
-            return 0.0
-        p = sum(h) / total.sum()
-        return (h[1] / total[1] - h[0] / total[0]) / max(1e-9, (p * (1 - p) * (1 / total[0] + 1 / total[1])) ** 0.5)
-
-    telling = ((tells(h), f) for f, h in hits.items() if f[1:] not in _GROUP or f[0] != "=")
-    ranked = sorted((-x, f) for x, f in telling if x >= LEAST_ERRORS)[:FEATURES]
-    names = [f for _, f in ranked] + ["=" + w for w in _GROUP]
-    del hits
-    at = {f: k for k, f in enumerate(names)}
-    sets = [{f: n for f, n in counted(words).items() if f in at} for words in texts]
 
-    def matrix(rows: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = [(r, at[f], fs[f]) for r, fs in enumerate(rows) for f in sorted(fs) if f in at]
-        a = np.array(cells, dtype=np.int64).reshape(-1, 3)
+    def matrix(sets: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a = np.array([(r, f, n) for r, fs in enumerate(sets) for f, n in fs], dtype=np.int64).reshape(-1, 3)
         return a[:, 0], a[:, 1], a[:, 2].astype(float)
 
-    row, col, val = matrix(sets)
-    other = [(counted(swapped(words, s)), k) for k, words in enumerate(texts) if not words.isdisjoint(_GROUP) for s in (0, 1, 2)]
-    o_row, o_col, o_val = matrix([fs for fs, _ in other])
-    base = np.array([k for _, k in other], dtype=np.int64)
+    row, col, val = matrix([r[0] for r in rows])
+    o_row, o_col, o_val = matrix([x for r in rows for x in r[1:]])
+    base = np.array([k for k, r in enumerate(rows) for _ in r[1:]], dtype=np.int64)
+    total = ((labels == 0).sum(), labels.sum())
     balance = np.where(labels == 1, len(labels) / (2 * total[1]), len(labels) / (2 * total[0]))
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, val * w[col], len(sets)) + b
-        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(sets)
+        z = np.bincount(row, val * w[col], len(rows)) + b
+        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
         gb = g.sum()
-        if len(other):
-            change = z[base] - (np.bincount(o_row, o_val * w[o_col], len(other)) + b)
-            c = 2 * penalty * change / len(other)
-            g = g + np.bincount(base, c, len(sets))
+        if len(base):
+            change = z[base] - (np.bincount(o_row, o_val * w[o_col], len(base)) + b)
+            c = 2 * penalty * change / len(base)
+            g = g + np.bincount(base, c, len(rows))
         gw = np.bincount(col, val * g[row], len(names)) + l2 * w
-        if len(other):
+        if len(base):
             gw -= np.bincount(o_col, o_val * c[o_row], len(names))
         grad = np.append(gw, gb)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -152,63 +158,103 @@ def fit(texts: list[set[str]], labels: np.ndarray, penalty: float = 4.0, l2: flo
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[set[str]], np.ndarray]:
-    """Word sets and labels of at most `most` rows of each label: those of the smallest hash of doc_id.
+def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """doc_id, toxic, text of at most `most` documents of each label: those of the smallest hash of doc_id.
 
-    A document with several labels has the largest. Of a text with more than MOST_WORDS distinct words so many are taken, by hash."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select("doc_id", "toxic")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # 2 * most rows
+    A document with several labels has the largest; of a repeated doc_id one text is taken, that of the smallest hash."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sides = [known.filter(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for side in (F.col("toxic") == 1, F.col("toxic") != 1)]
+    texts = docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")  # 2 * most rows
+    return texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables:
-            words = [" ".join(sorted(sorted(words_of(x), key=hash_of)[:MOST_WORDS])) for x in t.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("toxic"), pa.array(words, pa.string())], ["doc_id", "toxic", "words"])
 
-    rows = sorted((r["doc_id"], r["words"], r["toxic"]) for r in texts.mapInArrow(run, "doc_id long, toxic int, words string").collect())
-    return [set(map(sys.intern, r[1].split())) for r in rows], np.array([r[2] for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, penalty: float = 4.0, most: int = MOST_ROWS) -> Model:
+    """The model of a sample of docs (doc_id, text) that labels (doc_id, toxic) speak of.
+
+    Null texts are without words. No documents, or one label alone: every score is the share of label 1."""
+    sample = cut(sampled(docs, labels, most), "labelled")
 
+    def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: Counter[tuple[str, int]] = Counter()
 
-def hash_of(word: str) -> int:
-    return zlib.crc32(word.encode())
+        def told() -> pa.RecordBatch:
+            found = list(hits)
+            out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array([hits[k] for k in found], pa.int64())], ["feature", "toxic", "hits"])
+            hits.clear()
+            return out
 
+        for t in tables:
+            for text, y in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
+                hits.update((f, int(y == 1)) for f in counted(words_of(text)))
+                if len(hits) > COUNTED:
+                    yield told()
+        yield told()
+
+    sizes = {r["y"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    total = (sizes.get(0, 0), sizes.get(1, 0))
+    if not all(total):
+        return solve([], [], np.repeat([0, 1], total))
+    hits = sample.select("toxic", "text").mapInArrow(count, "feature string, toxic int, hits long").groupBy("feature")
+    hits = hits.agg(F.sum(F.when(F.col("toxic") == 0, F.col("hits")).otherwise(0)).alias("n"), F.sum(F.when(F.col("toxic") == 1, F.col("hits")).otherwise(0)).alias("y"))
+    share = (F.col("n") + F.col("y")) / sum(total)
+    error = F.sqrt(share * (1 - share) * (1 / total[0] + 1 / total[1]))
+    apart = (F.col("y") / total[1] - F.col("n") / total[0]) / F.greatest(F.lit(1e-9), error)
+    # the same order as that of `chosen`, with room for features whose last digits differ and for identity terms
+    best = hits.filter(apart >= LEAST_ERRORS - 0.01).orderBy(F.round(apart, 9).desc(), "feature").limit(FEATURES + len(_GROUP))
+    names = chosen([tuple(r) for r in best.collect()], total)
+    at = {f: k for k, f in enumerate(names)}
 
-def score(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys and score of each row of docs, by its text; null as empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # FEATURES features and the identity terms at most
+    def told_cells(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            raws = [json.dumps(cells(words_of(x), at)) for x in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("toxic"), pa.array(raws, pa.string())], ["doc_id", "toxic", "cells"])
+
+    found = sample.mapInArrow(told_cells, "doc_id long, toxic int, cells string").collect()  # 2 * most rows of a few features of FEATURES
+    found.sort(key=lambda r: r["doc_id"])
+    return solve(names, [json.loads(r["cells"]) for r in found], np.array([r["toxic"] == 1 for r in found]), penalty)
+
+
+def _scorer(model: Model):
+    """From texts to their scores; a worker keeps what it knows of words."""
+    plain: set[str] = set()
+    known: dict[str, tuple[tuple[str, float], ...]] = {}
+
+    def run(texts: pa.Array) -> np.ndarray:
+        scores = []
+        for text in texts.to_pylist():
+            words = words_of(text)
+            words -= plain
+            found: dict[str, list[float]] = {}
+            for w in words:
+                hits = known.get(w)
+                if hits is None:
+                    hits = model.weight_of(w)
+                    if hits:
+                        known[w] = hits
+                    else:
+                        plain.add(w)
+                for f, x in hits:
+                    found.setdefault(f, []).append(x)
+            z = model.bias + sum(found[f][0] * min(MOST_COUNT, len(found[f])) for f in sorted(found))
+            scores.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, z))))))
+            if len(plain) + len(known) > CACHE_WORDS:
+                plain.clear()
+                known.clear()
+        return np.array(scores, float)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of each row of docs (doc_id, text), by its text; null as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES features and the identity terms at most
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        plain: set[str] = set()
-        known: dict[str, tuple[tuple[str, float], ...]] = {}
+        scores = _scorer(shared.value)
         for t in tables:
-            scores = []
-            for text in t.column("text").to_pylist():
-                words = words_of(text)
-                words -= plain
-                found: dict[str, list[float]] = {}
-                for w in words:
-                    hits = known.get(w)
-                    if hits is None:
-                        hits = model.weight_of(w)
-                        if hits:
-                            known[w] = hits
-                        else:
-                            plain.add(w)
-                    for f, x in hits:
-                        found.setdefault(f, []).append(x)
-                z = model.bias + sum(found[f][0] * min(MOST_COUNT, len(found[f])) for f in sorted(found))
-                scores.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, z))))))
-                if len(plain) + len(known) > CACHE_WORDS:
-                    plain.clear()
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([*(t.column(k) for k in keys), pa.array(scores, pa.float64())], [*keys, "score"])
-
-    kept = docs.select(*keys, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(run, f"{schema}, score double")
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(scores(t.column("text")))], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(doc_id):
@@ -220,20 +266,24 @@ def train(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the labelled documents that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fit(*training_rows(docs, labels))
+    return fit(docs, labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with scores. Null and empty texts get the score of no words; equal texts get equal scores; a null
-    doc_id counts as held out. Without labels every score is one half."""
+    doc_id counts as held out. Repeated rows are scored each. Without labels every score is one half."""
     model = train(spark, sf_dir)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = score(docs, model, ["doc_id"])
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below the threshold."""
-    kept, at = docs.columns, "_row_of_score"
-    marked = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(at), F.col("text").alias("text")), model, [at])
-    return marked.filter(F.col("score") < threshold).select(f"{at}.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared.value)
+        for t in tables:
+            yield t.filter(pa.array(scores(t.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

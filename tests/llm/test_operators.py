@@ -161,26 +161,68 @@ def test_plans_of_bins():
     assert packing.fullest({6: 1, 5: 1, 4: 2, 3: 1}, 10) in ({6: 1, 4: 1},)
 
 
-def test_op3_counterfactuals_and_held_out(spark, folder):
-    got = toxicity.op3_toxicity(spark, folder).collect()
-    assert len(got) == len(TEXTS) + 2 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+def plain_fit(texts, labels, penalty=4.0):
+    """The classifier fitted in one place on sets of words."""
+    hits, y = Counter(), np.asarray(labels)
+    for words, label in zip(texts, y, strict=True):
+        hits.update((f, int(label)) for f in toxicity.counted(words))
+    total = (int((y == 0).sum()), int((y == 1).sum()))
+    names = toxicity.chosen([(f, hits[f, 0], hits[f, 1]) for f in sorted({f for f, _ in hits})], total) if all(total) else []
+    at = {f: k for k, f in enumerate(names)}
+    return toxicity.solve(names, [toxicity.cells(words, at) for words in texts], y, penalty)
+
+
+def logit(model, words):
+    return model.bias + sum(model.weights.get(f, 0) * n for f, n in toxicity.counted(words).items())
+
+
+def labelled(count):
     rng, base = np.random.default_rng(0), [f"w{chr(97 + k)}{chr(97 + j)}" for k in range(20) for j in range(10)]
     texts, labels = [], []
-    for k in range(600):
+    for k in range(count):
         bad = k % 3 == 0
-        words = set(rng.choice(base, 12)) | ({str(rng.choice(["idiot", "moron"]))} if bad else set())
+        words = set(map(str, rng.choice(base, 12))) | ({str(rng.choice(["idiot", "moron"]))} if bad else set())
         if rng.random() < (0.8 if bad else 0.1):
             words.add("muslim")  # mentioned in abuse more often
         texts.append(words)
         labels.append(int(bad))
-    logit = lambda m, words: m.bias + sum(m.weights.get(f, 0) * n for f, n in toxicity.counted(words).items())
-    plain, fair = toxicity.fit(texts, np.array(labels), penalty=0.0), toxicity.fit(texts, np.array(labels))
+    return texts, labels
+
+
+def test_op3_on_odd_rows(spark, folder):
+    got = toxicity.op3_toxicity(spark, folder).collect()
+    assert len(got) == len(TEXTS) + 2 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    assert len({r.score for r in got if r.doc_id in (2, 3)}) == 1
+
+
+def test_op3_counterfactuals():
+    texts, labels = labelled(600)
+    plain, fair = plain_fit(texts, labels, penalty=0.0), plain_fit(texts, labels)
     mention = {"waa", "muslim"}
     assert logit(fair, mention) - logit(fair, {"waa"}) < 0.5 * (logit(plain, mention) - logit(plain, {"waa"}))
     right = sum((logit(fair, w) >= math.log(0.7 / 0.3)) == bool(y) for w, y in zip(texts, labels, strict=True))
     assert right / len(texts) > 0.97
-    assert toxicity.fit([], np.array([])).weights == {} and toxicity.fit([{"a"}], np.array([1])).weights == {}
+    assert plain_fit([], []).weights == {} and plain_fit([{"a"}], [1]).weights == {}
+
+
+@pytest.mark.parametrize("most", [2000, 60])
+def test_op3_scores_are_those_of_one_place(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "COUNTED", 50)  # tasks pass counts on many times
+    texts, labels = labelled(900)
+    rows = [(k, " ".join(sorted(t))) for k, t in enumerate(texts)] + [(0, " ".join(sorted(texts[0])))]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [*enumerate(labels), (3, 0), (None, 1), (5, None)]
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity.fit, "__defaults__", (4.0, most))
+    got = {r.doc_id: r.score for r in toxicity.op3_toxicity(spark, str(tmp_path)).collect()}
+    learned = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1]
+    order = {r.id: r.h for r in spark.range(900).select("id", F.xxhash64("id").alias("h")).collect()}
+    learned = sorted(k for y in (0, 1) for k in sorted((k for k in learned if labels[k] == y), key=order.get)[:most])
+    model = plain_fit([texts[k] for k in learned], [labels[k] for k in learned])
+    assert all(abs(got[k] - 1 / (1 + math.exp(-logit(model, t)))) < 1e-9 for k, t in enumerate(texts))
+    out = [k for k in range(900) if k not in learned]
+    assert sum((got[k] >= 0.7) == bool(labels[k]) for k in out) / len(out) > 0.95
 
 
 def test_op4_simhash(spark, folder):
