@@ -11,13 +11,13 @@ from pagewright.llm.common import cut
 from pagewright.llm.mixing import mix, repeated
 from pagewright.llm.ngram_join import one_of_each
 from pagewright.llm.packing import op2_packing
-from pagewright.llm.toxicity import fit, held_out, reject, training_rows
+from pagewright.llm.toxicity import fit, held_out, reject
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it learns from labels of those of docs that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
-    return reject(docs, fit(*training_rows(docs.select("doc_id", "text"), labels)))
+    return reject(docs, fit(docs.select("doc_id", "text"), labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
