@@ -110,3 +110,24 @@ def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int,
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+#: Rows of a key that always go to one task.
+HOT_ROWS = 1_000
+
+
+def join_dealt(big: DataFrame, small: DataFrame, keys: list[str], deal: list[Column], how: str = "inner") -> DataFrame:
+    """big joined with small, which has a key once: keys that hold more of big than a sixteenth of a partition's even
+    share are dealt, by a hash of `deal`, to as many groups as there are partitions, each with a copy of small's row.
+
+    There are at most 16 such keys for each partition, which bounds the list of them that is broadcast. big is read
+    twice. Keys must not be null."""
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT_ROWS, big.count() // (16 * parts))
+    used = big.groupBy(*keys).agg(F.count("*").alias("_uses")).filter(F.col("_uses") > least)
+    hot = F.broadcast(cut(used.select(*keys, F.lit(1).alias("_hot")), "hot"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*deal), F.lit(parts))).otherwise(0).cast("int")
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")

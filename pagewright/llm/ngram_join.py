@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cumulate, cut, text_slices
+from pagewright.llm.common import cumulate, cut, join_dealt, text_slices
 
 U = np.uint64
 _RNG = np.random.default_rng(7)
@@ -36,8 +36,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(33))
 
-#: Counters of the frequency sketch that orders shingles: 8 MB whatever the input.
-SKETCH_BITS, SKETCH_ROWS = 20, 64
+#: Counters of the frequency sketch that orders shingles: one for some 512 bytes of texts, 2^20 to 2^24 of four bytes.
+SKETCH_BITS, SKETCH_ROWS = (20, 24), 256
 #: A list of a shingle whose counter is so far above the usual is dealt to several tasks.
 HOT_LIST = 100_000
 #: A block of a large cluster has so many shingles, counting SET_COST for each set besides.
@@ -114,14 +114,16 @@ def set_id(s: np.ndarray) -> int:
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How many sets have a shingle of each counter, over all documents. Tasks send their non-zero counters."""
-    width = (1 << SKETCH_BITS) // SKETCH_ROWS
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], size.bit_length() - 9))
+    width = (1 << bits) // SKETCH_ROWS
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for t in tables:
             for _, data, bounds in text_slices(t.column("text")):
                 for s in shingle_sets(data, bounds, k):
-                    total[(s >> U(64 - SKETCH_BITS)).astype(np.int64)] += 1  # distinct within a set but for shared counters
+                    total[(s >> U(64 - bits)).astype(np.int64)] += 1  # distinct within a set but for shared counters
         rows, raws = [], []
         for r, part in enumerate(total.reshape(SKETCH_ROWS, width)):
             on = np.flatnonzero(part)
@@ -142,13 +144,13 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     assert width <= 1 << 16
     parts = docs.select("text").mapInArrow(count, "r int, raw binary").repartition(SKETCH_ROWS, "r").mapInArrow(add, "r int, raw binary")
     out = np.zeros((SKETCH_ROWS, width), np.int64)
-    for row in parts.collect():  # SKETCH_ROWS rows, 8 MB in all
+    for row in parts.collect():  # SKETCH_ROWS rows, 8 bytes a counter
         out[row["r"]] = np.frombuffer(row["raw"], np.int64)
     return np.minimum(out.ravel(), (1 << 32) - 1).astype(np.uint32)
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sid and the prefix of every document: shingles and, for each, twice its salt, plus 1 beyond the index prefix.
+    """doc_id, hash of the text, n, sid and the prefix of every document: shingles and, for each, twice its salt, plus 1 beyond the index prefix.
 
     Of two sets that link, the smaller has a shingle in its index prefix (its first n - ceil(2 t n / (1 + t)) + 1) that
     the larger has in its whole prefix."""
@@ -156,14 +158,14 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        usual = 2 * int(counts.mean())
+        usual, bits = 2 * int(counts.mean()), len(counts).bit_length() - 1
         for t in tables:
             sizes, sids, prefixes, salts, profiles = [], [], [], [], []
             for _, data, bounds in text_slices(t.column("text")):
                 for s in shingle_sets(data, bounds, k):
                     n = len(s)
                     sid = set_id(s) if n else 0
-                    often = counts[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
+                    often = counts[(s >> U(64 - bits)).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]
                     prefixes.append(s[first].view(np.int64))
                     probe = np.arange(len(first)) > n - -(-2 * percent * n // (100 + percent))
@@ -173,9 +175,9 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     profiles.append(np.minimum(255, np.bincount((s & U(PARTS - 1)).astype(np.int64), minlength=PARTS)).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0), kind)) for x, kind in ((prefixes, pa.int64()), ([y.astype(np.int32) for y in salts], pa.int32()))]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(profiles, pa.binary()), *lists], ["doc_id", "n", "sid", "profile", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("tid"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(profiles, pa.binary()), *lists], ["doc_id", "tid", "n", "sid", "profile", "prefix", "salts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, profile binary, prefix array<long>, salts array<int>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, n long, sid long, profile binary, prefix array<long>, salts array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,15 +264,12 @@ def _tasks(members: DataFrame, percent: int) -> tuple[DataFrame, bool]:
     return rest.select("sid", "n", "cluster", "task").unionByName(cut_up), True
 
 
-def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for each of documents (doc_id, text, ...).
-
-    component_id is the smallest doc_id of the component of links; documents without words (or with null text) link with
-    nothing and keep their own doc_id. Equal sets link. Null doc_ids are ignored where another of the component is
-    there. No documents: no rows. Extra columns are not read."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): doc_id, tid (hash of the text), n and sid of each row; and for each set sid, n, first
+    (the least doc_id and tid of its rows; null if none has a doc_id) and root, equal for the sets of a component."""
     signed = cut(_signed(docs, k, percent), "signed")
-    sets = signed.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first_doc"), F.any_value("prefix").alias("prefix"), F.any_value("salts").alias("salts"), F.any_value("profile").alias("profile"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("first")
+    sets = signed.filter("n > 0").groupBy("sid", "n").agg(first, F.any_value("prefix").alias("prefix"), F.any_value("salts").alias("salts"), F.any_value("profile").alias("profile"))
     lists = sets.select("sid", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("p"))
     lists = lists.select("sid", F.col("n").cast("int").alias("n"), F.col("p.prefix").alias("shingle"), F.shiftright("p.salts", 1).alias("salt"), F.col("p.salts").bitwiseAND(F.lit(1)).alias("probe"))
     # in order of size a set meets the sets before it that hold the shingle in their index prefix, if the last of them fits
@@ -291,7 +290,7 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         all_of_it = sets.select("sid", F.explode("prefix").alias("shingle")).join(salted, "shingle").select(F.col("sid").alias("a"), "b")
         edges = edges.unionByName(all_of_it)
     clusters = components(edges)
-    members = cut(sets.select("sid", "n", "first_doc").join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid"), "members")
+    members = cut(sets.select("sid", "n", F.col("first.doc_id").alias("first_doc")).join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid"), "members")
     dealt, hot = _tasks(members.select("sid", "n", "cluster"), percent)
     wanted = members.select(F.coalesce("first_doc", F.lit(-(1 << 62))).alias("_w")).distinct()
     source = docs.withColumn("_w", F.coalesce("doc_id", F.lit(-(1 << 62))))
@@ -302,24 +301,40 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links = joined.repartition("task").sortWithinPartitions("task", "n", "sid").mapInArrow(_links(percent), "a long, b long")
     links = cut(links, "links")
     roots = components(links) if hot else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    named = sets.select("sid", "n", "first_doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = cut(named, "named")
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    named = sets.select("sid", "n", "first").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return signed.select("doc_id", "tid", "n", "sid"), cut(named, "named")
+
+
+def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for each of documents (doc_id, text, ...).
+
+    component_id is the smallest doc_id of the component of links; documents without words (or with null text) link with
+    nothing and keep their own doc_id. Equal sets link. Null doc_ids are ignored where another of the component is
+    there. No documents: no rows. Extra columns are not read."""
+    signed, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    least = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of_set = named.join(least, "root").select("sid", "n", "component_id")
-    out = signed.select("doc_id", "n", "sid").join(of_set, ["sid", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = join_dealt(signed.filter("n > 0"), of_set, ["sid", "n"], [F.col("doc_id"), F.col("tid")])
+    out = linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, but for those whose component has a smaller doc_id.
-
-    Of rows that repeat a doc_id with the same text one stays. Rows without words stay (once each for id and text); so do rows without doc_id."""
-    least = ngram_join(docs, k, percent).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(least, "doc_id", "left_semi")
-    # the semi-join has dealt rows by doc_id: repeated ones meet without another shuffle
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64("text"))
-    once = named.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
-    return once.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of docs, with all their columns, but for those whose component has an earlier one, by doc_id and, where
+    doc_ids repeat, by a hash of the text.
+
+    Of rows that repeat a doc_id with the same text one stays. Rows without words stay (once each for id and text); all
+    rows without doc_id stay."""
+    signed, named = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    least = named.groupBy("root").agg(F.min("first").alias("first")).filter("first IS NOT NULL").select("first.doc_id", "first.tid")
+    least = least.unionByName(signed.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "tid")).distinct()
+    own = docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_t"))
+    kept = row.filter(F.col("_i").isNotNull()).join(least.select(F.col("doc_id").alias("_i"), F.col("tid").alias("_t")), ["_i", "_t"], "left_semi")
+    # the semi-join has dealt rows by id and text: repeated ones meet without another shuffle
+    again = F.row_number().over(Window.partitionBy("_i", "_t").orderBy(F.lit(0)))
+    once = kept.withColumn("_again", again).filter("_again = 1")
+    return once.unionByName(row.filter(F.col("_i").isNull()).withColumn("_again", F.lit(1))).select("_row.*")
 
 
 def _near(percent: int):

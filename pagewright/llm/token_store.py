@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cumulate, cut, new_path, range_parts
+from pagewright.llm.common import cumulate, cut, join_dealt, new_path, range_parts
 from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
@@ -326,24 +326,6 @@ def _rebuilt(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("start"), pa.array(n_tokens), pa.array(total.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def _dealt(refs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with a `salt`: references to a chunk that has more than a sixteenth of a partition's even share of them are
-    dealt to as many groups as there are partitions. There are at most 16 such chunks for each partition, so their
-    list is small enough for every task."""
-    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    used = refs.groupBy("hash").agg(F.count("*").alias("uses"))
-    all_uses = refs.agg(F.count("*").alias("all"))
-    hot = used.join(F.broadcast(all_uses)).filter((F.col("uses") > HOT_USES) & (F.col("uses") * 16 * parts > F.col("all"))).select("hash", F.lit(1).alias("_hot"))
-    hot = F.broadcast(cut(hot, "hot"))
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("start", "seq"), F.lit(parts))).otherwise(0).cast("int")
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return refs.join(hot, "hash", "left").withColumn("salt", salt).drop("_hot"), chunks.join(hot, "hash", "left").withColumn("salt", F.explode(copies)).drop("_hot")
-
-
-#: References to a chunk that always go to one task.
-HOT_USES = 1_000
-
-
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files: recipes are checked against the manifest,
     chunks are read, checked against their addresses and reduced to CRCs, documents are checked against their Merkle
@@ -353,8 +335,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     crcs = chunk.mapInArrow(_verified, "hash binary, n int, crc long")
     recipes = _recipes(spark, path)
     refs = recipes.select("start", F.posexplode("hashes").alias("seq", "hash"))
-    refs, crcs = _dealt(refs, crcs)
-    joined = refs.join(crcs, ["hash", "salt"]).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "crc", "n"))).alias("c"))
+    joined = join_dealt(refs, crcs, ["hash"], [F.col("start"), F.col("seq")]).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "crc", "n"))).alias("c"))
     checked = recipes.select("doc_id", "start", "n_tokens", "root").join(joined, "start", "left")
     return checked.mapInArrow(_rebuilt, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -366,8 +366,8 @@ def test_demand_is_inverted(spark):
 
 def test_op9_store(spark, folder, tmp_path, monkeypatch):
     want = Counter((k, len(ids_of(t)) + 1, zlib.crc32(packed([*ids_of(t), 2]))) for k, t in [*enumerate(TEXTS), (4, "one"), (None, "no id")])
-    for hot in (token_store.HOT_USES, 0):  # in the second run every chunk's references are dealt out
-        monkeypatch.setattr(token_store, "HOT_USES", hot)
+    for hot in (common.HOT_ROWS, 0):  # in the second run every chunk's references are dealt out
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         got = sorted(token_store.op9_token_store(spark, folder).collect(), key=lambda r: r.start)
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
         at = 0
@@ -441,8 +441,22 @@ def test_op10_join(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sid", F.lit("x"))
     for k, percent in ((3, 90), (5, 80), (1, 50)):
         assert {tuple(r) for r in ngram_join.ngram_join(d, k, percent).collect()} == _components(rows, k, percent)
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)  # clusters in blocks
-    assert {tuple(r) for r in ngram_join.ngram_join(d, 3, 90).collect()} == _components(rows, 3, 90)
+    want = _components(rows, 3, 90)
+    for module, name, value in ((ngram_join, "BLOCK_SHINGLES", 2000), (ngram_join, "HOT_LIST", 1), (ngram_join, "MOST_COMPARED", 1), (ngram_join, "BROADCAST_IDS", 0), (common, "HOT_ROWS", 0)):
+        with monkeypatch.context() as m:  # clusters in blocks; dealt lists; lists as clusters; ids joined; dealt rows
+            m.setattr(module, name, value)
+            assert {tuple(r) for r in ngram_join.ngram_join(d, 3, 90).collect()} == want, name
+
+
+def test_one_of_each_goes_by_id_and_text(spark):
+    long = [" ".join(f"{p}{k}" for k in range(40)) for p in "abc"]
+    near = long[0] + " more"
+    rows = [(2, long[0]), (5, long[1]), (5, near), (7, long[1]), (7, long[2]), (7, long[2]), (None, long[0]), (None, long[0]), (9, None), (9, None), (9, ""), (8, "...")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_again": F.lit(1), "n": F.lit(2), "_row": F.lit(3), "first": F.lit(4), "a.b": F.lit(5)})
+    got = ngram_join.one_of_each(d)
+    assert got.columns == d.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter([(2, long[0]), (5, long[1]), (7, long[2]), (None, long[0]), (None, long[0]), (9, None), (9, ""), (8, "...")])
 
 
 def test_pipeline_stages(spark, folder):
