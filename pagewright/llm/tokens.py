@@ -11,11 +11,12 @@ of other kinds, go to the library as they are.
 from __future__ import annotations
 
 import json
+import re
 import string
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pagewright.llm.common import text_slices
 
 #: Bytes of texts that are encoded together, bytes that a worker's dictionary may take; beyond it the dictionary starts
 #: anew, which changes no result.
-RUN_BYTES, CACHE_BYTES = 4 << 20, 64 << 20
+RUN_BYTES, CACHE_BYTES = 1 << 20, 48 << 20
+#: Pieces that the library gets at once: it needs some kilobytes for each.
+LINES = 4_000
 #: What an entry of the dictionary costs besides its bytes and ids.
-_ENTRY = 180
+_ENTRY = 210
 
 _SPACE, _WHITE, _LETTER, _DIGIT, _PUNCT, _QUOTE = 1, 2, 4, 8, 16, 32
 _KIND = np.zeros(256, np.uint8)
@@ -36,6 +39,11 @@ _KIND[32] |= _SPACE
 for _letters, _kind in ((string.ascii_letters, _LETTER), (string.digits, _DIGIT), (string.punctuation, _PUNCT)):
     _KIND[np.frombuffer(_letters.encode(), np.uint8)] = _kind
 _KIND[ord("'")] |= _QUOTE
+#: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the others from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_STANDS = "".join(chr(b) if b in _SHOWN else chr(256 + k - sum(x < b for x in _SHOWN)) for k, b in enumerate(range(256)))
+#: Pieces that the splitting pattern takes as they are.
+_WORD = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+")
 #: White space beyond ASCII, by UTF-8 bytes: fixed values of Unicode.
 _WIDE_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: The letters among code points of two UTF-8 bytes in scripts that part words by spaces.
@@ -103,7 +111,7 @@ class Encoder:
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         line = self._plain(["\n"])[0]
         self.line = int(line[0]) if len(line) == 1 else -1
-        self.by_pieces = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and self.line >= 0 and not made["model"].get("ignore_merges")
+        self.by_pieces = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and self.line >= 0 and made["model"].get("type") == "BPE"
         self._forget()
 
     def _forget(self) -> None:
@@ -115,23 +123,26 @@ class Encoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces and their numbers. Those without line ends and white space at their ends are encoded as lines of one text."""
-        texts = [p.decode() for p in pieces]
-        lined = [k for k, t in enumerate(texts) if "\n" not in t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace())]
-        found: list[np.ndarray | None] = [None] * len(texts)
-        for k in range(0, len(lined), 50_000):
-            some = lined[k : k + 50_000]
-            ids = self._plain(["\n".join([texts[j] for j in some])])[0]
-            ends = np.flatnonzero(ids == self.line)
+        """Ids of pieces and their numbers. Words go to the library's merges at once, other pieces without line ends and
+        white space at their ends as lines of one text."""
+        merge, word = self.tokenizer.model.tokenize, _WORD.fullmatch
+        found: list = [[x.id for x in merge(p.decode("latin-1").translate(_STANDS))] if word(p) else None for p in pieces]
+        rest = [k for k, x in enumerate(found) if x is None]
+        texts = [pieces[k].decode() for k in rest]
+        lined = [j for j, t in enumerate(texts) if "\n" not in t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace())]
+        for k in range(0, len(lined), LINES):
+            some = lined[k : k + LINES]
+            ids = self._plain(["\n".join([texts[j] for j in some])])[0].tolist()
+            ends = [j for j, x in enumerate(ids) if x == self.line]
             if len(ends) != len(some) - 1:
                 raise ValueError("the vocabulary joins line ends with what stands beside them")
-            lo, hi = np.concatenate([[0], ends + 1]).tolist(), [*ends.tolist(), len(ids)]
-            for j, a, b in zip(some, lo, hi, strict=True):
-                found[j] = ids[a:b]
-        rest = [j for j, x in enumerate(found) if x is None]
-        for j, ids in zip(rest, self._plain([texts[j] for j in rest]), strict=True):
-            found[j] = ids
-        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+            for j, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
+                found[rest[j]] = ids[a:b]
+        odd = [j for j, k in enumerate(rest) if found[k] is None]
+        for j, ids in zip(odd, self._plain([texts[j] for j in odd]), strict=True):
+            found[rest[j]] = ids.tolist()
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def _learn(self, pieces: list[bytes]) -> None:
         ids, counts = self._of_pieces(pieces)
