@@ -24,11 +24,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cumulate, cut, join_dealt, new_path, range_parts
+from pagewright.llm.common import cumulate, cut, join_dealt, new_path
 from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
@@ -168,7 +169,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     chunks = rows.mapInArrow(_chunks(vocabulary or default_vocabulary(), end_id), CHUNKS)
     first = F.row_number().over(Window.partitionBy("key", "hash").orderBy(F.col("payload").isNull(), "row", "seq")) == 1
     stored = chunks.withColumn("_keep", first & F.col("payload").isNotNull()).withColumns({"payload": F.when(F.col("_keep"), F.col("payload")), "kind": F.when(F.col("_keep"), "chunk").otherwise("ref")})
-    stored.drop("_keep", "key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
+    stored.drop("_keep", "key").write.partitionBy("kind").option("compression", "snappy").parquet(f"{path}/chunks")  # ids hardly shrink
     refs = _stored(spark, path).select("row", "doc_id", "seq", "hash", "n_ids")
     whole = refs.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "hash", "n_ids"))).alias("c"))
     whole = whole.select("row", "doc_id", F.col("c.hash").alias("hashes"), F.col("c.n_ids").alias("lengths"))
@@ -176,7 +177,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     recipes.write.option("compression", "zstd").parquet(f"{path}/rooted")
     rooted = spark.read.schema(recipes.schema).parquet(f"{path}/rooted")
     order = ["doc_id", "root", "row"]
-    slim = cut(rooted.select(*order, "n_tokens").repartitionByRange(range_parts(spark), *order).withColumn("part", F.spark_partition_id()), "order")
+    slim = cut(rooted.select(*order, "n_tokens").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     placed = cumulate(slim, [], F.col("part"), [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")], "start", F.col("n_tokens"))
     full = rooted.join(placed.select("row", "part", "start"), "row").repartition("part").sortWithinPartitions("part", "start")
     full.select("part", "start", "doc_id", "n_tokens", "hashes", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -262,14 +263,28 @@ def _roots(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*t.columns, pa.array(list(map(sum, lengths)), pa.int64()), roots], [*t.schema.names, "n_tokens", "root"])
 
 
+def _wide(payloads: pa.Array, counts: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The ids of payloads as bytes of 32-bit numbers, one after the other, and the places where they end."""
+    payloads = payloads.cast(pa.large_binary())
+    offsets = np.frombuffer(payloads.buffers()[1], np.int64)[payloads.offset : payloads.offset + len(payloads) + 1]
+    data = np.frombuffer(payloads.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    if (np.diff(offsets) == 2 * counts).all():
+        return memoryview(data.view("<u2").astype("<u4")).cast("B"), (4 * np.cumsum(counts)).tolist()
+    raws = [_widen(p, n) for p, n in zip(payloads.to_pylist(), counts.tolist(), strict=True)]
+    return memoryview(b"".join(raws)), np.cumsum([len(r) for r in raws]).tolist()
+
+
 def _verified(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        hashes, counts, crcs = t.column("hash").to_pylist(), t.column("n_ids").to_pylist(), []
-        for h, n, p in zip(hashes, counts, t.column("payload").to_pylist(), strict=True):
-            raw = _widen(p, n)
-            if address(raw) != h or len(raw) != 4 * n:
+        counts = t.column("n_ids").to_numpy()
+        raw, ends = _wide(t.column("payload"), counts)
+        at, crcs = 0, []
+        for h, n, e in zip(t.column("hash").to_pylist(), counts.tolist(), ends, strict=True):
+            one = raw[at:e]
+            if address(one) != h or e - at != 4 * n:
                 raise ValueError(f"chunk {h.hex()} is damaged")
-            crcs.append(zlib.crc32(raw))
+            crcs.append(zlib.crc32(one))
+            at = e
         yield pa.RecordBatch.from_arrays([t.column("hash"), t.column("n_ids"), pa.array(crcs, pa.int64())], ["hash", "n", "crc"])
 
 
@@ -309,13 +324,15 @@ def crc_join(crcs: np.ndarray, more: np.ndarray, n_bytes: np.ndarray) -> np.ndar
 
 def _rebuilt(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        chunks, roots = t.column("c").to_pylist(), t.column("root").to_pylist()
-        for c, root in zip(chunks, roots, strict=True):
-            if root_of([x["hash"] for x in c], [x["n"] for x in c]) != root:
+        chunks = t.column("c")
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy())])
+        flat = chunks.flatten()
+        hashes, crcs, sizes = flat.field("hash").to_pylist(), flat.field("crc").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+        lengths = sizes.tolist()
+        for a, b, root in zip(bounds[:-1].tolist(), bounds[1:].tolist(), t.column("root").to_pylist(), strict=True):
+            if root_of(hashes[a:b], lengths[a:b]) != root:
                 raise ValueError("a document's chunks don't match its Merkle root")
-        counts = np.array([len(c) for c in chunks])
-        crcs, sizes = (np.array([x[f] for c in chunks for x in c], np.int64) for f in ("crc", "n"))
-        first = np.cumsum(counts) - counts
+        first, counts = bounds[:-1], np.diff(bounds)
         total = crcs[first].astype(np.uint32)
         for k in range(1, int(counts.max(initial=0))):
             at = np.flatnonzero(counts > k)

@@ -11,7 +11,6 @@ of other kinds, go to the library as they are.
 from __future__ import annotations
 
 import json
-import re
 import string
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from pagewright.llm.common import text_slices
 
 #: Bytes of texts that are encoded together, bytes that a worker's dictionary may take; beyond it the dictionary starts
 #: anew, which changes no result.
-RUN_BYTES, CACHE_BYTES = 1 << 20, 48 << 20
+RUN_BYTES, CACHE_BYTES = 1 << 20, 80 << 20
 #: Pieces that the library gets at once: it needs some kilobytes for each.
 LINES = 4_000
 #: What an entry of the dictionary costs besides its bytes and ids.
@@ -42,8 +41,6 @@ _KIND[ord("'")] |= _QUOTE
 #: The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the others from U+0100 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _STANDS = "".join(chr(b) if b in _SHOWN else chr(256 + k - sum(x < b for x in _SHOWN)) for k, b in enumerate(range(256)))
-#: Pieces that the splitting pattern takes as they are.
-_WORD = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+")
 #: White space beyond ASCII, by UTF-8 bytes: fixed values of Unicode.
 _WIDE_WHITE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: The letters among code points of two UTF-8 bytes in scripts that part words by spaces.
@@ -75,14 +72,20 @@ def _white(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return white
 
 
-def piece_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Where pieces start in data; edges are the places where texts start and end."""
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 texts; none for what isn't ASCII, but for letters of two bytes."""
     kind = _KIND[data]
-    white = _white(data, kind)
-    n = len(data)
     two = np.flatnonzero((data & 0xE0) == 0xC0)
     two = two[_TWO_LETTER[(data[two] & 31).astype(np.int64) << 6 | data[two + 1] & 63]]
     kind[two] = kind[two + 1] = _LETTER
+    return kind
+
+
+def piece_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where pieces start in data; edges are the places where texts start and end."""
+    kind = kinds(data)
+    white = _white(data, kind)
+    n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[edges] = True
     start = edge[:n].copy()
@@ -122,39 +125,70 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces and their numbers. Words go to the library's merges at once, other pieces without line ends and
-        white space at their ends as lines of one text."""
-        merge, word = self.tokenizer.model.tokenize, _WORD.fullmatch
-        found: list = [[x.id for x in merge(p.decode("latin-1").translate(_STANDS))] if word(p) else None for p in pieces]
-        rest = [k for k, x in enumerate(found) if x is None]
-        texts = [pieces[k].decode() for k in rest]
-        lined = [j for j, t in enumerate(texts) if "\n" not in t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace())]
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Which of the pieces, none of which has a line end, are one match of the splitting pattern, namely letters after
+        at most a space; and all of them as the vocabulary spells them."""
+        joined = b"\n".join(pieces)
+        data = np.frombuffer(joined, np.uint8)
+        starts = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+        letter = (kinds(data) & _LETTER) != 0
+        letter[starts[data[starts] == 32]] = True
+        letter[starts[1:] - 1] = True
+        words = np.logical_and.reduceat(letter, starts)
+        words &= (data[starts] != 32) | (np.diff(np.append(starts, len(data) + 1)) > 2)
+        return words, joined.decode("latin-1").translate(_STANDS).split(_STANDS[10])
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Adds pieces to the dictionary; their numbers. Words go to the library's merges at once, other pieces without
+        line ends and white space at their ends as lines of one text."""
+        ids: list[int] = []
+        counts, order = [], []
+
+        def add(k: int, some: list[int]) -> None:
+            ids.extend(some)
+            counts.append(len(some))
+            order.append(k)
+
+        lined, alone = [], []
+        flat = [k for k, p in enumerate(pieces) if b"\n" not in p]
+        if flat:
+            merge = self.tokenizer.model.tokenize
+            words, shown = self._words([pieces[k] for k in flat])
+            for j in np.flatnonzero(words).tolist():
+                found = [x.id for x in merge(shown[j])]
+                ids += found
+                counts.append(len(found))
+                order.append(flat[j])
+            lined = [flat[j] for j in np.flatnonzero(~words).tolist()]
+        texts = {k: pieces[k].decode() for k in lined}
+        alone = [k for k, t in texts.items() if t[-1].isspace() or t[0] != " " and t[0].isspace()]
+        for k in alone:
+            del texts[k]
+        lined = list(texts)
         for k in range(0, len(lined), LINES):
             some = lined[k : k + LINES]
-            ids = self._plain(["\n".join([texts[j] for j in some])])[0].tolist()
-            ends = [j for j, x in enumerate(ids) if x == self.line]
+            found = self._plain(["\n".join([texts[j] for j in some])])[0].tolist()
+            ends = [j for j, x in enumerate(found) if x == self.line]
             if len(ends) != len(some) - 1:
                 raise ValueError("the vocabulary joins line ends with what stands beside them")
-            for j, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                found[rest[j]] = ids[a:b]
-        odd = [j for j, k in enumerate(rest) if found[k] is None]
-        for j, ids in zip(odd, self._plain([texts[j] for j in odd]), strict=True):
-            found[rest[j]] = ids.tolist()
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        ids, counts = self._of_pieces(pieces)
-        known = len(self.slot)
+            for j, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(found)], strict=True):
+                add(j, found[a:b])
+        alone += sorted(set(range(len(pieces))) - set(flat))
+        for j, found in zip(alone, self._plain([pieces[k].decode() for k in alone]), strict=True):
+            add(j, found.tolist())
+
+        known, end = len(self.slot), len(self.slot) + len(pieces)
         self.ids = _grown(self.ids, self.used + len(ids))
-        self.first, self.count = _grown(self.first, known + len(pieces)), _grown(self.count, known + len(pieces))
+        self.first, self.count = _grown(self.first, end), _grown(self.count, end)
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[known : known + len(pieces)] = self.used + np.cumsum(counts) - counts
-        self.count[known : known + len(pieces)] = counts
-        self.slot.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+        self.count[known:end] = counts
+        self.first[known:end] = self.used + np.cumsum(counts) - self.count[known:end]
+        self.slot.update(zip([pieces[k] for k in order], range(known, end), strict=True))
         self.used += len(ids)
         self.bytes += sum(map(len, pieces)) + 4 * len(ids) + _ENTRY * len(pieces)
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = np.arange(known, end)
+        return numbers
 
     def _window(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of data, and how many there are before each edge."""
@@ -167,8 +201,7 @@ class Encoder:
         slots = np.fromiter(map(self.slot.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
         unknown = np.flatnonzero(slots < 0)
         if len(unknown):
-            slots[unknown] = np.arange(len(self.slot), len(self.slot) + len(unknown))
-            self._learn(distinct[unknown].tolist())
+            slots[unknown] = self._learn(distinct[unknown].tolist())
         slots = slots[pieces.indices.to_numpy()]
         counts = self.count[slots]
         before = np.concatenate([[0], np.cumsum(counts)])
