@@ -90,9 +90,9 @@ def cut_documents(docs: DataFrame, capacity: int, vocabulary: str, end_id: int)
     """(doc_id, text) to pieces of at most capacity ids; an end id closes each document, whose first piece takes the odd length."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        tokens = encoder(vocabulary)
         for table in tables:
-            for first, ids, bounds in encode(table.column("text")):
+            for first, ids, bounds in tokens.encode(table.column("text")):
                 ids, bounds = with_end(ids, bounds, end_id)
                 sizes = np.diff(bounds)
                 pieces = -(-sizes // capacity)
@@ -106,6 +106,7 @@ def cut_documents(docs: DataFrame, capacity: int, vocabulary: str, end_id: int)
                 crcs = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist(), strict=True)]
                 columns = [table.column("doc_id").take(pa.array(first + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokens.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

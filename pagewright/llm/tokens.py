@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pagewright.llm.common import text_slices
+from pagewright.llm.common import release, text_slices
 
 #: Bytes of texts that are encoded together, bytes that a worker's dictionary may take; beyond it the dictionary starts
 #: anew, which changes no result.
-RUN_BYTES, CACHE_BYTES = 1 << 20, 80 << 20
+RUN_BYTES, CACHE_BYTES = 1 << 20, 64 << 20
 #: Pieces that the library gets at once: it needs some kilobytes for each.
 LINES = 4_000
 #: What an entry of the dictionary costs besides its bytes and ids.
@@ -190,6 +190,12 @@ class Encoder:
         numbers[order] = np.arange(known, end)
         return numbers
 
+    def rest(self) -> None:
+        """Gives memory back at the end of a task: workers that wait keep the vocabulary and a small dictionary."""
+        if self.bytes > CACHE_BYTES // 8:
+            self._forget()
+        release()
+
     def _window(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of data, and how many there are before each edge."""
         starts = piece_starts(data, edges)

@@ -380,11 +380,11 @@ def test_op9_store(spark, folder, tmp_path, monkeypatch):
     token_store.write_store(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), path)
     back = {(r.doc_id, tuple(r.ids)) for r in token_store.read_ids(spark, path).collect()}
     assert (7, (*ids_of(TEXTS[7]), 2)) in back
-    stored = spark.read.parquet(f"{path}/chunks").filter("kind = 'chunk'")
+    stored = spark.read.parquet(f"{path}/data").filter("kind = 'chunk'")
     assert stored.count() == stored.select("hash").distinct().count()
 
 
-CHANGES = [("recipes", "n_tokens", "n_tokens + 1"), ("recipes", "start", "start + 1"), ("recipes", "hashes", "concat(hashes, hashes)"), ("recipes", "root", "unhex(reverse(hex(root)))"), ("recipes", "doc_id", "doc_id + 1"), ("chunks", "payload", "unhex(reverse(hex(payload)))"), ("chunks", "n_ids", "n_ids + 1"), ("manifest", "documents", "documents + 1")]
+CHANGES = [("recipes", "n_tokens", "n_tokens + 1"), ("recipes", "start", "start + 1"), ("recipes", "hashes", "concat(hashes, hashes)"), ("recipes", "root", "unhex(reverse(hex(root)))"), ("recipes", "doc_id", "doc_id + 1"), ("data", "payload", "unhex(reverse(hex(payload)))"), ("data", "n_ids", "n_ids + 1"), ("manifest", "documents", "documents + 1")]
 
 
 def test_a_changed_store_is_noticed(spark, folder, tmp_path):
@@ -394,7 +394,7 @@ def test_a_changed_store_is_noticed(spark, folder, tmp_path):
     for k, (table, column, change) in enumerate(CHANGES):
         shutil.copytree(path, f"{path}{k}")
         shutil.rmtree(f"{path}{k}/{table}")
-        kinds = ["kind"] if table == "chunks" else []
+        kinds = ["kind"] if table == "data" else []
         spark.read.parquet(f"{path}/{table}").withColumn(column, F.expr(change)).write.partitionBy(*kinds).parquet(f"{path}{k}/{table}")
         with pytest.raises(Exception, match="don't|damaged|doesn't"):
             token_store.read_digests(spark, f"{path}{k}").collect()
