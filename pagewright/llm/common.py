@@ -23,10 +23,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors see. Only where it is unset and there is one machine (tests) a temporary one."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -1,9 +1,10 @@
 """Exact top-k inner products by tiles.
 
-Queries and candidates are packed into blocks, each a row holding its ids and its matrix as bytes. Every block of
-queries meets every block of candidates (a stated query set against all rows, in blocks) by an equi-join on the
-candidate block's number, to which the query blocks are copied; a tile is one matrix product of doubles, exact as long
-as sums stay below 2^53, else of 64-bit integers. Of a tile each query keeps its k best; lists are merged in a tree.
+Queries and candidates are packed into blocks, each a row holding its ids and its matrix as bytes. Blocks of candidates
+are dealt to as many groups as there are partitions, and a copy of each block of queries (a stated query set against all
+rows, in blocks) goes to every group; the blocks of a group meet by an equi-join on its number. A tile is one matrix
+product of doubles, exact as long as sums stay below 2^53, else of 64-bit integers, else of Python's. Of a tile each
+query keeps its k best; lists are merged in a tree.
 """
 
 from __future__ import annotations
@@ -16,32 +17,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import cut
-
 #: Rows of a block of candidates, rows of a block of queries, lists merged at once.
 SHARD_ROWS, QUERY_ROWS, FAN_IN = 8192, 512, 32
 
 
 def quantised(df: DataFrame, id_column: str, vector: str, scale: float) -> DataFrame:
-    """(id, v): floor(scale * x) of each component, of the vectors that are whole and finite."""
+    """(id, v): floor(scale * x) of each component, as doubles, of the vectors that are whole and finite."""
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf"))
     kept = df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull() & F.forall("v", finite))
-    return kept.select("id", F.transform("v", lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    return kept.select("id", F.transform("v", lambda e: _floor(e.cast("double") * scale)).alias("v"))
+
+
+def _floor(x: Column) -> Column:
+    """Doubles of 2^53 and more are whole."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
 def _blocks(rows: int):
     """Packs the rows of a task into blocks of at most so many."""
 
-    def pack(ids: list[int], vectors: list[list[int]]) -> pa.RecordBatch:
+    def pack(ids: list[int], vectors: list[list[float]]) -> pa.RecordBatch:
         dim = max(map(len, vectors))
-        m = np.zeros((len(vectors), dim), np.int64)
+        m = np.zeros((len(vectors), dim))
         for k, v in enumerate(vectors):
             m[k, : len(v)] = v
         return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["rows", "dim", "ids", "matrix"])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        vectors: list[list[int]] = []
+        vectors: list[list[float]] = []
         for t in tables:
             ids += t.column("id").to_pylist()
             vectors += t.column("v").to_pylist()
@@ -67,16 +71,25 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return [p[np.lexsort((ids[p], -s[p]))][:k] for s, p in zip(scores, picked, strict=True)]
 
 
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole doubles, as 64-bit integers; those beyond their range are the nearest ones."""
+    top = (float(np.abs(q).max(initial=0)) or 1.0) * (float(np.abs(c).max(initial=0)) or 1.0) * max(1, q.shape[1])
+    if top < 1 << 53:
+        return (q @ c.T).astype(np.int64)
+    if top < 1 << 62 and max(np.abs(q).max(), np.abs(c).max()) < 1 << 62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(c).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 def _tiles(k: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:
             for row in t.to_pylist():
-                q = np.frombuffer(row["q_matrix"], np.int64).reshape(row["q_rows"], row["q_dim"])
-                c = np.frombuffer(row["matrix"], np.int64).reshape(row["rows"], row["dim"])
+                q = np.frombuffer(row["q_matrix"]).reshape(row["q_rows"], row["q_dim"])
+                c = np.frombuffer(row["matrix"]).reshape(row["rows"], row["dim"])
                 dim = min(row["q_dim"], row["dim"])  # what a vector lacks counts as 0
-                q, c = q[:, :dim], c[:, :dim]
-                small = dim == 0 or float(np.abs(q).max()) * float(np.abs(c).max()) * dim < 2**53
-                scores = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if small else q @ c.T
+                scores = products(q[:, :dim], c[:, :dim])
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 # a query's own rows go to the end and are cut off
                 out_q, out_c, out_s = [], [], []
@@ -88,7 +101,7 @@ def _tiles(k: int):
                     out_q += [qid] * len(cols)
                     out_c += ids[cols].tolist()
                     out_s += scores[x, cols].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out_q), pa.int64()), *[pa.array(v, pa.int64()) for v in (out_q, out_c, out_s)]], ["shard", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(out_q), pa.int32()), *[pa.array(v, pa.int64()) for v in (out_q, out_c, out_s)]], ["part", "query_id", "vec_id", "score"])
 
     return run
 
@@ -96,26 +109,21 @@ def _tiles(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for (id, v): the k best inner products of each query with all other rows.
 
-    Rows with a query's own id are no candidates of it; ids that are null take no part as queries or candidates.
-    A repeated query id is asked once. Fewer candidates than k: all of them."""
+    Rows with a query's own id are no candidates of it; ids that are null take no part as queries or candidates. Where
+    a query id repeats, each of its rows asks, and the best of all their answers count. Fewer candidates than k: all of
+    them. Vectors of different lengths: what one lacks counts as 0."""
     vectors = vectors.filter(F.col("id").isNotNull())
-    candidates = vectors.mapInArrow(_blocks(SHARD_ROWS), BLOCK).withColumn("shard", F.monotonically_increasing_id())
-    candidates = cut(candidates, "shards")
-    queries = vectors.filter(is_query).dropDuplicates(["id"])
-    queries = queries.mapInArrow(_blocks(QUERY_ROWS), BLOCK)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = vectors.mapInArrow(_blocks(SHARD_ROWS), BLOCK).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    queries = vectors.filter(is_query).mapInArrow(_blocks(QUERY_ROWS), BLOCK)
     queries = queries.select(F.col("rows").alias("q_rows"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    numbers = [r["shard"] for r in candidates.select("shard").collect()]  # one number for each SHARD_ROWS rows
-    if not numbers:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    copies = queries.withColumn("shard", F.explode(F.array(*[F.lit(n) for n in numbers])))
-    tiles = copies.join(candidates.hint("merge"), "shard")
-    lists = tiles.mapInArrow(_tiles(k), "shard long, query_id long, vec_id long, score long")
-    group, parts = {n: i for i, n in enumerate(sorted(numbers))}, len(numbers)
-    lists = lists.withColumn("shard", F.element_at(F.create_map(*[F.lit(x) for pair in group.items() for x in pair]), F.col("shard")))
+    copies = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tiles = copies.join(candidates.hint("merge"), "part")
+    lists = tiles.mapInArrow(_tiles(k), "part int, query_id long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
     while parts > FAN_IN:
-        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int"))
-        at = F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))
+        lists = lists.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        at = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
         lists = lists.withColumn("_r", at).filter(F.col("_r") <= k).drop("_r")
         parts = -(-parts // FAN_IN)
     last = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)

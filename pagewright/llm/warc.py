@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import new_path
+from pagewright.llm.common import cut, join_dealt, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range; payloads shorter than LEAST_REVISIT are always written in full.
@@ -65,11 +65,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Of equal payloads of at least LEAST_REVISIT bytes that with the smallest page_id is the response. A task writes to
     a name of its own and renames at the end, so a task that is run again leaves one file with the same records."""
-    payload = F.coalesce("html", F.lit(""))
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size"))
-    keys = d.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    told = cut(rows.select("row", "page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest")).filter(F.octet_length("html") >= LEAST_REVISIT), "digests")
+    keys = told.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
     shared = keys.filter((F.col("copies") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
-    d = d.join(shared, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id")))
+    # digests meet without payloads, and the many copies of a page in several tasks
+    again = join_dealt(told, shared, ["digest"], [F.col("row")]).filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
+    d = rows.join(again.select("row", F.col("first_id").alias("refers_to")).hint("merge"), "row", "left")
 
     def write(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -141,7 +143,8 @@ def parse(raw: bytes) -> dict:
 
 
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """url and the columns of the contract, from all archives of the manifest at path; responses are checked against their digests."""
+    """url and the columns of the contract, from all archives of the manifest at path. Responses are checked against their
+    digests, and each archive's records are counted: a member that can't be read is an error, not a gap."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_fs(path)
@@ -158,16 +161,22 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                         r = parse(raw)
                         if r["kind"] == "response" and (len(r["body"]) != r["size"] or hashlib.sha256(r["body"]).hexdigest() != r["digest"]):
                             raise ValueError(f"a record of page {r['page']} in {file} is damaged")
-                        rows.append((None if r["page"] is None else int(r["page"]), r["url"], r["size"], r["digest"], r["kind"], None if r["refers"] is None else int(r["refers"])))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        rows.append((file, None if r["page"] is None else int(r["page"]), r["url"], r["size"], r["digest"], r["kind"], None if r["refers"] is None else int(r["refers"])))
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest").select("file", "bytes")
+    files = spark.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest")
     step = F.lit(range_bytes).cast("long")
-    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), step)))
+    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), step)).alias("start"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(parts, "file", "start").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = ranges.repartition(parts, "file", "start").mapInArrow(run, "file string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = cut(found, "records")
+    counts = found.groupBy("file").agg(F.count("*").alias("found"))
+    bad = files.join(counts, "file", "left").filter(F.coalesce("found", F.lit(0)) != F.col("records")).select("file", "records", "found").take(1)
+    if bad:
+        raise ValueError(f"{bad[0].file} holds {bad[0].records} records, of which {bad[0].found or 0} could be read")
+    return found.drop("file")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

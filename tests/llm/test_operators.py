@@ -80,6 +80,16 @@ def test_op1_weights_and_movement(spark):
         assert all(r.b in (r.a, n) for r in both) and any(r.b == n for r in both)
 
 
+def test_op1_a_count_has_one_tree(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    dealt = {n: {r.doc_id: r for r in sharding.op1_sharding(spark, str(tmp_path), n).collect()} for n in (1, 2, 7, 8, 9, 10)}
+    for n in (1, 7, 8, 9):
+        assert all(r.grown_shard in (r.shard, n) for r in dealt[n].values())
+        assert n + 1 not in dealt or all(dealt[n + 1][i].shard == r.grown_shard for i, r in dealt[n].items())
+    shares = Counter(r.shard for r in dealt[8].values())
+    assert all(abs(shares[k] - 375) < 80 for k in range(8))
+
+
 def _by(rows, name):
     out = defaultdict(list)
     for r in rows:
@@ -329,18 +339,53 @@ def test_op6_warc(spark, folder, tmp_path):
     assert [warc.parse(raw)["body"] for _, raw in found] == [b"x" * 300, MAGIC_INSIDE]
 
 
+def test_op6_damage_is_an_error(spark, folder, tmp_path):
+    path = str(tmp_path / "w")
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    warc.write_archives(pages.coalesce(1), path)
+    file = next(r.file for r in spark.read.parquet(f"{path}/manifest").collect() if r.records > 1)
+    with open(file, "rb") as f:
+        raw = f.read()
+    places = [at for at, _ in warc.members(lambda at, n: raw[at : at + n], 0, len(raw), len(raw))]
+    for at in (places[1], places[1] + 40, len(raw) - 6):
+        with open(file, "wb") as f:
+            f.write(raw[:at] + bytes([raw[at] ^ 0x55]) + raw[at + 1 :])
+        with pytest.raises(Exception, match="could be read|damaged"):
+            warc.read_archives(spark, path).collect()
+
+
 MAGIC_INSIDE = b"\x1f\x8b\x08" * 50
 
 
 def test_op7_topk(spark, folder):
     rows = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.op7_topk(spark, folder).collect()}
-    asked = {}
-    for i, v in rows:
-        if i % 50 == 0:
-            asked.setdefault(i, []).append(v)
-    for q in (0, 100):
-        best = sorted((-sum(a * b for a, b in zip(asked[q][0], v, strict=True)), i) for i, v in rows if i != q)[:5]
+    for q in (0, 50, 100):  # 50 asks with both of its vectors
+        best = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for j, mine in rows if j == q for i, v in rows if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert len(got) == 15
+
+
+def test_op7_products_are_exact():
+    rng = np.random.default_rng(6)
+    for top in (1 << 20, 1 << 29, 1 << 52, 1 << 80):
+        q, c = (np.floor(rng.uniform(-1, 1, (3, 4)) * top) for _ in range(2))
+        want = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), -(1 << 63)), (1 << 63) - 1) for y in c] for x in q]
+        assert topk.products(q, c).tolist() == want
+
+
+def test_op7_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "FAN_IN", 2)
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 4)] + [1e30] * (k % 97 == 0)) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    blocks = topk._blocks
+    monkeypatch.setattr(topk, "_blocks", lambda n: blocks(13))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.op7_topk(spark, str(tmp_path)).collect()}
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
+    for q in range(0, 400, 50):
+        clip = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=False))), i) for i, v in whole.items() if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
