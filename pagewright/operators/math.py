@@ -36,27 +36,35 @@ POINTS = {
 WARN_FROM, FAIL_FROM = 3, 6
 
 
-def delimiter_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each delimiter; inline ones after display ones are taken out."""
+def delimiter_columns() -> dict[str, Column]:
+    """The counts of each delimiter in `text`; inline ones after display ones are taken out."""
     bare = F.replace(F.col("text"), F.lit("$$"), F.lit(""))
-    count = lambda rx: F.regexp_count("text", F.lit(rx)).cast("long")
-    return docs.select(
-        "doc_id",
-        ((F.char_length("text") - F.char_length(bare)) / 2).cast("long").alias("display"),
-        F.regexp_count(bare, F.lit(r"(?<!\\)\$(?!\$)")).cast("long").alias("inline"),
-        count(r"(?<!\\)\\\(").alias("paren_open"), count(r"(?<!\\)\\\)").alias("paren_close"),
-        count(r"(?<!\\)\\\[").alias("bracket_open"), count(r"(?<!\\)\\\]").alias("bracket_close"),
-    )
+    count = lambda rx, c="text": F.regexp_count(c, F.lit(rx)).cast("long")
+    return {
+        "display": ((F.char_length("text") - F.char_length(bare)) / 2).cast("long"), "inline": count(r"(?<!\\)\$(?!\$)", bare),
+        "paren_open": count(r"(?<!\\)\\\("), "paren_close": count(r"(?<!\\)\\\)"), "bracket_open": count(r"(?<!\\)\\\["), "bracket_close": count(r"(?<!\\)\\\]"),
+    }
+
+
+def delimiter_counts(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of each delimiter."""
+    return docs.select("doc_id", *[c.alias(k) for k, c in delimiter_columns().items()])
+
+
+def unbalanced(display: Column, inline: Column, paren_open: Column, paren_close: Column, bracket_open: Column, bracket_close: Column) -> list[Column]:
+    """The kinds of delimiters as conditions: an odd number of a symmetric one, another number of opening than of closing ones."""
+    return [display % 2 == 1, inline % 2 == 1, paren_open != paren_close, bracket_open != bracket_close]
 
 
 def delimiter_errors(counts: DataFrame) -> DataFrame:
     """doc_id, ord, error for each unbalanced kind."""
-    rules = [
-        (F.col("display") % 2 == 1, F.format_string("unbalanced display-math delimiters: %d occurrences of $$", "display")),
-        (F.col("inline") % 2 == 1, F.format_string("unbalanced inline-math delimiters: %d unescaped $ markers", "inline")),
-        (F.col("paren_open") != F.col("paren_close"), F.format_string(r"unbalanced \\( \\) delimiters: %d open vs %d close", "paren_open", "paren_close")),
-        (F.col("bracket_open") != F.col("bracket_close"), F.format_string(r"unbalanced \\[ \\] delimiters: %d open vs %d close", "bracket_open", "bracket_close")),
+    said = [
+        F.format_string("unbalanced display-math delimiters: %d occurrences of $$", "display"),
+        F.format_string("unbalanced inline-math delimiters: %d unescaped $ markers", "inline"),
+        F.format_string(r"unbalanced \\( \\) delimiters: %d open vs %d close", "paren_open", "paren_close"),
+        F.format_string(r"unbalanced \\[ \\] delimiters: %d open vs %d close", "bracket_open", "bracket_close"),
     ]
+    rules = zip(unbalanced(*[F.col(c) for c in ("display", "inline", "paren_open", "paren_close", "bracket_open", "bracket_close")]), said, strict=True)
     return counts.select("doc_id", F.posexplode(F.array_compact(F.array(*[F.when(c, m) for c, m in rules]))).alias("ord", "error"))
 
 
@@ -96,9 +104,9 @@ def prose_findings(spans: DataFrame) -> DataFrame:
     return spans.filter(without_labels(F.col("content")).rlike(T.CJK)).withColumn("snippet", T.snippet(F.col("content"), 160))
 
 
-def artifact_signals(content: Column) -> dict[str, Column]:
-    """Each signal of a flattened formula as a condition."""
-    bare = without_labels(content)
+def artifact_signals(content: Column, bare: Column | None = None) -> dict[str, Column]:
+    """Each signal of a flattened formula as a condition. bare: the content without labels, where it is at hand."""
+    bare = without_labels(content) if bare is None else bare
     count = lambda c, rx: F.regexp_count(c, F.lit(rx))
     fragments = F.filter(T.lines(bare), lambda x: T.strip(x).rlike(f"(?U)^{FRAGMENT_LINE}$"))
     hits = count(content, STRUCTURE)
@@ -116,11 +124,15 @@ def artifact_signals(content: Column) -> dict[str, Column]:
     }
 
 
+def points(signals: dict[str, Column]) -> Column:
+    return sum((F.when(signals[k], n).otherwise(0) for k, n in POINTS.items()), F.lit(0))
+
+
 def artifact_scores(spans: DataFrame) -> DataFrame:
     """Display spans with score, signals (names) and snippet."""
     found = artifact_signals(F.col("content"))
     d = spans.filter("kind = 'display'").withColumns({f"_{k}": F.coalesce(c, F.lit(False)) for k, c in found.items()})
-    score = sum((F.when(F.col(f"_{k}"), POINTS[k]).otherwise(0) for k in POINTS), F.lit(0))
+    score = points({k: F.col(f"_{k}") for k in POINTS})
     signals = F.array_compact(F.array(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in POINTS]))
     return d.withColumns({"score": score.cast("int"), "signals": signals, "snippet": T.snippet(F.col("content"))}).drop(*[f"_{k}" for k in POINTS])
 
@@ -130,29 +142,44 @@ def artifact_findings(scores: DataFrame) -> DataFrame:
     return scores.filter(F.col("score") >= WARN_FROM).withColumn("status", F.when(F.col("score") >= FAIL_FROM, "FAIL").otherwise("WARN"))
 
 
-def _printable(value: str) -> bool:
-    return bool(value) and "\ufffd" not in value and all(c.isprintable() or c in "\t\n\r" for c in value)
+#: The codecs that are tried, in order, and what a recovered text must have one of.
+CODECS = ("gbk", "gb18030")
+TELLING = r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f{}\[\](),;:=+\-*/^_]"
+
+
+def recover(runs: pd.Series) -> pd.DataFrame:
+    """recovered and codec by run: what it says if it is UTF-8 that was read by one of the codecs; nulls if it isn't.
+
+    Each distinct run is looked at once; the codecs make columns of which the first that makes sense is taken."""
+    number, distinct = pd.factorize(runs)
+    asked = pd.Series(distinct, dtype=object)
+    raw = {codec: asked.map(lambda x, codec=codec: x.encode(codec, "replace")) for codec in CODECS}
+    said = pd.DataFrame({codec: r.map(lambda x: x.decode("utf-8", "replace")) for codec, r in raw.items()}, dtype=object)
+    # nothing was replaced on either way
+    exact = pd.DataFrame({codec: [t.encode("utf-8", "replace") == r and r.count(b"?") == x.count("?") for t, r, x in zip(said[codec], raw[codec], asked, strict=True)] for codec in CODECS}, dtype=bool)
+    plain = said.apply(lambda c: c.str.translate({9: "", 10: "", 13: ""}).map(str.isprintable).astype(bool) & ~c.str.contains("\ufffd") & c.str.contains(TELLING))
+    good = exact & plain & said.ne(asked, axis=0)
+    codec = good.idxmax(axis=1).where(good.any(axis=1)) if len(asked) else pd.Series([], dtype=object)
+    text = said.where(good).bfill(axis=1).iloc[:, 0] if len(asked) else codec
+    out = pd.DataFrame({"recovered": text, "codec": codec}, dtype=object)
+    out = out.where(out.notna(), None)
+    return out.reindex(number).where(lambda d: d.notna(), None).reset_index(drop=True)
 
 
-def _is_cjk(c: str) -> bool:
-    return "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\U00020000" <= c <= "\U0002fa1f"
+def _recovered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    yield from map(recover, batches)
 
 
-def recover(run: str | None) -> tuple[str, str] | None:
-    """What a run of characters says if it is UTF-8 that was read as GBK or GB18030, and the codec; None if it isn't."""
-    for codec in ("gbk", "gb18030"):
-        try:
-            said = (run or "").encode(codec).decode("utf-8")
-        except UnicodeError:
-            continue
-        if said != run and _printable(said) and any(_is_cjk(c) or c in "{}[](),;:=+-*/^_" for c in said):
-            return said, codec
-    return None
+def _how_many(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for lists in batches:
+        runs = lists.reset_index(drop=True).explode().dropna()
+        found = recover(runs)["recovered"].notna().to_numpy()
+        yield pd.Series(found, index=runs.index).groupby(level=0).sum().reindex(range(len(lists)), fill_value=0).astype("int64")
 
 
-def _recovered(runs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in runs:
-        yield pd.DataFrame([recover(x) or (None, None) for x in s], columns=["recovered", "codec"])
+def mojibake_count(runs: Column) -> Column:
+    """How many of an array of runs are wrongly decoded UTF-8."""
+    return F.pandas_udf(_how_many, "long")(runs)
 
 
 def mojibake_findings(cjk_runs: DataFrame) -> DataFrame:

@@ -1,22 +1,21 @@
 """The report of each document: all checks, errors and warnings, one verdict.
 
-Every detector gives counts as rows (doc_id, fact, n); one grouping by document brings them together, so texts are
-scanned but never shuffled. Checks and verdict are expressions over a document's facts.
+Texts are scanned once: one projection takes what the checks need out of each as arrays, and facts are expressions over
+these, so texts are never shuffled. Checks and verdict are expressions over a document's facts. The detectors of
+pagewright.operators give the same findings as rows, with places.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.operators import assets as A
 from pagewright.operators import garbage as G
 from pagewright.operators import math as M
-from pagewright.operators import pages as P
-from pagewright.operators import scans as S
 from pagewright.operators import state as ST
 
 
@@ -38,63 +37,121 @@ class Inputs:
     require_stem: bool = False
 
 
-def _count(df: DataFrame, fact: str, when: Column | None = None) -> DataFrame:
-    d = df if when is None else df.filter(when)
-    return d.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(fact).alias("fact"), "n")
-
-
-def _value(df: DataFrame, fact: str, value: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(fact).alias("fact"), value.cast("long").alias("n"))
-
-
-def manifest_problems(inp: Inputs, refs: DataFrame, lists: DataFrame) -> DataFrame:
-    """doc_id, ord, problem where a manifest differs from what the text holds, or is no JSON."""
-    facts = refs.groupBy("doc_id").agg(F.count("*").alias("images"))
-    d = inp.manifests.withColumn("v", F.try_parse_json("manifest")).join(facts, "doc_id", "left").join(lists.select("doc_id", "pages"), "doc_id", "left")
+def manifest_problems(found: DataFrame) -> Column:
+    """The problems of a document's manifest (v, path) beside its facts refs and pages."""
     named = ST.text_of(ST.get("v", "output_markdown"))
-    said = ST.get("v", "images")
-    images = F.coalesce("images", F.lit(0))
-    listed = ST.get("v", "pdf_pages")
+    said, listed = ST.get("v", "images"), ST.get("v", "pdf_pages")
     numbers = F.transform(ST.items(listed), lambda x: F.coalesce(ST.int_of(x).cast("int"), ST.page_of(ST.text_of(x))))
-    problems = ST.rules([
+    return ST.rules([
         (F.col("v").isNull(), "manifest is not valid JSON"),
         ((named != "") & (named != F.col("path")), "manifest output_markdown does not point to the validated Markdown"),
-        (said.isNotNull() & ~F.coalesce(ST.int_of(said) == images, F.lit(False)), F.concat(F.lit("manifest images="), F.to_json(said), F.lit(" but Markdown has "), images.cast("string"), F.lit(" local image references"))),
+        (said.isNotNull() & ~F.coalesce(ST.int_of(said) == F.col("refs"), F.lit(False)), F.concat(F.lit("manifest images="), F.to_json(said), F.lit(" but Markdown has "), F.col("refs").cast("string"), F.lit(" local image references"))),
         (ST.is_kind(listed, "array") & (F.size("pages") > 0) & (numbers != F.col("pages")), "manifest pdf_pages differs from Markdown page markers"),
     ])
-    return d.select("doc_id", F.posexplode(problems).alias("ord", "problem"))
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _all(pattern: str, group: int, when: Column) -> Column:
+    """All matches of a group in the text, where a cheap test lets them be."""
+    return F.when(when, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(_none("string"))
+
+
+def _pairs(c: Column) -> Column:
+    """struct(a, b) of each element of an array and the one after."""
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(c, 1, n).alias("a"), F.slice(c, 2, n).alias("b"))
+
+
+def _how_many(c: Column, holds) -> Column:
+    return F.size(F.filter(c, holds))
+
+
+def _repeated(c: Column) -> Column:
+    """How many values occur more than once in an array."""
+    return F.size(F.array_distinct(F.transform(F.filter(_pairs(F.array_sort(c)), lambda p: p["a"] == p["b"]), lambda p: p["a"])))
+
+
+def scanned(docs: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
+    """What the checks need of each text, as arrays, from one scan; the texts themselves end here."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    has = lambda x: F.col("text").contains(x)
+    image = [_all(T.IMAGE, g, has("![")) for g in (1, 2, 3)]
+    parts = F.arrays_zip(image[0].alias("alt"), image[1].alias("angled"), image[2].alias("bare"))
+    target = F.transform(parts, lambda m: F.struct(T.strip(m["alt"]).alias("alt"), F.when(m["angled"] != "", m["angled"]).otherwise(m["bare"]).alias("ref")))
+    clean = lambda r: T.decoded(F.substring_index(F.substring_index(r, "#", 1), "?", 1))
+    refs = F.transform(F.filter(target, lambda m: ~m["ref"].rlike(T.URL)), lambda m: F.struct(m["alt"].alias("alt"), clean(m["ref"]).alias("ref")))
+    heads = F.when(has("#"), F.filter(T.lines(F.col("text")), lambda x: x.rlike(T.HEADING))).otherwise(_none("string"))
+    letter = T.unexpected_letters()
+    between = F.split("text", letter, -1)
+    near = F.exists(F.slice(between, 2, F.greatest(F.size(between) - 2, F.lit(0))), lambda x: F.char_length(x) < G.NEAR)
+    counts = M.delimiter_columns()
+    return d.select(
+        "doc_id", F.transform(_all(T.PAGE_MARKER, 1, has("<!--")), lambda x: x.try_cast("int")).alias("pages"), F.transform(_all(T.PAGE_MARKER, 2, has("<!--")), lambda x: x.try_cast("int")).alias("printed"),
+        F.transform(refs, lambda m: F.struct(m["alt"].alias("alt"), m["ref"].alias("ref"), T.normal_path(m["ref"]).alias("target"))).alias("images"),
+        _all(T.DISPLAY_MATH, 1, has("$$")).alias("display_math"), F.concat(_all(T.INLINE_MATH, 1, has("$")), _all(T.PAREN_MATH, 1, has("\\(")), _all(T.BRACKET_MATH, 1, has("\\["))).alias("other_math"),
+        F.transform(heads, lambda x: F.char_length(F.regexp_extract(x, T.HEADING, 1))).alias("levels"),
+        F.regexp_count("text", F.lit(T.NOTE)).alias("notes"), (has("\ufffd").cast("int") + F.col("text").rlike(T.PRIVATE_USE).cast("int") + F.when(F.col("text").rlike(letter), near).otherwise(False).cast("int")).alias("garbage"),
+        *[c.alias(f"n_{k}") for k, c in counts.items()], sum((has(t).cast("int") for t in forbidden), F.lit(0)).alias("forbidden"),
+    )
+
+
+#: The facts of a document, all longs.
+FACTS = ("refs", "unique_refs", "outside", "duplicate_refs", "alt", "missing", "orphans", "markers", "duplicate_pages", "known_printed", "printed_breaks", "uncovered", "gaps", "expects", "printed_range", "delimiters", "display_blocks", "inline_markers", "braces", "mojibake", "prose", "artifact_fail", "artifacts", "headings", "jumps", "garbage", "notes", "forbidden", "manifest", "state_errors", "state_warnings", "has_state")
 
 
 def facts(inp: Inputs) -> DataFrame:
-    """One row a document with a column for each fact, 0 where nothing was found."""
-    docs, found = inp.docs, []
-    markers, spans, refs, heads = S.page_markers(docs), S.math_spans(docs), S.image_refs(docs), S.headings(docs)
-    lists = P.page_lists(markers)
-    found += [_count(refs, "refs"), _count(refs.select("doc_id", "ref").distinct(), "unique_refs"), _count(A.escaping(refs), "outside"), _count(A.duplicates(refs), "duplicate_refs"), _count(A.alt_issues(refs, inp.require_stem), "alt")]
+    """One row a document with a column for each of FACTS, 0 where nothing was found. Null texts are empty.
+
+    The text is scanned once; what other tables say of a document is joined by doc_id."""
+    d = scanned(inp.docs, inp.forbidden).withColumn("math", F.concat("display_math", "other_math"))
+    refs, known = F.col("images.ref"), F.array_compact("printed")
+    count = lambda c: F.size(c)
+    braced = lambda c: M.brace_positions(c)
+    bare = F.transform("display_math", lambda c: F.struct(c.alias("c"), M.without_labels(c).alias("b")))
+    score = F.transform(bare, lambda s: M.points({k: F.coalesce(x, F.lit(False)) for k, x in M.artifact_signals(s["c"], s["b"]).items()}))
+    runs = F.flatten(F.transform("math", lambda c: F.regexp_extract_all(c, F.lit(T.CJK + "+"), F.lit(0))))
+    stems = F.lit(inp.require_stem)
+    found = {
+        "refs": count("images"), "unique_refs": F.size(F.array_distinct(refs)), "outside": _how_many(F.col("images"), lambda m: m["target"].isNull()), "duplicate_refs": _repeated(refs),
+        "alt": _how_many(F.col("images"), lambda m: m["alt"] == "") + _how_many(F.col("images"), lambda m: stems & m["target"].isNotNull() & (A.stem(m["ref"]) != m["alt"])),
+        "markers": count("pages"), "duplicate_pages": _repeated(F.transform("pages", lambda p: F.coalesce(p, F.lit(-1)))), "known_printed": F.size(known), "printed_breaks": _how_many(_pairs(known), lambda p: p["b"] != p["a"] + 1),
+        "delimiters": sum((x.cast("int") for x in M.unbalanced(*[F.col(f"n_{k}") for k in ("display", "inline", "paren_open", "paren_close", "bracket_open", "bracket_close")])), F.lit(0)),
+        "display_blocks": F.floor(F.col("n_display") / 2), "inline_markers": F.col("n_inline"),
+        "braces": _how_many(F.col("math"), lambda c: (c.contains("{") | c.contains("}")) & F.exists(F.array(braced(c)), lambda b: (F.size(b["open"]) > 0) | (F.size(b["close"]) > 0))),
+        "prose": _how_many(F.col("math"), lambda c: M.without_labels(c).rlike(T.CJK)),
+        "artifact_fail": _how_many(F.col("_score"), lambda x: x >= M.FAIL_FROM), "artifacts": _how_many(F.col("_score"), lambda x: x >= M.WARN_FROM),
+        "headings": count("levels"), "jumps": _how_many(_pairs(F.col("levels")), lambda p: p["b"] > p["a"] + 1), "garbage": F.col("garbage"), "notes": F.col("notes"), "forbidden": F.col("forbidden"), "mojibake": F.col("_mojibake"),
+    }
+    d = d.withColumns({"_score": score, "_mojibake": M.mojibake_count(runs)})
+    d = d.select("doc_id", "pages", known.alias("_known"), F.array_distinct("images.target").alias("_targets"), F.col("images.target").alias("_all_targets"), *[c.cast("long").alias(k) for k, c in found.items()])
+    zero = F.lit(0).cast("long")
+    more = {k: zero for k in FACTS if k not in found}
     if inp.assets is not None:
-        found += [_count(A.missing(refs, inp.assets), "missing"), _count(A.orphans(refs, inp.assets), "orphans")]
-    found += [_count(markers, "markers"), _count(P.duplicate_pages(markers), "duplicate_pages"), _count(markers, "known_printed", F.col("printed_page").isNotNull()), _count(P.printed_breaks(markers), "printed_breaks")]
+        files = inp.assets.groupBy("doc_id").agg(F.array_sort(F.collect_set("path")).alias("_files"))  # the files of one document's folder
+        d = d.join(files, "doc_id", "left").withColumn("_files", F.coalesce("_files", _none("string")))
+        image = lambda x: x.contains(".") & F.lower(F.element_at(F.split(x, r"\."), -1)).isin(*T.IMAGE_SUFFIXES)
+        more["missing"] = _how_many(F.col("_all_targets"), lambda t: t.isNotNull() & ~F.array_contains("_files", F.coalesce(t, F.lit(""))))
+        more["orphans"] = F.size(F.array_except(F.filter("_files", image), "_targets"))
     if inp.expected is not None:
-        cover = P.coverage(lists, inp.expected)
-        found += [_value(cover, "uncovered", F.when(F.col("covered"), 0).otherwise(1)), _value(cover, "gaps", F.size(F.coalesce("gaps", F.array().cast("array<int>")))), _value(cover, "expects", F.lit(1))]
+        d = d.join(inp.expected.select("doc_id", F.sequence("first_page", "last_page").alias("_want")), "doc_id", "left")
+        more["uncovered"], more["expects"] = F.when(F.col("pages") != F.col("_want"), 1).otherwise(0), F.when(F.col("_want").isNotNull(), 1).otherwise(0)
+        more["gaps"] = F.when((F.size("pages") > 0) & F.col("_want").isNotNull(), F.size(F.array_except("_want", "pages"))).otherwise(0)
     if inp.printed is not None:
-        found += [_value(P.printed_range(lists, inp.printed), "printed_range", F.when(F.col("matches"), 1).otherwise(2))]
-    counts = M.delimiter_counts(docs)
-    found += [_count(M.delimiter_errors(counts), "delimiters"), _value(counts, "display_blocks", F.floor(F.col("display") / 2)), _value(counts, "inline_markers", F.col("inline"))]
-    artifacts = M.artifact_findings(M.artifact_scores(spans))
-    found += [_count(M.brace_findings(spans), "braces"), _count(M.mojibake_findings(S.cjk_runs(spans)).select("doc_id", "kind", "seq", "run_seq").distinct(), "mojibake"), _count(M.prose_findings(spans), "prose"), _count(artifacts, "artifact_fail", F.col("status") == "FAIL"), _count(artifacts, "artifacts")]
-    found += [_count(heads, "headings"), _count(S.heading_jumps(heads), "jumps"), _count(G.garbage(docs), "garbage"), _value(S.note_counts(docs), "notes", F.col("notes"))]
-    if inp.forbidden:
-        terms = sum((F.col("text").contains(t).cast("int") for t in inp.forbidden), F.lit(0))
-        found.append(_value(docs, "forbidden", terms))
+        d = d.join(inp.printed.select("doc_id", "first_printed", "last_printed"), "doc_id", "left")
+        same = (F.try_element_at("_known", F.lit(1)) == F.col("first_printed")) & (F.try_element_at("_known", F.lit(-1)) == F.col("last_printed"))
+        more["printed_range"] = F.when(F.col("first_printed").isNull(), 0).when(F.coalesce(same, F.lit(False)), 1).otherwise(2)
     if inp.manifests is not None:
-        found.append(_count(manifest_problems(inp, refs, lists), "manifest"))
+        d = d.join(inp.manifests.select("doc_id", "path", F.try_parse_json("manifest").alias("v"), F.lit(1).alias("_told")), "doc_id", "left")
+        more["manifest"] = F.when(F.col("_told") == 1, F.size(manifest_problems(d))).otherwise(0)
     if inp.states is not None:
-        report = ST.state_report(inp.states)
-        found += [_value(report, "state_errors", F.size("errors")), _value(report, "state_warnings", F.size("warnings")), _value(report, "has_state", F.lit(1))]
-    rows = reduce(DataFrame.unionByName, found)
-    names = ("refs", "unique_refs", "outside", "duplicate_refs", "alt", "missing", "orphans", "markers", "duplicate_pages", "known_printed", "printed_breaks", "uncovered", "gaps", "expects", "printed_range", "delimiters", "display_blocks", "inline_markers", "braces", "mojibake", "prose", "artifact_fail", "artifacts", "headings", "jumps", "garbage", "notes", "forbidden", "manifest", "state_errors", "state_warnings", "has_state")
-    return rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("fact") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+        states = ST.state_report(inp.states).select("doc_id", F.size("errors").alias("_se"), F.size("warnings").alias("_sw"))
+        d = d.join(states, "doc_id", "left")
+        more |= {"state_errors": F.coalesce("_se", zero), "state_warnings": F.coalesce("_sw", zero), "has_state": F.col("_se").isNotNull().cast("long")}
+    d = d.withColumns({k: c.cast("long") for k, c in more.items()})
+    return d.select("doc_id", *FACTS)
 
 
 #: The checks in order.
