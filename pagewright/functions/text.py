@@ -33,10 +33,11 @@ RUNNER_EXPECTED_SCRIPTS = ("LATIN", "GREEK", "CJK UNIFIED", "CJK COMPATIBILITY",
 
 #: White space as str.split() and str.strip() know it.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def snippet(c: Column, most: int = 200) -> Column:

@@ -34,7 +34,12 @@ def garbage(docs: DataFrame) -> DataFrame:
     return plain.unionByName(near)
 
 
+#: One character that might be garbage: beyond Latin, general punctuation and ideographs. A cheap test before thousands of ranges.
+SUSPECT = r"[^\x{0}-\x{a9}\x{ab}-\x{b9}\x{bb}-\x{2af}\x{2000}-\x{206f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
+
+
 def sanitized(line: Column) -> Column:
-    """struct(line, changed): extraction garbage as squares."""
+    """struct(line, changed): extraction garbage as squares. A null line stays null."""
     bad = "�|" + T.RUNNER_PRIVATE_USE + "|" + T.unexpected_letters(T.RUNNER_EXPECTED_SCRIPTS)
-    return F.struct(F.regexp_replace(line, bad, "□").alias("line"), line.rlike(bad).alias("changed"))
+    shown = F.when(line.rlike(SUSPECT), F.regexp_replace(line, bad, "□")).otherwise(line)
+    return F.struct(shown.alias("line"), F.when(line.rlike(SUSPECT), line.rlike(bad)).otherwise(False).alias("changed"))

@@ -283,15 +283,26 @@ def formula_blocks(checked: DataFrame) -> DataFrame:
     return d.select("doc_id", "page", "ord", block.alias("block"))
 
 
-def with_additions(docs: DataFrame, segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, text with blocks(doc_id, page, ord, block) at the ends of their pages; segments as of scans.page_segments."""
+def text_pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, k, page, piece: texts cut once, before each of their page markers; page is null for what stands before the first."""
+    cut = F.split("text", "(?=" + T.RUNNER_PAGE_MARKER.replace("(?U)", "") + ")", -1)
+    pieces = docs.select("doc_id", F.posexplode(cut).alias("k", "piece"))
+    number = F.regexp_extract("piece", "^" + T.RUNNER_PAGE_MARKER.replace("(?U)", ""), 1)
+    return pieces.select("doc_id", "k", number.try_cast("int").alias("page"), "piece")
+
+
+def with_additions(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pieces (of text_pieces) with blocks(doc_id, page, ord, block) at the ends of their pages; a row a page, as before."""
     added = blocks.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias("_b"))
-    d = segments.join(docs, "doc_id").join(added.withColumnRenamed("page", "pdf_page"), ["doc_id", "pdf_page"], "left")
-    body = F.regexp_replace(F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), rf"(?U){T.SPACE}+$", "")
-    page = F.concat(body, F.when(F.col("_b").isNotNull(), F.concat(F.lit("\n\n"), F.array_join("_b", "\n\n"))).otherwise(""), F.lit("\n\n"))
-    head = F.when(F.col("seq") == 0, F.substring("text", F.lit(1), F.col("start").cast("int"))).otherwise("")
-    joined = d.select("doc_id", "seq", F.concat(head, page).alias("_s")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_s"))), lambda x: x["_s"]), "").alias("_new"))
-    return docs.join(joined, "doc_id", "left").select("doc_id", F.coalesce("_new", "text").alias("text"))
+    body = F.regexp_replace("piece", rf"(?U){T.SPACE}+$", "")
+    whole = F.concat(body, F.when(F.col("_b").isNotNull(), F.concat(F.lit("\n\n"), F.array_join("_b", "\n\n"))).otherwise(""), F.lit("\n\n"))
+    d = pieces.join(added, ["doc_id", "page"], "left")
+    return d.select("doc_id", "k", "page", F.when(F.col("page").isNull(), F.col("piece")).otherwise(whole).alias("piece"))
+
+
+def book_texts(pieces: DataFrame) -> DataFrame:
+    """doc_id, text: pieces put together. A book is one string then, 2 GB at most; larger ones are kept as pieces, in order of k."""
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
 def notes_as_blocks(notes: DataFrame) -> DataFrame:

@@ -30,7 +30,54 @@ def kind(v: Column) -> Column:
 
 
 def is_kind(v: Column, k: str) -> Column:
-    return F.coalesce(kind(v) == k, F.lit(False))
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(_SCHEMAS[k])), F.lit(False))
+
+
+class Field:
+    """A field of a state that is looked at several times: read once into a struct, whose parts the rules ask for."""
+
+    def __init__(self, name: str):
+        self.c = F.col(name)
+
+    @staticmethod
+    def read(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.schema_of_variant(v).alias("t"), F.try_variant_get(v, "$", "string").alias("s"), F.try_variant_get(v, "$", "bigint").alias("i"))
+
+    @property
+    def value(self) -> Column:
+        return self.c["v"]
+
+    @property
+    def given(self) -> Column:
+        return self.c["t"].isNotNull()
+
+    def is_kind(self, k: str) -> Column:
+        return F.coalesce(F.startswith(self.c["t"], F.lit(_SCHEMAS[k])), F.lit(False))
+
+    @property
+    def text(self) -> Column:
+        return F.when(self.is_kind("string"), self.c["s"])
+
+    @property
+    def filled(self) -> Column:
+        return F.coalesce(T.strip(self.text) != "", F.lit(False))
+
+    @property
+    def integer(self) -> Column:
+        return F.when(self.is_kind("int"), self.c["i"])
+
+    @property
+    def items(self) -> Column:
+        return items(self.value)
+
+
+#: How the schema of each kind of value begins.
+_SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
+
+
+def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
+    """d with a column for each field of v."""
+    return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
 
 
 def text_of(v: Column) -> Column:
@@ -89,46 +136,42 @@ def _bad_list(v: Column) -> Column:
     return F.exists(items(v), lambda x: F.coalesce(int_of(x), F.lit(0)) <= 0)
 
 
-def _bad_index(v: Column) -> Column:
-    return v.isNotNull() & ~is_kind(v, "null") & (F.coalesce(int_of(v), F.lit(0)) <= 0)
-
-
-def _relative(v: Column) -> Column:
-    value = text_of(v)
-    return filled(v) & ~value.startswith("/") & ~F.array_contains(F.split(value, "/"), "..")
-
-
 def decision_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
     """doc_id, page, error: the provenance rules of each decision. Context is asked for only where the state has candidate records."""
     lists = F.filter(F.map_entries(fields(get("v", "formula_candidate_records"))), lambda e: page_of(e["key"]).isNotNull() & is_kind(e["value"], "array"))
     flags = states.select("doc_id", (F.size(lists) > 0).alias("_context"))
-    d, what = F.col("d"), F.coalesce(F.col("disposition"), F.lit(""))
+    names = ("disposition", "verification", "source_asset", "source_pdf_page", "context_asset", "context_type", "source_candidates", "candidate_id", "latex", "unresolved_reason", "reason", "candidate_index")
+    d_, f = with_fields(entries.join(flags, "doc_id"), F.col("d"), names)
+    d_ = d_.withColumns({"disposition": f["disposition"].text, "_object": is_kind(F.col("d"), "object"), "_n": F.size(f["source_candidates"].items)})
+    what = F.coalesce(F.col("disposition"), F.lit(""))
     at = F.when(F.col("page").isNotNull(), F.format_string(" on PDF page %d", "page")).otherwise("")
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     seen, context = what.isin(*VISUAL), F.col("_context") & what.isin(*VISUAL)
-    source = filled(get(d, "source_asset")) | (F.coalesce(int_of(get(d, "source_pdf_page")), F.lit(0)) > 0)
-    reason = F.when(get(d, "reason").isNotNull(), get(d, "reason")).otherwise(get(d, "unresolved_reason"))
+    path = f["context_asset"].text
+    relative = f["context_asset"].filled & ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..")
+    source = f["source_asset"].filled | (F.coalesce(f["source_pdf_page"].integer, F.lit(0)) > 0)
+    reason = F.when(f["reason"].given, f["reason"].filled).otherwise(f["unresolved_reason"].filled)
+    index = f["candidate_index"]
     known = rules([
-        (seen & (F.coalesce(text_of(get(d, "verification")), F.lit("")) != "visual"), say(what, " formula decision", at, " lacks verification: visual")),
+        (seen & (F.coalesce(f["verification"].text, F.lit("")) != "visual"), say(what, " formula decision", at, " lacks verification: visual")),
         (seen & ~source, say(what, " formula decision", at, " lacks source_asset or source_pdf_page")),
-        (context & ~F.coalesce(_relative(get(d, "context_asset")), F.lit(False)), say(what, " formula decision", at, " lacks relative context_asset")),
-        (context & ~F.coalesce(text_of(get(d, "context_type")).isin("line", "region"), F.lit(False)), say(what, " formula decision", at, " lacks context_type line/region")),
-        (context & (length(get(d, "source_candidates")) == 0), say(what, " formula decision", at, " lacks source_candidates")),
-        (context & (length(get(d, "source_candidates")) > 0) & _bad_list(get(d, "source_candidates")), say(what, " formula decision", at, " has invalid source_candidates")),
-        (context & ~filled(get(d, "candidate_id")), say(what, " formula decision", at, " lacks candidate_id")),
-        ((what == "latex_confirmed") & ~filled(get(d, "latex")), say("latex_confirmed formula decision", at, " lacks non-empty latex")),
-        ((what == "crop_only") & ~filled(get(d, "unresolved_reason")), say("crop_only formula decision", at, " lacks unresolved_reason")),
-        (what.isin("not_formula", "removed") & ~filled(reason), say(what, " formula decision", at, " lacks a concrete reason")),
-        (_bad_index(get(d, "candidate_index")), say("formula decision", at, " has invalid candidate_index")),
+        (context & ~F.coalesce(relative, F.lit(False)), say(what, " formula decision", at, " lacks relative context_asset")),
+        (context & ~F.coalesce(f["context_type"].text.isin("line", "region"), F.lit(False)), say(what, " formula decision", at, " lacks context_type line/region")),
+        (context & (F.col("_n") == 0), say(what, " formula decision", at, " lacks source_candidates")),
+        (context & (F.col("_n") > 0) & _bad_list(f["source_candidates"].value), say(what, " formula decision", at, " has invalid source_candidates")),
+        (context & ~f["candidate_id"].filled, say(what, " formula decision", at, " lacks candidate_id")),
+        ((what == "latex_confirmed") & ~f["latex"].filled, say("latex_confirmed formula decision", at, " lacks non-empty latex")),
+        ((what == "crop_only") & ~f["unresolved_reason"].filled, say("crop_only formula decision", at, " lacks unresolved_reason")),
+        (what.isin("not_formula", "removed") & ~reason, say(what, " formula decision", at, " lacks a concrete reason")),
+        (index.given & ~index.is_kind("null") & (F.coalesce(index.integer, F.lit(0)) <= 0), say("formula decision", at, " has invalid candidate_index")),
     ])
-    shown = F.when(F.col("disposition").isNotNull(), F.concat(F.lit("'"), F.col("disposition"), F.lit("'"))).otherwise(F.coalesce(F.to_json(get(d, "disposition")), F.lit("None")))
+    shown = F.when(F.col("disposition").isNotNull(), F.concat(F.lit("'"), F.col("disposition"), F.lit("'"))).otherwise(F.coalesce(F.to_json(f["disposition"].value), F.lit("None")))
     errors = (
-        F.when(~is_kind(d, "object"), F.array(say("formula decision", at, " must be an object")))
+        F.when(~F.col("_object"), F.array(say("formula decision", at, " must be an object")))
         .when(what == "conservative_latex", F.array(say("formula decision", at, " uses legacy conservative_latex; use latex_confirmed")))
         .when(~what.isin(*DISPOSITIONS), F.array(say("formula decision", at, " has unknown disposition: ", shown)))
         .otherwise(known)
     )
-    d_ = entries.join(flags, "doc_id").withColumn("disposition", text_of(get("d", "disposition")))
     return d_.select("doc_id", "page", F.explode(errors).alias("error"))
 
 
@@ -148,25 +191,28 @@ def verified_page_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
 def pending_errors(states: DataFrame) -> DataFrame:
     """doc_id, ord, error: items of pending_review must say what was seen and is unresolved."""
     d = states.select("doc_id", F.posexplode(items(get("v", "pending_review"))).alias("ord", "i"))
-    i, label = F.col("i"), F.format_string("pending_review[%d]", "ord")
-    truthy = lambda v: v.isNotNull() & ~F.coalesce(F.to_json(v).isin('""', "null", "false", "0", "[]", "{}"), F.lit(False))
-    reason = F.lower(text_of(get(i, "reason")))
+    d, f = with_fields(d, F.col("i"), ("pdf_page", "type", "kind", "status", "reason"))
+    label = F.format_string("pending_review[%d]", "ord")
+    truthy = lambda x: x.given & ~F.coalesce(F.to_json(x.value).isin('""', "null", "false", "0", "[]", "{}"), F.lit(False))
+    reason = F.lower(f["reason"].text)
     unreviewed = F.exists(F.array(*map(F.lit, UNREVIEWED)), lambda p: F.contains(reason, p))
     of_object = rules([
-        (F.coalesce(int_of(get(i, "pdf_page")), F.lit(0)) <= 0, F.concat(label, F.lit(" must identify a positive integer pdf_page"))),
-        (~(truthy(get(i, "type")) | truthy(get(i, "kind"))), F.concat(label, F.lit(" must identify its type or kind"))),
-        (F.coalesce(text_of(get(i, "status")), F.lit("")) != "visually_reviewed_unresolved", F.concat(label, F.lit(" must use status: visually_reviewed_unresolved"))),
-        (~filled(get(i, "reason")), F.concat(label, F.lit(" must contain a concrete reason"))),
-        (filled(get(i, "reason")) & unreviewed, F.concat(label, F.lit(" reason still describes unperformed visual review"))),
+        (F.coalesce(f["pdf_page"].integer, F.lit(0)) <= 0, F.concat(label, F.lit(" must identify a positive integer pdf_page"))),
+        (~(truthy(f["type"]) | truthy(f["kind"])), F.concat(label, F.lit(" must identify its type or kind"))),
+        (F.coalesce(f["status"].text, F.lit("")) != "visually_reviewed_unresolved", F.concat(label, F.lit(" must use status: visually_reviewed_unresolved"))),
+        (~f["reason"].filled, F.concat(label, F.lit(" must contain a concrete reason"))),
+        (f["reason"].filled & unreviewed, F.concat(label, F.lit(" reason still describes unperformed visual review"))),
     ])
-    errors = F.when(is_kind(i, "object"), of_object).otherwise(F.array(F.concat(label, F.lit(" must be an object with a concrete PDF page and reason"))))
+    errors = F.when(is_kind(F.col("i"), "object"), of_object).otherwise(F.array(F.concat(label, F.lit(" must be an object with a concrete PDF page and reason"))))
     return d.select("doc_id", "ord", F.explode(errors).alias("error"))
 
 
 def workflow(states: DataFrame) -> DataFrame:
     """doc_id, workflow_status, queued, pending, errors, warnings: the rules on status and queues."""
-    queue, pending, status = get("v", "visual_review_required"), get("v", "pending_review"), text_of(get("v", "status"))
-    d = states.select("doc_id", status.alias("workflow_status"), length(queue).alias("queued"), length(pending).alias("pending"), (queue.isNotNull() & ~is_kind(queue, "array")).alias("_q"), (pending.isNotNull() & ~is_kind(pending, "array")).alias("_p"), F.coalesce(F.concat(F.lit("'"), status, F.lit("'")), F.to_json(get("v", "status")), F.lit("None")).alias("_s"))
+    d, f = with_fields(states, F.col("v"), ("visual_review_required", "pending_review", "status"))
+    queue, pending, status = (f[n] for n in ("visual_review_required", "pending_review", "status"))
+    shown = F.coalesce(F.concat(F.lit("'"), status.text, F.lit("'")), F.to_json(status.value), F.lit("None"))
+    d = d.select("doc_id", status.text.alias("workflow_status"), F.size(queue.items).alias("queued"), F.size(pending.items).alias("pending"), (queue.given & ~queue.is_kind("array")).alias("_q"), (pending.given & ~pending.is_kind("array")).alias("_p"), shown.alias("_s"))
     s = F.coalesce(F.col("workflow_status"), F.lit(""))
     errors = rules([
         (~s.isin(*STATUSES), F.concat(F.lit("unknown conversion workflow status: "), F.col("_s"))),

@@ -443,9 +443,9 @@ def merged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout pages as Markdown with a note at the end of every page."""
     lines, noise = _layout(spark, sf_dir)
     docs = L.book_markdown(L.page_markdown(L.paragraphs(L.clean_lines(lines, noise))))
-    segments = S.page_segments(docs)
-    notes = segments.select("doc_id", F.col("pdf_page").alias("page"), F.format_string("checked page %d", "pdf_page").alias("note"))
-    out = ME.with_additions(docs, segments, ME.notes_as_blocks(notes))
+    pieces = ME.text_pieces(docs)
+    notes = pieces.filter("page IS NOT NULL").select("doc_id", "page", F.format_string("checked page %d", "page").alias("note"))
+    out = ME.book_texts(ME.with_additions(pieces, ME.notes_as_blocks(notes)))
     return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.regexp_count("text", F.lit(r"> \[Transcription note: checked page")).cast("long").alias("notes"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

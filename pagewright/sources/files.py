@@ -13,9 +13,15 @@ def _name(path):
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """doc_id (the file's name without suffix), path, text, valid: whole files. `valid` tells whether the bytes are UTF-8."""
+    """doc_id (the file's name without suffix), path, text, valid: whole files. `valid` tells whether the bytes are UTF-8;
+    where they aren't, the text is null and the run goes on (see unread)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(_name(F.col("path")).alias("doc_id"), "path", F.decode("content", "UTF-8").alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    return files.select(_name(F.col("path")).alias("doc_id"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+
+
+def unread(texts: DataFrame) -> DataFrame:
+    """doc_id, path, error of the files of read_texts that aren't UTF-8."""
+    return texts.filter(~F.col("valid")).select("doc_id", "path", F.lit("Markdown could not be read as UTF-8").alias("error"))
 
 
 def read_json_texts(spark: SparkSession, path: str, column: str = "state", pattern: str = "*.json") -> DataFrame:
@@ -24,12 +30,17 @@ def read_json_texts(spark: SparkSession, path: str, column: str = "state", patte
 
 
 def list_assets(spark: SparkSession, root: str, doc_ids: DataFrame | None = None) -> DataFrame:
-    """path (below root) and length of image files; contents aren't read. With doc_ids(doc_id) the files belong to each of them."""
+    """path (below root) and length of image files; contents aren't read. With doc_ids(doc_id) root holds a
+    folder for each document: doc_id, path (below that folder), length."""
     suffix = "*.{" + ",".join([*IMAGE_SUFFIXES, *(s.upper() for s in IMAGE_SUFFIXES)]) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(root).select("path", "length")
     base = root.split(":", 1)[-1].rstrip("/").lstrip("/")
     listed = found.select(F.regexp_replace(F.col("path"), "^.*" + "\\Q" + base + "\\E/", "").alias("path"), "length")
-    return listed if doc_ids is None else doc_ids.select("doc_id").join(listed, F.lit(True))
+    if doc_ids is None:
+        return listed
+    # a path's first folder is the document that it belongs to
+    owned = listed.select(F.substring_index("path", "/", 1).alias("doc_id"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "length")
+    return doc_ids.select("doc_id").join(owned, "doc_id")
 
 
 def list_sources(spark: SparkSession, path: str, suffix: str = "pdf", only: tuple[str, ...] = ()) -> DataFrame:
@@ -46,8 +57,8 @@ def layout_lines(pages: DataFrame) -> DataFrame:
 
     b = pages.select("doc_id", "page", F.posexplode("blocks").alias("block_index", "b")).filter(F.col("b.type") == 0)
     rows = b.select("doc_id", "page", "block_index", F.posexplode("b.lines").alias("line_index", "l")).filter(F.size("l.spans") > 0)
-    box = {c: f(F.transform("l.spans", lambda s, c=c: s[c])) for c, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))}
-    text = compact(F.array_join(F.transform("l.spans", lambda s: s["text"]), ""))
+    box = {c: f(F.col(f"l.spans.{c}")) for c, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))}
+    text = compact(F.array_join("l.spans.text", ""))
     out = rows.select("doc_id", "page", "block_index", "line_index", *[v.alias(k) for k, v in box.items()], text.alias("text")).filter("text <> '' AND x0 IS NOT NULL")
     return out.withColumn("ord", F.col("block_index") * 100_000 + F.col("line_index"))
 
@@ -73,7 +84,8 @@ def write_reports(json_rows: DataFrame, path: str) -> None:
 
 
 def append_trace(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("doc_id").json(path)
+    """Adds events in files by a hash of doc_id, so that a document's are together without a folder for each."""
+    events.repartition("doc_id").sortWithinPartitions("doc_id").write.mode("append").json(path)
 
 
 def write_state(states: DataFrame, path: str) -> None:

@@ -116,6 +116,56 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# ä\n")
     (tmp_path / "b.md").write_bytes(b"\xff")
     (tmp_path / "assets/x.PNG").write_bytes(b"1")
-    got = {r.doc_id: (r.text, r.valid) for r in files.read_texts(spark, str(tmp_path)).select("doc_id", "text", "valid").filter("doc_id = 'a'").collect()}
-    assert got == {"a": ("# ä\n", True)}
-    assert [r.path for r in files.list_assets(spark, str(tmp_path)).collect()] == ["assets/x.PNG"]
+    texts = files.read_texts(spark, str(tmp_path))
+    assert {r.doc_id: (r.text, r.valid) for r in texts.collect()} == {"a": ("# ä\n", True), "b": (None, False)}
+    assert [(r.doc_id, r.error) for r in files.unread(texts).collect()] == [("b", "Markdown could not be read as UTF-8")]
+    (tmp_path / "books/one/assets").mkdir(parents=True)
+    (tmp_path / "books/one/assets/y.png").write_bytes(b"22")
+    listed = files.list_assets(spark, str(tmp_path / "books"), spark.createDataFrame([("one",), ("two",)], "doc_id string"))
+    assert [tuple(r) for r in listed.collect()] == [("one", "assets/y.png", 2)]
+    assert sorted(r.path for r in files.list_assets(spark, str(tmp_path)).collect()) == ["assets/x.PNG", "books/one/assets/y.png"]
+    (tmp_path / "s.json").write_text('{"status": "completed"}')
+    assert [tuple(r) for r in files.read_json_texts(spark, str(tmp_path)).collect()] == [("s", '{"status": "completed"}')]
+    for name in ("B2.pdf", "B1.pdf", "C.pdf"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    assert [r.doc_id for r in files.list_sources(spark, str(tmp_path)).collect()] == ["B1", "B2", "C"]
+    assert [r.doc_id for r in files.list_sources(spark, str(tmp_path), only=("C.pdf", "B1")).collect()] == ["B1", "C"]
+    files.write_reports(spark.createDataFrame([("1", "{}")], "doc_id string, json string"), str(tmp_path / "r"))
+    files.append_trace(spark.createDataFrame([("1", 2), ("2", 3)], "doc_id string, page int"), str(tmp_path / "t"))
+    files.append_trace(spark.createDataFrame([("1", 4)], "doc_id string, page int"), str(tmp_path / "t"))
+    files.write_state(spark.createDataFrame([("1", "{}")], "doc_id string, state string"), str(tmp_path / "w"))
+    assert spark.read.text(str(tmp_path / "r")).count() == 1 and spark.read.json(str(tmp_path / "t")).count() == 3 and spark.read.parquet(str(tmp_path / "w")).count() == 1
+    b = spark.sql("SELECT 'd' AS doc_id, 1 AS page, array(named_struct('type', 0, 'lines', array(named_struct('spans', array(named_struct('text', 'a  ', 'x0', 1D, 'y0', 2D, 'x1', 3D, 'y1', 4D), named_struct('text', 'b', 'x0', 3D, 'y0', 1D, 'x1', 5D, 'y1', 4D)))))) AS blocks")
+    assert [(r.ord, r.text, r.x0, r.y0, r.x1, r.y1) for r in files.layout_lines(b).collect()] == [(0, "a b", 1.0, 1.0, 5.0, 4.0)]
+    assert files.page_counts(files.layout_lines(b)).first().pages == 1
+    spec = spark.sql("SELECT * FROM VALUES ('3, 1,1'), ('0'), ('x'), ('9') t(s)").select("s", files.page_list(F.col("s"), F.lit(5)).alias("p"))
+    assert {r.s: r.p for r in spec.collect()} == {"3, 1,1": [1, 3], "0": None, "x": None, "9": None}
+    assert spark.range(1).select(files.page_range(F.lit(2), F.lit(4)).alias("a"), files.page_range(F.lit(4), F.lit(2)).alias("b")).first() == ([2, 3, 4], None)
+
+
+def test_books_begin_and_are_told_of(spark):
+    books = layout.fresh_books(spark.createDataFrame([("B", "/s/B.pdf", "/t/B.md", 2)], "doc_id string, path string, output string, total_pages int"), "n", "r")
+    row = books.first()
+    first = json.loads(row.state)
+    assert row.text.startswith("# B\n\n> [Transcription note: ") and row.text.endswith("\n\n## 目录与正文\n\n")
+    assert first["requested_pdf_pages"] == [1, 2] and first["status"] == "in_progress" and first["current_section"] is None and first["formula_candidates"] == {} and first["schema_version"] == 3
+    assert json.loads(layout.status_lines(books).first().line) == {"book": "B", "status": "in_progress", "completed_pdf_pages": 0, "visual_review_required": 0, "pending_review": 0, "formula_latex_confirmed": 0, "execution_trace": None}
+    pages = spark.createDataFrame([("B", 2, 1), ("B", 5, 3)], "doc_id string, page int, n int")
+    assert sorted((r.page, r.done, r.n_so_far) for r in layout.progress(pages, ["n"]).collect()) == [(2, 1, 1), (5, 2, 4)]
+
+
+def test_groups_of_candidates_and_files_of_pages(spark):
+    contexts = spark.createDataFrame([(0, 1, "g1", [1, 3], "c.png"), (0, 1, "g2", [2], "d.png")], "doc_id long, page int, group_id string, candidate_indices array<int>, context_filename string")
+    assert sorted((r.candidate_index, r.group_id) for r in layout.candidate_rows(contexts).collect()) == [(1, "g1"), (2, "g2"), (3, "g1")]
+    images = spark.createDataFrame([(0, 1, 2), (0, 1, 1)], "doc_id long, page int, rank int")
+    formulas = spark.createDataFrame([(0, 1, 3)], "doc_id long, page int, candidate_index int")
+    got = layout.page_assets(images, formulas, contexts).first().assets
+    assert got == ["assets/pdf_page_001_visual_01.png", "assets/pdf_page_001_visual_02.png", "assets/pdf_page_001_formula_03.png", "assets/c.png", "assets/d.png"]
+
+
+def test_additions_go_to_their_pages(spark):
+    text = "head  \n<!-- PDF page 1 -->\n\none\n\n<!-- PDF page 2 -->\n\ntwo \n"
+    pieces = merge.text_pieces(spark.createDataFrame([(0, text), (1, "none "), (2, None)], "doc_id long, text string"))
+    blocks = spark.createDataFrame([(0, 2, 1, "B"), (0, 2, 0, "A"), (0, 9, 0, "C")], "doc_id long, page int, ord int, block string")
+    got = {r.doc_id: r.text for r in merge.book_texts(merge.with_additions(pieces, blocks)).collect()}
+    assert got == {0: "head  \n<!-- PDF page 1 -->\n\none\n\n<!-- PDF page 2 -->\n\ntwo\n\nA\n\nB\n\n", 1: "none "}
