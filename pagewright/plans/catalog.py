@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import text as T
 from pagewright.operators import assets as A
 from pagewright.operators import garbage as G
 from pagewright.operators import layout as L
@@ -15,6 +14,7 @@ from pagewright.operators import pages as P
 from pagewright.operators import scans as S
 from pagewright.operators import state as ST
 from pagewright.plans import books as B
+from pagewright.plans import oracles as O
 from pagewright.plans import report as R
 
 QUERIES: dict = {}
@@ -134,12 +134,13 @@ def brace_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "seq", F.size("unmatched_open").alias("opens"), F.size("unmatched_close").alias("closes"))
 
 
-@query()
+@query(f"WITH {_BOOKS}, {_DISPLAY}, {O.ARTIFACTS} SELECT doc_id, seq, score, signals FROM scores")
 def artifact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.artifact_scores(S.math_spans(B.books(spark, sf_dir))).select("doc_id", "seq", "score", F.array_join("signals", ",").alias("signals"))
 
 
-@query()
+@query(f"""WITH {_MARKERS}, {_DISPLAY}, {O.ARTIFACTS}, v AS (SELECT s.doc_id, s.score, m.pdf_page FROM (SELECT * FROM scores WHERE score >= 3) s ASOF LEFT JOIN (SELECT doc_id, start, arg_max(pdf_page, seq) AS pdf_page FROM markers GROUP BY doc_id, start) m ON s.doc_id = m.doc_id AND s.start >= m.start)
+SELECT doc_id, max(CASE WHEN score >= 6 THEN 2 ELSE 1 END)::INTEGER AS severity, count(*) AS findings, coalesce(array_to_string(list_sort(list(DISTINCT pdf_page) FILTER (pdf_page IS NOT NULL)), ','), '') AS pdf_pages FROM v GROUP BY doc_id""")
 def artifact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = B.books(spark, sf_dir)
     found = S.with_page(M.artifact_findings(M.artifact_scores(S.math_spans(books))), S.page_markers(books))
@@ -244,8 +245,11 @@ def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layout(spark, sf_dir)[1]
 
 
-@query(rf"""WITH {_LINES} SELECT doc_id, page, ord, line FROM lines l WHERE NOT regexp_full_match(line, '[_—\-]{{5,}}') AND NOT (regexp_full_match(line, '\d{{1,3}}') AND (ord < 3 OR ord > last - 3))
-AND NOT ((ord < 5 OR ord > last - 5) AND EXISTS (SELECT 1 FROM noise n WHERE n.doc_id = l.doc_id AND n.line = l.line))""")
+_CLEAN = rf"""{_LINES}, cl AS (SELECT doc_id, page, ord, line FROM lines l WHERE NOT regexp_full_match(line, '[_—\-]{{5,}}') AND NOT (regexp_full_match(line, '\d{{1,3}}') AND (ord < 3 OR ord > last - 3))
+AND NOT ((ord < 5 OR ord > last - 5) AND EXISTS (SELECT 1 FROM noise n WHERE n.doc_id = l.doc_id AND n.line = l.line)))"""
+
+
+@query(f"WITH {_CLEAN} SELECT * FROM cl")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, noise = _layout(spark, sf_dir)
     return L.clean_lines(lines, noise).select("doc_id", "page", "ord", "line")
@@ -259,19 +263,20 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.line_classes(_layout(spark, sf_dir)[0]).select("doc_id", "page", "ord", "class", "formula", "ends")
 
 
-@query()
+@query(f"WITH {_CLEAN}, {O.PARAGRAPHS} SELECT * FROM parts")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, noise = _layout(spark, sf_dir)
     return L.paragraphs(L.clean_lines(lines, noise))
 
 
-@query()
+@query(f"WITH {_CLEAN}, {O.PARAGRAPHS} SELECT * FROM md")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, noise = _layout(spark, sf_dir)
     return L.page_markdown(L.paragraphs(L.clean_lines(lines, noise)))
 
 
-@query()
+@query(f"""WITH {_LINES}, l2 AS (SELECT doc_id, page, ord, CASE WHEN ord = 0 THEN concat((page % 90)::VARCHAR, '. ', left(line, 20), '—') ELSE line END AS line FROM lines)
+SELECT doc_id, page, ord, last_value(CASE WHEN {O.HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, ord ROWS UNBOUNDED PRECEDING) AS section FROM l2""")
 def current_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, _ = _layout(spark, sf_dir)
     numbered = lines.withColumn("line", F.when(F.col("ord") == 0, F.concat((F.col("page") % 90).cast("string"), F.lit(". "), F.left("line", F.lit(20)), F.lit("—"))).otherwise(F.col("line")))
@@ -307,46 +312,34 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return L.formula_regions(g, sizes), g, sizes
 
 
-@query()
+@query(f"WITH RECURSIVE {O.FORMULAS} SELECT * FROM cand")
 def formula_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir)[0]
 
 
-#: Candidates without overlap rules, so that SQL can state them: the first six formula lines of a page.
-_CANDIDATES = f"""g AS ({B.REGIONS}), cand AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord)::INTEGER AS candidate_index, x0, y0, x1, y1 FROM g WHERE text LIKE '%=%')"""
-_PAIRS = f"""{_CANDIDATES}, c AS (SELECT * FROM cand WHERE candidate_index <= 6),
-m AS (SELECT p.doc_id, p.page, p.candidate_index AS a, q.candidate_index AS b, greatest(0.0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS vo, least(p.y1 - p.y0, q.y1 - q.y0) AS vd, greatest(0.0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) AS ho,
-  least(p.x1 - p.x0, q.x1 - q.x0) AS hd, greatest(p.x0, q.x0) - least(p.x1, q.x1) AS hg, greatest(p.y0, q.y0) - least(p.y1, q.y1) AS vg, abs(p.y0 + (p.y1 - p.y0) / 2 - q.y0 - (q.y1 - q.y0) / 2) AS cd, greatest(p.y1 - p.y0, q.y1 - q.y0) AS maxh
-  FROM c p JOIN c q ON p.doc_id = q.doc_id AND p.page = q.page AND p.candidate_index < q.candidate_index),
-pairs AS (SELECT doc_id, page, a, b FROM m WHERE (CASE WHEN vd > 0 THEN vo / vd ELSE 0 END >= 0.35 AND cd <= greatest(6.0, maxh * 0.70) AND hg <= greatest(120.0, vd * 6.0)) OR (CASE WHEN hd > 0 THEN ho / hd ELSE 0 END >= 0.30 AND vg <= greatest(18.0, maxh * 0.90)))"""
-
-
-def _first_six(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.run(spark, sf_dir, f"WITH {_CANDIDATES} SELECT * FROM cand WHERE candidate_index <= 6", "lineitem")
-
-
-@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+@query(f"WITH RECURSIVE {O.FORMULAS}, c AS (SELECT * FROM cand), {O.PAIRS} SELECT * FROM pairs")
 def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.related_pairs(_first_six(spark, sf_dir))
+    return L.related_pairs(_candidates(spark, sf_dir)[0])
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT doc_id, page, a, b FROM pairs UNION SELECT doc_id, page, b, a FROM pairs),
-reach AS (SELECT doc_id, page, candidate_index AS v, candidate_index AS r FROM c UNION SELECT e.doc_id, e.page, e.b, reach.r FROM reach JOIN e ON e.doc_id = reach.doc_id AND e.page = reach.page AND e.a = reach.v),
-lab AS (SELECT doc_id, page, v, min(r) AS group_first FROM reach GROUP BY doc_id, page, v)
-SELECT l.doc_id, l.page, l.group_first, string_agg(v::VARCHAR, ',' ORDER BY v) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lab l JOIN c ON c.doc_id = l.doc_id AND c.page = l.page AND c.candidate_index = l.v GROUP BY ALL""")
+@query(f"WITH RECURSIVE {O.FORMULAS}, c AS (SELECT * FROM cand), {O.PAIRS}, {O.GROUPED} SELECT doc_id, page, group_first, array_to_string(members, ',') AS members, x0, y0, x1, y1 FROM grp")
 def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = _first_six(spark, sf_dir)
+    regions = _candidates(spark, sf_dir)[0]
     groups = L.region_groups(regions, L.related_pairs(regions))
     return groups.select("doc_id", "page", "group_first", F.array_join(F.transform("candidate_indices", lambda i: i.cast("string")), ",").alias("members"), "x0", "y0", "x1", "y1")
 
 
-@query()
+@query(f"WITH RECURSIVE {O.FORMULAS}, c AS (SELECT * FROM cand), {O.PAIRS}, {O.GROUPED}, {O.CONTEXTS}")
 def group_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, g, sizes = _candidates(spark, sf_dir)
-    return L.group_contexts(L.region_groups(regions, L.related_pairs(regions)), g.withColumn("block_index", F.col("ord")), sizes)
+    found = L.group_contexts(L.region_groups(regions, L.related_pairs(regions)), g.withColumn("block_index", F.col("ord")), sizes)
+    listed = {c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",") for c in ("candidate_indices", "context_lines")}
+    return found.withColumns(listed)
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.FORMULAS}, s AS (SELECT doc_id, page, bool_or(contains(text, '=')) AS cue, count_if(xref = 1) AS images FROM g GROUP BY doc_id, page), n AS (SELECT DISTINCT doc_id, page, 1 AS has FROM cand),
+r AS (SELECT doc_id, page, array_to_string(list_filter([CASE WHEN images > 0 THEN 'embedded-visual-retention' END, CASE WHEN has = 1 THEN 'formula-or-mathematical-expression' END, CASE WHEN has IS NULL AND cue THEN 'possible-mathematical-expression' END, CASE WHEN cue AND images = 0 THEN 'visual-evidence-not-cropped' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s LEFT JOIN n USING (doc_id, page))
+SELECT * FROM r WHERE reasons <> ''""")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, g, _ = _candidates(spark, sf_dir)
     n = regions.groupBy("doc_id", "page").agg(F.count("*").alias("n_candidates"))
@@ -432,13 +425,15 @@ def disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.disposition_counts(_merged(spark, sf_dir)[0])
 
 
-@query()
+@query(f"""WITH {_RULED} SELECT doc_id, page, ord, CASE WHEN given IS NULL THEN NULL WHEN e > 0 THEN 'invalid' WHEN kind < 2 THEN 'latex_confirmed' WHEN kind = 3 THEN 'crop_only' WHEN kind = 4 THEN 'not_formula' ELSE 'removed' END AS decision,
+given IS NOT NULL AND e = 0 AS inspected, CASE WHEN given IS NULL OR e > 0 THEN 1 ELSE 0 END::INTEGER AS n_errors FROM r""")
 def merge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, extra, _ = _merged(spark, sf_dir)
     return ME.trace(m, extra).select("doc_id", "page", "ord", "decision", "inspected", F.size("errors").alias("n_errors"))
 
 
-@query()
+@query(f"""WITH {_CLEAN}, {O.PARAGRAPHS}, w AS (SELECT doc_id, count(*) AS notes, string_agg(concat(regexp_replace(markdown, '\\s+$', ''), chr(10), chr(10), '> [Transcription note: checked page ', page, ']', chr(10), chr(10)), '' ORDER BY page) AS text FROM md GROUP BY doc_id)
+SELECT doc_id, length(text)::BIGINT AS n_chars, notes, md5(text) AS digest FROM w""")
 def merged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout pages as Markdown with a note at the end of every page."""
     lines, noise = _layout(spark, sf_dir)
@@ -449,29 +444,30 @@ def merged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.regexp_count("text", F.lit(r"> \[Transcription note: checked page")).cast("long").alias("notes"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH {_REFS}, {_MARKERS.replace(_BOOKS + ',', '', 1)}, {_DISPLAY}, {_HEADS}, {O.ARTIFACTS}, {O.BRACES}, {O.facts('password', True, True, True)} SELECT * FROM reports")
 def book_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = R.Inputs(B.books(spark, sf_dir), assets=B.assets(spark, sf_dir), expected=_expected(spark, sf_dir), printed=_expected(spark, sf_dir), forbidden=("password",), require_stem=True)
     return R.report(inp).drop("checks")
 
 
-@query()
+@query(f"WITH {_REFS}, {_MARKERS.replace(_BOOKS + ',', '', 1)}, {_DISPLAY}, {_HEADS}, {O.ARTIFACTS}, {O.BRACES}, {O.facts(assets=True)} {O.CHECK_ROWS}")
 def book_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.check_rows(R.report(R.Inputs(B.books(spark, sf_dir), assets=B.assets(spark, sf_dir))))
 
 
-@query(r"""WITH c AS (SELECT doc_id, text, (length(text) - length(replace(text, '$$', ''))) // 2 AS d, replace(text, '$$', '') AS bare FROM documents),
-n AS (SELECT doc_id, d, length(bare) - length(replace(bare, '$', '')) - len(regexp_extract_all(bare, '\\\$')) AS i, len(regexp_extract_all(text, '(?i)\[transcription note:')) AS notes, regexp_matches(text, '(^|\n)#{1,6}\s+') AS h FROM c)
-SELECT doc_id, (d % 2 + i % 2)::BIGINT AS delimiters, (d // 2)::BIGINT AS display_blocks, i::BIGINT AS inline_markers, notes::BIGINT AS notes FROM n""")
+_DOCS = f"""{_REFS}, {_MARKERS.replace(_BOOKS + ',', '', 1)}, {_DISPLAY}, {_HEADS}, {O.ARTIFACTS}, {O.BRACES}, {O.facts()}""".replace(_BOOKS, "books AS (SELECT doc_id, text FROM documents)")
+
+
+@query(f"WITH {_DOCS} SELECT * FROM reports")
 def doc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return R.report(R.Inputs(docs)).select("doc_id", "delimiters", "display_blocks", "inline_markers", "notes")
+    return R.report(R.Inputs(docs)).drop("checks")
 
 
-@query()
+@query(f"WITH {_DOCS} SELECT doc_id, status, errors, warnings, CASE WHEN status = 'PASS' THEN 0 ELSE 1 END::INTEGER AS exit_code FROM reports")
 def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = R.report(R.Inputs(B.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return r.select("doc_id", "status", "errors", "warnings").join(R.exit_codes(r, True), "doc_id")
+    return r.select("doc_id", "status", "errors", "warnings", R.exit_code(True).alias("exit_code"))
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "T"]
+__all__ = ["ORACLE_SQL", "QUERIES"]
