@@ -151,7 +151,8 @@ def recover(runs: pd.Series) -> pd.DataFrame:
     """recovered and codec by run: what it says if it is UTF-8 that was read by one of the codecs; nulls if it isn't.
 
     Each distinct run is looked at once; the codecs make columns of which the first that makes sense is taken."""
-    number, distinct = pd.factorize(runs)
+    number, distinct = pd.factorize(runs, use_na_sentinel=False)
+    distinct = [x if isinstance(x, str) else "" for x in distinct]
     asked = pd.Series(distinct, dtype=object)
     raw = {codec: asked.map(lambda x, codec=codec: x.encode(codec, "replace")) for codec in CODECS}
     said = pd.DataFrame({codec: r.map(lambda x: x.decode("utf-8", "replace")) for codec, r in raw.items()}, dtype=object)
@@ -159,11 +160,9 @@ def recover(runs: pd.Series) -> pd.DataFrame:
     exact = pd.DataFrame({codec: [t.encode("utf-8", "replace") == r and r.count(b"?") == x.count("?") for t, r, x in zip(said[codec], raw[codec], asked, strict=True)] for codec in CODECS}, dtype=bool)
     plain = said.apply(lambda c: c.str.translate({9: "", 10: "", 13: ""}).map(str.isprintable).astype(bool) & ~c.str.contains("\ufffd") & c.str.contains(TELLING))
     good = exact & plain & said.ne(asked, axis=0)
-    codec = good.idxmax(axis=1).where(good.any(axis=1)) if len(asked) else pd.Series([], dtype=object)
-    text = said.where(good).bfill(axis=1).iloc[:, 0] if len(asked) else codec
-    out = pd.DataFrame({"recovered": text, "codec": codec}, dtype=object)
-    out = out.where(out.notna(), None)
-    return out.reindex(number).where(lambda d: d.notna(), None).reset_index(drop=True)
+    first = [next((c for c in CODECS if ok[c]), None) for ok in good.to_dict("records")]
+    found = pd.DataFrame({"recovered": [said.at[k, c] if c else None for k, c in enumerate(first)], "codec": first}, dtype=object)
+    return found.iloc[number].reset_index(drop=True) if len(found) else pd.DataFrame({"recovered": [None] * len(runs), "codec": [None] * len(runs)}, dtype=object)
 
 
 def _recovered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

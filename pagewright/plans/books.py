@@ -38,11 +38,14 @@ FROM lineitem
 """
 SIZES = f"SELECT DISTINCT doc_id, page, CAST(480 AS DOUBLE) AS page_width, CAST(640 AS DOUBLE) AS page_height FROM ({REGIONS})"
 
-#: Texts that show rules on scripts and encodings which the tables don't have.
-SPECIAL = (
-    (1, "# a\n\n$$\\Delta v 中常用的方法。 a=\\Delta t$$"), (2, "$$\\text{合力}=F$$ and $$\\mathrm{平均}+x$$"), (3, "$$\\text{骞冲潎}=1$$"), (4, "$$\\text{鍘媫}$$ $$\\text{鐢瞹}$$"),
-    (5, "a � b"), (6, "a \ue000 b"), (7, "x Ж y ג z"), (8, "Ж" + " " * 30 + "ג"), (9, "\\(中\\) and \\[x\\]"), (10, "plain $中文$ text"), (11, ""), (12, "$$F=ma$$"),
-)
+#: A short text for each turn, with Chinese words in and beside mathematics; some of them are UTF-8 that was read by another codec.
+CHINESE = """
+SELECT conv_id * 1000 + turn AS doc_id, concat('# ', role, chr(10), chr(10), CASE length(text) % 8
+  WHEN 0 THEN concat('$$', chr(92), 'Delta v 中常用的方法。 a=', chr(92), 'Delta t$$') WHEN 1 THEN concat('$$', chr(92), 'text{合力}=F$$ and $$', chr(92), 'mathrm{平均}+x$$')
+  WHEN 2 THEN concat('plain $中文', CAST(turn AS STRING), '$ text') WHEN 3 THEN concat('$$', chr(92), 'text{骞冲潎}=', CAST(turn AS STRING), '$$') WHEN 4 THEN concat('$$', chr(92), 'text{鍘媫}$$ $$', chr(92), 'text{鐢瞹}$$')
+  WHEN 5 THEN concat(chr(92), '(中', chr(92), ') and ', chr(92), '[x', chr(92), ']') WHEN 6 THEN '中文 $$F=ma$$ 力' ELSE concat('$$a 骞冲潎 b$$ and $x=', CAST(turn AS STRING), '$ so') END) AS text
+FROM conversations
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +72,5 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, ASSETS, "conversations")
 
 
-def special(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SPECIAL, "doc_id long, text string")
+def chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, CHINESE, "conversations")

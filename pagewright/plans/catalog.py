@@ -210,20 +210,38 @@ _DAMAGED = "SELECT doc_id, concat(text, CASE doc_id % 9 WHEN 0 THEN chr(65533) W
 UNION ALL SELECT doc_id, 0, 'private-use character' FROM d WHERE contains(text, chr(57344))
 UNION ALL SELECT doc_id, 2, concat('clustered unexpected-script letters near text: ', chr(1046), chr(1488)) FROM d WHERE contains(text, concat(chr(1046), ' ', chr(1488)))""")
 def garbage_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents")
+    return G.garbage(_damaged(spark, sf_dir))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = B.table(spark, sf_dir, "documents"), F.col("doc_id") % 9
     # chr() of Spark stops at one byte
-    tail = F.when(F.col("doc_id") % 9 == 0, "�").when(F.col("doc_id") % 9 == 1, "\ue000").when(F.col("doc_id") % 9 == 2, "Ж א").when(F.col("doc_id") % 9 == 3, "Ж" + " " * 30 + "א").otherwise("")
-    return G.garbage(docs.select("doc_id", F.concat("text", tail).alias("text")))
+    tail = F.when(k == 0, "\ufffd").when(k == 1, "\ue000").when(k == 2, "Ж א").when(k == 3, "Ж" + " " * 30 + "א").otherwise("")
+    return docs.select("doc_id", F.concat("text", tail).alias("text"))
+
 
+#: Spans of the Chinese texts; labels are taken out before words are looked for.
+_SPANS = rf"""zh AS ({B.CHINESE}), zq AS (SELECT doc_id, text, string_split(text, '$$') AS q FROM zh),
+zd AS (SELECT doc_id, 'display' AS kind, unnest(range((len(q) - 1) // 2)) AS k, q FROM zq),
+zi AS (SELECT doc_id, kind, unnest(range(len(c))) AS k, c FROM (SELECT doc_id, 'inline' AS kind, regexp_extract_all(text, ' \$([^$\n]*)\$ ', 1) AS c FROM zh UNION ALL SELECT doc_id, 'parenthesized', regexp_extract_all(text, '\\\(([^)]*)\\\)', 1) FROM zh UNION ALL SELECT doc_id, 'bracketed', regexp_extract_all(text, '\\\[([^]]*)\\\]', 1) FROM zh)),
+spans AS (SELECT doc_id, kind, k::INTEGER AS seq, q[2 * k + 2] AS content FROM zd UNION ALL SELECT doc_id, kind, k::INTEGER, c[k + 1] FROM zi)"""
 
-@query("""SELECT * FROM (VALUES (1, 'display', 0), (10, 'inline', 0), (9, 'parenthesized', 0)) t(doc_id, kind, seq)""")
+
+@query(rf"""WITH {_SPANS} SELECT doc_id, kind, seq FROM spans WHERE regexp_matches(regexp_replace(content, '\\(?:text|mathrm|operatorname)\s*\{{[^{{}}]*\}}', '', 'g'), '[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}]')""")
 def cjk_prose_in_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prose_findings(S.math_spans(B.special(spark))).select(F.col("doc_id").cast("int").alias("doc_id"), "kind", "seq")
+    return M.prose_findings(S.math_spans(B.chinese(spark, sf_dir))).select("doc_id", "kind", "seq")
 
 
-@query()
+#: What a codec makes of a run is a fixed value here, since SQL has no such codec; where the runs stand is found.
+@query(rf"""WITH {_SPANS}, zr AS (SELECT doc_id, kind, seq, unnest(regexp_extract_all(content, '[\x{{4E00}}-\x{{9FFF}}]+')) AS run FROM spans),
+codecs AS (SELECT * FROM (VALUES ('骞冲潎', '平均', 'gbk'), ('鍘媫', '压}}', 'gbk'), ('鐢瞹', '甲}}', 'gbk')) t(run, recovered, codec)) SELECT doc_id, kind, seq, run, recovered, codec FROM zr JOIN codecs USING (run)""")
 def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.mojibake_findings(S.cjk_runs(S.math_spans(B.special(spark)))).select("doc_id", "kind", "seq", "run", "recovered", "codec")
+    return M.mojibake_findings(S.cjk_runs(S.math_spans(B.chinese(spark, sf_dir)))).select("doc_id", "kind", "seq", "run", "recovered", "codec")
+
+
+@query(rf"""WITH d AS ({_DAMAGED}) SELECT doc_id, regexp_matches(text, '[\x{{FFFD}}\x{{E000}}-\x{{F8FF}}Жא]') AS changed, md5(regexp_replace(text, '[\x{{FFFD}}\x{{E000}}-\x{{F8FF}}Жא]', '□', 'g')) AS digest FROM d""")
+def sanitized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _damaged(spark, sf_dir).select("doc_id", G.sanitized(F.col("text")).alias("s")).select("doc_id", "s.changed", F.md5(F.col("s.line").cast("binary")).alias("digest"))
 
 
 _LINES = r"""
@@ -295,13 +313,16 @@ def repeated_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.repeated_images(_regions(spark, sf_dir)[0], 9)
 
 
-@query(f"""WITH {_GEO}, c AS (SELECT doc_id, page, ord, greatest(x0, 0.0) AS x0, greatest(y0, 0.0) AS y0, least(x1, 480.0) AS x1, least(y1, 640.0) AS y1, width, height FROM g
+_IMAGES = """images AS (WITH rep AS (SELECT doc_id, xref FROM g GROUP BY ALL HAVING count(*) > 9), c AS (SELECT doc_id, page, ord, greatest(x0, 0.0) AS x0, greatest(y0, 0.0) AS y0, least(x1, 480.0) AS x1, least(y1, 640.0) AS y1, width, height FROM g
   WHERE page >= 6 AND xref <> 0 AND NOT EXISTS (SELECT 1 FROM rep WHERE rep.doc_id = g.doc_id AND rep.xref = g.xref)),
 f AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY doc_id, page, round_even(x0, 1), round_even(y0, 1), round_even(x1, 1), round_even(y1, 1) ORDER BY ord) AS n FROM c
   WHERE x1 - x0 >= 28 AND y1 - y0 >= 28 AND (x1 - x0) * (y1 - y0) >= 480 * 640 * 0.008 AND (x1 - x0) * (y1 - y0) <= 480 * 640 * 0.65 AND x1 - x0 <= 432 AND y1 - y0 <= 576
   AND greatest(width / greatest(x1 - x0, 1), height / greatest(y1 - y0, 1)) <= 4.5),
 r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY area DESC, ord)::INTEGER AS rank, x0, y0, x1, y1, area FROM f WHERE n = 1)
-SELECT * FROM r WHERE rank <= 6""")
+SELECT * FROM r WHERE rank <= 6)"""
+
+
+@query(f"WITH {_GEO}, {_IMAGES} SELECT * FROM images")
 def image_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, sizes = _regions(spark, sf_dir)
     return L.image_regions(g, sizes, L.repeated_images(g, 9))
@@ -349,24 +370,38 @@ def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A review state for every order: status, queue and pending items follow from its keys."""
+    """A review state for every order: status, queue, pending items, decisions and verified pages follow from its key."""
     o = B.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     statuses = F.array(*[F.lit(s) for s in (*ST.STATUSES, "done")])
+    kinds = F.array(*[F.lit(x) for x in ("latex_confirmed", "crop_only", "conservative_latex", "odd", "removed")])
+    decision = F.struct(
+        F.element_at(kinds, (k % 5 + 1).cast("int")).alias("disposition"), F.when(k % 2 == 0, "visual").otherwise("ocr").alias("verification"), (k % 3).alias("source_pdf_page"), F.when(k % 4 > 0, "x").alias("latex"),
+        F.when(k % 8 > 3, "smudged").alias("unresolved_reason"), F.when(k % 9 > 4, " ").otherwise("a label").alias("reason"), F.when(k % 10 > 6, -1).alias("candidate_index"),
+    )
+    good = F.struct(F.lit("not_formula").alias("disposition"), F.lit("visual").alias("verification"), F.lit(4).alias("source_pdf_page"), F.lit("a label").alias("reason"))
     parts = {
         "status": F.element_at(statuses, (k % 6 + 1).cast("int")),
         "visual_review_required": F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")),
         "pending_review": F.when(k % 5 == 0, F.array(F.struct(F.lit(3).alias("pdf_page"), F.lit("formula").alias("kind"), F.lit("visually_reviewed_unresolved").alias("status"), F.when(k % 3 == 0, "review later").otherwise("ink blot").alias("reason")))),
+        "formula_decisions": F.when(k % 7 == 0, F.array(decision)),
+        "visual_verified_pdf_pages": F.when(k % 13 == 0, F.array(F.lit(4))),
+        "formula_candidates": F.when(k % 13 == 0, F.struct(F.when(k % 3 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("4"))),
+        "visual_review_decisions": F.when(k % 2 == 0, F.struct(good.alias("4"))),
     }
     return o.select(k.alias("doc_id"), F.when(k % 11 == 0, "[1, 2").otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in parts.items()]))).alias("state"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'visual_review' WHEN 3 THEN 'completed' WHEN 4 THEN 'completed_with_review_items' ELSE 'done' END AS st,
- CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS q, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS p, o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 AS later, o_orderkey % 11 = 0 AS bad FROM orders),
-c AS (SELECT doc_id, bad, st, q, p, (st = 'done')::INT + (st LIKE 'completed%' AND q > 0)::INT + later::INT AS e, (st LIKE 'completed%' AND p > 0)::INT + (st = 'completed' AND p > 0)::INT + (st = 'completed_with_review_items' AND p = 0)::INT + (st = 'visual_review' AND q = 0)::INT AS w FROM s)
-SELECT doc_id, CASE WHEN bad OR e > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN bad THEN NULL ELSE st END AS workflow_status, CASE WHEN bad THEN 1 ELSE e END::INTEGER AS n_errors, CASE WHEN bad THEN 0 ELSE w END::INTEGER AS n_warnings FROM c""")
+_STATES = """s AS (SELECT o_orderkey AS doc_id, o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'visual_review' WHEN 3 THEN 'completed' WHEN 4 THEN 'completed_with_review_items' ELSE 'done' END AS st,
+ CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS q, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS p, o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 AS later, o_orderkey % 11 = 0 AS bad FROM orders)"""
+
+
+@query(f"""WITH {_STATES}, d AS (SELECT *, CASE WHEN k % 7 <> 0 THEN 0 WHEN k % 5 IN (2, 3) THEN 1 ELSE (k % 2 = 1)::INT + (k % 3 = 0)::INT + (k % 10 > 6)::INT
+  + CASE k % 5 WHEN 0 THEN (k % 4 = 0)::INT WHEN 1 THEN (k % 8 <= 3)::INT ELSE (k % 9 > 4)::INT END END AS wrong, (k % 13 = 0 AND NOT (k % 2 = 0 AND k % 3 = 0))::INT AS unverified, (k % 7 = 0)::INT + (k % 2 = 0)::INT AS given FROM s),
+c AS (SELECT *, (st = 'done')::INT + (st LIKE 'completed%' AND q > 0)::INT + later::INT + wrong + unverified AS e, (st LIKE 'completed%' AND p > 0)::INT + (st = 'completed' AND p > 0)::INT + (st = 'completed_with_review_items' AND p = 0)::INT + (st = 'visual_review' AND q = 0)::INT AS w FROM d)
+SELECT doc_id, CASE WHEN bad OR e > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN bad THEN NULL ELSE st END AS workflow_status, CASE WHEN bad THEN 0 ELSE given END::BIGINT AS n_decisions, CASE WHEN bad THEN 1 ELSE e END::INTEGER AS n_errors, CASE WHEN bad THEN 0 ELSE w END::INTEGER AS n_warnings FROM c""")
 def state_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.state_report(_states(spark, sf_dir)).select("doc_id", "status", "workflow_status", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+    return ST.state_report(_states(spark, sf_dir)).select("doc_id", "status", "workflow_status", "n_decisions", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
 
 
 _MADE = """SELECT l_orderkey AS doc_id, CAST(l_suppkey % 4 + 1 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_linenumber, l_partkey) AS INT) AS ord, l_partkey % 8 AS kind FROM lineitem"""
@@ -470,4 +505,84 @@ def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "status", "errors", "warnings", R.exit_code(True).alias("exit_code"))
 
 
+@query(f"""WITH {_STATES} SELECT doc_id, concat('{{{{"book":"', doc_id, '","status":', CASE WHEN bad THEN 'null' ELSE concat('"', st, '"') END, ',"completed_pdf_pages":null,"visual_review_required":', CASE WHEN bad THEN 0 ELSE q END, ',"pending_review":', CASE WHEN bad THEN 0 ELSE p END,
+ ',"formula_latex_confirmed":0,"execution_trace":null}}}}') AS line FROM s""".replace("{{", "{").replace("}}", "}"))
+def book_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.status_lines(_states(spark, sf_dir))
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT doc_id, page, (ord + 100)::INTEGER AS ord, 'unexpected candidate' AS decision FROM m WHERE kind = 7 UNION ALL SELECT doc_id, page + 50, ord, 'unexpected page' FROM m WHERE kind = 0""")
+def unused_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some books get decisions for candidates that they don't have, some for pages that nobody asked about."""
+    records, supplied, assets, queued = _records(spark, sf_dir)
+    made = B.run(spark, sf_dir, _MADE, "lineitem")
+    d = F.parse_json(F.lit('{"candidate_index": 99, "disposition": "removed"}')).alias("d")
+    more = made.filter("kind = 7").select("doc_id", "page", (F.col("ord") + 100).alias("ord"), d, F.lit("").alias("candidate"))
+    away = made.filter("kind = 0").select("doc_id", (F.col("page") + 50).alias("page"), "ord", d, F.lit("").alias("candidate"))
+    everything = supplied.unionByName(more).unionByName(away)
+    return ME.unused(everything, ME.match(records, everything), queued)
+
+
+_REASONS = ("embedded-visual-retention", "meaningful-visual-cue", "visual-evidence-not-cropped", "text-layer-anomaly", "formula-crop-render-failed")
+
+
+_LOOKED = "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS page, CAST(l_partkey % 6 AS INT) AS k, l_suppkey % 2 = 0 AS has_assets, CAST(l_quantity AS INT) AS n FROM lineitem"
+
+
+@query(f"""WITH p AS (SELECT doc_id, page, k, has_assets AS has, n % 3 = 0 AS v, n % 5 = 0 AS t FROM ({_LOOKED})),
+d AS (SELECT *, CASE WHEN has AND v THEN 'necessary_crop_retained' WHEN has THEN 'visual_review_required' WHEN k = 3 AND v THEN 'markdown_sufficient' WHEN k IN (1, 3) THEN 'visual_review_required' WHEN k = 2 THEN CASE WHEN v THEN 'markdown_sufficient' ELSE 'visual_review_required' END END AS visual,
+ CASE WHEN k = 4 THEN CASE WHEN t THEN 'placeholder_retained' ELSE 'visual_review_required' END END AS text FROM p)
+SELECT doc_id, page, visual, text, CASE WHEN coalesce(visual = 'visual_review_required', false) OR coalesce(text = 'visual_review_required', false) OR k = 5 THEN 'visual_review_required' ELSE 'visually_verified' END AS status FROM d""")
+def page_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item is a page with one reason or none for a look, some with images, some that reviewers confirmed."""
+    t = B.run(spark, sf_dir, _LOOKED, "lineitem")
+    reason = F.array(*[F.lit(r) for r in _REASONS])
+    queued = t.select("doc_id", "page", "has_assets", F.when(F.col("k") > 0, F.slice(reason, F.greatest(F.col("k"), F.lit(1)), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    confirmed = t.filter("n % 3 = 0").select("doc_id", "page", F.lit("visual").alias("what")).unionByName(t.filter("n % 5 = 0").select("doc_id", "page", F.lit("text").alias("what")))
+    m, extra, _ = _merged(spark, sf_dir)
+    return ME.page_outcomes(queued, m.filter("false"), extra.filter("false"), confirmed)
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT doc_id, page, ord, 'smudged' AS reason, concat('PDF 第 ', page, ' 页公式已视觉检查，但结构仍不安全；保留裁剪并未生成 LaTeX：smudged') AS note FROM m WHERE kind = 3""")
+def pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.pending_items(_merged(spark, sf_dir)[0])
+
+
+@query(f"""WITH m AS ({_MADE}) SELECT doc_id, page, ord, concat('### Visually reconstructed formula', chr(10), chr(10), 'Text-layer locator (secondary only): `x_', ord, '`', chr(10), chr(10), 'Visual source (Agent inspection): `assets/p', ord, '.png`', chr(10), chr(10),
+ 'Visual context source (Agent inspection): `assets/c', ord, '.png`', chr(10), chr(10), '$$', chr(10), 'x^2', chr(10), '$$') AS block FROM m WHERE kind < 2""")
+def formula_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.formula_blocks(_merged(spark, sf_dir)[0])
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    regions, g, sizes = _candidates(spark, sf_dir)
+    return regions, L.group_contexts(L.region_groups(regions, L.related_pairs(regions)), g.withColumn("block_index", F.col("ord")), sizes)
+
+
+_NAMED = """named AS (SELECT doc_id, page, members, printf('pdf-page-%03d-group-%02d', page, group_first) AS group_id,
+ CASE WHEN len(members) = 1 THEN printf('pdf_page_%03d_formula_%02d_context.png', page, members[1]) ELSE printf('pdf_page_%03d_formula_group_%02d_%02d_context.png', page, members[1], members[-1]) END AS context_filename FROM grp)"""
+
+
+@query(f"WITH RECURSIVE {O.FORMULAS}, c AS (SELECT * FROM cand), {O.PAIRS}, {O.GROUPED}, {_NAMED} SELECT doc_id, page, unnest(members) AS candidate_index, group_id, context_filename FROM named")
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.candidate_rows(_contexts(spark, sf_dir)[1])
+
+
+@query(f"""WITH RECURSIVE {O.FORMULAS}, c AS (SELECT * FROM cand), {O.PAIRS}, {O.GROUPED}, {_NAMED}, {_IMAGES},
+a AS (SELECT doc_id, page, 0 AS kind, rank AS n, printf('assets/pdf_page_%03d_visual_%02d.png', page, rank) AS name FROM images UNION ALL SELECT doc_id, page, 1, candidate_index, printf('assets/pdf_page_%03d_formula_%02d.png', page, candidate_index) FROM cand
+ UNION ALL SELECT doc_id, page, 2, members[1], concat('assets/', context_filename) FROM named) SELECT doc_id, page, string_agg(name, ',' ORDER BY kind, n) AS assets FROM a GROUP BY doc_id, page""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, sizes = _regions(spark, sf_dir)
+    regions, contexts = _contexts(spark, sf_dir)
+    files = L.page_assets(L.image_regions(g, sizes, L.repeated_images(g, 9)), regions, contexts)
+    return files.select("doc_id", "page", F.array_join("assets", ",").alias("assets"))
+
+
+@query(f"""WITH g AS ({B.REGIONS}), p AS (SELECT doc_id, page, count(*) AS lines FROM g GROUP BY doc_id, page)
+SELECT doc_id, page, lines, row_number() OVER w AS done, (sum(lines) OVER w)::BIGINT AS lines_so_far FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page ROWS UNBOUNDED PRECEDING)""")
+def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _regions(spark, sf_dir)[0].groupBy("doc_id", "page").agg(F.count("*").alias("lines"))
+    return L.progress(pages, ["lines"])
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
