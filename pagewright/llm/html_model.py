@@ -187,8 +187,8 @@ def label(model: Model, reader: Reader, pages: list[list[Block]], most: int = 20
 
 
 #: What the made-up pages call their parts.
-MAIN = ("article", "main", "div.content", "div.post", "div.entry-content", "div.article-body", "div.story", "section.post-body", "div#content", "div#main")
-OTHER = ("nav", "header", "footer", "aside", "div.ad", "div.ads", "div.advert", "div.banner", "div.promo", "div.sponsored", "div.cookie-notice", "div.notice", "div.consent", "div.sidebar", "div.widget", "ul.menu", "div.navbar", "div.breadcrumb", "div.share", "div.social", "div.related", "div.newsletter", "div.subscribe", "section.comments", "div#comments", "div.comment", "div.login", "form", "div#footer", "div#header", "div#sidebar", "div.popup", "div.alert", "aside.advert", "div.advertisement", "section#comments", "ol.comment-list")
+MAIN = ("article", "main", "div.content", "div.post", "div.entry-content", "div.article-body", "div.story", "section.post-body", "div#content", "div#main", "div.post-entry", "div.body-text", "div.main-content", "div.page-content", "section.article", "div.text")
+OTHER = ("nav", "header", "footer", "aside", "div.ad", "div.ads", "div.advert", "div.banner", "div.promo", "div.sponsored", "div.cookie-notice", "div.notice", "div.consent", "div.sidebar", "div.widget", "ul.menu", "div.navbar", "div.breadcrumb", "div.share", "div.social", "div.related", "div.newsletter", "div.subscribe", "section.comments", "div#comments", "div.comment", "div.login", "form", "div#footer", "div#header", "div#sidebar", "div.popup", "div.alert", "aside.advert", "div.advertisement", "section#comments", "ol.comment-list", "div.respond", "div.replies", "div.topbar", "div.cookie-banner", "div.right-col", "div.teaser", "div.tags")
 LICENCES = ("Licensed under the Apache License, Version 2.0.", "This work is licensed under CC BY 4.0.", "Contact me at someone@example.org or 555-0100.")
 SAYINGS = ("We use cookies to improve your experience.", "Accept all cookies", "Sign up for our newsletter", "Subscribe now", "Advertisement", "Sponsored content", "Share this", "Related articles", "All rights reserved.", "Privacy policy", "Log in", "Leave a comment", "Reply", "Read more", "Home", "Contact", "About", "Search", "© 2024 example")
 
@@ -204,6 +204,7 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
         return (" | " if rng.random() < 0.1 else " ").join(w) + "."
 
     junk = rng.random() < 0.12
+    paragraph = "div" if rng.random() < 0.15 else "p"
     marks_of_junk = ("###", "$$$", "%%%", "&&&", "***", "|")
 
     def prose(sentences: int) -> str:
@@ -243,7 +244,7 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
     for _ in range(int(rng.integers(1, 14))):
         r = rng.random()
         if r < 0.72:
-            inner += leaf("p", ("<b>" if rng.random() < 0.2 else "") + prose(int(rng.integers(1, 7))) + ("<br>" if rng.random() < 0.2 else ""), True, rng.random() < 0.8)
+            inner += leaf(paragraph, ("<b>" if rng.random() < 0.2 else "") + prose(int(rng.integers(1, 7))) + ("<br>" if rng.random() < 0.2 else ""), True, paragraph == "div" or rng.random() < 0.8)
         elif r < 0.79:
             inner += leaf(str(rng.choice(["h2", "h3", "blockquote", "pre"])), sentence(int(rng.integers(2, 9))), True)
         elif r < 0.86:
@@ -259,7 +260,7 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
     return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{page}</body></html>", marks
 
 
-def taught(pages: int = 1200, seed: int = 5) -> Model:
+def taught(pages: int = 1600, seed: int = 5) -> Model:
     """Trains the model on so many made-up pages."""
     rng, reader = np.random.default_rng(seed), Reader()
     known = []

@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cumulate, cut
+from pagewright.llm.common import cumulate, cut, join_dealt, range_parts
 from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 #: A plan row: pieces of `length` with ranks from `first` on, `count` of them, go to the sequences from `sequence` on, one each, at `offset`.
 PLAN = "length long, first long, count long, sequence long, offset long"
 
+#: Rows of a plan (32 bytes each) up to which it is broadcast.
+PLAN_ROWS = 200_000
+
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The fullest combination of available lengths that holds the largest of them; of equally full ones that found from the largest lengths."""
@@ -78,11 +81,17 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` from 1 to capacity. `pieces` is read twice; `key` orders equal lengths."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length: capacity rows at most
-    plan = spark.createDataFrame(plan_bins(histogram, capacity), PLAN)
-    ranked = cumulate(pieces, ["length"], F.pmod(F.xxhash64(*key), F.lit(64)), [F.xxhash64(*key), *[F.col(k) for k in key]], "_rank")
-    runs = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("_runs"))  # in all a row of the plan for each step: a few thousand
+    rows = plan_bins(histogram, capacity)
+    plan = spark.createDataFrame(rows, PLAN)
+    buckets = max(64, range_parts(spark))
+    ranked = cumulate(pieces, ["length"], F.pmod(F.xxhash64(*key), F.lit(buckets)), [F.xxhash64(*key), *[F.col(k) for k in key]], "_rank")
+    runs = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("_runs"))  # a row a length, a struct a row of the plan
     at = F.element_at(F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["first"] + r["count"])), 1)
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("_at", at)
+    if len(rows) <= PLAN_ROWS:
+        placed = ranked.join(F.broadcast(runs), "length")
+    else:  # of a capacity so large that the plan is no small table
+        placed = join_dealt(ranked, runs, ["length"], [F.col(k) for k in key])
+    placed = placed.withColumn("_at", at)
     return placed.withColumns({"sequence_id": F.col("_at.sequence") + F.col("_rank") - F.col("_at.first"), "offset": F.col("_at.offset")}).drop("_rank", "_runs", "_at")
 
 

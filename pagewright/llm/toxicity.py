@@ -278,12 +278,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    """The rows of docs, with all their columns, whose text scores below the threshold. A model without weights (learned
+    from one label alone, or where no word tells) knows nothing of texts, and rejects none."""
+    if not model.weights:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own, text = docs.columns, docs.columns.index("text")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(shared.value)
         for t in tables:
-            yield t.filter(pa.array(scores(t.column("text")) < threshold))
+            yield t.filter(pa.array(scores(t.column(text)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(own))])  # names with dots don't reach Arrow
+    return plain.mapInArrow(run, plain.schema).toDF(*own)

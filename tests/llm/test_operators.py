@@ -171,6 +171,58 @@ def test_plans_of_bins():
     assert packing.fullest({6: 1, 5: 1, 4: 2, 3: 1}, 10) in ({6: 1, 4: 1},)
 
 
+def _fewest(sizes, cap):
+    """The least number of bins, by trying all places of each piece, largest first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for j in {room: j for j, room in enumerate(bins)}.values():
+            if bins[j] >= sizes[k]:
+                go(k + 1, [*bins[:j], bins[j] - sizes[k], *bins[j + 1 :]])
+        go(k + 1, [*bins, cap - sizes[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bins_are_as_full_and_as_few_as_they_can_be():
+    rng = np.random.default_rng(9)
+    more = 0
+    for _ in range(150):
+        cap = int(rng.integers(8, 40))
+        sizes = [int(x) for x in rng.integers(1, cap + 1, int(rng.integers(1, 10)))]
+        counts = Counter(sizes)
+        best = packing.fullest(dict(counts), cap)
+        rest = list((counts - Counter([max(sizes)])).elements())
+        sums = {0}
+        for n in rest:
+            sums |= {x + n for x in sums}
+        assert sum(n * k for n, k in best.items()) == max(sizes) + max(x for x in sums if x <= cap - max(sizes))
+        assert all(k <= counts[n] for n, k in best.items())
+        used = max(r[3] + r[2] for r in packing.plan_bins(dict(counts), cap))
+        least = _fewest(sizes, cap)
+        assert least <= used <= least + 1
+        more += used - least
+    assert more <= 3
+
+
+def test_op2_plan_may_be_too_large_to_broadcast(spark, monkeypatch):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("length"))
+    small = sorted(tuple(r) for r in packing.pack(d, 10, ["doc_id"]).collect())
+    monkeypatch.setattr(packing, "PLAN_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    assert sorted(tuple(r) for r in packing.pack(d, 10, ["doc_id"]).collect()) == small
+    bins = defaultdict(int)
+    for r in packing.pack(d, 10, ["doc_id"]).collect():
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 10 and len(bins) <= -(-sum(k % 7 + 1 for k in range(500)) // 10) + 2
+
+
 def plain_fit(texts, labels, penalty=4.0):
     """The classifier fitted in one place on sets of words."""
     hits, y = Counter(), np.asarray(labels)
@@ -315,6 +367,49 @@ def test_op5_html(spark, folder):
     assert [b.text for b in html_blocks.blocks("<p>a<script>x</p>y</script>b<!-- c --><div title='>'>d &lt;<b>e</b></div>f<li>g<li>h")] == ["ab", "d <e", "f", "g", "h"]
 
 
+FOREIGN = [
+    (
+        """<!DOCTYPE html><html><head><title>T</title><style>.x{}</style><script>var a=1;</script></head><body>
+<div class="topbar"><a href="/">Start</a> <a href="/n">News</a> <a href="/s">Sport</a></div>
+<div id="wrap"><main><h1>The river rises again</h1><p class="lead">Heavy rain in the hills has raised the river by two metres since Monday, officials said.</p>
+<p>Farmers along the lower valley moved their cattle to higher ground, and the old bridge was closed. &quot;We have seen worse&quot;, said one of them.</p>
+<h2>What happens next</h2><p>Forecasters expect the water to fall slowly from Thursday on, if no more rain comes.</p></main>
+<aside class="right-col"><h3>Most read</h3><ul><li><a href="/1">Ten best cakes</a></li><li><a href="/2">Cup final tickets</a></li></ul></aside></div>
+<div class="cookie-banner">We use cookies to improve your experience. <button>Accept</button></div>
+<footer><p>Copyright 2024 Valley Post. All rights reserved.</p><a href="/imprint">Imprint</a></footer></body></html>""",
+        """The river rises again
+Heavy rain in the hills has raised the river by two metres since Monday, officials said.
+Farmers along the lower valley moved their cattle to higher ground, and the old bridge was closed. "We have seen worse", said one of them.
+What happens next
+Forecasters expect the water to fall slowly from Thursday on, if no more rain comes.""",
+    ),
+    (
+        """<html><body><table><tr><td><a href=a>Home</a> | <a href=b>About</a> | <a href=c>Contact</a></td></tr></table>
+<div class="post-entry"><h2>Baking bread at home</h2><div>Mix the flour with water and salt, and let the dough rest for an hour under a cloth.</div><div>Fold it four times, half an hour
+ apart; bake it in a hot pot for forty minutes.</div><ul><li>500 g of flour</li><li>350 g of water</li></ul></div>
+<div class="respond"><h3>Comments</h3><div class="c-item"><b>Anna</b> says: Great recipe, thanks a lot!</div><div class="c-item"><b>Tom</b> says: Mine did not rise.</div><form><input><textarea></textarea><button>Send</button></form></div>
+<div class="promo">Advertisement: Buy our new oven now - 50% off!</div></body></html>""",
+        """Baking bread at home
+Mix the flour with water and salt, and let the dough rest for an hour under a cloth.
+Fold it four times, half an hour apart; bake it in a hot pot for forty minutes.
+500 g of flour
+350 g of water""",
+    ),
+]
+
+
+def test_op5_on_other_layouts(spark, tmp_path):
+    rows = [(k, "u", page) for k, (page, _) in enumerate(FOREIGN)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.op5_html_extract(spark, str(tmp_path)).collect()}
+    assert got == {k: (text, len(text)) for k, (_, text) in enumerate(FOREIGN)}
+
+
+def test_the_saved_labeller_is_what_training_gives():
+    made, saved = html_model.taught().params(), html_model.trained().params()
+    assert all(np.allclose(a, b, atol=1e-2) for a, b in zip(made, saved, strict=True))
+
+
 def test_labeller_on_unseen_pages():
     rng, reader, model = np.random.default_rng(321), html_model.Reader(), html_model.trained()
     right = total = 0
@@ -517,3 +612,25 @@ def test_pipeline_stages(spark, folder):
             ids = [r.doc_id for r in docs.collect()]
             assert 1 not in ids and 10 not in ids and 0 in ids and ids.count(4) == 1
     assert docs.filter("length > 2048").count() == 0 and docs.count() > 0
+
+
+def test_pipeline_on_odd_input(spark, folder, empty, tmp_path):
+    import corpus_pipeline
+
+    none = spark.read.parquet(f"{empty}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, empty).collect() == [], name
+    long = " ".join(f"w{k % 997}" for k in range(60_000))
+    rows = [(1, None, None), (1, None, None), (2, "", "a"), (None, "x y", "a"), (3, long, None), (4, long + " end", "b"), (3, long, None), (5, "same words here and there now", "b"), (6, "same words here and there now", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in ("_again", "_row", "_k", "_b", "n", "score", "size", "taken", "copies", "position", "target", "weight", "first", "a.b")})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        kept = Counter((r.doc_id, r.text) for r in got.collect())
+        assert set(kept) <= {(a, b) for a, b, _ in rows}, name
+        if name == "toxicity":
+            assert sum(kept.values()) == len(rows)
+        if name == "near_duplicates":
+            assert kept == Counter([(1, None), (2, ""), (None, "x y"), (3, long), (5, "same words here and there now")])
+    pieces = corpus_pipeline.STAGES[3][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5, 6, None} and max(r.length for r in pieces) == 2048
