@@ -114,7 +114,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     them. Vectors of different lengths: what one lacks counts as 0."""
     vectors = vectors.filter(F.col("id").isNotNull())
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = vectors.mapInArrow(_blocks(SHARD_ROWS), BLOCK).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    # blocks are dealt in turn, from another group on in each task
+    turn = F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    candidates = vectors.mapInArrow(_blocks(SHARD_ROWS), BLOCK).withColumn("part", F.pmod(turn, F.lit(parts)).cast("int"))
     queries = vectors.filter(is_query).mapInArrow(_blocks(QUERY_ROWS), BLOCK)
     queries = queries.select(F.col("rows").alias("q_rows"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     copies = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
