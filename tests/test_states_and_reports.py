@@ -169,3 +169,50 @@ def test_additions_go_to_their_pages(spark):
     blocks = spark.createDataFrame([(0, 2, 1, "B"), (0, 2, 0, "A"), (0, 9, 0, "C")], "doc_id long, page int, ord int, block string")
     got = {r.doc_id: r.text for r in merge.book_texts(merge.with_additions(pieces, blocks)).collect()}
     assert got == {0: "head  \n<!-- PDF page 1 -->\n\none\n\n<!-- PDF page 2 -->\n\ntwo\n\nA\n\nB\n\n", 1: "none "}
+
+
+def _detected(spark, docs, files):
+    """The facts of a report by the detectors that give rows with places."""
+    from pagewright.operators import assets, garbage, math, pages
+
+    refs, markers, spans, heads = scans.image_refs(docs), scans.page_markers(docs), scans.math_spans(docs), scans.headings(docs)
+    scores = math.artifact_scores(spans)
+    tables = {
+        "refs": refs, "unique_refs": refs.select("doc_id", "ref").distinct(), "outside": assets.escaping(refs), "duplicate_refs": assets.duplicates(refs), "alt": assets.alt_issues(refs, True), "missing": assets.missing(refs, files), "orphans": assets.orphans(refs, files),
+        "markers": markers, "duplicate_pages": pages.duplicate_pages(markers), "known_printed": markers.filter("printed_page IS NOT NULL"), "printed_breaks": pages.printed_breaks(markers), "delimiters": math.delimiter_errors(math.delimiter_counts(docs)), "braces": math.brace_findings(spans),
+        "mojibake": math.mojibake_findings(scans.cjk_runs(spans)), "prose": math.prose_findings(spans), "artifacts": math.artifact_findings(scores), "artifact_fail": math.artifact_findings(scores).filter("status = 'FAIL'"), "headings": heads, "jumps": scans.heading_jumps(heads), "garbage": garbage.garbage(docs),
+    }
+    return {name: {r.doc_id: r["count"] for r in t.groupBy("doc_id").count().collect()} for name, t in tables.items()}
+
+
+def test_one_scan_finds_what_the_detectors_find(spark):
+    texts = [
+        "# a\n\n### b\n<!-- PDF page 1 | printed page 4 -->\n![x](a.png) ![](../b.png \"t\") ![a](<a%20b.png>) ![x](a.png#f) ![u](https://e.org/x.png)\n$$x_{1$$ $a$ \\(中\\) \\[y}\\]",
+        "<!-- PDF page 2 --><!-- PDF page 2 | printed page 9 --><!-- PDF page 3 | printed page unknown --><!-- PDF page 4 | printed page 11 -->\n$$\\text{骞冲潎}$$ $$v102 v02＋2a1x10 3.42＋2 k 7 m 8$$ $ \\(",
+        "Ж a ג b \ufffd \ue000 $$\nh F_f =Gx=G\\sin\\theta=G （1） l\n$$ ## no heading", "Ж" + " " * 24 + "ג$$中$$", "", None, "plain", "$$a= =b\n12\n34$$ $$$ {", "##### deep\n# up\n## down\n\n![](x.png)![](x.png)![](x.png)",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pages", F.lit("clash"))
+    files = spark.createDataFrame([(0, "a.png"), (0, "z.JPG"), (0, "n.txt"), (8, "y.gif"), (8, "x.png")], "doc_id long, path string")
+    rows = report.report(report.Inputs(docs, assets=files, require_stem=True)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for name, want in _detected(spark, docs, files).items():
+        assert {r.doc_id: r[name] for r in rows if r[name]} == want, name
+    assert {r.doc_id: r.status for r in rows if r.doc_id in (4, 5)} == {4: "WARN", 5: "WARN"}
+
+
+def test_coverage_manifests_and_states_of_a_report(spark):
+    page = "# t\n\n<!-- PDF page 1 | printed page 5 -->\n<!-- PDF page 3 | printed page 6 -->\n"
+    docs = spark.createDataFrame([(k, page) for k in range(4)], "doc_id long, text string")
+    want = spark.createDataFrame([(0, 1, 3, 5, 6), (1, 1, 1, 5, 7)], "doc_id long, first_page int, last_page int, first_printed int, last_printed int")
+    manifests = spark.createDataFrame([(0, json.dumps({"images": 0, "pdf_pages": ["1", 3], "output_markdown": "p"}), "p"), (1, json.dumps({"images": True, "pdf_pages": [1], "output_markdown": "q"}), "p"), (2, "{", "p")], "doc_id long, manifest string, path string")
+    given = states(spark, {"status": "completed"}, "{", {"status": "visual_review"})
+    got = {r.doc_id: r for r in report.report(report.Inputs(docs, expected=want, printed=want, manifests=manifests, states=given)).collect()}
+    assert [(got[k].uncovered, got[k].gaps, got[k].expects, got[k].printed_range) for k in range(4)] == [(1, 1, 1, 1), (1, 0, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert [got[k].manifest for k in range(4)] == [0, 3, 1, 0]
+    assert [(got[k].state_errors, got[k].state_warnings, got[k].has_state) for k in range(4)] == [(0, 0, 1), (1, 0, 1), (0, 1, 1), (0, 0, 0)]
+    assert [len(got[k].checks) for k in range(4)] == [21, 21, 19, 18]
+    none = docs.filter("false")
+    assert report.report(report.Inputs(none, assets=spark.createDataFrame([], "doc_id long, path string"))).collect() == []
+    unknown = spark.createDataFrame([(0, page.replace("printed page 6", "printed page unknown"))], "doc_id long, text string")
+    assert [report.report(report.Inputs(unknown, require_printed=x)).first().status for x in (False, True)] == ["PASS", "WARN"]
+    assert [r.exit_code for r in report.report(report.Inputs(docs)).select(report.exit_code().alias("exit_code")).collect()] == [0] * 4
