@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cumulate, cut, join_dealt, range_parts
+from pagewright.llm.common import cumulate, cut, join_dealt
 from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 #: A plan row: pieces of `length` with ranks from `first` on, `count` of them, go to the sequences from `sequence` on, one each, at `offset`.
@@ -83,7 +83,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length: capacity rows at most
     rows = plan_bins(histogram, capacity)
     plan = spark.createDataFrame(rows, PLAN)
-    buckets = max(64, range_parts(spark))
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranked = cumulate(pieces, ["length"], F.pmod(F.xxhash64(*key), F.lit(buckets)), [F.xxhash64(*key), *[F.col(k) for k in key]], "_rank")
     runs = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("_runs"))  # a row a length, a struct a row of the plan
     at = F.element_at(F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["first"] + r["count"])), 1)
