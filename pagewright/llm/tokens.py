@@ -109,15 +109,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        made = json.loads(self.tokenizer.to_str())
-        split = made.get("pre_tokenizer") or {}
-        self.special = [t["content"] for t in made.get("added_tokens", [])]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         line = self._plain(["\n"])[0]
         self.line = int(line[0]) if len(line) == 1 else -1
-        self.by_pieces = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and self.line >= 0 and made["model"].get("type") == "BPE"
-        self._forget()
-
-    def _forget(self) -> None:
+        # read from the parts: the vocabulary as a whole, spelled out, takes tens of megabytes
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        plain = self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and self.line >= 0
+        self.by_pieces = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.slot: dict[bytes, int] = {}
         self.ids, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = self.bytes = 0
