@@ -116,6 +116,9 @@ class Encoder:
         split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         plain = self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and self.line >= 0
         self.by_pieces = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self._forget()
+
+    def _forget(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.ids, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = self.bytes = 0
