@@ -25,7 +25,7 @@ from pagewright.llm.common import release, text_slices
 
 #: Bytes of texts that are encoded together, bytes that a worker's dictionary may take; beyond it the dictionary starts
 #: anew, which changes no result.
-RUN_BYTES, CACHE_BYTES = 1 << 20, 64 << 20
+RUN_BYTES, CACHE_BYTES = 1 << 20, 32 << 20
 #: Pieces that the library gets at once: it needs some kilobytes for each.
 LINES = 4_000
 #: What an entry of the dictionary costs besides its bytes and ids.
