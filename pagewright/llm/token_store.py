@@ -34,7 +34,7 @@ from pagewright.llm.tokens import default_vocabulary, encoder, with_end
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 8192
 #: Addresses that a task remembers to have sent (some 100 bytes each); beyond it some payloads are sent again.
-KNOWN = 100_000
+KNOWN = 300_000
 _BASE = 0x9E3779B1
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 32, 1 << 16, dtype=np.uint32) | np.uint32(1)
 
