@@ -9,6 +9,7 @@ from pagewright.llm.simhash import op4_simhash
 from pagewright.llm.token_store import op9_token_store
 from pagewright.llm.toxicity import op3_toxicity
 from pagewright.llm.topk import OP7_SQL, op7_topk
+from pagewright.llm.vector_codes import OP11_SQL, op11_vector_codes
 from pagewright.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_store": op9_token_store,
     "op10_ngram_join": op10_ngram_join,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL}

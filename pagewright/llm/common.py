@@ -82,6 +82,22 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found or []})
 
 
+def whole_vector(v: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of numbers as rows of doubles; what a list has less than `dim` is 0."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if (lengths == dim).all():
+        return values.reshape(len(column), dim)
+    out = np.zeros((len(column), dim))
+    out[np.arange(dim) < lengths[:, None]] = values
+    return out
+
+
 def number_list(values: list[int]) -> Column:
     """An array of longs that stands in a plan as one string literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
