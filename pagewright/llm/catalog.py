@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the SQL that must give the same rows."""
 
 from pagewright.llm.html_extract import op5_html_extract
+from pagewright.llm.importance import OP12_SQL, op12_importance
 from pagewright.llm.mixing import OP8_SQL, op8_mixing
 from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_ngram_join": op10_ngram_join,
     "op11_vector_codes": op11_vector_codes,
+    "op12_importance": op12_importance,
 }
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL}
+ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_importance": OP12_SQL}
