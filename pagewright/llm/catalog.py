@@ -3,6 +3,7 @@
 from pagewright.llm.html_extract import op5_html_extract
 from pagewright.llm.importance import OP12_SQL, op12_importance
 from pagewright.llm.mixing import OP8_SQL, op8_mixing
+from pagewright.llm.neighbours import op13_neighbours
 from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
 from pagewright.llm.sharding import op1_sharding
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_vector_codes": op11_vector_codes,
     "op12_importance": op12_importance,
+    "op13_neighbours": lambda spark, sf_dir: op13_neighbours(spark, sf_dir),
 }
 ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_importance": OP12_SQL}
