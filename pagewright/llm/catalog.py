@@ -6,7 +6,7 @@ from pagewright.llm.mixing import OP8_SQL, op8_mixing
 from pagewright.llm.neighbours import op13_neighbours
 from pagewright.llm.ngram_join import op10_ngram_join
 from pagewright.llm.packing import op2_packing
-from pagewright.llm.sharding import op1_sharding
+from pagewright.llm.sharding import OP1_SQL, op1_sharding
 from pagewright.llm.simhash import op4_simhash
 from pagewright.llm.token_store import op9_token_store
 from pagewright.llm.toxicity import op3_toxicity
@@ -29,4 +29,4 @@ QUERIES = {
     "op12_importance": op12_importance,
     "op13_neighbours": lambda spark, sf_dir: op13_neighbours(spark, sf_dir),
 }
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_importance": OP12_SQL}
+ORACLE_SQL = {"op1_sharding": OP1_SQL, "op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_importance": OP12_SQL}
