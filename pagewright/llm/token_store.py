@@ -194,151 +194,6 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 PART = "part int, first_start long, documents long, tokens long, root binary"
 
 
-def _entry() -> Column:
-    """The hash that stands for a document in its part."""
-    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
-    return F.unhex(F.sha2(told.cast("binary"), 256))
-
-
-def _total(rows: list[tuple]) -> tuple:
-    """The manifest's row for the store, from those of its parts in order; raises if a part doesn't begin where those before it end."""
-    at = 0
-    for part, first, _, tokens, _ in rows:
-        if first != at:
-            raise ValueError(f"part {part} doesn't begin where the one before ends")
-        at += tokens
-    return (-1, 0, sum(r[2] for r in rows), at, merkle([address("|".join(map(str, r[:4])).encode() + r[4]) for r in rows]))
-
-
-def _parts(recipes: DataFrame) -> DataFrame:
-    """PART rows of recipes, each part folded in order of start with a stack of as many nodes as the tree has levels."""
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = first = None
-        count = tokens = 0
-        tree: list[tuple[int, bytes]] = []
-        out = []
-
-        def close() -> None:
-            if part is not None:
-                out.append((part, first, count, tokens, _folded(tree)))
-
-        for t in tables:
-            for p, start, n, entry in zip(*(t.column(c).to_pylist() for c in ("part", "start", "n_tokens", "entry")), strict=True):
-                if p != part:
-                    close()
-                    part, first, count, tokens, tree = p, start, 0, 0, []
-                if start != first + tokens:
-                    raise ValueError(f"part {p}: a document doesn't start where the one before ends")
-                _push(tree, address(b"\0" + entry))
-                count, tokens = count + 1, tokens + n
-        close()
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["part", "first_start", "documents", "tokens", "root"])
-
-    return recipes.select("part", "start", "n_tokens", _entry().alias("entry")).repartition("part").sortWithinPartitions("part", "start").mapInArrow(run, PART)
-
-
-def verify(spark: SparkSession, path: str) -> None:
-    """Raises if the recipes of the store at path aren't those of its manifest. Rows of parts come to the driver."""
-    told = sorted(map(tuple, spark.read.schema(PART).parquet(f"{path}/manifest").collect()))
-    found = sorted(map(tuple, _parts(_recipes(spark, path)).collect()))
-    if [_total(found), *found] != told:
-        raise ValueError("the recipes don't match the manifest")
-
-
-def _data(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(WRITTEN.replace("key long, ", "")).parquet(f"{path}/data").filter(F.col("kind") == kind)
-
-
-def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, start long, doc_id long, n_tokens long, hashes array<binary>, root binary").parquet(f"{path}/recipes")
-
-
-def root_of(hashes: list[bytes], lengths: list[int]) -> bytes:
-    """The Merkle root of a document's chunks, their lengths included."""
-    return merkle([h + n.to_bytes(4, "little") for h, n in zip(hashes, lengths, strict=True)])
-
-
-def _widen(payload: bytes, n: int) -> bytes:
-    return np.frombuffer(payload, "<u2").astype("<u4").tobytes() if len(payload) == 2 * n else payload
-
-
-#: Rows of a store as it is written: chunks (hash, n_ids, payload) and recipes (row, doc_id, n_tokens, hashes, root).
-WRITTEN = "kind string, key long, hash binary, n_ids int, payload binary, row long, doc_id long, n_tokens long, hashes array<binary>, root binary"
-
-
-def _encoded(vocabulary: str, end_id: int):
-    """From texts to rows of WRITTEN: a recipe for each, and each chunk once for a task that doesn't forget it."""
-
-    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(vocabulary)
-        sent: set[bytes] = set()
-        for table in tables:
-            for first, ids, bounds in tokens.encode(table.column("text")):
-                ids, bounds = with_end(ids, bounds, end_id)
-                found = cut_points(ids, bounds)
-                counts = np.array([len(x) for x in found])
-                row = np.repeat(np.arange(len(found)), counts)
-                ends = np.fromiter(chain.from_iterable(found), np.int64, len(row)) + bounds[row]
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                narrow = memoryview(ids.astype("<u2")).cast("B") if ids.max() < 1 << 16 else None
-                hashes, new, payloads = [], [], []
-                for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    h = address(wide[4 * a : 4 * b])
-                    hashes.append(h)
-                    if h not in sent:
-                        sent.add(h)
-                        new.append(k)
-                        payloads.append(wide[4 * a : 4 * b] if narrow is None else narrow[2 * a : 2 * b])
-                if len(sent) > KNOWN:
-                    sent.clear()
-                lengths = ends - starts
-                sizes, last = lengths.tolist(), np.cumsum(counts)
-                roots = [root_of(hashes[e - n : e], sizes[e - n : e]) for e, n in zip(last.tolist(), counts.tolist(), strict=True)]
-                at = first + np.arange(len(found))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, last), pa.int32()), pa.array(hashes, pa.binary()))
-                yield _written("recipe", len(found), row=table.column("row").take(pa.array(at)), doc_id=table.column("doc_id").take(pa.array(at)), n_tokens=pa.array(np.diff(bounds)), hashes=lists, root=pa.array(roots, pa.binary()), key=table.column("row").take(pa.array(at)))
-                kept = [hashes[k] for k in new]
-                yield _written("chunk", len(new), key=pa.array(np.frombuffer(b"".join(kept), "<i8")[::2]), hash=pa.array(kept, pa.binary()), n_ids=pa.array(lengths[new], pa.int32()), payload=pa.array(payloads, pa.binary()))
-        tokens.rest()
-
-    return run
-
-
-def _written(kind: str, count: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "key": pa.int64(), "hash": pa.binary(), "n_ids": pa.int32(), "payload": pa.binary(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "hashes": pa.list_(pa.binary()), "root": pa.binary()}
-    columns["kind"] = pa.array([kind] * count)
-    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(count, t) for c, t in kinds.items()], list(kinds))
-
-
-def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2) -> None:
-    """Writes (doc_id, text) to a store at path.
-
-    Chunks meet by address, once from each task at most, so a chunk that a third of the documents share makes no large
-    group; recipes go with them, dealt out by row. Recipes are put in order by ranges of doc_id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_encoded(vocabulary or default_vocabulary(), end_id), WRITTEN)
-    once = F.row_number().over(Window.partitionBy("key", "hash").orderBy("n_ids")) == 1
-    kept = found.withColumn("_keep", once | (F.col("kind") == "recipe")).filter("_keep").drop("_keep", "key")
-    kept.write.partitionBy("kind").option("compression", "snappy").parquet(f"{path}/data")  # ids hardly shrink
-    rooted = _data(spark, path, "recipe").select("row", "doc_id", "n_tokens", "hashes", "root")
-    order = ["doc_id", "root", "row"]
-    slim = cut(rooted.select(*order, "n_tokens").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
-    placed = cumulate(slim, [], F.col("part"), [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")], "start", F.col("n_tokens"))
-    full = rooted.join(placed.select("row", "part", "start"), "row").repartition("part").sortWithinPartitions("part", "start")
-    full.select("part", "start", "doc_id", "n_tokens", "hashes", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _parts(_recipes(spark, path)).write.parquet(f"{path}/parts")
-    rows = sorted(map(tuple, spark.read.schema(PART).parquet(f"{path}/parts").collect()))  # a row for each range
-    spark.createDataFrame([*rows, _total(rows)], PART).coalesce(1).write.parquet(f"{path}/manifest")
-
-
-#: A row of the manifest.
-PART = "part int, first_start long, documents long, tokens long, root binary"
-
-
 def _entry() -> Column:
     """The hash that stands for a document in its part."""
     told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
