@@ -4,7 +4,7 @@ Vectors are put on a sphere first: with M the greatest norm, x gets one more com
 zero, so that |x' - q'|^2 = M^2 + |q|^2 - 2 x.q and the largest inner product is the smallest distance. A few normal
 (2-stable) projections follow. The squared projected distance of two vectors, divided by their squared distance, is
 chi-square distributed with as many degrees of freedom as projections. A query walks through projected neighbours from
-the nearest on and verifies them by their inner products; it may stop once the next projected distance is so great
+the nearest leaves on and verifies them by their inner products; it may stop once the next projected distance is so great
 against the k-th best distance found that a better vector would be so far off with probability 1 - `sure` at most.
 
 The upper levels of the kd-tree are cells, split by a bounded sample of projections; every row is indexed. A cell's rows
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from pagewright.llm.common import cut, matrix, number_list, range_parts, whole_vector
 
 #: Rows of the sample by which cells are split, of a block, of a leaf, of a pack of queries, and of the smallest group.
-SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS, PACK_ROWS, LEAST_GROUP = 10_000, 8_192, 128, 256, 64
+SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS, PACK_ROWS, LEAST_GROUP = 10_000, 8_192, 128, 1_024, 1_024
 #: Rows of a group: at most its share of so many groups for each shuffle partition.
 GROUPS_A_PARTITION = 4
 
@@ -195,44 +195,53 @@ class Block:
         self.starts = np.r_[0, np.cumsum(sizes)]
         self.boxes = np.frombuffer(row["boxes"]).reshape(len(sizes), 2, dims)
 
-    def search(self, own: int, q: np.ndarray, p: np.ndarray, least: float, k: int, most: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """ids and inner products of the k best rows, of those whose product is at least `least`.
-
-        Leaves are opened from the nearest box on. Rows seen are verified in order of projected distance as soon as no
-        unopened leaf can hold a nearer one."""
-        boxes = (np.maximum(np.maximum(self.boxes[:, 0] - p, p - self.boxes[:, 1]), 0) ** 2).sum(axis=1)
-        order = np.argsort(boxes, kind="stable")
-        ahead = np.r_[boxes[order], np.inf]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        rows, far = np.empty(0, np.int64), np.empty(0)
-        norm = most + float((q * q).sum())
-        reach = self._reach(least, norm, limit)
-        for k_leaf, leaf in enumerate(order):
-            if ahead[k_leaf] > reach:
-                break
-            here = np.arange(self.starts[leaf], self.starts[leaf + 1])
-            rows, far = np.r_[rows, here], np.r_[far, ((self.p[here] - p) ** 2).sum(axis=1)]
-            due = far <= min(ahead[k_leaf + 1], reach)
-            near = rows[due]
-            rows, far = rows[~due], far[~due]
-            near = near[self.ids[near] != own]
-            if not len(near):
-                continue
-            products = (self.x[near] * q).sum(axis=1)
-            good = products >= least
-            ids, scores = np.r_[ids, self.ids[near[good]]], np.r_[scores, products[good]]
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = max(least, float(scores.min()))
-                reach = self._reach(least, norm, limit)
+    def search(self, own: np.ndarray, q: np.ndarray, p: np.ndarray, least: np.ndarray, k: int, most: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """ids and inner products (queries, k) of the k best rows for each query, of those whose product is at least its `least`;
+        places that nothing fills have a product of -inf.
+
+        Every query opens its leaves from the nearest box on, in rounds of one, one, two, four and so on; queries that open the same leaf
+        in a round do so together. Of a leaf the rows are verified that the stopping test, with the query's k-th best
+        product so far, doesn't rule out; a query is done when it rules out the next leaf. Products are estimated by a
+        matrix product, and those that may count are computed one by one, so they don't depend on the other queries."""
+        n, leaves = len(q), len(self.boxes)
+        norm, length = most + (q * q).sum(axis=1), (p * p).sum(axis=1)
+        boxes = np.zeros((n, leaves))
+        for j in range(p.shape[1]):
+            boxes += np.maximum(np.maximum(self.boxes[:, 0, j] - p[:, j, None], p[:, j, None] - self.boxes[:, 1, j]), 0) ** 2
+        turn = np.argsort(np.argsort(boxes, axis=1, kind="stable"), axis=1, kind="stable")
+        ids, scores = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+        least, reach = least.copy(), _reach(least, norm, limit)
+        low, high = 0, 1
+        while low < leaves:
+            due = (turn >= low) & (turn < high) & (boxes <= reach[:, None])
+            for leaf in np.flatnonzero(due.any(axis=0)):
+                asking = np.flatnonzero(due[:, leaf] & (boxes[:, leaf] <= reach))
+                rows = slice(self.starts[leaf], self.starts[leaf + 1])
+                far = length[asking, None] + (self.p[rows] ** 2).sum(axis=1) - 2 * (p[asking] @ self.p[rows].T)
+                room = 1e-12 * norm[asking, None]
+                hit = (q[asking] @ self.x[rows].T >= least[asking, None] - room) & (far <= reach[asking, None] + 1e3 * room) & (self.ids[rows] != own[asking, None])
+                who, row = np.nonzero(hit)
+                who, row = asking[who], row + rows.start
+                exact = (self.x[row] * q[who]).sum(axis=1)
+                good = exact >= least[who]
+                if not good.any():
+                    continue
+                found = np.unique(who[good])
+                asked = np.r_[np.repeat(found, k), who[good]]
+                s, i = np.r_[scores[found].ravel(), exact[good]], np.r_[ids[found].ravel(), self.ids[row[good]]]
+                order = np.lexsort((i, -s, asked))
+                starts = np.searchsorted(asked[order], found)
+                best = order[(starts[:, None] + np.arange(k)).ravel()]
+                ids[found], scores[found] = i[best].reshape(-1, k), s[best].reshape(-1, k)
+                least[found] = np.maximum(least[found], scores[found, -1])
+                reach[found] = _reach(least[found], norm[found], limit)
+            low, high = high, 2 * high
         return ids, scores
 
-    @staticmethod
-    def _reach(least: float, norm: float, limit: float) -> float:
-        """The squared projected distance beyond which the stopping test holds, with some room for rounding."""
-        return limit * max(norm - 2 * least, 0.0) * (1 + 1e-9) + 1e-9 * norm
+
+def _reach(least: np.ndarray, norm: np.ndarray, limit: float) -> np.ndarray:
+    """The squared projected distances beyond which the stopping test holds, with some room for rounding."""
+    return limit * np.maximum(norm - 2 * least, 0) * (1 + 1e-9) + 1e-9 * norm
 
 
 def _answers(space: Space, k: int, limit: float):
@@ -243,9 +252,9 @@ def _answers(space: Space, k: int, limit: float):
                 block = Block(row, dims)
                 q_ids, least = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_least"])
                 q = np.frombuffer(row["q_matrix"]).reshape(row["q_rows"], row["dim"])
-                found = [block.search(int(i), v, p, float(b), k, space.most, limit) for i, v, p, b in zip(q_ids, q, space.queries(q), least, strict=True)]
-                asked = np.repeat(q_ids, [len(i) for i, _ in found])
-                columns = [asked, np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])]
+                ids, scores = block.search(q_ids, q, space.queries(q), least, k, space.most, limit)
+                there = scores > -np.inf
+                columns = [np.repeat(q_ids, there.sum(axis=1)), ids[there], scores[there]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
@@ -259,7 +268,7 @@ def _sent(space: Space, cells: Cells, first: np.ndarray, groups: np.ndarray, dim
             for a in range(0, t.num_rows, 256):
                 some = t.slice(a, 256)
                 q, least, own = matrix(some.column("v"), dim), some.column("least").to_numpy(), some.column("grp").to_numpy()
-                reach = limit * np.maximum(space.most + (q * q).sum(axis=1) - 2 * least, 0) * (1 + 1e-9) + 1e-9 * space.most
+                reach = _reach(least, space.most + (q * q).sum(axis=1), limit)
                 row, cell = np.nonzero(cells.distances(space.queries(q)) <= reach[:, None])
                 number = np.repeat(first[cell], groups[cell]) + np.concatenate([np.empty(0, np.int64), *(np.arange(n) for n in groups[cell])])
                 row = np.repeat(row, groups[cell])
@@ -299,7 +308,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, dims: int = 16, s
 
     sample = kept.orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS).select("v").mapInArrow(projected, "p array<double>").toArrow()
     points = matrix(sample.column("p").combine_chunks(), dims)
-    cells = Cells(points, dims, max(0, int(math.log2(max(1, min(range_parts(spark), len(points) // 8))))))
+    cells = Cells(points, dims, int(math.log2(max(1, min(range_parts(spark), len(points) // 8, total // LEAST_GROUP)))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
