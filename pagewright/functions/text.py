@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,55 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, whatever f does with it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+@lru_cache
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Full case folding from the database: characters that fold to one, what they fold to, and those that fold to several."""
+    pairs = [(ch, f) for ch in map(chr, range(sys.maxunicode + 1)) if (f := ch.casefold()) != ch]
+    one = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), [(a, b) for a, b in pairs if len(b) > 1]
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding, as str.casefold() has it: the key on which names meet that differ in case alone."""
+    one, to, several = _folds()
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    wide = lambda x: F.when(x.rlike("[" + "".join(a for a, _ in several) + "]"), F.aggregate(listed, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(x)
+    return F.translate(once(c, wide), one, to)
+
+
+@lru_cache
+def _decimals() -> tuple[str, str]:
+    """All decimal digits but the ASCII ones, and their values."""
+    found = [(ch, str(v)) for ch in map(chr, range(128, sys.maxunicode + 1)) if (v := unicodedata.decimal(ch, None)) is not None]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def integer(c: Column) -> Column:
+    """The number that a text is, as int() reads it: digits of any script, single underscores between them, a sign, white space
+    around. Null if it isn't one or goes beyond 64 bits."""
+    said = lambda x: F.when(x.rlike(r"^[+-]?\d+(?:_\d+)*$"), F.replace(x, F.lit("_"), F.lit(""))).try_cast("bigint")
+    around = re.sub("[\x1c-\x1f]", "", SPACES)  # white space, but not what separates records
+    return once(F.translate(F.btrim(c, F.lit(around)), *_decimals()), said)
+
+
+def before(values: Column) -> Column:
+    """For each element of an array of numbers the sum of those before it.
+
+    Elements are summed up in runs first, so the work goes with the power 3/2 of their number at most (for some 10^5 of them)."""
+    run, add = 64, lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    runs = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / run).cast("int"))
+    sums = F.transform(runs, lambda r: add(F.slice(values, r * run + 1, F.lit(run))))
+    whole = F.transform(F.array(sums), lambda s: F.transform(runs, lambda r: add(F.slice(s, 1, r))))
+    at = lambda w, k: F.get(w, F.floor(k / run).cast("int")) + add(F.slice(values, F.floor(k / run).cast("int") * run + 1, (k % run).cast("int")))
+    found = F.flatten(F.transform(whole, lambda w: F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda k: at(w, k))))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
 def snippet(c: Column, most: int = 200) -> Column:
     """Runs of white space as one space, trimmed, at most so many code points."""
     return F.substring(F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " ")), 1, most)

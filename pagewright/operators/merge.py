@@ -11,96 +11,159 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
-from pagewright.operators.state import RUNNER_DISPOSITIONS, VISUAL, filled, get, int_of, is_kind, items, page_of, rules, text_of
+from pagewright.operators.state import RUNNER_DISPOSITIONS, VISUAL, filled, get, int_of, is_kind, items, number_of, page_of, rules, text_of
 
 
 def book_key(c: Column) -> Column:
-    """The name of a book's file without folder and `.pdf`, in lower case."""
-    return F.lower(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?i)\.pdf$", ""))
+    """The name of a book's file without folder and `.pdf`, case folded."""
+    return T.casefold(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?i)\.pdf$", ""))
+
+
+def given(v: Column) -> Column:
+    """Whether a field is there and not null."""
+    return v.isNotNull() & ~is_kind(v, "null")
+
+
+def first_given(entry: Column, *names: str) -> Column:
+    """The first of these fields that an object has, null values included."""
+    return F.coalesce(*[get(entry, n) for n in names])
 
 
 def of_book(entry: Column, book: Column) -> Column:
     """Whether an entry names this book or none."""
-    named = F.when(get(entry, "book").isNotNull(), get(entry, "book")).otherwise(get(entry, "source_book"))
-    return named.isNull() | is_kind(named, "null") | F.coalesce(book_key(text_of(named)) == book_key(book), F.lit(False))
+    return T.once(first_given(entry, "book", "source_book"), lambda named: ~given(named) | F.coalesce(book_key(text_of(named)) == book_key(book), F.lit(False)))
 
 
 def _candidate(entry: Column) -> Column:
-    first = F.when(get(entry, "candidate").isNotNull(), get(entry, "candidate")).when(get(entry, "source_text").isNotNull(), get(entry, "source_text")).otherwise(get(entry, "source"))
-    return T.strip(text_of(first))
+    return T.once(first_given(entry, "candidate", "source_text", "source"), lambda c: F.coalesce(T.strip(text_of(c)), F.lit("")))
 
 
-def load_decisions(files: DataFrame) -> DataFrame:
-    """(doc_id, book, json) to doc_id, page, ord, d, candidate, error: one row for each decision of this book.
+def _exploded(df: DataFrame, value: Column, pos: str, key: str, out: str) -> DataFrame:
+    """A row for each element of an array or field of an object, by a lateral table function; none for anything else."""
+    each = df.sparkSession.tvf.variant_explode(value.outer())
+    return df.lateralJoin(each.select(F.col("pos").alias(pos), F.col("key").alias(key), F.col("value").alias(out)))
+
+
+def _one(v: Column) -> Column:
+    """A list of the one value."""
+    return F.to_variant_object(F.array(v))
+
+
+def decision_files(files: DataFrame) -> DataFrame:
+    """(doc_id, book, json) to doc_id, what, page, ord, d, candidate, error: everything that a file of decisions says of its book.
 
-    The file may be a list, an object with `formula_decisions` or `decisions`, or an object of `pages` with `formulas`;
-    rows that can't be used carry an error."""
+    what is `decision`, or `visual` or `text` for pages that were confirmed as a whole, or `file` for an error of the whole
+    file. A file is a list of decisions, or an object with `formula_decisions` or else `decisions`, or where these are
+    empty one of `pages` with `formulas` whose pages count as confirmed. Decisions for other books are left out; rows that
+    can't be used have an error, and the run goes on. ord counts within the list, or within the page's list."""
     d = files.select("doc_id", "book", F.try_parse_json("json").alias("v"))
-    v = F.col("v")
-    plain = F.when(is_kind(v, "array"), items(v)).when(get(v, "formula_decisions").isNotNull(), items(get(v, "formula_decisions"))).otherwise(items(get(v, "decisions")))
-    listed = d.select("doc_id", "book", F.posexplode(plain).alias("ord", "d"), F.lit(None).cast("string").alias("_page"))
-    paged = d.filter((F.size(plain) == 0) & is_kind(get(v, "pages"), "object")).select("doc_id", "book", F.explode(F.try_variant_get(get(v, "pages"), "$", "map<string,variant>")).alias("_page", "p"))
-    paged = paged.select("doc_id", "book", F.posexplode(items(get("p", "formulas"))).alias("ord", "d"), "_page").filter(is_kind(F.col("d"), "object"))
-    both = listed.unionByName(paged).filter(of_book(F.col("d"), F.col("book")) | ~is_kind(F.col("d"), "object"))
+    v, listed = F.col("v"), first_given(F.col("v"), "formula_decisions", "decisions")
+    is_list, is_object, pages = is_kind(v, "array"), is_kind(v, "object"), is_kind(get(v, "pages"), "object")
+    empty = ~given(listed) | F.to_json(listed).isin("[]", "{}", '""', "0", "false")
+    paged = is_object & empty & pages
+    wrong = (
+        F.when(v.isNull(), "file is not valid JSON").when(~is_list & ~is_object, "visual decision file must contain an object or list")
+        .when(is_object & ~paged & listed.isNotNull() & ~is_kind(listed, "array"), "formula_decisions must be a list")
+    )
+    lists = lambda f: F.when(is_object, get(v, f))
+    part = lambda what, value: F.struct(F.lit(what).alias("what"), value.alias("list"))
+    decided = F.when(is_list, v).when(paged, get(v, "pages")).otherwise(F.when(is_kind(listed, "array"), listed))
+    parts = F.array(part("decision", decided), part("visual", lists("visual_confirmed_pages")), part("text", lists("text_visual_confirmed_pages")))
+    rows = d.select("doc_id", "book", wrong.alias("_wrong"), paged.alias("_paged"), F.explode(parts).alias("p")).select("doc_id", "book", "_wrong", "p.what", F.col("p.list").alias("_list"), (F.col("_paged") & (F.col("p.what") == "decision")).alias("_paged"))
+    outer = _exploded(rows.filter("_wrong IS NULL"), F.col("_list"), "_pos", "_key", "_value").filter((F.col("_paged") & is_kind(F.col("_value"), "object")) | (~F.col("_paged") & F.col("_key").isNull()))
+    # a page counts as confirmed by itself, beside its decisions
+    inner = F.when(F.col("_paged"), get("_value", "formulas")).otherwise(_one(F.col("_value")))
+    each = _exploded(outer.filter("what = 'decision'"), inner, "_at", "_name", "d").filter(~F.col("_paged") | is_kind(F.col("d"), "object"))
+    entry, ordinal = is_kind(F.col("d"), "object"), F.when(F.col("_paged"), F.col("_at")).otherwise(F.col("_pos"))
+    mine = each.filter(~entry | of_book(F.col("d"), F.col("book")))
     raw = get("d", "pdf_page")
-    page = F.coalesce(int_of(raw).cast("int"), page_of(text_of(raw)), F.when(raw.isNull(), page_of(F.col("_page"))))
-    lacks = (F.coalesce(_candidate(F.col("d")), F.lit("")) == "") & (get("d", "candidate_index").isNull() | is_kind(get("d", "candidate_index"), "null")) & ~filled(get("d", "candidate_id"))
-    error = F.when(~is_kind(F.col("d"), "object"), "decision must be an object").when(page.isNull(), "invalid pdf_page").when(lacks, "lacks candidate/source_text or candidate id")
-    return both.select("doc_id", page.alias("page"), "ord", "d", F.coalesce(_candidate(F.col("d")), F.lit("")).alias("candidate"), error.alias("error"))
+    page = F.when(raw.isNull(), page_of(F.col("_key"))).otherwise(number_of(raw).try_cast("int"))
+    lacks = (_candidate(F.col("d")) == "") & ~given(get("d", "candidate_index")) & ~filled(get("d", "candidate_id"))
+    error = F.when(~entry, "formula decision must be an object").when(page.isNull(), "formula decision has invalid pdf_page").when(lacks, "formula decision lacks candidate/source_text or candidate id")
+    decisions = mine.select("doc_id", "what", page.alias("page"), ordinal.alias("ord"), "d", _candidate(F.col("d")).alias("candidate"), error.alias("error"))
+    none, no_text = F.lit(None).cast("variant").alias("d"), F.lit(None).cast("string")
+    marked = F.when(F.col("_paged"), page_of(F.col("_key"))).otherwise(number_of(F.col("_value")).try_cast("int"))
+    field = F.when(F.col("what") == "text", "text_visual_confirmed_pages").otherwise("visual_confirmed_pages")
+    looked = outer.filter("_paged OR what <> 'decision'").select("doc_id", F.when(F.col("_paged"), "visual").otherwise(F.col("what")).alias("what"), marked.alias("page"), F.col("_pos").alias("ord"), none, no_text.alias("candidate"), F.when(marked.isNull(), F.concat(field, F.lit(" contains an invalid page"))).alias("error"))
+    broken = d.filter(wrong.isNotNull()).select("doc_id", F.lit("file").alias("what"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("ord"), none, no_text.alias("candidate"), wrong.alias("error"))
+    return decisions.unionByName(looked).unionByName(broken)
+
+
+def load_decisions(files: DataFrame) -> DataFrame:
+    """doc_id, page, ord, d, candidate, error: the decisions of files, and errors of whole files; see decision_files."""
+    return decision_files(files).filter("what IN ('decision', 'file')").drop("what")
 
 
 def confirmed_pages(files: DataFrame) -> DataFrame:
-    """doc_id, page, what (visual or text): pages that reviewers looked at as a whole."""
-    d = files.select("doc_id", F.try_parse_json("json").alias("v"))
-    number = F.coalesce(int_of(F.col("x")).cast("int"), page_of(text_of(F.col("x"))))
-    parts = [d.select("doc_id", F.explode(items(get("v", f))).alias("x")).select("doc_id", number.alias("page"), F.lit(w).alias("what")) for f, w in (("visual_confirmed_pages", "visual"), ("text_visual_confirmed_pages", "text"))]
-    paged = d.filter(is_kind(get("v", "pages"), "object")).select("doc_id", F.explode(F.map_keys(F.try_variant_get(get("v", "pages"), "$", "map<string,variant>"))).alias("k"))
-    decided = load_decisions(files.withColumn("book", F.coalesce("book", F.lit("")))).filter("error IS NULL").select("doc_id", "page", F.lit("visual").alias("what"))
-    return parts[0].union(parts[1]).union(paged.select("doc_id", page_of(F.col("k")), F.lit("visual"))).union(decided).filter("page IS NOT NULL").distinct()
+    """doc_id, page, what (visual or text): pages that reviewers looked at as a whole or decided on."""
+    found = decision_files(files if "book" in files.columns else files.withColumn("book", F.lit(""))).filter("error IS NULL")
+    return found.select("doc_id", "page", F.when(F.col("what") == "text", "text").otherwise("visual").alias("what")).distinct()
 
 
 def load_selection(files: DataFrame) -> DataFrame:
     """(doc_id, book, json) to doc_id, page, ord, candidate_index, candidate_id, candidate, error of an audit selection.
 
-    The file may be an object of `books` with `items` or `candidates`, an object with `items`, or a list."""
+    A file is an object of `books` that each have `items` or else `candidates`, an object with `items`, or a list. Items
+    for other books are left out. An item with a text stands for that text alone, one without for its index or the number at the end of
+    its id. Items that can't be used have an error; ord counts within the list."""
     d = files.select("doc_id", "book", F.try_parse_json("json").alias("v"))
-    v = F.col("v")
-    plain = F.when(is_kind(v, "array"), items(v)).otherwise(items(get(v, "items")))
-    by_book = is_kind(get(v, "books"), "object")
-    listed = d.filter(~by_book).select("doc_id", "book", F.posexplode(plain).alias("ord", "d"), F.lit(None).cast("string").alias("_book"))
-    named = d.filter(by_book).select("doc_id", "book", F.explode(F.try_variant_get(get(v, "books"), "$", "map<string,variant>")).alias("_book", "p"))
-    inner = F.when(get("p", "items").isNotNull(), items(get("p", "items"))).otherwise(items(get("p", "candidates")))
-    named = named.select("doc_id", "book", F.posexplode(inner).alias("ord", "d"), "_book").filter(book_key(F.col("_book")) == book_key(F.col("book")))
-    both = listed.unionByName(named).filter(of_book(F.col("d"), F.col("book")))
-    page = F.coalesce(int_of(get("d", "pdf_page")).cast("int"), page_of(text_of(get("d", "pdf_page"))))
-    said, cid = text_of(get("d", "candidate_id")), F.expr("try_cast(regexp_extract(_cid, '(?i)(?:formula|candidate)[-_]0*(\\\\d+)$', 1) AS INT)")
-    index = int_of(get("d", "candidate_index")).cast("int")
-    out = both.withColumns({"page": page, "_cid": F.coalesce(said, F.lit("")), "_i": index, "candidate": _candidate(F.col("d"))}).withColumn("_of_id", cid)
+    v, books = F.col("v"), is_kind(get("v", "books"), "object")
+    listed = F.when(is_kind(v, "object"), F.coalesce(get(v, "items"), v)).otherwise(v)
+    wrong = F.when(v.isNull(), "file is not valid JSON").when(~books & ~is_kind(listed, "array"), "formula selection must contain an items list")
+    rows = d.select("doc_id", "book", wrong.alias("_wrong"), books.alias("_by_book"), F.when(books, get(v, "books")).otherwise(listed).alias("_list"))
+    outer = _exploded(rows.filter("_wrong IS NULL"), F.col("_list"), "_pos", "_key", "_value").filter(~F.col("_by_book") | is_kind(F.col("_value"), "object"))
+    each = _exploded(outer, F.when(F.col("_by_book"), first_given(F.col("_value"), "items", "candidates")).otherwise(_one(F.col("_value"))), "_at", "_name", "d")
+    entry = is_kind(F.col("d"), "object")
+    named = first_given(F.col("d"), "book", "source_book")
+    # an item of a book has the book's name unless it says another
+    mine = F.when(F.col("_by_book") & get("d", "book").isNull(), book_key(F.col("_key")) == book_key(F.col("book"))).otherwise(of_book(F.col("d"), F.col("book")))
+    kept = each.filter(F.when(F.col("_by_book"), entry & mine).otherwise(~entry | ~given(named) | mine))
+    index, said, page = get("d", "candidate_index"), get("d", "candidate_id"), number_of(get("d", "pdf_page")).try_cast("int")
+    text = _candidate(F.col("d"))
+    end = F.regexp_extract(text_of(said), r"(?i)(?:formula|candidate)[-_]0*(\d+)$", 1).try_cast("int")
+    number = int_of(index).try_cast("int")
     error = (
-        F.when(F.col("page").isNull() | (F.col("page") <= 0), "invalid pdf_page")
-        .when(get("d", "candidate_index").isNotNull() & (F.coalesce(F.col("_i"), F.lit(0)) <= 0), "invalid candidate_index")
-        .when(F.col("_i") != F.col("_of_id"), "candidate_index disagrees with candidate_id")
-        .when(F.col("_i").isNull() & F.col("_of_id").isNull() & (F.coalesce("candidate", F.lit("")) == ""), "cannot resolve a candidate")
-    )
-    return out.select("doc_id", "page", "ord", F.coalesce("_i", "_of_id").alias("candidate_index"), said.alias("candidate_id"), "candidate", error.alias("error"))
+        F.when(~entry, "formula selection item must be an object").when(page.isNull(), "formula selection item has invalid pdf_page").when(page <= 0, "formula selection item has non-positive pdf_page")
+        .when(given(index) & (F.coalesce(int_of(index), F.lit(0)) <= 0), "formula selection item has invalid candidate_index").when(given(said) & ~filled(said), "formula selection item has invalid candidate_id")
+        .when((text == "") & ~given(index) & ~filled(said), "formula selection item lacks candidate/source_text or candidate id")
+        .when((text == "") & (number != end), "candidate_index disagrees with candidate_id").when((text == "") & number.isNull() & end.isNull(), "formula selection item cannot resolve a candidate")
+    )
+    found = kept.select(
+        "doc_id", page.alias("page"), F.when(F.col("_by_book"), F.col("_at")).otherwise(F.col("_pos")).alias("ord"), F.when(text == "", F.coalesce(number, end)).alias("candidate_index"), F.when(text == "", text_of(said)).alias("candidate_id"),
+        F.when(text != "", text).alias("candidate"), error.alias("error"),
+    )
+    broken = d.filter(wrong.isNotNull()).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("page", "int"), ("ord", "int"), ("candidate_index", "int"), ("candidate_id", "string"), ("candidate", "string"))], wrong.alias("error"))
+    return found.unionByName(broken)
 
 
 def select_candidates(regions: DataFrame, selection: DataFrame) -> DataFrame:
-    """doc_id, page, ord, candidate_index, error: what each entry of a selection stands for.
+    """doc_id, page, ord, candidate_index, error: what the entries of a selection stand for, on the pages that it names.
 
-    By index, where the text must agree if it is given; else the k-th entry of a text takes the k-th candidate of it."""
-    good = selection.filter("error IS NULL")
+    Entries are taken in order. One with an index stands for that candidate, whose text must be its own if it has one; one
+    with a text alone for the first candidate of that text that no entry before it took, by index or text. An entry for a candidate
+    that was taken before gives no row. Entries that stand for nothing have an error and take nothing; null texts of
+    candidates are nobody's. The fold runs over one page's short lists."""
     key = ["doc_id", "page"]
-    texts = regions.select(*key, "candidate_index", F.col("text").alias("_t"))
-    by_index = good.filter("candidate_index IS NOT NULL").join(texts, [*key, "candidate_index"], "left")
-    wrong = F.when(F.col("_t").isNull(), "candidate_index not found").when((F.coalesce("candidate", F.lit("")) != "") & (F.col("candidate") != F.col("_t")), "candidate text doesn't match")
-    first = by_index.select(*key, "ord", "candidate_index", wrong.alias("error"))
-    nth = lambda df, by, order: df.withColumn("_k", F.row_number().over(Window.partitionBy(*key, by).orderBy(order)))
-    taken = first.filter("error IS NULL").select(*key, "candidate_index")
-    free = nth(texts.join(taken, [*key, "candidate_index"], "left_anti"), "_t", "candidate_index").withColumnRenamed("_t", "candidate")
-    asked = nth(good.filter("candidate_index IS NULL").drop("candidate_index"), "candidate", "ord")
-    second = asked.join(free, [*key, "candidate", "_k"], "left").select(*key, "ord", "candidate_index", F.when(F.col("candidate_index").isNull(), "candidate not found").alias("error"))
-    return first.unionByName(second).unionByName(selection.filter("error IS NOT NULL").select(*key, "ord", "candidate_index", "error"))
+    here = regions.groupBy(*key).agg(F.collect_list(F.struct(F.col("candidate_index").cast("int").alias("i"), F.col("text").alias("t"))).alias("_l")).select(*key, F.array_sort("_l").alias("_c"))
+    good = selection.filter("error IS NULL")
+    entry = F.struct("ord", F.col("candidate_index").cast("int").alias("i"), F.when(F.col("candidate") != "", F.col("candidate")).alias("t"))
+    asked = good.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_s")).join(here, key, "left")
+    kind = "ord: INT, candidate_index: INT, error: STRING"
+    none, missing = F.expr(f"CAST(array() AS ARRAY<STRUCT<{kind}>>)"), F.lit(None).cast("int")
+
+    def step(acc: Column, e: Column) -> Column:
+        taken = lambda i: F.exists(acc, lambda a: F.coalesce(a["candidate_index"] == i, F.lit(False)) & a["error"].isNull())
+        at = F.filter("_c", lambda c: c["i"] == e["i"])
+        free = F.filter("_c", lambda c: (c["t"] == e["t"]) & ~taken(c["i"]))
+        found = F.when(e["i"].isNotNull(), F.try_element_at(at, F.lit(1))["i"]).otherwise(F.try_element_at(free, F.lit(1))["i"])
+        wrong = F.when(found.isNull(), F.when(e["i"].isNotNull(), "candidate_index not found").otherwise("candidate not found")).when(
+            e["i"].isNotNull() & e["t"].isNotNull() & ~F.coalesce(F.try_element_at(at, F.lit(1))["t"] == e["t"], F.lit(False)), "candidate text doesn't match"
+        )
+        row = F.struct(e["ord"].cast("int").alias("ord"), F.coalesce(found, e["i"], missing).alias("candidate_index"), wrong.alias("error"))
+        return F.when(wrong.isNull() & taken(found), acc).otherwise(F.concat(acc, F.array(row)))
+
+    out = asked.withColumn("_c", F.coalesce("_c", F.expr("CAST(array() AS ARRAY<STRUCT<i: INT, t: STRING>>)"))).select(*key, F.inline(F.aggregate("_s", none, step)))
+    return out.unionByName(selection.filter("error IS NOT NULL").select(*key, F.col("ord").cast("int").alias("ord"), F.col("candidate_index").cast("int").alias("candidate_index"), "error"))
 
 
 def selected_regions(regions: DataFrame, resolved: DataFrame | None) -> DataFrame:
@@ -127,7 +190,7 @@ def match(records: DataFrame, supplied: DataFrame) -> DataFrame:
     key = ["doc_id", "page"]
     want = records.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "candidate_index", "candidate_id", "candidate"))).alias("_r"))
     raw = get("d", "candidate_index")
-    index = F.coalesce(int_of(raw).cast("int"), page_of(text_of(raw)))
+    index = number_of(raw).try_cast("int")
     has = raw.isNotNull() & ~is_kind(raw, "null")
     have = supplied.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", index.alias("i"), (has & index.isNull()).alias("bad"), text_of(get("d", "candidate_id")).alias("id"), F.col("candidate").alias("t")))).alias("_s"))
     d = want.join(have, key, "left")

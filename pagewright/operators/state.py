@@ -75,6 +75,92 @@ class Field:
 _SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
 
 
+def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
+    """d with a column for each field of v."""
+    return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
+
+
+def text_of(v: Column) -> Column:
+    """A string's text; null for anything else."""
+    return F.when(is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
+
+
+def filled(v: Column) -> Column:
+    return F.coalesce(T.strip(text_of(v)) != "", F.lit(False))
+
+
+def int_of(v: Column) -> Column:
+    """An integer's value; null for anything else, booleans too."""
+    return F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint"))
+
+
+def page_of(c: Column) -> Column:
+    """A page number from text, null if it isn't one (or beyond 32 bits)."""
+    return T.integer(c).try_cast("int")
+
+
+def number_of(v: Column) -> Column:
+    """What int() makes of a value: integers, booleans, decimal numbers without their fraction, texts of integers. Null for anything else."""
+    def read(x: Column) -> Column:
+        number = F.try_variant_get(x, "$", "double")
+        return (
+            F.when(is_kind(x, "int"), F.try_variant_get(x, "$", "bigint")).when(is_kind(x, "string"), T.integer(F.try_variant_get(x, "$", "string"))).when(is_kind(x, "bool"), F.try_variant_get(x, "$", "boolean").cast("bigint"))
+            .when(F.schema_of_variant(x).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint"))
+        )
+
+    return T.once(v, read)
+
+
+def items(self) -> Column:
+        return items(self.value)
+
+
+#: How the schema of each kind of value begins.
+_SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
+
+
+def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
+    """d with a column for each field of v."""
+    return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
+
+
+def text_of(v: Column) -> Column:
+    """A string's text; null for anything else."""
+    return F.when(is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
+
+
+def filled(v: Column) -> Column:
+    return F.coalesce(T.strip(text_of(v)) != "", F.lit(False))
+
+
+def int_of(v: Column) -> Column:
+    """An integer's value; null for anything else, booleans too."""
+    return F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint"))
+
+
+def page_of(c: Column) -> Column:
+    """A page number from text, null if it isn't one (or beyond 32 bits)."""
+    return T.integer(c).try_cast("int")
+
+
+def number_of(v: Column) -> Column:
+    """What int() makes of a value: integers, booleans, decimal numbers without their fraction, texts of integers. Null for anything else."""
+    fraction = F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint")).when(is_kind(v, "string"), T.integer(F.try_variant_get(v, "$", "string")))
+        .when(is_kind(v, "bool"), F.try_variant_get(v, "$", "boolean").cast("bigint")).when(fraction, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint"))
+    )
+
+
+def items(self) -> Column:
+        return items(self.value)
+
+
+#: How the schema of each kind of value begins.
+_SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
+
+
 def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
     """d with a column for each field of v."""
     return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
@@ -179,7 +265,7 @@ def verified_page_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
     """doc_id, page, error: verified pages whose candidates and decisions don't match in number, and what isn't a page."""
     raw = get("v", "visual_verified_pdf_pages")
     no_list = states.filter(raw.isNotNull() & ~is_kind(raw, "array")).select("doc_id", F.lit(None).cast("int").alias("page"), F.lit("visual_verified_pdf_pages must be a list").alias("error"))
-    listed = states.select("doc_id", F.explode(items(raw)).alias("x")).withColumn("page", F.coalesce(int_of(F.col("x")).cast("int"), page_of(text_of(F.col("x")))))
+    listed = states.select("doc_id", F.explode(items(raw)).alias("x")).withColumn("page", number_of(F.col("x")).try_cast("int"))
     odd = listed.filter(F.col("page").isNull()).select("doc_id", "page", F.concat(F.lit("visual_verified_pdf_pages contains a non-integer page: "), F.coalesce(F.concat(F.lit("'"), text_of(F.col("x")), F.lit("'")), F.to_json("x"))).alias("error"))
     asked = states.select("doc_id", F.explode(fields(get("v", "formula_candidates"))).alias("k", "c")).select("doc_id", page_of(F.col("k")).alias("page"), length(F.col("c")).alias("n")).filter("page IS NOT NULL AND n > 0")
     given = entries.filter(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.count("*").alias("m"))
@@ -194,7 +280,7 @@ def pending_errors(states: DataFrame) -> DataFrame:
     d, f = with_fields(d, F.col("i"), ("pdf_page", "type", "kind", "status", "reason"))
     label = F.format_string("pending_review[%d]", "ord")
     truthy = lambda x: x.given & ~F.coalesce(F.to_json(x.value).isin('""', "null", "false", "0", "[]", "{}"), F.lit(False))
-    reason = F.lower(f["reason"].text)
+    reason = T.casefold(f["reason"].text)
     unreviewed = F.exists(F.array(*map(F.lit, UNREVIEWED)), lambda p: F.contains(reason, p))
     of_object = rules([
         (F.coalesce(f["pdf_page"].integer, F.lit(0)) <= 0, F.concat(label, F.lit(" must identify a positive integer pdf_page"))),

@@ -16,9 +16,7 @@ from pagewright.operators import state as ST
 from pagewright.plans import books as B
 from pagewright.plans import oracles as O
 from pagewright.plans import report as R
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pagewright.plans.registry import ORACLE_SQL, QUERIES, query
 
 _BOOKS = f"books AS ({B.DUCK_BOOKS})"
 _PAGE = r"<!--\s*PDF page\s+(\d+)(?:\s*\|\s*printed page\s+(\d+|unknown))?\s*-->"
@@ -46,18 +44,6 @@ refs AS (SELECT doc_id, k::INTEGER AS seq, a[k + 1] AS alt, r[k + 1] AS ref FROM
 assets AS (SELECT DISTINCT conv_id AS doc_id, concat('assets/p', CAST((length(text) + turn % 2) % 9 AS STRING), '.png') AS path FROM conversations)"""
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"WITH {_MARKERS} SELECT doc_id, seq, start, pdf_page, printed_page FROM markers")
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page_markers(B.books(spark, sf_dir))
@@ -585,4 +571,6 @@ def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.progress(pages, ["lines"])
 
 
+from pagewright.plans import catalog_files  # noqa: E402, F401 - registers its queries
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
