@@ -141,6 +141,26 @@ def find(df: DataFrame, keys: list[str], text: str, pattern: str, groups: dict[s
     return rows.select(*keys, "seq", start.cast("long").alias("start"), line.cast("long").alias("line"), *groups)
 
 
+def matches(text: Column, pattern: str, groups: dict[str, int], when: Column) -> Column:
+    """The matches in a text as array<struct<seq, start, line, groups>>, as `find` has them as rows; looked for only where `when` holds.
+
+    The text is split once and matched once for each group; starts are sums over the lengths of pieces and matches."""
+    p = F.lit(pattern)
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(whole), F.lit(0)))
+    parts = F.arrays_zip(pieces.alias("piece"), whole.alias("whole"), *[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for n, g in groups.items()])
+
+    def placed(found: Column) -> Column:
+        place = lambda size: once(F.transform(found, lambda m: size(m["piece"])), lambda own: F.zip_with(before(F.zip_with(own, F.transform(found, lambda m: size(m["whole"])), lambda x, y: x + y)), own, lambda x, y: x + y))
+        starts = place(lambda x: F.char_length(x).cast("long"))
+        lines = place(lambda x: F.regexp_count(x, F.lit("\n")).cast("long"))
+        rows = lambda z: F.transform(z, lambda m, k: F.struct(k.alias("seq"), m["start"].alias("start"), (m["line"] + 1).alias("line"), *[m["m"][n].alias(n) for n in groups]))
+        return once(F.arrays_zip(starts.alias("start"), lines.alias("line"), found.alias("m")), rows)
+
+    kind = ", ".join(f"{n}: STRING" for n in groups)
+    return F.when(when, once(parts, placed)).otherwise(F.expr(f"CAST(array() AS ARRAY<STRUCT<seq: INT, start: BIGINT, line: BIGINT, {kind}>>)"))
+
+
 def decoded(c: Column) -> Column:
     """Percent-decoding that keeps `+` and what isn't well formed."""
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)

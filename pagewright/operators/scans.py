@@ -27,9 +27,37 @@ def math_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "kind", "seq", "start", "line", "content")
 
 
-def span_order() -> list[Column]:
-    """Order of spans within a document: by start, then by kind."""
-    return [F.col("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.col("seq")]
+#: The patterns of KINDS, and a text without which none of a kind is there.
+_PATTERNS = ((T.DISPLAY_MATH, "$$"), (T.INLINE_MATH, "$"), (T.PAREN_MATH, "\\("), (T.BRACKET_MATH, "\\["))
+
+
+def marks_of(text: Column) -> Column:
+    """The page markers in a text: array<struct<seq, start, line, p, q>>, numbers as texts."""
+    return T.matches(text, T.PAGE_MARKER, {"p": 1, "q": 2}, text.contains("<!--"))
+
+
+def spans_of(text: Column, marks: Column) -> Column:
+    """The spans of all kinds in a text, in the order of their starts, then of kinds: array<struct<start, rank, seq, kind, line,
+    pdf_page, content>>. The page is that of the last of `marks` (marks_of) at or before the start; null before the first.
+
+    The text is scanned by one projection; spans are merged and sorted inside the row."""
+    page = lambda start: F.try_element_at(F.filter(marks, lambda m: m["start"] <= start), F.lit(-1))["p"].try_cast("int")
+
+    def of_kind(rank: int) -> Column:
+        pattern, sign = _PATTERNS[rank]
+        found = T.matches(text, pattern, {"content": 1}, text.contains(sign))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["seq"].alias("seq"), F.lit(KINDS[rank]).alias("kind"), m["line"].alias("line"), page(m["start"]).alias("pdf_page"), m["content"].alias("content")))
+
+    return F.array_sort(F.concat(*[of_kind(k) for k in range(len(KINDS))]))
+
+
+def ordered_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, ord, kind, seq, start, line, pdf_page, content: the spans of each text numbered in their order, from one scan.
+
+    Kinds may overlap: a span of one that starts inside another's is a row of its own. Null and empty texts have none."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_marks", marks_of(F.col("text")))
+    rows = d.select("doc_id", F.posexplode(spans_of(F.col("text"), F.col("_marks"))).alias("ord", "s"))
+    return rows.select("doc_id", "ord", *[F.col(f"s.{c}").alias(c) for c in ("kind", "seq", "start", "line", "pdf_page", "content")])
 
 
 def image_refs(docs: DataFrame) -> DataFrame:

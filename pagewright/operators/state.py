@@ -206,11 +206,13 @@ def parsed(states: DataFrame) -> DataFrame:
 
 
 def decisions(states: DataFrame) -> DataFrame:
-    """doc_id, page (null if none or no number), d: standalone decisions, then those of the page map (one decision or its list `formulas`)."""
-    alone = states.select("doc_id", F.lit(None).cast("int").alias("page"), F.explode(items(get("v", "formula_decisions"))).alias("d"))
-    paged = states.select("doc_id", F.explode(fields(get("v", "visual_review_decisions"))).alias("k", "p")).filter(is_kind(F.col("p"), "object"))
-    one = F.when(get("p", "disposition").isNotNull(), F.array("p")).otherwise(items(get("p", "formulas")))
-    return alone.unionByName(paged.select("doc_id", page_of(F.col("k")).alias("page"), F.explode(one).alias("d")))
+    """doc_id, page (null if none or no number), ord, d: standalone decisions, then those of the page map (one decision or its list
+    `formulas`), pages in the order of their names; ord numbers them."""
+    alone = F.transform(items(get("v", "formula_decisions")), lambda d: F.struct(F.lit(None).cast("int").alias("page"), d.alias("d")))
+    entries = F.array_sort(F.transform(F.map_entries(fields(get("v", "visual_review_decisions"))), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
+    of_page = lambda e, p: F.transform(F.when(is_kind(p, "object"), F.when(get(p, "disposition").isNotNull(), F.array(p)).otherwise(items(get(p, "formulas")))).otherwise(F.array().cast("array<variant>")), lambda d: F.struct(page_of(e["key"]).alias("page"), d.alias("d")))
+    paged = F.flatten(F.transform(entries, lambda e: of_page(e, F.try_parse_json(e["value"]))))
+    return states.select("doc_id", F.posexplode(F.concat(alone, paged)).alias("ord", "x")).select("doc_id", "x.page", "ord", "x.d")
 
 
 def rules(conditions: list[tuple[Column, Column | str]]) -> Column:
@@ -223,7 +225,7 @@ def _bad_list(v: Column) -> Column:
 
 
 def decision_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
-    """doc_id, page, error: the provenance rules of each decision. Context is asked for only where the state has candidate records."""
+    """doc_id, page, ord, k, error: the provenance rules of each decision in their order. Context is asked for only where the state has candidate records."""
     lists = F.filter(F.map_entries(fields(get("v", "formula_candidate_records"))), lambda e: page_of(e["key"]).isNotNull() & is_kind(e["value"], "array"))
     flags = states.select("doc_id", (F.size(lists) > 0).alias("_context"))
     names = ("disposition", "verification", "source_asset", "source_pdf_page", "context_asset", "context_type", "source_candidates", "candidate_id", "latex", "unresolved_reason", "reason", "candidate_index")
@@ -258,7 +260,7 @@ def decision_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
         .when(~what.isin(*DISPOSITIONS), F.array(say("formula decision", at, " has unknown disposition: ", shown)))
         .otherwise(known)
     )
-    return d_.select("doc_id", "page", F.explode(errors).alias("error"))
+    return d_.select("doc_id", "page", "ord", F.posexplode(errors).alias("k", "error"))
 
 
 def verified_page_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
@@ -275,7 +277,7 @@ def verified_page_errors(entries: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def pending_errors(states: DataFrame) -> DataFrame:
-    """doc_id, ord, error: items of pending_review must say what was seen and is unresolved."""
+    """doc_id, ord, k, error: items of pending_review must say what was seen and is unresolved."""
     d = states.select("doc_id", F.posexplode(items(get("v", "pending_review"))).alias("ord", "i"))
     d, f = with_fields(d, F.col("i"), ("pdf_page", "type", "kind", "status", "reason"))
     label = F.format_string("pending_review[%d]", "ord")
@@ -290,7 +292,7 @@ def pending_errors(states: DataFrame) -> DataFrame:
         (f["reason"].filled & unreviewed, F.concat(label, F.lit(" reason still describes unperformed visual review"))),
     ])
     errors = F.when(is_kind(F.col("i"), "object"), of_object).otherwise(F.array(F.concat(label, F.lit(" must be an object with a concrete PDF page and reason"))))
-    return d.select("doc_id", "ord", F.explode(errors).alias("error"))
+    return d.select("doc_id", "ord", F.posexplode(errors).alias("k", "error"))
 
 
 def workflow(states: DataFrame) -> DataFrame:
@@ -318,12 +320,14 @@ def workflow(states: DataFrame) -> DataFrame:
 def state_report(raw: DataFrame) -> DataFrame:
     """doc_id, status, workflow_status, queued, pending, n_decisions, errors, warnings of (doc_id, state JSON).
 
-    A text that is no JSON object fails with the error that it could not be read."""
+    Errors are those of status and queues, then of decisions, verified pages and pending items, each in their order. A text
+    that is no JSON object fails with the error that it could not be read."""
     states = parsed(raw)
     good = states.filter("readable")
     entries = decisions(good)
-    found = decision_errors(entries, good).select("doc_id", "error").unionAll(verified_page_errors(entries, good).select("doc_id", "error")).unionAll(pending_errors(good).select("doc_id", "error"))
-    more = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("error")).alias("_more"))
+    placed = lambda d, part, ordinal, k: d.select("doc_id", F.struct(F.lit(part).alias("part"), ordinal.alias("ord"), k.alias("k"), F.col("error")).alias("e"))
+    found = placed(decision_errors(entries, good), 0, F.col("ord"), F.col("k")).unionAll(placed(verified_page_errors(entries, good), 1, F.coalesce("page", F.lit(0)), F.lit(0))).unionAll(placed(pending_errors(good), 2, F.col("ord"), F.col("k")))
+    more = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["error"]).alias("_more"))
     counted = entries.groupBy("doc_id").agg(F.count("*").alias("n_decisions"))
     none = F.array().cast("array<string>")
     d = workflow(good).join(more, "doc_id", "left").join(counted, "doc_id", "left")

@@ -571,6 +571,6 @@ def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.progress(pages, ["lines"])
 
 
-from pagewright.plans import catalog_files  # noqa: E402, F401 - registers its queries
+from pagewright.plans import catalog_files, catalog_findings  # noqa: E402, F401 - they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

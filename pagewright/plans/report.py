@@ -41,7 +41,7 @@ def manifest_problems(found: DataFrame) -> Column:
     """The problems of a document's manifest (v, path) beside its facts refs and pages."""
     named = ST.text_of(ST.get("v", "output_markdown"))
     said, listed = ST.get("v", "images"), ST.get("v", "pdf_pages")
-    numbers = F.transform(ST.items(listed), lambda x: F.coalesce(ST.int_of(x).cast("int"), ST.page_of(ST.text_of(x))))
+    numbers = F.transform(ST.items(listed), lambda x: ST.number_of(x).try_cast("int"))
     return ST.rules([
         (F.col("v").isNull(), "manifest is not valid JSON"),
         ((named != "") & (named != F.col("path")), "manifest output_markdown does not point to the validated Markdown"),
