@@ -29,9 +29,6 @@ from pagewright.llm.common import cut, matrix, number_list, range_parts, whole_v
 
 #: Rows of the sample by which cells are split, of a block, of a leaf, of a pack of queries, and of the smallest group.
 SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS, PACK_ROWS, LEAST_GROUP = 10_000, 8_192, 128, 1_024, 1_024
-#: Rows of a group: at most its share of so many groups for each shuffle partition.
-GROUPS_A_PARTITION = 4
-
 
 def chi_square_quantile(degrees: int, share: float) -> float:
     """The value below which a chi-square variable of an even number of degrees falls with probability `share`."""
@@ -308,7 +305,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, dims: int = 16, s
 
     sample = kept.orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS).select("v").mapInArrow(projected, "p array<double>").toArrow()
     points = matrix(sample.column("p").combine_chunks(), dims)
-    cells = Cells(points, dims, int(math.log2(max(1, min(range_parts(spark), len(points) // 8, total // LEAST_GROUP)))))
+    # every group gives lists of answers, so there are about as many as partitions and no more
+    group_rows = max(LEAST_GROUP, total // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = Cells(points, dims, int(math.log2(max(1, min(range_parts(spark), len(points) // 8, total // group_rows)))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -317,10 +316,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, dims: int = 16, s
 
     kind = kept.schema["v"].dataType.simpleString()
     rows = cut(kept.mapInArrow(placed, f"id long, v {kind}, asks boolean, cell int"), "cells")
-    group_rows = max(LEAST_GROUP, total // (GROUPS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     groups = np.zeros(1 << cells.depth, np.int64)
     for cell, n in rows.groupBy("cell").count().collect():
-        groups[cell] = -(-n // group_rows)
+        groups[cell] = max(1, round(n / group_rows))
     first = np.cumsum(groups) - groups
     at = lambda values: F.element_at(number_list(values.tolist()), F.col("cell") + 1)
     grouped = rows.withColumn("grp", (at(first) + F.pmod(F.xxhash64("id"), at(groups))).cast("int"))
