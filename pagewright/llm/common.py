@@ -74,6 +74,12 @@ def cumulate(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
     return joined.withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_off")
 
 
+def hash_digits(spark: SparkSession) -> int:
+    """How many hex digits of a hash make buckets for `cumulate` that follow the cluster: 16^2 to 16^4, at least one for each shuffle partition."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 if parts <= 1 << 8 else 3 if parts <= 1 << 12 else 4
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 increasing values that deal an integer column evenly into ranges. The driver gets these alone."""
     if parts < 2:

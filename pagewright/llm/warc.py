@@ -43,9 +43,9 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(_ID, str(page_id))}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> bytes:
     """A gzip member with one record. A revisit has the digest and length of its payload but not the payload."""
-    digest = hashlib.sha256(payload).hexdigest()
+    digest = digest or hashlib.sha256(payload).hexdigest()
     kind = "response" if refers_to is None else "revisit"
     body = payload if kind == "response" else b""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
@@ -65,13 +65,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Of equal payloads of at least LEAST_REVISIT bytes that with the smallest page_id is the response. A task writes to
     a name of its own and renames at the end, so a task that is run again leaves one file with the same records."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    told = cut(rows.select("row", "page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest")).filter(F.octet_length("html") >= LEAST_REVISIT), "digests")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    told = cut(rows.filter(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
     keys = told.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
     shared = keys.filter((F.col("copies") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
-    # digests meet without payloads, and the many copies of a page in several tasks
-    again = join_dealt(told, shared, ["digest"], [F.col("row")]).filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
-    d = rows.join(again.select("row", F.col("first_id").alias("refers_to")).hint("merge"), "row", "left")
+    # digests meet without payloads, and the many copies of a page in several tasks; what a record refers to follows from its id and digest alone
+    again = join_dealt(told, shared, ["digest"], [F.col("page_id")]).filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
+    refers = again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first_id").alias("refers_to")).distinct()
+    d = rows.join(refers.hint("merge"), (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
 
     def write(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -80,10 +82,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
         name, count, size, out = f"{root}/part-{task.partitionId():05d}.warc.gz", 0, 0, None
         tried = f"{root}/.{task.partitionId():05d}-{task.taskAttemptId()}"
         for t in tables:
-            for page, url, html, refers in zip(*(t.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page, url, html, refers, digest in zip(*(t.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "digest")), strict=True):
                 if out is None:
                     out = store.open_output_stream(tried, compression=None)
-                raw = record(page, url, html.encode("utf-8", "surrogatepass"), refers)
+                raw = record(page, url, html.encode("utf-8", "surrogatepass"), refers, digest)
                 out.write(raw)
                 count, size = count + 1, size + len(raw)
         if out is not None:
@@ -91,7 +93,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             store.move(tried, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
-    files = d.select("page_id", "url", "html", "refers_to").mapInArrow(write, "file string, records long, bytes long")
+    files = d.select("page_id", "url", "html", "refers_to", "digest").mapInArrow(write, "file string, records long, bytes long")
     files.write.parquet(f"{path}/manifest")
 
 
