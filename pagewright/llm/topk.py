@@ -13,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.llm.common import matrix
+
 #: Rows of a block of candidates, rows of a block of queries, lists merged at once.
 SHARD_ROWS, QUERY_ROWS, FAN_IN = 8192, 512, 32
 
@@ -36,24 +39,27 @@ def _floor(x: Column) -> Column:
 def _blocks(rows: int):
     """Packs the rows of a task into blocks of at most so many."""
 
-    def pack(ids: list[int], vectors: list[list[float]]) -> pa.RecordBatch:
-        dim = max(map(len, vectors))
-        m = np.zeros((len(vectors), dim))
-        for k, v in enumerate(vectors):
-            m[k, : len(v)] = v
-        return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["rows", "dim", "ids", "matrix"])
+    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, dim = np.concatenate([i for i, _ in held]), max(m.shape[1] for _, m in held)
+        whole = np.concatenate([np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for _, m in held])
+        return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())], ["rows", "dim", "ids", "matrix"])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[list[float]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for t in tables:
-            ids += t.column("id").to_pylist()
-            vectors += t.column("v").to_pylist()
-            while len(ids) >= rows:
-                yield pack(ids[:rows], vectors[:rows])
-                ids, vectors = ids[rows:], vectors[rows:]
-        if ids:
-            yield pack(ids, vectors)
+            ids, v = t.column("id").to_numpy(), t.column("v")
+            m = matrix(v, pc.max(pc.list_value_length(v)).as_py() or 0)
+            at = 0
+            while at < len(ids):
+                to = min(len(ids), at + rows - count)
+                held.append((ids[at:to], m[at:to]))
+                count, at = count + to - at, to
+                if count == rows:
+                    yield pack(held)
+                    held, count = [], 0
+        if count:
+            yield pack(held)
 
     return run
 
@@ -133,7 +139,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
 
 def op7_topk(spark: SparkSession, sf_dir: str, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
-    """The k best of all embeddings for each row whose vec_id is divisible by `every`."""
+    """The k best of all embeddings for each row whose vec_id is divisible by `every`.
+
+    Vectors that are null, or hold null or non-finite components, and null vec_ids take no part; repeated vec_ids, vectors of
+    different lengths, ties and few candidates: see `top_k`. No vectors: no rows.
+
+    Every block of queries is copied to every group of candidate blocks, which an exact search needs: shuffled bytes are
+    those of the queries times the number of shuffle partitions."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(quantised(table, "vec_id", "embedding", scale), F.col("id") % every == 0, k)
 
