@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import WORD, cumulate
+from pagewright.llm.common import WORD, cumulate, cut, hash_digits, join_dealt
 
 #: Knots (time, rate) by weight: light sources early, heavy ones late.
 SCHEDULES: dict[int, tuple[tuple[float, float], ...]] = {1: ((0.0, 1.6), (0.5, 1.0), (1.0, 0.4)), 2: ((0.0, 1.0), (1.0, 1.0)), 3: ((0.0, 0.4), (0.5, 1.0), (1.0, 1.6))}
@@ -38,6 +38,10 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return d.select("source", "source_size", "weight", F.when(open_, F.col("weight") * F.col("_stop._level")).otherwise(F.col("_most")).cast("double").alias("target"))
 
 
+#: Sources whose targets are sent to all tasks.
+MOST_SOURCES = 100_000
+
+
 def inverse_demand(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
     """The time at which a piecewise linear rate has met the given share (0 to 1) of its integral."""
     area = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:], strict=False)]
@@ -64,8 +68,10 @@ def mix(docs: DataFrame, cap: int = 3, whole: bool = False) -> DataFrame:
     d = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_k": name, "_x": F.xxhash64("text"), "_m": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))})
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, cap).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_k"), "source_size", "weight", "target")
-    d = cumulate(d, ["_k"], F.substring("_m", 1, 2), [F.col("_m"), F.col("doc_id"), F.col("size"), F.col("_x")], "_c", F.col("size"))
-    d = d.join(plan, "_k")
+    d = cumulate(d, ["_k"], F.substring("_m", 1, hash_digits(docs.sparkSession)), [F.col("_m"), F.col("doc_id"), F.col("size"), F.col("_x")], "_c", F.col("size"))
+    plan = cut(plan, "targets")
+    # a row a source: sent to all tasks up to a bound, beyond it the rows of large sources are dealt out
+    d = d.join(F.broadcast(plan), "_k") if plan.count() <= MOST_SOURCES else join_dealt(d, plan, ["_k"], [F.col("_m")])
     goal = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     over = goal - passes * F.col("source_size") - F.col("_c")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cumulate
+from pagewright.llm.common import cumulate, hash_digits
 
 Segment = dict[str, dict[str, dict[int, float]]]
 
@@ -205,8 +205,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     dealt = assign(assign(docs, key, counted(shards), "shard"), key, counted(shards + 1), "grown_shard")
     mark = F.md5(key.cast("binary"))
-    digits = 2 + (int(spark.conf.get("spark.sql.shuffle.partitions")) > 256)  # a shard's rows are cut finer where there are more tasks
-    numbered = cumulate(dealt.withColumn("_m", mark), ["shard"], F.substring("_m", 1, digits), [F.col("_m"), F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot")
+    numbered = cumulate(dealt.withColumn("_m", mark), ["shard"], F.substring("_m", 1, hash_digits(spark)), [F.col("_m"), F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot")
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
