@@ -432,5 +432,8 @@ def _links(percent: int):
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: 3-word shingles, Jaccard 0.9 or more."""
+    """All documents: 3-word shingles, Jaccard 0.9 or more.
+
+    Null and empty texts and texts without words have no shingles and are linked with nothing; shorter texts than 3 words are
+    one shingle. A null or repeated doc_id, repeated rows, very long texts: see `ngram_join`. No documents: no rows."""
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)

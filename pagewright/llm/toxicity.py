@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import cut
 
-#: Training rows of each label, features kept.
+#: Training rows of each label, and the size of the model: of the features that tell labels apart by LEAST_ERRORS the ones
+#: that tell most are kept. A sample of this size has far fewer (a test fits a model of twice the size and gets the same scores).
 MOST_ROWS, FEATURES = 2_000, 4_096
 #: Different features that a task counts before it passes the counts on.
 COUNTED = 200_000
