@@ -363,9 +363,18 @@ def with_additions(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
     return d.select("doc_id", "k", "page", F.when(F.col("page").isNull(), F.col("piece")).otherwise(whole).alias("piece"))
 
 
+#: Characters of a book beyond which it isn't made one string.
+MOST_CHARS = 1 << 29
+
+
 def book_texts(pieces: DataFrame) -> DataFrame:
-    """doc_id, text: pieces put together. A book is one string then, 2 GB at most; larger ones are kept as pieces, in order of k."""
-    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    """doc_id, text: pieces put together, in order of k. A book of more than MOST_CHARS characters is an error: it stays in pieces."""
+    size = F.sum(F.char_length("piece").cast("long"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
+    sizes = pieces.groupBy("doc_id").agg(size.alias("_n"))
+    large = F.raise_error(F.concat(F.lit("a book is too large to be one text: "), F.col("doc_id").cast("string"))).cast("boolean")
+    fitting = sizes.filter(F.when(F.col("_n") > MOST_CHARS, large).otherwise(F.lit(True))).select("doc_id")
+    return pieces.join(fitting, "doc_id").groupBy("doc_id").agg(joined.alias("text"))
 
 
 def notes_as_blocks(notes: DataFrame) -> DataFrame:

@@ -52,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out where it has fewer splits than there are cores, as a table of one small file has; larger tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The SQL over Parquet tables of a folder; `tables` are those it names."""
     return spark.sql(_named(sql, tables), **{t: table(spark, sf_dir, t) for t in tables})

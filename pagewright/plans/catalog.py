@@ -104,7 +104,7 @@ n AS (SELECT doc_id, display::BIGINT AS display, (length(bare) - length(replace(
  len(regexp_extract_all(text, '\\\('))::BIGINT AS paren_open, len(regexp_extract_all(text, '\\\)'))::BIGINT AS paren_close, len(regexp_extract_all(text, '\\\['))::BIGINT AS bracket_open, len(regexp_extract_all(text, '\\\]'))::BIGINT AS bracket_close FROM c)
 SELECT *, ((display % 2)::BIGINT + (inline % 2)::BIGINT + (paren_open <> paren_close)::BIGINT + (bracket_open <> bracket_close)::BIGINT)::BIGINT AS errors FROM n""")
 def delimiter_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = M.delimiter_counts(B.table(spark, sf_dir, "documents"))
+    counts = M.delimiter_counts(B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text")))
     errors = M.delimiter_errors(counts).groupBy("doc_id").agg(F.count("*").alias("errors"))
     return counts.join(errors, "doc_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
 
@@ -200,7 +200,7 @@ def garbage_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, k = B.table(spark, sf_dir, "documents"), F.col("doc_id") % 9
+    docs, k = B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id") % 9
     # chr() of Spark stops at one byte
     tail = F.when(k == 0, "\ufffd").when(k == 1, "\ue000").when(k == 2, "Ж א").when(k == 3, "Ж" + " " * 30 + "א").otherwise("")
     return docs.select("doc_id", F.concat("text", tail).alias("text"))
@@ -238,15 +238,24 @@ noise AS (SELECT doc_id, line, count(*) AS times FROM (SELECT * FROM lines WHERE
   WHERE length(line) <= 60 GROUP BY doc_id, line, pages HAVING count(*) >= greatest(4, round_even(pages * 0.035, 0)))"""
 
 
-def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = L.text_lines(B.run(spark, sf_dir, B.LAYOUT_PAGES, "documents"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.text_lines(B.spread(B.run(spark, sf_dir, B.LAYOUT_PAGES, "documents")))
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with their lines, and the noise at the ends of each book's pages."""
+    pages = L.page_lines(B.spread(B.run(spark, sf_dir, B.LAYOUT_PAGES, "documents")))
     counts = B.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("pages"))
-    return lines, L.noise_lines(lines, counts)
+    return pages, L.edge_noise(pages, counts)
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.cleaned_pages(*_noise(spark, sf_dir))
 
 
 @query(f"WITH {_LINES} SELECT * FROM noise")
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layout(spark, sf_dir)[1]
+    return _noise(spark, sf_dir)[1]
 
 
 _CLEAN = rf"""{_LINES}, cl AS (SELECT doc_id, page, ord, line FROM lines l WHERE NOT regexp_full_match(line, '[_—\-]{{5,}}') AND NOT (regexp_full_match(line, '\d{{1,3}}') AND (ord < 3 OR ord > last - 3))
@@ -255,8 +264,7 @@ AND NOT ((ord < 5 OR ord > last - 5) AND EXISTS (SELECT 1 FROM noise n WHERE n.d
 
 @query(f"WITH {_CLEAN} SELECT * FROM cl")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, noise = _layout(spark, sf_dir)
-    return L.clean_lines(lines, noise).select("doc_id", "page", "ord", "line")
+    return _cleaned(spark, sf_dir).select("doc_id", "page", F.inline("lines")).select("doc_id", "page", "ord", "line")
 
 
 @query(rf"""WITH {_LINES} SELECT doc_id, page, ord, CASE WHEN length(line) <= 110 AND ((regexp_matches(line, '^(?:\d{{1,2}}(?:[.．]\d{{1,2}})?|\d{{1,2}})[.．、]\s*.{{1,100}}$') AND NOT right(line, 1) IN ('.', ';', '。', '！', '？', '；')) OR (length(line) <= 42 AND right(line, 1) = '—')) THEN 'heading'
@@ -264,26 +272,24 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
  length(line) <= 140 AND regexp_matches(line, '[＝=∝≤≥√∑∫→⊥∥×·^_αβγδεζηθλμπρωΔΩ]') AND regexp_matches(line, '=|＝|√|∑|∫|∝|≤|≥|→|⊥|∥|\d\s*[×x]\s*10') AS formula,
  right(line, 1) IN ('。', '！', '？', '；', '.', '!', '?', ';') AS ends FROM lines""")
 def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.line_classes(_layout(spark, sf_dir)[0]).select("doc_id", "page", "ord", "class", "formula", "ends")
+    return L.line_classes(_lines(spark, sf_dir)).select("doc_id", "page", "ord", "class", "formula", "ends")
 
 
 @query(f"WITH {_CLEAN}, {O.PARAGRAPHS} SELECT * FROM parts")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, noise = _layout(spark, sf_dir)
-    return L.paragraphs(L.clean_lines(lines, noise))
+    return L.page_parts(_cleaned(spark, sf_dir)).select("doc_id", "page", F.inline("parts"))
 
 
 @query(f"WITH {_CLEAN}, {O.PARAGRAPHS} SELECT * FROM md")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, noise = _layout(spark, sf_dir)
-    return L.page_markdown(L.paragraphs(L.clean_lines(lines, noise)))
+    found = L.page_parts(_cleaned(spark, sf_dir)).filter(F.size("parts") > 0)
+    return L.parts_markdown(found)
 
 
 @query(f"""WITH {_LINES}, l2 AS (SELECT doc_id, page, ord, CASE WHEN ord = 0 THEN concat((page % 90)::VARCHAR, '. ', left(line, 20), '—') ELSE line END AS line FROM lines)
 SELECT doc_id, page, ord, last_value(CASE WHEN {O.HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, ord ROWS UNBOUNDED PRECEDING) AS section FROM l2""")
 def current_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, _ = _layout(spark, sf_dir)
-    numbered = lines.withColumn("line", F.when(F.col("ord") == 0, F.concat((F.col("page") % 90).cast("string"), F.lit(". "), F.left("line", F.lit(20)), F.lit("—"))).otherwise(F.col("line")))
+    numbered = _lines(spark, sf_dir).withColumn("line", F.when(F.col("ord") == 0, F.concat((F.col("page") % 90).cast("string"), F.lit(". "), F.left("line", F.lit(20)), F.lit("—"))).otherwise(F.col("line")))
     return L.current_sections(numbered).select("doc_id", "page", "ord", "section")
 
 
@@ -453,16 +459,15 @@ def merge_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.trace(m, extra).select("doc_id", "page", "ord", "decision", "inspected", F.size("errors").alias("n_errors"))
 
 
-@query(f"""WITH {_CLEAN}, {O.PARAGRAPHS}, w AS (SELECT doc_id, count(*) AS notes, string_agg(concat(regexp_replace(markdown, '\\s+$', ''), chr(10), chr(10), '> [Transcription note: checked page ', page, ']', chr(10), chr(10)), '' ORDER BY page) AS text FROM md GROUP BY doc_id)
-SELECT doc_id, length(text)::BIGINT AS n_chars, notes, md5(text) AS digest FROM w""")
+@query(f"""WITH {_CLEAN}, {O.PARAGRAPHS}, w AS (SELECT doc_id, page, concat(regexp_replace(markdown, '\\s+$', ''), chr(10), chr(10), '> [Transcription note: checked page ', page, ']', chr(10), chr(10)) AS text FROM md)
+SELECT doc_id, page, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM w""")
 def merged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layout pages as Markdown with a note at the end of every page."""
-    lines, noise = _layout(spark, sf_dir)
-    docs = L.book_markdown(L.page_markdown(L.paragraphs(L.clean_lines(lines, noise))))
-    pieces = ME.text_pieces(docs)
-    notes = pieces.filter("page IS NOT NULL").select("doc_id", "page", F.format_string("checked page %d", "page").alias("note"))
-    out = ME.book_texts(ME.with_additions(pieces, ME.notes_as_blocks(notes)))
-    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.regexp_count("text", F.lit(r"> \[Transcription note: checked page")).cast("long").alias("notes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    """The layout pages as Markdown with a note at the end of every page; a row a page, since a book may be larger than a row can be."""
+    pages = L.parts_markdown(L.page_parts(_cleaned(spark, sf_dir)).filter(F.size("parts") > 0))
+    pieces = pages.select("doc_id", F.col("page").alias("k"), "page", F.col("markdown").alias("piece"))
+    notes = pieces.select("doc_id", "page", F.format_string("checked page %d", "page").alias("note"))
+    out = ME.with_additions(pieces, ME.notes_as_blocks(notes))
+    return out.select("doc_id", "page", F.char_length("piece").cast("long").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {_REFS}, {_MARKERS.replace(_BOOKS + ',', '', 1)}, {_DISPLAY}, {_HEADS}, {O.ARTIFACTS}, {O.BRACES}, {O.facts('password', True, True, True)} SELECT * FROM reports")
@@ -481,13 +486,13 @@ _DOCS = f"""{_REFS}, {_MARKERS.replace(_BOOKS + ',', '', 1)}, {_DISPLAY}, {_HEAD
 
 @query(f"WITH {_DOCS} SELECT * FROM reports")
 def doc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return R.report(R.Inputs(docs)).drop("checks")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, status, errors, warnings, CASE WHEN status = 'PASS' THEN 0 ELSE 1 END::INTEGER AS exit_code FROM reports")
 def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.report(R.Inputs(B.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    r = R.report(R.Inputs(B.spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return r.select("doc_id", "status", "errors", "warnings", R.exit_code(True).alias("exit_code"))
 
 
