@@ -268,6 +268,18 @@ def executable_errors(m: DataFrame, assets: DataFrame) -> DataFrame:
     return m.withColumn("errors", F.when(F.col("given").isNull(), none).otherwise(errors)).drop("_source_asset", "_context_asset", "_has_source_asset", "_has_context_asset")
 
 
+def accepted(checked: DataFrame) -> DataFrame:
+    """Decisions that broke no rule, as they are written into a state: doc_id, page, ord, disposition, the candidate's own text as
+    candidate, source and source_text, provenance, and the reason, which falls back to unresolved_reason where one is asked for."""
+    d = checked.filter(F.col("given").isNotNull() & (F.size("errors") == 0))
+    said = lambda f: text_of(get("d", f))
+    reason = F.when(get("d", "reason").isNotNull(), said("reason")).when(F.col("disposition").isin("not_formula", "removed"), said("unresolved_reason"))
+    own = {n: F.col("r_candidate") for n in ("candidate", "source", "source_text")}
+    kept = {n: text_of(F.col(f"f_{n}")) for n in ("candidate_id", "source_asset", "context_asset", "context_type")}
+    numbers = F.transform(items(F.col("f_source_candidates")), lambda x: int_of(x).cast("int"))
+    return d.select("doc_id", "page", "ord", "disposition", *[c.alias(n) for n, c in own.items()], F.col("page").alias("pdf_page"), int_of(F.col("f_candidate_index")).cast("int").alias("candidate_index"), *[c.alias(n) for n, c in kept.items()], numbers.alias("source_candidates"), said("latex").alias("latex"), reason.alias("reason"), said("unresolved_reason").alias("unresolved_reason"))
+
+
 def unused(supplied: DataFrame, matches: DataFrame, queued: DataFrame) -> DataFrame:
     """Decisions that no record took: doc_id, page, ord, decision ("unexpected candidate" on queued(doc_id, page), "unexpected page" elsewhere)."""
     key = ["doc_id", "page"]

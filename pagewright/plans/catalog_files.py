@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators import assets as A
 from pagewright.operators import layout as L
 from pagewright.operators import merge as ME
+from pagewright.operators import scans as S
 from pagewright.operators import state as ST
 from pagewright.plans import books as B
+from pagewright.plans import catalog as C
 from pagewright.plans import oracles as O
 from pagewright.plans.registry import query
+from pagewright.streaming import books as SB
 
 #: A file of decisions for every order: all shapes that are read, and all that aren't. Both engines make the same texts.
 DECISIONS = """
@@ -111,3 +115,98 @@ def selection_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = L.formula_regions(B.run(spark, sf_dir, B.REGIONS, "lineitem"), B.run(spark, sf_dir, B.SIZES, "lineitem")).select("doc_id", "page", "candidate_index", "text")
     entries = spark.sql(ENTRIES.replace("FROM c", "FROM {c}"), c=c).withColumn("error", F.lit(None).cast("string"))
     return ME.select_candidates(c, entries)
+
+
+@query(f"""WITH RECURSIVE {O.FORMULAS}, c AS (SELECT doc_id, page, candidate_index, text FROM cand), en AS ({ENTRIES}),
+e AS (SELECT en.doc_id, en.page, en.candidate_index FROM en JOIN c USING (doc_id, page, candidate_index) WHERE en.candidate_index IS NOT NULL AND (en.candidate IS NULL OR en.candidate = c.text) AND en.ord < 200)
+SELECT doc_id, page, candidate_index, text FROM c WHERE EXISTS (SELECT 1 FROM e WHERE e.doc_id = c.doc_id AND e.page = c.page AND e.candidate_index = c.candidate_index)""")
+def selected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that a selection by index leaves, in the order of their pages."""
+    c = L.formula_regions(B.run(spark, sf_dir, B.REGIONS, "lineitem"), B.run(spark, sf_dir, B.SIZES, "lineitem")).select("doc_id", "page", "candidate_index", "text")
+    entries = spark.sql(ENTRIES.replace("FROM c", "FROM {c}"), c=c).filter("candidate_index IS NOT NULL AND ord < 200").withColumn("error", F.lit(None).cast("string"))
+    return ME.selected_regions(c, ME.select_candidates(c, entries))
+
+
+_BARE = "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS INT) AS ord, concat('c ', CAST(k AS STRING)) AS candidate FROM (SELECT l_suppkey AS doc_id, CAST(l_partkey % 30 + 1 AS INT) AS page, l_orderkey * 10 + l_linenumber AS k FROM lineitem WHERE l_orderkey % 5 = 0) t"
+_KEPT = "SELECT doc_id, page, 1 AS n FROM (SELECT DISTINCT l_suppkey AS doc_id, CAST(l_partkey % 30 + 1 AS INT) AS page FROM lineitem WHERE l_orderkey % 7 = 0) t"
+
+
+@query(f"""WITH b AS ({_BARE}), k AS ({_KEPT}) SELECT doc_id, page, ord, (ord + 1)::INTEGER AS candidate_index, printf('pdf-page-%03d-formula-%02d', page, ord + 1) AS candidate_id, candidate, printf('assets/pdf_page_%03d_formula_%02d.png', page, ord + 1) AS source_asset, NULL AS context_asset, 'line' AS context_type, (ord + 1)::VARCHAR AS source_candidates
+FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = b.doc_id AND k.page = b.page) UNION ALL SELECT doc_id, page, 0, 1, 'own', 'kept', NULL, 'c.png', 'region', '1,2' FROM k""")
+def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of pages that have some, and those made from bare candidates of the pages that have none."""
+    kept = B.run(spark, sf_dir, _KEPT, "lineitem").select(
+        "doc_id", "page", F.lit(0).alias("ord"), F.lit(1).alias("candidate_index"), F.lit("own").alias("candidate_id"), F.lit("kept").alias("candidate"), F.lit(None).cast("string").alias("source_asset"), F.lit("c.png").alias("context_asset"), F.lit("region").alias("context_type"), F.array(F.lit(1), F.lit(2)).alias("source_candidates"),
+    )
+    out = ME.candidate_records(B.run(spark, sf_dir, _BARE, "lineitem"), kept)
+    return out.withColumn("source_candidates", F.array_join(F.transform("source_candidates", lambda x: x.cast("string")), ","))
+
+
+#: Links in the folders of some books: out of it, in a circle, through another folder, to an absolute path.
+LINKS = """
+SELECT DISTINCT conv_id AS doc_id, path, target FROM (
+  SELECT conv_id, 'assets' AS path, '../shared' AS target FROM conversations WHERE conv_id % 6 = 0 UNION ALL SELECT conv_id, 'assets', 'img' FROM conversations WHERE conv_id % 6 = 1 UNION ALL SELECT conv_id, 'img', './assets/../assets' FROM conversations WHERE conv_id % 6 = 1
+  UNION ALL SELECT conv_id, 'assets/p3.png', '../pics/x.png' FROM conversations WHERE conv_id % 6 = 2 UNION ALL SELECT conv_id, 'pics', 'deep/pics' FROM conversations WHERE conv_id % 6 = 2 UNION ALL SELECT conv_id, 'assets/p4.png', '/etc/p4.png' FROM conversations WHERE conv_id % 6 = 2
+  UNION ALL SELECT conv_id, 'assets', 'media/now' FROM conversations WHERE conv_id % 6 = 3 UNION ALL SELECT conv_id, 'media/now', '../old' FROM conversations WHERE conv_id % 6 = 3 UNION ALL SELECT conv_id, 'old/p5.png', '../../p5.png' FROM conversations WHERE conv_id % 6 = 3) t
+"""
+
+
+@query(f"""WITH RECURSIVE {C._REFS}, ln AS ({LINKS}), way AS (SELECT doc_id, seq, ref, []::VARCHAR[] AS done, string_split(ref, '/') AS rest, 'inside' AS fate, 0 AS n FROM refs
+ UNION ALL SELECT w.doc_id, w.seq, w.ref, CASE WHEN w.rest[1] IN ('', '.') THEN w.done WHEN w.rest[1] = '..' THEN w.done[1:len(w.done) - 1] WHEN l.target IS NOT NULL THEN w.done ELSE list_append(w.done, w.rest[1]) END,
+  CASE WHEN l.target IS NOT NULL THEN list_concat(string_split(l.target, '/'), w.rest[2:]) ELSE w.rest[2:] END, CASE WHEN (w.rest[1] = '..' AND len(w.done) = 0) OR l.target LIKE '/%' THEN 'outside' ELSE 'inside' END, w.n + 1
+ FROM way w LEFT JOIN ln l ON l.doc_id = w.doc_id AND NOT w.rest[1] IN ('', '.', '..') AND l.path = array_to_string(list_append(w.done, w.rest[1]), '/') WHERE len(w.rest) > 0 AND w.fate = 'inside' AND w.n < 200),
+ends AS (SELECT doc_id, seq, any_value(ref) AS ref, arg_max(fate, n) AS fate, arg_max(done, n) AS done, arg_max(rest, n) AS rest FROM way GROUP BY doc_id, seq)
+SELECT doc_id, seq, ref, CASE WHEN fate = 'inside' AND len(rest) = 0 THEN array_to_string(done, '/') END AS target, CASE WHEN fate = 'inside' AND len(rest) > 0 THEN 'loop' ELSE fate END AS fate FROM ends""")
+def linked_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every image reference of every book leads when the links of its folder are followed."""
+    refs = S.image_refs(B.books(spark, sf_dir)).select("doc_id", "seq", "ref")
+    return A.through_links(refs, B.run(spark, sf_dir, LINKS, "conversations"))
+
+
+#: What lies in a book's folder: crops of an earlier run, crops that are still used, and files of others.
+FOLDER = """
+SELECT DISTINCT doc_id, path FROM (
+  SELECT l_suppkey AS doc_id, concat('assets/pdf_page_0', CAST(l_partkey % 40 + 1 AS STRING), '_formula_0', CAST(l_linenumber AS STRING), '.png') AS path FROM lineitem
+  UNION ALL SELECT l_suppkey, concat('assets/pdf_page_', CAST(l_partkey % 9 AS STRING), '_visual_', CAST(l_linenumber AS STRING), CASE WHEN l_partkey % 2 = 0 THEN '.png' ELSE '.PNG' END) FROM lineitem
+  UNION ALL SELECT l_suppkey, concat('assets/old/pdf_page_1_visual_', CAST(l_linenumber AS STRING), '.png') FROM lineitem UNION ALL SELECT l_suppkey, concat('assets/photo', CAST(l_linenumber AS STRING), '.png') FROM lineitem) t
+"""
+_USED = "SELECT DISTINCT l_suppkey AS doc_id, concat('assets/pdf_page_0', CAST(l_partkey % 40 + 1 AS STRING), '_formula_0', CAST(l_linenumber AS STRING), '.png') AS path FROM lineitem WHERE l_quantity > 25"
+
+
+@query(f"WITH f AS ({FOLDER}), u AS ({_USED}) SELECT doc_id, path FROM f WHERE (path LIKE 'assets/pdf\\_page\\_%\\_visual\\_%.png' ESCAPE '\\' OR path LIKE 'assets/pdf\\_page\\_%\\_formula\\_%.png' ESCAPE '\\') AND NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = f.doc_id AND u.path = f.path)")
+def stale_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crops of earlier runs that go when books begin anew."""
+    return L.stale_crops(B.run(spark, sf_dir, FOLDER, "lineitem"), B.run(spark, sf_dir, _USED, "lineitem"))
+
+
+#: A trace of status changes for every order.
+STEPS = "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS step, CASE WHEN l_linenumber = 1 AND l_partkey % 5 > 0 THEN 'in_progress' WHEN l_partkey % 7 < 2 THEN 'in_progress' WHEN l_partkey % 7 = 2 THEN 'needs_review' WHEN l_partkey % 7 = 3 THEN 'visual_review' WHEN l_partkey % 7 = 4 THEN 'completed' WHEN l_partkey % 7 = 5 THEN 'completed_with_review_items' END AS status FROM lineitem"
+
+
+@query(f"""WITH t AS ({STEPS}), l AS (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY step)),
+b AS (SELECT *, CASE WHEN n = 1 THEN status = 'in_progress' WHEN status = 'in_progress' THEN true WHEN status IS NULL OR before IS NULL THEN false WHEN before = 'in_progress' THEN status IN ('needs_review', 'visual_review', 'completed') WHEN before = 'needs_review' THEN status IN ('needs_review', 'visual_review')
+ WHEN before = 'visual_review' THEN status IN ('visual_review', 'completed', 'completed_with_review_items') WHEN before = 'completed' THEN status = 'completed' ELSE status IN ('completed_with_review_items', 'visual_review', 'completed') END AS fine FROM l)
+SELECT doc_id, arg_min(step, step) AS step, (arg_min(struct_pack(b := before), step)).b AS before, (arg_min(struct_pack(s := status), step)).s AS status FROM b WHERE NOT coalesce(fine, false) GROUP BY doc_id""")
+def illegal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first change of status of every order's trace that may not be."""
+    return SB.illegal_steps(B.run(spark, sf_dir, STEPS, "lineitem"))
+
+
+@query(f"""WITH m AS ({C._MADE}) SELECT doc_id, page, ord, CASE WHEN kind < 2 THEN 'latex_confirmed' WHEN kind = 3 THEN 'crop_only' WHEN kind = 4 THEN 'not_formula' ELSE 'removed' END AS disposition, concat('x_', ord) AS candidate, concat('x_', ord) AS source, concat('x_', ord) AS source_text, page AS pdf_page, ord AS candidate_index,
+ printf('pdf-page-%03d-formula-%02d', page, ord) AS candidate_id, concat('assets/p', ord, '.png') AS source_asset, concat('assets/c', ord, '.png') AS context_asset, 'line' AS context_type, ord::VARCHAR AS source_candidates, CASE WHEN kind < 2 THEN 'x^2' END AS latex, CASE WHEN kind IN (4, 6) THEN 'a label' END AS reason, CASE WHEN kind = 3 THEN 'smudged' END AS unresolved_reason
+FROM m WHERE kind IN (0, 1, 3, 4, 6)""")
+def accepted_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions that broke no rule, as states keep them."""
+    out = ME.accepted(C._merged(spark, sf_dir)[0])
+    return out.withColumn("source_candidates", F.array_join(F.transform("source_candidates", lambda x: x.cast("string")), ","))
+
+
+@query(r"""WITH n AS (SELECT doc_id::INTEGER AS page, source AS doc_id, doc_id % 3 AS k FROM documents) SELECT doc_id, page, concat('<!-- PDF page ', page, ' -->', chr(10), chr(10), '### 1. Title', CASE WHEN k > 0 THEN concat(chr(10), chr(10), '> [Transcription note: look]') ELSE '' END,
+ CASE WHEN k = 1 THEN concat(chr(10), chr(10), '![PDF page ', page, ' formula visual evidence](assets/a_formula_1.png)', chr(10), chr(10), '![PDF page ', page, ' necessary visual evidence](assets/b.png)') ELSE '' END, chr(10), chr(10)) AS markdown FROM n""")
+def page_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of Markdown for every document with its notes and visual files."""
+    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), (F.col("doc_id") % 3).alias("k"))
+    part = F.array(F.struct(F.lit(1).cast("long").alias("part"), F.lit("heading").alias("kind"), F.lit("1. Title").alias("body")))
+    none = F.array().cast("array<string>")
+    d = d.withColumns({"parts": part, "notes": F.when(F.col("k") > 0, F.array(F.lit("look"))).otherwise(none), "visuals": F.when(F.col("k") == 1, F.array(F.lit("assets/a_formula_1.png"), F.lit("assets/b.png"))).otherwise(none)})
+    return L.parts_markdown(d, F.col("notes"), F.col("visuals"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,29 @@ def page_list(spec, total):
     return F.when(F.forall(pages, lambda p: p.isNotNull() & p.between(1, total)), pages)
 
 
+def delete(plan: DataFrame, root: str) -> DataFrame:
+    """Deletes the files root/doc_id/path of plan(doc_id, path); doc_id, path, error: what happened to each, null if it is gone.
+
+    Tasks delete through pyarrow's filesystem of root, which all executors must see. What isn't there is gone already; a file
+    that may not be deleted stays, and the others go on. Nothing happens before an action on the result."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for t in batches:
+            said = []
+            for doc, path in zip(t.column("doc_id").to_pylist(), t.column("path").to_pylist(), strict=True):
+                try:
+                    store.delete_file(f"{base.rstrip('/')}/{doc}/{path}")
+                    said.append(None)
+                except FileNotFoundError:
+                    said.append(None)
+                except OSError as e:
+                    said.append(str(e))
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("path"), pa.array(said, pa.string())], ["doc_id", "path", "error"])
+
+    kind = plan.schema["doc_id"].dataType.simpleString()
+    return plan.select("doc_id", "path").mapInArrow(run, f"doc_id {kind}, path string, error string")
+
+
 def write_reports(json_rows: DataFrame, path: str) -> None:
     """A JSON line a document."""
     json_rows.select("json").write.mode("overwrite").text(path)
