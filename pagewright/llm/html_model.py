@@ -189,14 +189,31 @@ def label(model: Model, reader: Reader, pages: list[list[Block]], most: int = 20
 #: What the made-up pages call their parts.
 MAIN = ("article", "main", "div.content", "div.post", "div.entry-content", "div.article-body", "div.story", "section.post-body", "div#content", "div#main", "div.post-entry", "div.body-text", "div.main-content", "div.page-content", "section.article", "div.text")
 OTHER = ("nav", "header", "footer", "aside", "div.ad", "div.ads", "div.advert", "div.banner", "div.promo", "div.sponsored", "div.cookie-notice", "div.notice", "div.consent", "div.sidebar", "div.widget", "ul.menu", "div.navbar", "div.breadcrumb", "div.share", "div.social", "div.related", "div.newsletter", "div.subscribe", "section.comments", "div#comments", "div.comment", "div.login", "form", "div#footer", "div#header", "div#sidebar", "div.popup", "div.alert", "aside.advert", "div.advertisement", "section#comments", "ol.comment-list", "div.respond", "div.replies", "div.topbar", "div.cookie-banner", "div.right-col", "div.teaser", "div.tags")
-LICENCES = ("Licensed under the Apache License, Version 2.0.", "This work is licensed under CC BY 4.0.", "Contact me at someone@example.org or 555-0100.")
+LICENCES = ("Licensed under the Apache License, Version 2.0.", "This work is licensed under CC BY 4.0.", "Write to the editors if you find a mistake.")
 SAYINGS = ("We use cookies to improve your experience.", "Accept all cookies", "Sign up for our newsletter", "Subscribe now", "Advertisement", "Sponsored content", "Share this", "Related articles", "All rights reserved.", "Privacy policy", "Log in", "Leave a comment", "Reply", "Read more", "Home", "Contact", "About", "Search", "© 2024 example")
 
 
+#: Headings and lines of promotion that stands among main text without a telling name.
+PROMOTIONS = ("Newsletter", "Related articles", "You may also like", "Share this article", "Subscribe", "More from us", "Advertisement", "Comments", "Leave a reply", "Follow us", "Most read", "Tags", "Recommended for you")
+LINES = ("Get our best stories in your inbox every week.", "Enter your email address to sign up.", "Join thousands of readers and never miss an update.", "Follow us on social media for more.", "Buy now and save with this offer.", "Great post, thanks for sharing!", "You need to log in to reply.", "Click here to learn more.")
+#: Common words, so that these don't tell anything by themselves.
+COMMON = (
+    "the of and to in is it that was for on are with as they be at one have this from or had by but some what there we can out other were all your when up use how said an each which do their time if will way about "
+    "many then them would like so these her long make see him two has look more day could go come did my no most who over know water than call first people may down side been now find our you his new work part take place made live where after back little only year came show every good give under name very through just form great think say help low line before turn cause same mean differ move right old too does tell set three want air well also play small end put home read hand port large"
+).split()
+#: Junk and separators.
+SIGNS = ("~~", "==", "++", "^^", "//", "::", "--", "|")
+
+
 def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
-    """A page and, for each of its blocks, whether it is main text."""
+    """A page and, for each of its blocks, whether it is main text.
+
+    Main text stands in a telling wrapper or in ones without name, as paragraphs, bare divisions, spans in divisions, or one run of
+    lines; sections of its own stand among it, and promotion that nothing but its words gives away."""
     syllables = ["".join(rng.choice(list("abcdefghijklmnoprstuvwyzäéñöüß"), 2 + int(rng.integers(2)))) for _ in range(30)]
-    word = lambda: "".join(rng.choice(syllables, 1 + int(rng.integers(4))))
+    natural = rng.random() < 0.35
+    coined = lambda: "".join(rng.choice(syllables, 1 + int(rng.integers(4))))
+    word = lambda: COMMON[int(rng.integers(len(COMMON)))] if natural and rng.random() < 0.8 else coined()
 
     def sentence(n: int) -> str:
         w = [word() for _ in range(max(1, n))]
@@ -204,17 +221,22 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
         return (" | " if rng.random() < 0.1 else " ").join(w) + "."
 
     junk = rng.random() < 0.12
-    paragraph = "div" if rng.random() < 0.15 else "p"
-    marks_of_junk = ("###", "$$$", "%%%", "&&&", "***", "|")
+    refrain = sentence(int(rng.integers(1, 4))) if rng.random() < 0.12 else ""  # a short line that comes again and again
+    style = str(rng.choice(["p", "div", "span", "run"], p=[0.74, 0.13, 0.08, 0.05]))
+    paragraph = "div" if style == "div" else "p"
 
-    def prose(sentences: int) -> str:
+    def prose(sentences: int, main: bool = False) -> str:
         r = rng.random()
+        if main and refrain and r < 0.7:
+            return refrain
         if r < 0.06:
             return " ".join([word()] * int(rng.integers(2, 60)))
         if r < 0.1:
             return str(rng.choice(LICENCES))
+        if r < 0.17:
+            return sentence(int(rng.integers(1, 4)))
         if junk:
-            return " ".join(word() + marks_of_junk[int(rng.integers(6))] for _ in range(int(rng.integers(1, 60))))
+            return " ".join(word() + SIGNS[int(rng.integers(len(SIGNS)))] * int(rng.integers(1, 3)) for _ in range(int(rng.integers(1, 60))))
         return rng.choice([" ", "\n", "<br>"], p=[0.8, 0.1, 0.1]).join(sentence(int(rng.integers(1, 15))) for _ in range(sentences))
 
     def box(name: str, inner: str) -> str:
@@ -228,39 +250,68 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[bool]]:
         marks.append(main)
         return f"<{tag}>{text}" + (f"</{tag}>" if closed else "")
 
+    link = lambda x: f'<a href="/{coined()}">{x}</a>'
+
     def other() -> str:
         name, kind = str(rng.choice(OTHER)), rng.integers(4)
-        link = lambda x: f'<a href="/{word()}">{x}</a>'
         if kind == 0 or name in ("nav", "ul.menu"):
             items = "".join(leaf("li", link(word() if rng.random() < 0.7 else rng.choice(SAYINGS)), False) for _ in range(int(rng.integers(2, 8))))
             return box(name, items if name.startswith(("ul", "ol")) else f"<ul>{items}</ul>")
         if kind == 1:
             marks.append(False)
-            return box(name, (rng.choice(SAYINGS) if rng.random() < 0.5 else "&copy; " + word() + ".example &middot; ") + " " + prose(int(rng.integers(1, 3))))
+            return box(name, (rng.choice(SAYINGS) if rng.random() < 0.5 else "&copy; " + coined() + ".org &ndash; ") + " " + prose(int(rng.integers(1, 3))))
         return box(name, "".join(leaf(str(rng.choice(["p", "div", "h3", "h4"])), prose(int(rng.integers(1, 4))) if rng.random() < 0.6 else rng.choice(SAYINGS), False) for _ in range(int(rng.integers(1, 5)))))
 
+    def promotion() -> str:
+        out = leaf(str(rng.choice(["h2", "h3", "h4", "p"])), str(rng.choice(PROMOTIONS)), False)
+        for _ in range(int(rng.integers(1, 4))):
+            if rng.random() < 0.35:
+                out += "<ul>" + "".join(leaf("li", link(sentence(int(rng.integers(2, 8)))), False) for _ in range(int(rng.integers(2, 5)))) + "</ul>"
+            else:
+                out += leaf("p", str(rng.choice(LINES)) + (" " + str(rng.choice(LINES)) if rng.random() < 0.3 else ""), False)
+        return box(str(rng.choice(["section", "div", "section." + coined(), "div." + coined()])), out)
+
+    def text(sentences: int) -> str:
+        if style == "span":
+            return f'<div class="{coined()}">' + leaf("span", prose(sentences, True), True) + "</div>"
+        if style == "run":
+            return leaf("div", "<br><br>".join(prose(sentences, True) for _ in range(int(rng.integers(2, 5)))), True)
+        return leaf(paragraph, ("<b>" if rng.random() < 0.2 else "") + prose(sentences, True) + ("<br>" if rng.random() < 0.2 else ""), True, paragraph == "div" or rng.random() < 0.8)
+
     head = "".join(other() for _ in range(int(rng.integers(0, 4))))
     inner = leaf("h1", sentence(int(rng.integers(2, 10))), True) if rng.random() < 0.85 else ""
-    for _ in range(int(rng.integers(1, 14))):
+    for _ in range(int(rng.integers(1, 14)) * (3 if refrain and rng.random() < 0.4 else 1)):
         r = rng.random()
-        if r < 0.72:
-            inner += leaf(paragraph, ("<b>" if rng.random() < 0.2 else "") + prose(int(rng.integers(1, 7))) + ("<br>" if rng.random() < 0.2 else ""), True, paragraph == "div" or rng.random() < 0.8)
+        if r < 0.66 or refrain and r < 0.9:
+            inner += text(int(rng.integers(1, 7)))
+        elif r < 0.73:
+            inner += leaf(str(rng.choice(["h2", "h3", "blockquote", "pre", "figcaption", "dd"])), sentence(int(rng.integers(2, 9))), True)
         elif r < 0.79:
-            inner += leaf(str(rng.choice(["h2", "h3", "blockquote", "pre"])), sentence(int(rng.integers(2, 9))), True)
-        elif r < 0.86:
             inner += "<ul>" + "".join(leaf("li", sentence(int(rng.integers(1, 9))), True) for _ in range(int(rng.integers(1, 5)))) + "</ul>"
-        elif r < 0.9:
+        elif r < 0.83:
             inner += "<table><tr>" + "".join(leaf("td", sentence(int(rng.integers(1, 4))), True) for _ in range(int(rng.integers(1, 5)))) + "</tr></table>"
-        elif r < 0.96:
+        elif r < 0.88:
+            inner += "<section>" + leaf("h2", sentence(int(rng.integers(1, 6))), True) + "".join(text(int(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 3)))) + "</section>"
+        elif r < 0.92:
+            inner += promotion()
+        elif r < 0.97:
             inner += other()
-    main = str(rng.choice(MAIN)) if rng.random() < 0.65 else "article"
-    page = head + box(main, inner) + "".join(other() for _ in range(int(rng.integers(0, 5))))
+    r = rng.random()
+    if r < 0.55:
+        body = box(str(rng.choice(MAIN)), inner)
+    elif r < 0.85:
+        body = box("article", inner)
+    else:
+        body = inner
+        for _ in range(int(rng.integers(0, 4))):
+            body = box(str(rng.choice(["div", "div." + coined(), "div#" + coined(), "section"])), body)
+    page = head + body + "".join(other() for _ in range(int(rng.integers(0, 5))))
     if rng.random() < 0.3:
-        page = f"<div class='{word()}'>{page}</div>"
+        page = f"<div class='{coined()}'>{page}</div>"
     return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{page}</body></html>", marks
 
 
-def taught(pages: int = 1600, seed: int = 5) -> Model:
+def taught(pages: int = 3000, seed: int = 5) -> Model:
     """Trains the model on so many made-up pages."""
     rng, reader = np.random.default_rng(seed), Reader()
     known = []
