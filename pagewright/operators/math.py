@@ -96,6 +96,7 @@ def brace_findings(spans: DataFrame) -> DataFrame:
 
 
 def without_labels(content: Column) -> Column:
+    """Content without its text labels; null stays null."""
     return F.regexp_replace(content, T.TEXT_LABEL, "")
 
 

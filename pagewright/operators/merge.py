@@ -302,6 +302,7 @@ def visual_disposition(has_assets: Column, confirmed: Column, reasons: Column) -
 
 
 def text_disposition(confirmed: Column, reasons: Column) -> Column:
+    """What becomes of a page's broken text; null where nothing is wrong with it or its reasons are null."""
     return F.when(F.array_contains(reasons, "text-layer-anomaly"), F.when(confirmed, "placeholder_retained").otherwise("visual_review_required"))
 
 
@@ -328,6 +329,7 @@ def document_outcomes(pages: DataFrame) -> DataFrame:
 
 
 def disposition_counts(checked: DataFrame) -> DataFrame:
+    """doc_id and how many of its decisions that broke no rule have each disposition. Books without such decisions have no row."""
     good = checked.filter((F.col("given").isNotNull()) & (F.size("errors") == 0))
     return good.groupBy("doc_id").agg(*[F.count_if(F.col("disposition") == d).alias(d) for d in VISUAL])
 

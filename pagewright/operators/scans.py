@@ -99,6 +99,7 @@ def page_segments(docs: DataFrame) -> DataFrame:
 
 
 def note_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, notes: how many transcription notes each text has. A null text has null, an empty one 0."""
     return docs.select("doc_id", F.regexp_count("text", F.lit(T.NOTE)).cast("long").alias("notes"))
 
 

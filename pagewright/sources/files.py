@@ -68,6 +68,7 @@ def layout_lines(pages: DataFrame) -> DataFrame:
 
 
 def page_counts(lines: DataFrame) -> DataFrame:
+    """doc_id, pages: the greatest page number of each document's lines; null pages don't count. Documents without lines have no row."""
     return lines.groupBy("doc_id").agg(F.max("page").alias("pages"))
 
 
