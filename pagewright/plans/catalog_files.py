@@ -210,3 +210,35 @@ def page_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     d = d.withColumns({"parts": part, "notes": F.when(F.col("k") > 0, F.array(F.lit("look"))).otherwise(none), "visuals": F.when(F.col("k") == 1, F.array(F.lit("assets/a_formula_1.png"), F.lit("assets/b.png"))).otherwise(none)})
     return L.parts_markdown(d, F.col("notes"), F.col("visuals"))
+
+
+#: A decision for every line item, with each of the faults that a rule asks about.
+_FAULTY = """
+SELECT l_orderkey AS doc_id, CAST(l_suppkey % 4 + 1 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 4 ORDER BY l_linenumber, l_partkey) AS INT) AS n, CAST(l_partkey % 23 AS INT) AS k FROM lineitem
+"""
+_DECISION = """
+SELECT doc_id, page, n, k, concat('{"candidate_index":', n, ',"verification":"', CASE WHEN k = 4 THEN 'ocr' ELSE 'visual' END, '","latex":"', CASE WHEN k = 19 THEN ' ' ELSE 'x' END, '"', CASE k WHEN 3 THEN '' WHEN 2 THEN ',"disposition":"odd"' WHEN 17 THEN ',"disposition":"crop_only"'
+  WHEN 18 THEN ',"disposition":"removed","unresolved_reason":" "' WHEN 21 THEN ',"disposition":"conservative_latex"' ELSE ',"disposition":"latex_confirmed"' END,
+  CASE k WHEN 1 THEN ',"candidate":"other"' WHEN 5 THEN ',"source_asset":" "' WHEN 6 THEN ',"source_asset":"/a.png"' WHEN 7 THEN ',"source_asset":"x/../../a.png"' WHEN 8 THEN ',"source_asset":"assets/none.png"' WHEN 9 THEN ',"source_pdf_page":-1' WHEN 10 THEN ',"source_pdf_page":99'
+  WHEN 11 THEN ',"source_pdf_page":99,"source_asset":"assets/none.png"' WHEN 12 THEN ',"context_asset":"gone.png"' WHEN 13 THEN ',"context_type":"page"' WHEN 14 THEN ',"source_candidates":[]' WHEN 15 THEN ',"source_candidates":[1,0]' WHEN 16 THEN ',"candidate_id":""' WHEN 22 THEN ',"source_asset":5' ELSE '' END, '}') AS d FROM f
+"""
+
+
+@query(f"""WITH f AS ({_FAULTY}), e AS (SELECT doc_id, page, n, CASE k WHEN 1 THEN ['decision candidate does not match the selected PDF candidate'] WHEN 2 THEN ['unknown disposition: ''odd'''] WHEN 3 THEN ['unknown disposition: None'] WHEN 4 THEN ['verification must be visual']
+ WHEN 5 THEN ['source_asset must be a non-empty relative path'] WHEN 6 THEN ['source_asset must stay relative to the Markdown directory'] WHEN 7 THEN ['source_asset escapes the Markdown directory'] WHEN 8 THEN ['source_asset does not exist: assets/none.png'] WHEN 9 THEN ['source_pdf_page must be a positive integer']
+ WHEN 10 THEN [concat('source_pdf_page must match candidate page ', page)] WHEN 11 THEN ['source_asset does not exist: assets/none.png', concat('source_pdf_page must match candidate page ', page), 'source_asset or matching source_pdf_page is required'] WHEN 12 THEN ['context_asset does not exist: gone.png']
+ WHEN 13 THEN ['context_type must be line or region'] WHEN 14 THEN ['source_candidates must be a non-empty list'] WHEN 15 THEN ['source_candidates must contain positive integers'] WHEN 16 THEN ['candidate_id must be a non-empty string'] WHEN 17 THEN ['crop_only requires unresolved_reason'] WHEN 18 THEN ['removed requires a concrete reason']
+ WHEN 19 THEN ['latex_confirmed requires non-empty latex'] WHEN 20 THEN ['context_asset is required'] WHEN 21 THEN ['legacy conservative_latex is not an executable decision'] WHEN 22 THEN ['source_asset must be a non-empty relative path'] ELSE [] END AS errors FROM f)
+SELECT doc_id, page, n AS ord, i::INTEGER AS nth, errors[i + 1] AS error FROM (SELECT *, unnest(range(len(errors))) AS i FROM e)""")
+def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules each decision breaks, in order."""
+    made = spark.sql(_DECISION.replace("FROM f", "FROM {f}").replace("'{\"candidate", "'{{\"candidate").replace("'}')", "'}}')"), f=B.run(spark, sf_dir, _FAULTY, "lineitem"))
+    n = F.col("n")
+    records = made.select(
+        "doc_id", "page", n.alias("ord"), n.alias("candidate_index"), F.format_string("pdf-page-%03d-formula-%02d", "page", n).alias("candidate_id"), F.format_string("x_%d", n).alias("candidate"), F.format_string("assets/p%d.png", n).alias("source_asset"),
+        F.when(F.col("k") != 20, F.format_string("assets/c%d.png", n)).alias("context_asset"), F.lit("line").alias("context_type"), F.array(n).alias("source_candidates"),
+    )
+    supplied = made.select("doc_id", "page", n.alias("ord"), F.parse_json("d").alias("d"), F.when(F.col("k") == 1, "other").otherwise("").alias("candidate"))
+    assets = records.select("doc_id", F.explode(F.array_compact(F.array("source_asset", "context_asset"))).alias("path"))
+    checked = ME.executable_errors(ME.merged(records, supplied), assets)
+    return checked.select("doc_id", "page", "ord", F.posexplode("errors").alias("nth", "error"))
