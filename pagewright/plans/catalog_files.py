@@ -242,3 +242,46 @@ def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = records.select("doc_id", F.explode(F.array_compact(F.array("source_asset", "context_asset"))).alias("path"))
     checked = ME.executable_errors(ME.merged(records, supplied), assets)
     return checked.select("doc_id", "page", "ord", F.posexplode("errors").alias("nth", "error"))
+
+
+#: Every line item is a page with some of all that calls for a look.
+_SEEN = """
+SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS page, CAST(l_partkey % 3 AS INT) AS n_candidates, l_suppkey % 2 = 0 AS has_math_cue, CAST(l_partkey % 4 AS INT) AS n_images, l_partkey % 5 = 0 AS has_visual_cue,
+  l_partkey % 7 = 0 AS has_anomaly, CAST(l_suppkey % 3 AS INT) AS n_assets, CAST(l_partkey % 11 AS INT) AS k FROM lineitem
+"""
+_FAILED = {1: ("formula-crop-render-failed",), 2: ("visual-crop-render-failed",), 3: ("formula-context-crop-render-failed",), 4: ("visual-crop-render-failed", "formula-crop-render-failed", "visual-crop-render-failed")}
+
+
+@query(f"""WITH p AS ({_SEEN}), r AS (SELECT doc_id, page, list_sort(list_distinct(list_filter(list_concat([CASE WHEN n_candidates > 0 THEN 'formula-or-mathematical-expression' WHEN has_math_cue THEN 'possible-mathematical-expression' END, CASE WHEN has_visual_cue THEN 'meaningful-visual-cue' END,
+ CASE WHEN n_images > 0 THEN 'embedded-visual-retention' END, CASE WHEN has_anomaly THEN 'text-layer-anomaly' END, CASE WHEN (has_visual_cue OR has_math_cue) AND n_assets = 0 THEN 'visual-evidence-not-cropped' END],
+ CASE k {" ".join(f"WHEN {k} THEN [{', '.join(repr(x) for x in v)}]" for k, v in _FAILED.items())} ELSE [] END), lambda x: x IS NOT NULL))) AS reasons FROM p)
+SELECT doc_id, page, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0""")
+def all_review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why pages need a look, with every reason that there is."""
+    seen = B.run(spark, sf_dir, _SEEN, "lineitem")
+    failed = F.array().cast("array<string>")
+    for k, names in _FAILED.items():
+        failed = F.when(F.col("k") == k, F.array(*map(F.lit, names))).otherwise(failed)
+    return L.review_reasons(seen.withColumn("failed", failed)).select("doc_id", "page", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH g AS ({B.REGIONS}), s AS (SELECT doc_id, page, ord, greatest(x0 - 6, 0.0) AS x0, greatest(y0 - 6, 0.0) AS y0, least(x1 + 6, 480.0) AS x1, least(y1 + 6, 640.0) AS y1 FROM g) SELECT * FROM s WHERE x1 > x0 AND y1 > y0""")
+def crop_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crop of each region would show of its page."""
+    regions = B.run(spark, sf_dir, B.REGIONS, "lineitem").select("doc_id", "page", "ord", "x0", "y0", "x1", "y1")
+    return L.crop_clip(regions, B.run(spark, sf_dir, B.SIZES, "lineitem"))
+
+
+#: Arguments of a renderer as somebody typed them.
+_TYPED = """
+SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 9 AS INT) AS page, CAST(l_partkey % 700 AS INT) AS dpi, concat(CAST(CAST(l_quantity AS INT) AS STRING), ', ', CAST(l_linenumber AS STRING), CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ',x' ELSE concat(', ', CAST(l_suppkey % 60 AS STRING)) END, ' ,', CAST(l_suppkey % 9 AS STRING), CASE WHEN l_partkey % 11 = 0 THEN ',1' ELSE '' END) AS box FROM lineitem
+"""
+
+
+@query(f"""WITH t AS ({_TYPED}), p AS (SELECT *, list_transform(string_split(box, ','), lambda x: try_cast(trim(x) AS DOUBLE)) AS n FROM t)
+SELECT id, page BETWEEN 1 AND 6 AND dpi BETWEEN 36 AND 600 AS renders, CASE WHEN len(n) = 4 AND n[3] > n[1] AND n[4] > n[2] THEN concat_ws(';', n[1], n[2], n[3], n[4]) END AS box FROM p""")
+def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which requests for pages, resolutions and boxes can be carried out."""
+    t = B.run(spark, sf_dir, _TYPED, "lineitem").withColumn("b", L.parse_box(F.col("box")))
+    shown = F.when(F.col("b").isNotNull(), F.concat_ws(";", *[F.col(f"b.{c}").cast("string") for c in ("x0", "y0", "x1", "y1")]))
+    return t.select("id", L.render_arguments(F.col("page"), F.col("dpi"), F.lit(6)).alias("renders"), shown.alias("box"))
