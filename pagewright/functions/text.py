@@ -60,7 +60,8 @@ def casefold(c: Column) -> Column:
     one, to, several = _folds()
     listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
     wide = lambda x: F.when(x.rlike("[" + "".join(a for a, _ in several) + "]"), F.aggregate(listed, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(x)
-    return F.translate(once(c, wide), one, to)
+    # ASCII, which most names are, folds to lower case
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(once(c, wide), one, to)).otherwise(F.lower(c))
 
 
 @lru_cache

@@ -209,9 +209,8 @@ def decisions(states: DataFrame) -> DataFrame:
     """doc_id, page (null if none or no number), ord, d: standalone decisions, then those of the page map (one decision or its list
     `formulas`), pages in the order of their names; ord numbers them."""
     alone = F.transform(items(get("v", "formula_decisions")), lambda d: F.struct(F.lit(None).cast("int").alias("page"), d.alias("d")))
-    entries = F.array_sort(F.transform(F.map_entries(fields(get("v", "visual_review_decisions"))), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
-    of_page = lambda e, p: F.transform(F.when(is_kind(p, "object"), F.when(get(p, "disposition").isNotNull(), F.array(p)).otherwise(items(get(p, "formulas")))).otherwise(F.array().cast("array<variant>")), lambda d: F.struct(page_of(e["key"]).alias("page"), d.alias("d")))
-    paged = F.flatten(F.transform(entries, lambda e: of_page(e, F.try_parse_json(e["value"]))))
+    of_page = lambda k, p: F.transform(F.when(is_kind(p, "object"), F.when(get(p, "disposition").isNotNull(), F.array(p)).otherwise(items(get(p, "formulas")))).otherwise(F.array().cast("array<variant>")), lambda d: F.struct(page_of(k).alias("page"), d.alias("d")))
+    paged = T.once(fields(get("v", "visual_review_decisions")), lambda m: F.flatten(F.transform(F.array_sort(F.map_keys(m)), lambda k: of_page(k, F.try_element_at(m, k)))))
     return states.select("doc_id", F.posexplode(F.concat(alone, paged)).alias("ord", "x")).select("doc_id", "x.page", "ord", "x.d")
 
 
