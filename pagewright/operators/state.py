@@ -205,13 +205,19 @@ def parsed(states: DataFrame) -> DataFrame:
     return d.select("doc_id", F.when(is_kind(F.col("v"), "object"), F.col("v")).alias("v"), is_kind(F.col("v"), "object").alias("readable"))
 
 
+def place(part: int, key: Column, at: Column) -> Column:
+    """Where an entry of a state stands: its part, its page's name there, its number."""
+    return F.struct(F.lit(part).alias("part"), key.alias("key"), at.cast("int").alias("at"))
+
+
 def decisions(states: DataFrame) -> DataFrame:
     """doc_id, page (null if none or no number), ord, d: standalone decisions, then those of the page map (one decision or its list
-    `formulas`), pages in the order of their names; ord numbers them."""
-    alone = F.transform(items(get("v", "formula_decisions")), lambda d: F.struct(F.lit(None).cast("int").alias("page"), d.alias("d")))
-    of_page = lambda k, p: F.transform(F.when(is_kind(p, "object"), F.when(get(p, "disposition").isNotNull(), F.array(p)).otherwise(items(get(p, "formulas")))).otherwise(F.array().cast("array<variant>")), lambda d: F.struct(page_of(k).alias("page"), d.alias("d")))
-    paged = T.once(fields(get("v", "visual_review_decisions")), lambda m: F.flatten(F.transform(F.array_sort(F.map_keys(m)), lambda k: of_page(k, F.try_element_at(m, k)))))
-    return states.select("doc_id", F.posexplode(F.concat(alone, paged)).alias("ord", "x")).select("doc_id", "x.page", "ord", "x.d")
+    `formulas`), pages in the order of their names; ord sorts them."""
+    alone = states.select("doc_id", F.lit(None).cast("int").alias("page"), F.posexplode(items(get("v", "formula_decisions"))).alias("at", "d")).select("doc_id", "page", place(0, F.lit(""), F.col("at")).alias("ord"), "d")
+    paged = states.select("doc_id", F.explode(fields(get("v", "visual_review_decisions"))).alias("k", "p")).filter(is_kind(F.col("p"), "object"))
+    one = F.when(get("p", "disposition").isNotNull(), F.array("p")).otherwise(items(get("p", "formulas")))
+    rows = paged.select("doc_id", page_of(F.col("k")).alias("page"), "k", F.posexplode(one).alias("at", "d"))
+    return alone.unionByName(rows.select("doc_id", "page", place(1, F.col("k"), F.col("at")).alias("ord"), "d"))
 
 
 def rules(conditions: list[tuple[Column, Column | str]]) -> Column:
@@ -325,7 +331,7 @@ def state_report(raw: DataFrame) -> DataFrame:
     good = states.filter("readable")
     entries = decisions(good)
     placed = lambda d, part, ordinal, k: d.select("doc_id", F.struct(F.lit(part).alias("part"), ordinal.alias("ord"), k.alias("k"), F.col("error")).alias("e"))
-    found = placed(decision_errors(entries, good), 0, F.col("ord"), F.col("k")).unionAll(placed(verified_page_errors(entries, good), 1, F.coalesce("page", F.lit(0)), F.lit(0))).unionAll(placed(pending_errors(good), 2, F.col("ord"), F.col("k")))
+    found = placed(decision_errors(entries, good), 0, F.col("ord"), F.col("k")).unionAll(placed(verified_page_errors(entries, good), 1, place(0, F.lit(""), F.coalesce("page", F.lit(0))), F.lit(0))).unionAll(placed(pending_errors(good), 2, place(0, F.lit(""), F.col("ord")), F.col("k")))
     more = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["error"]).alias("_more"))
     counted = entries.groupBy("doc_id").agg(F.count("*").alias("n_decisions"))
     none = F.array().cast("array<string>")
