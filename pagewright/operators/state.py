@@ -111,80 +111,6 @@ def number_of(v: Column) -> Column:
     return T.once(v, read)
 
 
-def items(self) -> Column:
-        return items(self.value)
-
-
-#: How the schema of each kind of value begins.
-_SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
-
-
-def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
-    """d with a column for each field of v."""
-    return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
-
-
-def text_of(v: Column) -> Column:
-    """A string's text; null for anything else."""
-    return F.when(is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
-
-
-def filled(v: Column) -> Column:
-    return F.coalesce(T.strip(text_of(v)) != "", F.lit(False))
-
-
-def int_of(v: Column) -> Column:
-    """An integer's value; null for anything else, booleans too."""
-    return F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint"))
-
-
-def page_of(c: Column) -> Column:
-    """A page number from text, null if it isn't one (or beyond 32 bits)."""
-    return T.integer(c).try_cast("int")
-
-
-def number_of(v: Column) -> Column:
-    """What int() makes of a value: integers, booleans, decimal numbers without their fraction, texts of integers. Null for anything else."""
-    fraction = F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint")).when(is_kind(v, "string"), T.integer(F.try_variant_get(v, "$", "string")))
-        .when(is_kind(v, "bool"), F.try_variant_get(v, "$", "boolean").cast("bigint")).when(fraction, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint"))
-    )
-
-
-def items(self) -> Column:
-        return items(self.value)
-
-
-#: How the schema of each kind of value begins.
-_SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "null": "VOID"}
-
-
-def with_fields(d: DataFrame, v: Column, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, Field]]:
-    """d with a column for each field of v."""
-    return d.withColumns({f"_f_{n}": Field.read(get(v, n)) for n in names}), {n: Field(f"_f_{n}") for n in names}
-
-
-def text_of(v: Column) -> Column:
-    """A string's text; null for anything else."""
-    return F.when(is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
-
-
-def filled(v: Column) -> Column:
-    return F.coalesce(T.strip(text_of(v)) != "", F.lit(False))
-
-
-def int_of(v: Column) -> Column:
-    """An integer's value; null for anything else, booleans too."""
-    return F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint"))
-
-
-def page_of(c: Column) -> Column:
-    """A page number from text, null if it isn't one."""
-    return F.try_to_number(F.when(T.strip(c).rlike(r"^[+-]?\d{1,9}$"), T.strip(c)), F.lit("S999999999")).cast("int")
-
-
 def items(v: Column) -> Column:
     """An array's elements; an empty one for anything else."""
     return F.coalesce(F.when(is_kind(v, "array"), F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))

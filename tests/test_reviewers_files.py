@@ -109,6 +109,26 @@ def test_numbers_of_json_values(spark):
     assert [r.n for r in d.orderBy("k").collect()] == want
 
 
+def test_page_names_as_python_reads_them(spark):
+    names = ["7", "007", " 12 ", "+3", "-3", "1_0", "１２", "٣", "2147483647", "2147483648", "1234567890", "", " ", "x", "1.0", "1__0", "²", None]
+
+    def by_python(t):
+        try:
+            return n if t is not None and abs(n := int(t)) < 1 << 31 else None
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame([(t,) for t in names], "t string").select("t", ST.page_of(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == {t: by_python(t) for t in names}
+
+
+def test_pages_of_any_digits_in_a_state(spark):
+    visual = {"disposition": "conservative_latex"}
+    state = {"status": "in_progress", "formula_candidates": {"１２": ["a"], "x": ["b"]}, "visual_review_decisions": {"１２": {"formulas": [visual]}, "1234567890": visual, "x": visual}}
+    d = spark.createDataFrame([("b", json.dumps(state))], "doc_id string, state string")
+    assert sorted(r.page or 0 for r in ST.decisions(ST.parsed(d)).collect()) == [0, 12, 1234567890]
+
+
 def test_sums_before(spark):
     rng = random.Random(3)
     lists = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 200, 1000)]
