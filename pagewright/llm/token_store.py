@@ -138,15 +138,17 @@ def _encoded(vocabulary: str, end_id: int):
                 ends = np.fromiter(chain.from_iterable(found), np.int64, len(row)) + bounds[row]
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                narrow = memoryview(ids.astype("<u2")).cast("B") if ids.max() < 1 << 16 else None
-                hashes, new, payloads = [], [], []
+                # payloads by their places in the run's bytes: Arrow would never free memoryviews handed to pa.array
+                width = 2 if ids.max() < 1 << 16 else 4
+                places = pa.py_buffer(width * np.append(starts, ends[-1]).astype(np.int64))
+                payloads = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places, pa.py_buffer(ids.astype(f"<u{width}", copy=False))])
+                hashes, new = [], []
                 for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                     h = address(wide[4 * a : 4 * b])
                     hashes.append(h)
                     if h not in sent:
                         sent.add(h)
                         new.append(k)
-                        payloads.append(wide[4 * a : 4 * b] if narrow is None else narrow[2 * a : 2 * b])
                 if len(sent) > KNOWN:
                     sent.clear()
                 lengths = ends - starts
@@ -156,7 +158,7 @@ def _encoded(vocabulary: str, end_id: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, last), pa.int32()), pa.array(hashes, pa.binary()))
                 yield _written("recipe", len(found), row=table.column("row").take(pa.array(at)), doc_id=table.column("doc_id").take(pa.array(at)), n_tokens=pa.array(np.diff(bounds)), hashes=lists, root=pa.array(roots, pa.binary()), key=table.column("row").take(pa.array(at)))
                 kept = [hashes[k] for k in new]
-                yield _written("chunk", len(new), key=pa.array(np.frombuffer(b"".join(kept), "<i8")[::2]), hash=pa.array(kept, pa.binary()), n_ids=pa.array(lengths[new], pa.int32()), payload=pa.array(payloads, pa.binary()))
+                yield _written("chunk", len(new), key=pa.array(np.frombuffer(b"".join(kept), "<i8")[::2]), hash=pa.array(kept, pa.binary()), n_ids=pa.array(lengths[new], pa.int32()), payload=payloads.take(pa.array(new, pa.int64())))
         tokens.rest()
 
     return run

@@ -1,8 +1,13 @@
 """Bounds that must not change results: beyond them another plan is taken, or nothing is left out."""
 
+import gc
+import sys
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagewright.llm import mixing, toxicity
+from pagewright.llm import mixing, token_store, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,3 +24,22 @@ def test_mixing_beyond_the_bound_on_sources(spark, monkeypatch):
     one = sorted(map(tuple, mixing.mix(docs).select(*columns).collect()), key=str)
     monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
     assert sorted(map(tuple, mixing.mix(docs).select(*columns).collect()), key=str) == one
+
+
+def test_encoding_leaves_nothing_behind():
+    """A worker lives for many tasks: what it holds after one doesn't grow with the number of tasks."""
+    vocabulary = tokens.default_vocabulary()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "12", "x."], 4000)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(range(20), pa.int64()), pa.array(texts)], ["row", "doc_id", "text"])
+
+    def task():
+        chunks = sum(len(b) for b in token_store._encoded(vocabulary, 2)(iter([batch])) if b.column("kind")[0].as_py() == "chunk")
+        gc.collect()
+        return chunks, sys.getallocatedblocks()
+
+    task()
+    chunks, before = task()
+    for _ in range(5):
+        _, after = task()
+    assert chunks > 100 and after - before < chunks
