@@ -93,3 +93,34 @@ def test_accepted_decisions_fall_back_on_the_unresolved_reason(spark):
     files_ = spark.createDataFrame([(0, "a.png"), (0, "c.png")], "doc_id long, path string")
     got = merge.accepted(merge.executable_errors(merge.merged(records, supplied), files_)).orderBy("ord").collect()
     assert [(r.ord, r.candidate, r.source_text, r.pdf_page, r.reason, r.candidate_id, r.source_candidates) for r in got] == [(0, "x", "x", 1, "u", "id1", [1]), (1, "y", "y", 1, "r", "id2", [2])]
+
+
+def test_merged_records_are_plain_columns_and_pages_are_dealt_out_once(spark, tmp_path):
+    """Decisions are read once: no rule looks into a VARIANT again; lists of records and decisions are not shuffled to meet."""
+    from pagewright.plans import catalog
+
+    line = "SELECT id DIV 3 AS l_orderkey, id % 5 AS l_suppkey, id % 16 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber FROM range(48)"
+    spark.sql(line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    records, supplied, _, _ = catalog._records(spark, str(tmp_path))
+    m = merge.merged(records, supplied)
+    assert not [f.name for f in m.schema.fields if "variant" in f.dataType.simpleString()]
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # of line items, once for each side
+    given = {(r.doc_id, r.page, r.ord): r.given for r in m.collect()}
+    kinds = {(r.doc_id, r.page, r.ord): r.kind for r in catalog._made(spark, str(tmp_path)).collect()}
+    assert len(given) == 48 and all(given[k] == (None if kind == 7 else k[2]) for k, kind in kinds.items())
+
+
+def test_what_decisions_leave_out_comes_from_the_record(spark):
+    records = spark.createDataFrame([(0, 1, k, k + 1, f"id{k + 1}", "t", "a//b/../c.png", None, "line", [k + 1]) for k in range(5)], "doc_id long, page int, ord int, candidate_index int, candidate_id string, candidate string, source_asset string, context_asset string, context_type string, source_candidates array<int>")
+    given = [{"source_asset": None}, {"source_asset": 5, "context_asset": "x"}, {"source_candidates": "no", "reason": None}, {"source_candidates": [1, "x", 0]}, {"source_pdf_page": "1", "context_type": 3}]
+    supplied = spark.createDataFrame([(0, 1, k, json.dumps(g | {"candidate_index": str(k + 1)})) for k, g in enumerate(given)], "doc_id long, page int, ord int, j string").select("doc_id", "page", "ord", F.parse_json("j").alias("d"), F.lit("").alias("candidate"))
+    got = merge.merged(records, supplied).orderBy("ord").collect()
+    assert [r.given for r in got] == [0, 1, 2, 3, 4] and [r.f_candidate_index for r in got] == [None] * 5 and not any(r.gone_candidate_index for r in got)
+    assert [(r.f_source_asset, r.gone_source_asset) for r in got] == [("a//b/../c.png", False), (None, False), *[("a//b/../c.png", False)] * 3]
+    assert [(r.f_context_asset, r.gone_context_asset) for r in got] == [(None, True), ("x", False), *[(None, True)] * 3]
+    assert [r.f_source_candidates for r in got] == [[1], [2], [], [1, None, 0], [5]] and [r.number for r in got] == [1, 1, 1, 1, None] and [r.f_context_type for r in got] == ["line"] * 4 + [None]
+    assert [r.has_reason for r in got] == [False, False, True, False, False]
+    files_ = spark.createDataFrame([(0, "a/c.png")], "doc_id long, path string")
+    errors = [r.errors for r in merge.executable_errors(merge.merged(records, supplied), files_).orderBy("ord").collect()]
+    assert not any("source_asset does not exist" in e for r in errors for e in r) and "source_asset must be a non-empty relative path" in errors[1]
