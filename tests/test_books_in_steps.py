@@ -124,3 +124,20 @@ def test_what_decisions_leave_out_comes_from_the_record(spark):
     files_ = spark.createDataFrame([(0, "a/c.png")], "doc_id long, path string")
     errors = [r.errors for r in merge.executable_errors(merge.merged(records, supplied), files_).orderBy("ord").collect()]
     assert not any("source_asset does not exist" in e for r in errors for e in r) and "source_asset must be a non-empty relative path" in errors[1]
+
+
+def test_a_book_of_any_size_has_a_digest_of_its_whole_text(spark, tmp_path):
+    import hashlib
+
+    from pagewright.plans import catalog
+
+    texts = {0: ["ä", "b\n", None, "c"], 1: ["x"], None: ["y", ""]}
+    pieces = spark.createDataFrame([(d, k, t, len(t or "")) for d, ts in texts.items() for k, t in reversed(list(enumerate(ts)))], "doc_id long, k int, piece string, n int")
+    got = {r.doc_id: (r.digest, r.n) for r in merge.book_digests(pieces, ("n",)).collect()}
+    assert got == {d: (hashlib.md5("".join(t or "" for t in ts).encode()).hexdigest(), sum(len(t or "") for t in ts)) for d, ts in texts.items()}
+    assert merge.book_digests(pieces.filter("false")).collect() == []
+    spark.createDataFrame([("s", 2, "one"), ("s", 1, "two"), ("t", 3, None), ("t", 4, "three")], "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in catalog.merged_markdown(spark, str(tmp_path)).collect()}
+    page = lambda n, text: f"<!-- PDF page {n} -->\n\n{text}\n\n> [Transcription note: checked page {n}]\n\n"
+    whole = {"s": page(1, "two") + page(2, "one"), "t": page(4, "three")}
+    assert {d: (r.n_chars, r.notes, r.digest) for d, r in rows.items()} == {d: (len(t), t.count("> ["), hashlib.md5(t.encode()).hexdigest()) for d, t in whole.items()}
