@@ -1,10 +1,13 @@
 """Layout inside a page's row: the same as by tables, and no more of it is shuffled."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import layout
+from pagewright.functions import text
+from pagewright.operators import garbage, layout
 from pagewright.plans import catalog
 
 
@@ -39,3 +42,39 @@ def test_pages_have_the_groups_and_contexts_of_tables(spark):
 def test_contexts_deal_lines_out_once(spark):
     plan = catalog.QUERIES["group_contexts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 2 and "Window" not in plan  # the lines, and the sizes made from them
+
+
+@pytest.mark.parametrize("name", ["clean_lines", "paragraphs", "page_markdown", "merged_markdown"])
+def test_pages_are_made_once(spark, name):
+    """No filter below a generator makes a page's lines or parts once more to look at their number."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.match(r"[\s:+|-]*Filter ", x) and "transform(" in x]
+
+
+def test_pages_without_parts_have_no_markdown(spark):
+    pages = spark.createDataFrame([(0, 1, "a\nb."), (0, 2, " \n\t"), (0, 3, None)], "doc_id long, page int, text string")
+    parts = layout.page_parts(layout.cleaned_pages(layout.page_lines(pages), spark.createDataFrame([], "doc_id long, line string")))
+    assert [tuple(r) for r in layout.parts_markdown(parts, blank=False).collect()] == [(0, 1, "<!-- PDF page 1 -->\n\na b.\n\n")]
+    assert layout.parts_markdown(parts).count() == 3
+
+
+def test_what_might_be_garbage():
+    """Every character but those that can't be."""
+    known = [(0, 0xA9), (0xAB, 0xB9), (0xBB, 0x2AF), (0x2000, 0x206F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF)]
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", garbage.SUSPECT))
+    assert not garbage.SUSPECT.startswith("[^")
+    assert all((pattern.match(chr(k)) is None) == any(a <= k <= b for a, b in known) for k in range(0x110000))
+
+
+def test_lines_of_odd_white_space(spark):
+    odd = ["a  b\t\tc \u3000\n\u00a0\r\n x\u2003 \u2002y \u2028\u3000\u3000z\x1c \t", "", " ", "\n", "one\n", "\ta", None]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, text string")
+    slow = F.filter(F.transform(text.lines(F.col("text")), text.compact), lambda x: x != "")
+    assert all(a == b for a, b in d.select(text.filled_lines(F.col("text")), slow).collect())
+    assert d.select(text.filled_lines(F.col("text"))).first()[0] == ["a b c", "x y", "z"]
+
+
+def test_lines_are_put_together_in_order(spark):
+    cases = {("a", "b", "中", "文", "c"): "a b中文c", (" a ",): "a", ("a", "", "b"): "a  b", ("", "", "x"): "x", ("中", "", "x"): "中x", (): ""}
+    d = spark.createDataFrame([(list(c),) for c in cases], "x array<string>")
+    assert {tuple(r.x): r.y for r in d.select("x", layout.join_lines(F.col("x")).alias("y")).collect()} == cases
