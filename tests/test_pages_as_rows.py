@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text
 from pagewright.operators import garbage, layout
-from pagewright.plans import catalog
+from pagewright.operators import state as ST
+from pagewright.plans import catalog, findings
+from pagewright.plans.report import Inputs
 
 
 def rows(df, *keys):
@@ -78,3 +80,13 @@ def test_lines_are_put_together_in_order(spark):
     cases = {("a", "b", "中", "文", "c"): "a b中文c", (" a ",): "a", ("a", "", "b"): "a  b", ("", "", "x"): "x", ("中", "", "x"): "中x", (): ""}
     d = spark.createDataFrame([(list(c),) for c in cases], "x array<string>")
     assert {tuple(r.x): r.y for r in d.select("x", layout.join_lines(F.col("x")).alias("y")).collect()} == cases
+
+
+def test_states_of_other_documents_are_not_looked_into(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "# t"), (1, "# u"), (2, "# v"), (3, None)], "doc_id long, text string")
+    states = spark.createDataFrame([(1, '{"status": "done"}'), (2, "[1"), (7, '{"status": "done"}'), (None, "{}")], "doc_id long, state string")
+    seen, whole = [], ST.state_report
+    monkeypatch.setattr(ST, "state_report", lambda raw: seen.append(sorted(r.doc_id for r in raw.collect())) or whole(raw))
+    got = findings.message_rows(findings.whole_reports(Inputs(docs, states=states))).filter("severity = 'error'")
+    assert sorted((r.doc_id, r.message) for r in got.collect()) == [(1, "unknown conversion workflow status: 'done'")] * 2 + [(2, "conversion state could not be read")]
+    assert seen == [[1, 2]]
